@@ -1,6 +1,6 @@
 """Toxicity by a counterfactually regularised classifier.
 
-Logistic regression over the words that a document holds. For each labelled document
+Logistic regression over the words, and beginnings of words, that a document holds. For each labelled document
 with an identity term a counterpart is made with the term swapped for another of its
 family, and the squared change of the score (as a logit) is penalised, so that naming
 a group does not move a score.
@@ -22,9 +22,10 @@ from fundcat.llm.common import small_batches, table
 THRESHOLD = 0.7
 #: Labelled rows that the classifier is fitted on at most, and words that it knows.
 MAX_ROWS, MAX_WORDS = 20_000, 8_192
-#: A word must be in so many documents of the sample.
-MIN_DOCS = 4
-STEPS, RATE, RIDGE, SWAP = 400, 0.1, 2e-4, 1.0
+#: Least log-likelihood ratio of a word and the label; by chance alone few words of a
+#: large vocabulary reach it.
+EVIDENCE = 20.0
+STEPS, RATE, RIDGE, SWAP = 400, 0.1, 2e-5, 1.0
 
 #: Families of identity terms; terms of a family may take each other's place.
 IDENTITY: tuple[tuple[str, ...], ...] = (
@@ -47,8 +48,14 @@ IDENTITY: tuple[tuple[str, ...], ...] = (
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Lengths of the word beginnings that are features too; they bear inflected words.
+STEMS = (4, 5, 6)
+
+
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+    """Distinct lower-case words, and the beginnings of longer ones, marked by a dash."""
+    words = set(_WORD.findall(text.lower())) if text else set()
+    return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in STEMS))
 
 
 @dataclass(frozen=True)
@@ -106,8 +113,8 @@ def fit(features: list[list[int]], labels: np.ndarray, counterparts: list[tuple[
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, families=IDENTITY, swap: float = SWAP) -> Classifier:
     """Fit on labelled rows outside the held-out third. Beyond ``max_rows`` a share of
-    them is taken by a hash of the id. Words are chosen by how unevenly the classes
-    hold them; counting them is a Spark job, and what reaches the driver is bounded by
+    them is taken by a hash of the id. Words are chosen by the log-likelihood
+    ratio of word and label; counting them is a Spark job, and what reaches the driver is bounded by
     ``max_rows`` and ``max_words``."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -130,10 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
     if not pos or not neg:
         return Classifier({}, 0.0 if not pos + neg else 60.0 if pos else -60.0)
     counts = held.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
-    p, q = (F.col("k") + 0.5) / (pos + 1), (F.col("n") - F.col("k") + 0.5) / (neg + 1)
-    uneven = F.abs(F.log(p / q)) * F.sqrt("n")
+    part = lambda k, share: F.when(k > 0, k * F.log(k / (F.col("n") * share))).otherwise(0.0)
+    evidence = 2 * (part(F.col("k"), pos / (pos + neg)) + part(F.col("n") - F.col("k"), neg / (pos + neg)))
     terms = [t for f in families for t in f]
-    best = counts.where(F.col("n") >= min(MIN_DOCS, pos, neg)).orderBy(uneven.desc(), "word").limit(max_words).select("word")
+    best = counts.withColumn("evidence", evidence).where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "word").limit(max_words).select("word")
     chosen = [r[0] for r in best.unionByName(counts.where(F.col("word").isin(terms)).select("word")).distinct().orderBy("word").collect()]
     known = {w: i for i, w in enumerate(sorted({*chosen, *terms}))}
     sent = spark.sparkContext.broadcast(known)
