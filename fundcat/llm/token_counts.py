@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -90,6 +91,12 @@ class PieceCounts(dict):
         return len(parts) - 1 + sum(sum(map(self.__getitem__, self.find(p))) for p in parts if p)
 
 
+@cache
+def _piece_counts(path: str, pattern: str) -> PieceCounts:
+    """One per worker process, so that what a task has learnt serves the next."""
+    return PieceCounts(path, pattern)
+
+
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT) -> DataFrame:
     """``documents`` -> ``(doc_id, n_bytes, n_tokens, over_limit)``, one row per input
     row. Null and empty texts have 0 bytes and 0 tokens; special strings in a text
@@ -100,7 +107,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
     path, pattern = vocabulary or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = PieceCounts(path, pattern)
+        counts = _piece_counts(path, pattern)
         for b in batches:
             n = np.array([counts.of(t) for t in b["text"]], dtype=np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": n, "over_limit": n > limit})

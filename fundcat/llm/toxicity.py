@@ -54,7 +54,10 @@ STEMS = (4, 5, 6)
 
 def words_of(text: str | None) -> set[str]:
     """Distinct lower-case words, and the beginnings of longer ones, marked by a dash."""
-    words = set(_WORD.findall(text.lower())) if text else set()
+    return _stemmed(set(_WORD.findall(text.lower())) if text else set())
+
+
+def _stemmed(words: set[str]) -> set[str]:
     return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in STEMS))
 
 
@@ -72,7 +75,7 @@ class Classifier:
 def swaps(words: set[str], families=IDENTITY) -> set[str] | None:
     """The words with each identity term swapped for the next of its family that is
     not there; None if there is no such term."""
-    out, hit = set(words), False
+    out, hit = {w for w in words if not w.endswith("-")}, False
     for family in families:
         for k, term in enumerate(family):
             if term in words:
@@ -81,7 +84,7 @@ def swaps(words: set[str], families=IDENTITY) -> set[str] | None:
                     out.discard(term)
                     out.add(other)
                     hit = True
-    return out if hit else None
+    return _stemmed(out) if hit else None
 
 
 def fit(features: list[list[int]], labels: np.ndarray, counterparts: list[tuple[int, list[int]]], n_words: int, swap: float = SWAP) -> tuple[np.ndarray, float]:
