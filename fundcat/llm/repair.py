@@ -18,6 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -35,7 +36,7 @@ ROUNDS = 5
 #: Rules that one round may add, and the least occurrences that pay for a rule.
 ROUND_RULES, LEAST = 2048, 32
 #: Distinct words whose ids a worker keeps.
-CACHE = 1_500_000
+CACHE = 800_000
 _BUCKETS = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -227,6 +228,12 @@ class WordIds(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
+@cache
+def _word_ids(path: str) -> WordIds:
+    """One per worker process, so that what a task has learnt serves the next."""
+    return WordIds(path)
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``documents`` and write shard files in ascending doc_id order (nulls
     first; rows with one doc_id in the order of a hash of their texts). Null and empty
@@ -244,7 +251,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        part, seq, words = TaskContext.get().partitionId(), 0, WordIds(vocabulary)
+        part, seq, words = TaskContext.get().partitionId(), 0, _word_ids(vocabulary)
         keys: list = []
         ids: list[bytes] = []
         held = 0
