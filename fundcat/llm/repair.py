@@ -220,11 +220,11 @@ class WordIds(dict):
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         split = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in raw]
         used = set(chain.from_iterable(split))
-        if new := used - self.keys():
+        if new := [w for w in used if w not in self]:
             if len(self) + len(new) > CACHE:
                 self.clear()
-                new = used
-            self._learn(list(new))
+                new = list(used)
+            self._learn(new)
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
