@@ -35,6 +35,8 @@ SHARD_IDS = 1 << 20
 ROUNDS = 5
 #: Rules that one round may add, and the least occurrences that pay for a rule.
 ROUND_RULES, LEAST = 2048, 32
+#: Shards whose starts are sent to all tasks; those of more shards are joined.
+SENT = 200_000
 #: Distinct words whose ids a worker keeps.
 CACHE = 800_000
 _BUCKETS = 1 << 20
@@ -299,6 +301,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids[:nulls] = pd.NA  # nulls sort first
                 yield pd.DataFrame({"doc_id": ids, "start": base + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": np.array([zlib.crc32(x) for x in docs], dtype=np.int64)})
 
+    # A shard's start is 24 bytes; while they are few the payloads need not move.
+    starts = F.broadcast(starts) if shards.count() <= SENT else starts
     whole = shards.select("part", "seq", "null_ids", "doc_ids", "payload").join(starts, ["part", "seq"])
     return whole.select("base", "null_ids", "doc_ids", "payload").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
