@@ -30,7 +30,7 @@ from fundcat.llm.common import cut, small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct frequent units that are sent to every worker.
-FREQUENT = 400_000
+FREQUENT = 150_000
 #: Longer units don't go through the lattice; see ``_long_units``.
 LONGEST = 48
 #: Letters that end a unit before anything else: Latin, Greek and Cyrillic.
@@ -180,7 +180,7 @@ def _long_units(words: DataFrame, model: Model) -> DataFrame:
 
 def encode_units(words: DataFrame, model: Model) -> DataFrame:
     """``(unit, n)`` -> ``(unit, n, ids)``."""
-    graph = lattice(words.where(F.length("unit") <= LONGEST), model)
+    graph = lattice(words.where(F.length("unit") <= LONGEST).repartition("unit"), model)
     graph = graph.withColumn("ends", merge_fold(F.col("edges"), F.length("unit")))
     short = graph.select("unit", "n", path_ids(F.col("edges"), F.col("ends"), F.col("unit"), model.byte0).alias("ids"))
     return short.unionByName(_long_units(words.where(F.length("unit") > LONGEST), model))
@@ -197,8 +197,9 @@ def _frequent(encoded: DataFrame, most: int) -> tuple[int, list]:
         least = s["step"]
     if least is None:
         return 1 << 30, []
-    rows = encoded.where(F.floor(F.log2("n") * 8).cast("int") >= least).select("unit", "ids").toPandas()
-    return least, [(u, np.asarray(i, dtype="<u4").tobytes()) for u, i in zip(rows["unit"], rows["ids"], strict=True)]
+    # Ids travel as text, which is far smaller on the driver than arrays.
+    rows = encoded.where(F.floor(F.log2("n") * 8).cast("int") >= least).select("unit", F.array_join(F.col("ids").cast("array<string>"), " ")).toLocalIterator(prefetchPartitions=False)
+    return least, [(u, np.array(i.split(), dtype="<u4").tobytes()) for u, i in rows]
 
 
 def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
@@ -211,7 +212,8 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -
     small_batches(spark)
     model = Model.load(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = cut(encode_units(units(rows), model), "units")
+    # Written first: both kinds of units read them, and counting them reads all texts.
+    encoded = cut(encode_units(cut(units(rows), "units"), model), "encoded")
     least, known = _frequent(encoded, frequent)
     sent = spark.sparkContext.broadcast(dict(known))
     key = ["doc_id", F.xxhash64("text").alias("hash")]
@@ -223,9 +225,9 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -
     find = re.compile(_UNIT).findall
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = sent.value.keys()
+        have = sent.value
         for b in batches:
-            missing = [list(set(split(t)) - have) for t in b.column("text").to_pylist()]
+            missing = [[u for u in set(split(t)) if u not in have] for t in b.column("text").to_pylist()]
             n = np.array([len(m) for m in missing])
             take = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("hash").take(take), pa.array([u for m in missing for u in m], pa.string())], ["doc_id", "hash", "unit"])
