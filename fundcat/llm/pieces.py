@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundcat.llm.common import cut, small_batches, table
+from fundcat.llm.common import cut, partitions, small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct frequent units that are sent to every worker.
@@ -180,7 +180,7 @@ def _long_units(words: DataFrame, model: Model) -> DataFrame:
 
 def encode_units(words: DataFrame, model: Model) -> DataFrame:
     """``(unit, n)`` -> ``(unit, n, ids)``."""
-    graph = lattice(words.where(F.length("unit") <= LONGEST).repartition("unit"), model)
+    graph = lattice(words.where(F.length("unit") <= LONGEST).repartition(4 * partitions(words.sparkSession), "unit"), model)
     graph = graph.withColumn("ends", merge_fold(F.col("edges"), F.length("unit")))
     short = graph.select("unit", "n", path_ids(F.col("edges"), F.col("ends"), F.col("unit"), model.byte0).alias("ids"))
     return short.unionByName(_long_units(words.where(F.length("unit") > LONGEST), model))
