@@ -81,6 +81,40 @@ VIEWS: dict[str, str] = {
     "crawl_sources": "select source as id, 'https://' || source || '.example.org/' as url, source || '.example.org' as domain, min(doc_id) % 7 <> 0 as enabled from documents group by source",
     "crawl_visits": "select event_id as id, date_trunc('hour', cast(ts as timestamp)) as run, 'src' || cast(user_id % 20 as string) as source_id, 'o' || cast(user_id as string) as opportunity_id, cast(ts as timestamp) as ts, case event_type when 'error' then 'failed' when 'signup' then 'discontinued' when 'purchase' then 'reopened' else 'read' end as outcome from events",
     "request_attempts": "select event_id as id, user_id as key, cast(ts as timestamp) as ts from events",
+    "crawl_candidates": f"""select doc_id as id, doc_id as snapshot_id, source as source_id, 'https://src' || cast((doc_id % 300) % 20 as string) || '.example.org/' || case doc_id % 6 when 0 then 'news/' when 1 then 'guidelines/' else 'programs/' end || cast(doc_id % 300 as string) as url,
+        'h' || cast(n_chars % 50 as string) as content_hash, case doc_id % 9 when 0 then 'domain' when 1 then 'changed' else 'new' end as kind, case doc_id % 11 when 0 then 'rejected' else 'pending' end as status,
+        case doc_id % 5 when 0 then 'How to write a grant' when 1 then 'Grants' when 2 then 'Rural Arts Fund ' || cast(doc_id % 300 as string) when 3 then 'River Fellowship Program' else 'Contact us' end as title,
+        case when doc_id % 7 = 0 then 'o' || cast(doc_id % 300 as string) end as opportunity_id, {_NOW} - (doc_id % 40) * interval '1' day as created_at from documents""",
+    "publication_results": "select doc_id as candidate_id, case doc_id % 6 when 0 then 'skipped' when 3 then 'published' else 'updated' end as outcome, case doc_id % 12 when 0 then 'Directory page' else 'Insufficient program facts' end as reason from documents where doc_id % 3 = 0",
+    "catalog_field_history": """select (l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey as id, 'o' || cast(l_partkey as string) as opportunity_id, case (l_linenumber + l_suppkey) % 3 when 0 then 'status' when 1 then 'deadline' else 'maximum' end as field,
+        case when l_quantity < 10 then null else 'v' || cast(l_orderkey % 3 as string) end as old_value, 'v' || cast(l_suppkey % 3 as string) as new_value, cast(l_shipdate as timestamp) as created_at, case when l_returnflag = 'A' then 'automatic' else 'editor' end as action from lineitem""",
+    "catalog_fields": "select 'o' || cast(p_partkey as string) as opportunity_id, f.field, 'v' || cast(p_size % 3 as string) as value, (p_partkey + f.n) % 29 = 0 as locked, case when (p_partkey + f.n) % 31 = 0 then 'locked_conflict' else 'known' end as state from part join (values (0, 'status'), (1, 'deadline'), (2, 'maximum')) as f(n, field) on true",
+    "search_jobs": f"""select o_orderkey as id, case when o_orderstatus = 'F' then 'complete' when o_orderstatus = 'P' then 'partial' when o_orderkey % 2 = 0 then 'running' else 'queued' end as status,
+        {_NOW} - (o_orderkey % 72) * interval '1' hour as created_at, {_NOW} - (o_orderkey % 48) * interval '1' hour as finished_at, {_NOW} - (o_orderkey % 90 + 1) * interval '1' minute as last_served_at from orders""",
+    "research_ledger": "select event_id as id, 'topic' || cast(user_id % 50 as string) as topic_key, cast(ts as timestamp) as created_at, case event_type when 'error' then 'failed' else 'complete' end as status, 10 as reserved_cents, event_id % 7 as queued_count, event_id % 2 as domain_count from events",
+    "reconcile_items": f"""select date_trunc('day', cast(ts as timestamp)) as run_id, event_id as id, case event_type when 'error' then 'blocked' when 'signup' then 'ambiguous' when 'click' then 'queued' else 'complete' end as status,
+        case when event_id % 5 = 0 then 'Continued in newer inventory' else '' end as reason, {_NOW} + (event_id % 9 - 4) * interval '1' hour as next_attempt_at from events where extract(day from ts) % 3 <> 0 or event_type <> 'click'""",
+    "reconcile_events": "select date_trunc('day', cast(ts as timestamp)) as run_id, case event_type when 'purchase' then 'merged' when 'error' then 'hidden' else 'facts-resolved' end as action, case when event_id % 4 = 0 then 'none' else cast(event_id % 6 as string) end as detail from events",
+    "contributions": f"""select o_orderkey as id, case o_orderkey % 4 when 0 then 'program' when 1 then 'deadline' when 2 then 'maximum' else 'secret' end as field, case when o_orderkey % 4 = 0 and o_orderkey % 8 <> 0 then '' else case when o_orderkey % 5 = 0 then '' else 'o' || cast(o_custkey as string) end end as opportunity_id,
+        case when o_orderkey % 7 = 0 then '  ' else 'Change ' || o_orderpriority end as proposed, case when o_orderkey % 6 = 0 then 'decision' else 'new' end as state, cast(o_orderdate as timestamp) as created_at from orders""",
+    "contribution_submissions": "select l_orderkey as contribution_id, l_linenumber as n, 'value ' || cast(l_suppkey as string) as proposed, l_linestatus as note from lineitem where l_linenumber <= 4",
+    "reviews": """select 'r' || cast(p_partkey as string) as id, case when p_partkey % 9 = 0 then 'ab' else p_name || ' ' || p_type || ' Grant' || case when p_partkey % 3 = 0 then '' else ' ' || cast(p_partkey as string) end end as name,
+        'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(p_partkey * 2 as string) as url, case when p_partkey % 8 = 0 then 'short' else 'Funding for ' || p_name || ' projects' end as summary,
+        case p_size % 3 when 0 then 'open' when 1 then 'upcoming' else 'closed' end as status, p_retailprice as minimum, case when p_partkey % 10 = 0 then p_retailprice - 1 else p_retailprice + 5 end as maximum,
+        case when p_partkey % 4 <> 0 then date '2024-01-31' + cast(p_partkey % 61 - 30 as int) end as deadline, case when p_partkey % 3 <> 0 then date '2024-01-31' + cast(p_partkey % 41 - 20 as int) end as opens, case when p_partkey % 12 = 0 then 'usd' else 'USD' end as currency from part""",
+    "page_links": """select doc_id as id, 'https://src' || cast((doc_id % 300) % 20 as string) || '.example.org/programs/' || cast(doc_id % 300 as string) as url, x.n, 'https://src' || cast((doc_id % 300) % 20 as string) || '.example.org/programs/' || cast((doc_id + x.n * 20) % 300 as string)
+        || case (doc_id + x.n) % 6 when 0 then '/apply' when 1 then '/guidelines.pdf' when 2 then '/faq' when 3 then '/grant-news' else '' end as link from documents join (values (0), (1), (2), (5)) as x(n) on true""",
+    "external_results": "select p_partkey as id, case p_partkey % 2 when 0 then 'federal' else 'state' end as provider, cast(p_partkey * 3 as string) as external_id, 'https://src' || cast(p_partkey % 20 as string) || '.example.org/' || case when p_partkey % 3 = 0 then 'programs/' else 'results/' end || cast(p_partkey as string) || case when p_partkey % 2 = 0 then '/' else '' end as source_url from part",
+    "provider_records": "select case p_partkey % 2 when 0 then 'federal' else 'state' end as provider, cast(p_partkey as string) as external_id from part where p_partkey % 7 = 0",
+    "raw_locations": """select c_custkey as id, case c_custkey % 6 when 0 then ' USA ' when 1 then 'U.S.' when 2 then 'united kingdom' when 3 then 'Global' when 4 then 'Canada' else '' end as country, case c_custkey % 3 when 0 then 'ny' when 1 then 'CALIFORNIA' else 'Ontario' end as state,
+        case c_custkey % 4 when 0 then 'nyc' when 1 then ' New   York ' else 'Austin' end as city, case c_custkey % 5 when 0 then '10001-1234' when 1 then 'k1a 0b1' when 2 then '94110' else 'bad!' end as postal_code from customer""",
+    "robots_rules": """select 'src' || cast(s_suppkey % 20 as string) || '.example.org' as host, s_suppkey as n, case s_suppkey % 3 when 0 then 'fundbot' else '*' end as agent, s_suppkey % 4 = 0 as allow,
+        case s_suppkey % 5 when 0 then '/programs/' when 1 then '/programs/1*' when 2 then '/*faq$' when 3 then '/programs/2' else '/news' end as pattern from supplier""",
+    "feed_federal_raw": """select p_partkey as n, '{"id":' || cast(p_partkey as string) || ',"opportunityTitle":"' || p_name || ' ' || p_type || ' Program","ost":"' || case p_partkey % 4 when 0 then 'POSTED' when 1 then 'FORECASTED' when 2 then 'CLOSED' else 'POSTED' end || '","synopsis":{"agencyName":"' || p_brand || '","fundingInstruments":[{"id":"' || case when p_partkey % 5 = 0 then 'L' else 'G' end
+        || '"}],"applicantTypes":[{"id":"12"},{"id":"' || case when p_partkey % 2 = 0 then '21' else '23' end || '"}],"awardCeiling":"' || case when p_partkey % 6 = 0 then 'none' else cast(p_partkey * 10 as string) end || '","responseDateStr":"' || case p_partkey % 7 when 0 then '2024-02-30' when 1 then '2024-01-10-00-00' else '2024-05-01' end || '","postingDateStr":"' || case when p_partkey % 8 = 3 then '2024-03-01' else '2024-01-01' end || '"}}' as raw from part""",
+    "feed_state_raw": """select p_partkey as n, '{"PortalID":' || cast(p_partkey as string) || ',"Title":"' || case when p_partkey % 11 = 0 then 'Short' else p_name || ' ' || p_type || ' Program' end || '","Type":"' || case when p_partkey % 5 = 0 then 'Loan' else ' Grant' end || '","Status":"' || case p_partkey % 3 when 0 then 'closed' when 1 then 'active' else 'forecasted' end || '","AgencyDept":"' || p_brand
+        || '","ApplicantType":"Nonprofit; ' || case when p_partkey % 2 = 0 then 'Business' else 'Tribe' end || '","Geography":"' || case when p_partkey % 4 = 0 then 'Statewide.' else 'Coast only' end || '","EstAmounts":"' || case p_partkey % 3 when 0 then 'Between $500 and $1,000' when 1 then '$2,500' else 'Between $900 and $100' end || '","ApplicationDeadline":"' || case p_partkey % 4 when 0 then 'Ongoing' when 1 then '01/10/2024' else '2024-06-01' end || '"}' as raw from part""",
+    "award_raw": """select p_partkey as n, '{"results":[{"appl_id":' || cast(p_partkey as string) || ',"opportunity_number":"PAR-' || cast(p_partkey % 40 as string) || '","project_title":"' || p_name || '","fiscal_year":2023},{"appl_id":' || cast(p_partkey + 1000000 as string) || ',"opportunity_number":"PAR-' || cast(p_partkey % 7 as string) || '","project_title":"' || p_type || '","fiscal_year":2022}]}' as raw from part""",
     "search_requests": "select conv_id, turn, substr(text, 1, 60) as q from conversations where role = 'user'",
 }
 

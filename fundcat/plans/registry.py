@@ -2,49 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundcat.fixtures import Catalog, with_views
 from fundcat.functions import exprs as X
 from fundcat.functions.urls import canonical_url, is_safe
 from fundcat.operators import catalog as C
 from fundcat.operators import reports as R
+from fundcat.plans import leads  # noqa: F401  registers its queries
+from fundcat.plans.base import HOST, KEY, NOW, ORACLES, QUERIES, TODAY, VISIBLE, query  # noqa: F401
 from fundcat.schema import CATEGORIES, FOCUS
 from fundcat.sources.pages import page_parse
 from fundcat.streaming import monitor as M
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, texts: tuple[str, ...] = ()):
-    """Register a query. ``texts``: dates and nullable numbers that both sides give as
-    text, so that no client's conversion of nulls and dates comes between them."""
-
-    def put(f: Callable[[Catalog], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Catalog(spark, sf_dir)).withColumns({c: F.col(c).cast("string") for c in texts})
-        if sql:
-            own = sql.strip()
-            views = with_views(own + " ").removesuffix(own + " ").strip()
-            full = f"{views}, {own[5:]}" if views and own.startswith("with ") else f"{views} {own}"
-            cast = ", ".join(f"cast({c} as varchar) as {c}" for c in texts)
-            ORACLES[name] = f"select * replace ({cast}) from ({full})" if texts else full
-        return f
-
-    return put
-
-
 # ---- shared pieces of the oracles ---------------------------------------------
 
-TODAY = "date '2024-01-31'"
-NOW = "timestamp '2024-01-31 00:00:00'"
 STATUS = f"""case when m.state = 'discontinued' then 'discontinued' when o.opens > {TODAY} then 'upcoming'
  when (o.deadline < {TODAY} or o.application_status = 'closed') and o.recurrence in ('annual', 'recurring') then 'between_rounds'
  when o.deadline < {TODAY} then 'round_ended' when o.application_status = 'upcoming' and o.opens <= {TODAY} then 'unknown' else o.application_status end"""
-VISIBLE = "not o.is_demo and o.merged_into is null and o.publication_state = 'published' and o.verification_status <> 'archived'"
 WIDE = f"""wide as (select o.*, f.name as funder, {STATUS} as status,
  case when o.deadline >= {TODAY} then o.deadline end as current_deadline, case when o.deadline < {TODAY} then o.deadline end as previous_deadline,
  o.last_checked_at >= {NOW} - interval 90 day as fresh,
@@ -54,9 +29,7 @@ WIDE = f"""wide as (select o.*, f.name as funder, {STATUS} as status,
  (select title from crawl_snapshots s where s.url = o.source_url and s.fetched_at <= {NOW} order by fetched_at desc, s.id desc limit 1) as evidence_title
  from opportunities o left join funders f on f.id = o.funder_id left join catalog_monitoring m on m.opportunity_id = o.id where {VISIBLE})"""
 RANK = "case status when 'open' then 0 when 'upcoming' then 1 when 'between_rounds' then 2 when 'unknown' then 3 when 'unannounced' then 4 when 'round_ended' then 5 when 'closed' then 6 when 'discontinued' then 7 else 8 end"
-KEY = "regexp_replace(regexp_replace(regexp_replace(lower(name), '\\b(19|20)[0-9]{2}([-–][0-9]{2,4})?\\b', '', 'g'), '\\b(the|usda|nea|nsf|spencer)\\b', '', 'g'), '[^a-z0-9]', '', 'g')"
 HOURS = f"case when opens between {TODAY} and {TODAY} + 30 then 6 when application_status = 'closed' then case when recurrence in ('annual', 'recurring') then 24 else 168 end when deadline between {TODAY} and {TODAY} + 30 then 6 else 24 end"
-HOST = "regexp_replace(regexp_extract({0}, '^https?://([^/?#]+)', 1), '^www\\.', '')"
 CARD = "select id, name, funder, status, current_deadline, previous_deadline, fresh, array_to_string(categories, ',') as categories, array_to_string(applicants, ',') as applicants, array_to_string(locations, ',') as locations, evidence_title, maximum_award"
 
 
