@@ -9,8 +9,9 @@ model, whose pieces are merge ranks and whose right segmentation is not the best
 ``fold="merge"`` folds the same edges from the best score down and takes each merge
 whose two halves stand, which is the library's result for a BPE vocabulary.
 
-Frequent units (a bounded number) travel to the texts; the others are joined to the
-texts that hold them.
+Units that are frequent in a bounded sample are encoded first and travel to the texts.
+All other units of all texts are then encoded, each once, and joined to the texts that
+hold them: the sample decides which way a unit goes, never what it becomes.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundcat.llm.common import cut, partitions, small_batches, table
 
 MODEL = "piece_bpe_32k.model"
-#: Distinct frequent units that are sent to every worker.
-FREQUENT = 150_000
+#: Distinct frequent units that are sent to every worker, and the documents (about so
+#: many) that they are counted in.
+FREQUENT, SAMPLE = 400_000, 50_000
 #: Longer units don't go through the lattice; see ``_long_units``.
 LONGEST = 48
 #: Letters that end a unit before anything else: Latin, Greek and Cyrillic.
@@ -179,30 +182,43 @@ def _long_units(words: DataFrame, model: Model) -> DataFrame:
 
 
 def encode_units(words: DataFrame, model: Model) -> DataFrame:
-    """``(unit, n)`` -> ``(unit, n, ids)``."""
-    graph = lattice(words.where(F.length("unit") <= LONGEST).repartition(4 * partitions(words.sparkSession), "unit"), model)
+    """``(unit, n)``, partitioned by unit -> ``(unit, n, ids)``."""
+    graph = lattice(words.where(F.length("unit") <= LONGEST), model)
     graph = graph.withColumn("ends", merge_fold(F.col("edges"), F.length("unit")))
     short = graph.select("unit", "n", path_ids(F.col("edges"), F.col("ends"), F.col("unit"), model.byte0).alias("ids"))
     return short.unionByName(_long_units(words.where(F.length("unit") > LONGEST), model))
 
 
-def _frequent(encoded: DataFrame, most: int) -> tuple[int, list]:
-    """The least count such that at most ``most`` units have it or more, and those
-    units. Only counts of counts decide, so nothing is sorted whole."""
-    steps = encoded.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("units")).orderBy(F.desc("step")).collect()
-    total, least = 0, None
+def _dealt(words: DataFrame) -> DataFrame:
+    """By unit, over so many partitions that their lattices stay small."""
+    return words.repartition(4 * partitions(words.sparkSession), "unit")
+
+
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` units with the largest counts. Only counts of counts decide,
+    so nothing is sorted whole."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    steps = counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("units")).orderBy(F.desc("step")).collect()
+    total, least = 0, 1 << 30
     for s in steps:
         if (total := total + s["units"]) > most:
             break
         least = s["step"]
-    if least is None:
-        return 1 << 30, []
+    return counted.where(step >= least)
+
+
+def _known(rows: DataFrame, model: Model, frequent: int, sample: int) -> dict[str, bytes]:
+    """Ids of units that are frequent in a sample of rows."""
+    total = rows.count()
+    some = rows if total <= sample else rows.sample(sample / total, seed=1)
+    chosen = _frequent(cut(units(some), "units"), frequent)
     # Ids travel as text, which is far smaller on the driver than arrays.
-    rows = encoded.where(F.floor(F.log2("n") * 8).cast("int") >= least).select("unit", F.array_join(F.col("ids").cast("array<string>"), " ")).toLocalIterator(prefetchPartitions=False)
-    return least, [(u, np.array(i.split(), dtype="<u4").tobytes()) for u, i in rows]
+    found = encode_units(_dealt(chosen), model).select("unit", F.array_join(F.col("ids").cast("array<string>"), " "))
+    found = cut(found.toDF("unit", "ids"), "frequent").toLocalIterator(prefetchPartitions=False)
+    return {u: np.array(i.split(), dtype="<u4").tobytes() for u, i in found}
 
 
-def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
     """``documents`` -> ``(doc_id, n_pieces, ids, round_trip)``, one row per input row.
 
     Null and empty texts have no pieces. ``round_trip`` tells that decoding the ids
@@ -212,11 +228,9 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -
     small_batches(spark)
     model = Model.load(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Written first: both kinds of units read them, and counting them reads all texts.
-    encoded = cut(encode_units(cut(units(rows), "units"), model), "encoded")
-    least, known = _frequent(encoded, frequent)
-    sent = spark.sparkContext.broadcast(dict(known))
-    key = ["doc_id", F.xxhash64("text").alias("hash")]
+    sent = spark.sparkContext.broadcast(_known(rows, model, frequent, sample))
+    # Rows that share a key share the units sent to them, which does no harm.
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     byte_text = list(model.texts)
 
     def split(text: str | None) -> list[str]:
@@ -228,29 +242,39 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -
         have = sent.value
         for b in batches:
             missing = [[u for u in set(split(t)) if u not in have] for t in b.column("text").to_pylist()]
-            n = np.array([len(m) for m in missing])
-            take = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("hash").take(take), pa.array([u for m in missing for u in m], pa.string())], ["doc_id", "hash", "unit"])
+            n = np.array([len(m) for m in missing], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array([u for m in missing for u in m], pa.string())], ["key", "unit"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor().compress
+        for b in batches:
+            packed = pa.array([squeeze(t.encode()) if t else None for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), packed], ["doc_id", "key", "packed"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = sent.value
+        have, open_up = sent.value, zstandard.ZstdDecompressor().decompress
         for b in batches:
             ids, good = [], []
-            for text, extra in zip(b.column("text").to_pylist(), b.column("extra").to_pylist(), strict=True):
-                own = {e["unit"]: np.array(e["ids"], dtype="<u4").tobytes() for e in extra or ()}
+            for packed, extra in zip(b.column("packed").to_pylist(), b.column("extra").to_pylist(), strict=True):
+                text = open_up(packed).decode() if packed else ""
+                own = {u: np.array(i.split(), dtype="<u4").tobytes() for i, u in (e.split("\t", 1) for e in extra or ())}
                 raw = b"".join([have.get(u) or own[u] for u in split(text)])
                 ids.append(np.frombuffer(raw, dtype="<i4"))
-                good.append(decode_ids(ids[-1].tolist(), byte_text) == (text or ""))
+                good.append(decode_ids(ids[-1].tolist(), byte_text) == text)
             n = np.array([len(i) for i in ids], dtype=np.int64)
             at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(at, flat), pa.array(good)], ["doc_id", "n_pieces", "ids", "round_trip"])
 
-    tail = rows.select(*key, "text").mapInArrow(rare, "doc_id long, hash long, unit string").distinct()
-    less = encoded.where(F.floor(F.log2("n") * 8).cast("int") < least).select("unit", "ids")
-    tail = tail.join(less, "unit").groupBy(F.col("doc_id").alias("k"), F.col("hash").alias("h")).agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
-    full = rows.select(*key, "text").join(tail, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left")
-    return full.select("doc_id", "text", "extra").mapInArrow(whole, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    # Written, as both the units themselves and the way back to the texts read it.
+    tail = cut(rows.mapInArrow(rare, "key long, unit string"), "rare")
+    words = _dealt(tail).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    # Ids and unit in one string: far smaller in a shuffle than nested arrays.
+    found = encode_units(words, model).select("unit", F.concat_ws("\t", F.array_join(F.col("ids").cast("array<string>"), " "), "unit").alias("entry"))
+    extra = tail.join(found, "unit").groupBy(F.col("key").alias("k")).agg(F.collect_set("entry").alias("extra"))
+    # Texts cross the shuffle compressed.
+    full = rows.mapInArrow(pack, "doc_id long, key long, packed binary").join(extra, F.col("key") == F.col("k"), "left")
+    return full.select("doc_id", "packed", "extra").mapInArrow(whole, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode_ids(ids: list[int], texts) -> str:
