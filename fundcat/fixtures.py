@@ -116,6 +116,11 @@ VIEWS: dict[str, str] = {
         || '","ApplicantType":"Nonprofit; ' || case when p_partkey % 2 = 0 then 'Business' else 'Tribe' end || '","Geography":"' || case when p_partkey % 4 = 0 then 'Statewide.' else 'Coast only' end || '","EstAmounts":"' || case p_partkey % 3 when 0 then 'Between $500 and $1,000' when 1 then '$2,500' else 'Between $900 and $100' end || '","ApplicationDeadline":"' || case p_partkey % 4 when 0 then 'Ongoing' when 1 then '01/10/2024' else '2024-06-01' end || '"}' as raw from part""",
     "award_raw": """select p_partkey as n, '{"results":[{"appl_id":' || cast(p_partkey as string) || ',"opportunity_number":"PAR-' || cast(p_partkey % 40 as string) || '","project_title":"' || p_name || '","fiscal_year":2023},{"appl_id":' || cast(p_partkey + 1000000 as string) || ',"opportunity_number":"PAR-' || cast(p_partkey % 7 as string) || '","project_title":"' || p_type || '","fiscal_year":2022}]}' as raw from part""",
     "search_requests": "select conv_id, turn, substr(text, 1, 60) as q from conversations where role = 'user'",
+    "raw_filters": """select o_orderkey as id, '  ' || o_orderpriority || ' ' || repeat('x', cast(o_orderkey % 3 * 110 as int)) as q, split(c.name || case when o_orderkey % 3 = 0 then ';Other;' else ';Music;' end || c.name, ';') as category, split(case when o_orderkey % 4 = 0 then 'rural' else 'moon' end || ';youth;youth', ';') as focus,
+        case o_orderkey % 5 when 0 then 'nonprofit' when 1 then 'robot' when 2 then 'student' end as applicant, case when o_orderkey % 3 = 0 then 'nyc' else 'mars' end as location, case o_orderkey % 4 when 0 then 'open' when 1 then 'between_rounds' when 2 then '' else 'never' end as status, case when o_orderkey % 6 = 0 then 'new' else 'old' end as freshness,
+        case o_orderkey % 3 when 0 then 'amount' when 1 then 'name' end as sort, case o_orderkey % 5 when 0 then 'leads' when 1 then 'all' when 2 then 'none' end as result_type, case o_orderkey % 7 when 0 then '-5' when 1 then ' 2500 ' when 2 then '1e12' when 3 then 'NaN' when 4 then '' when 5 then '12.5' end as min_award,
+        case o_orderkey % 6 when 0 then '3' when 1 then '99999' when 2 then '0' when 3 then '2.5' when 4 then 'two' end as page, case when o_orderkey % 8 = 0 then '4' else '' end as program_page, case when o_orderkey % 9 = 0 then '5' else '' end as lead_page, case when o_orderkey % 10 = 0 then '6' end as candidate_page, case when o_orderkey % 4 = 1 then '1' else 'yes' end as saved
+        from orders join category_names c on c.n = o_orderkey % 14""",
 }
 
 

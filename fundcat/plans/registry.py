@@ -9,7 +9,7 @@ from fundcat.functions import exprs as X
 from fundcat.functions.urls import canonical_url, is_safe
 from fundcat.operators import catalog as C
 from fundcat.operators import reports as R
-from fundcat.plans import leads  # noqa: F401  registers its queries
+from fundcat.plans import leads, requests  # noqa: F401  register their queries
 from fundcat.plans.base import HOST, KEY, NOW, ORACLES, QUERIES, TODAY, VISIBLE, query  # noqa: F401
 from fundcat.schema import CATEGORIES, FOCUS
 from fundcat.sources.pages import page_parse
