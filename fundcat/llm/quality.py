@@ -23,7 +23,7 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Share of a group's rows that an estimate rests on, and concentration steps.
 H, STEPS = 0.75, 3
-#: Groups with fewer rows use their language's estimate, then that of all rows.
+#: Groups with fewer rows use the estimate of all their language's rows, then that of all rows.
 MIN_GROUP = 60
 #: Chance that a clean Gaussian row is rejected.
 ALPHA = 1e-6
@@ -92,13 +92,19 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def _grouped(vectors: DataFrame) -> DataFrame:
-    """With ``cell``: language and source, or wider where there are too few rows."""
+    """With ``cell``, the estimate that judges a row: that of language and source, or a
+    wider one where there are too few rows; and ``fits``, the estimates it takes part in.
+    A wider estimate rests on every row of its language, or on all rows, those of large
+    groups too; it is made only where a small group uses it."""
     sizes = vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    wide = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    named = sizes.join(wide, "lang").select(
+    wide = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("n_least"))
+    least = wide.agg(F.min("n_lang").alias("n_lang_least"))
+    own, language = F.concat(F.lit("2"), F.to_json(F.array("lang", "source"))), F.concat(F.lit("1"), F.to_json(F.array("lang")))
+    large, large_lang = F.col("n") >= MIN_GROUP, F.col("n_lang") >= MIN_GROUP
+    fits = F.array(F.when(large, own), F.when(large_lang & (F.col("n_least") < MIN_GROUP), language), F.when(F.col("n_lang_least") < MIN_GROUP, F.lit("0")))
+    named = sizes.join(wide, "lang").crossJoin(F.broadcast(least)).select(
         F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-        F.when(F.col("n") >= MIN_GROUP, F.concat(F.lit("2"), F.to_json(F.array("lang", "source"))))
-        .when(F.col("n_lang") >= MIN_GROUP, F.concat(F.lit("1"), F.to_json(F.array("lang")))).otherwise("0").alias("cell"),
+        F.when(large, own).when(large_lang, language).otherwise("0").alias("cell"), F.array_compact(fits).alias("fits"),
     )
     return vectors.join(named, (vectors["lang"] == named["g_lang"]) & (vectors["source"] == named["g_source"])).drop("g_lang", "g_source")
 
@@ -159,14 +165,15 @@ def robust_distances(stats: DataFrame) -> DataFrame:
     factor = H / chi2_cdf(chi2_quantile(H, d), d + 2)
     vectors = stats.where("not base_failed").select("*", *[F.expr(e).cast("double").alias(n) for n, e, _ in FEATURES])
     vectors = cut(_grouped(vectors), "vectors")
+    fitted = vectors.select(F.explode("fits").alias("cell"), *_names())
     start = None
     for i, n in enumerate(_names()):
-        part = _quantile(vectors, F.round(F.col(n) * 1000), 0.5, f"q{i}")
+        part = _quantile(fitted, F.round(F.col(n) * 1000), 0.5, f"q{i}")
         start = part if start is None else start.join(part, "cell")
     flat = [F.lit(FEATURES[i][2] if i == j else 0.0).alias(f"l{i}_{j}") for i in range(d) for j in range(i + 1)]
     model = cut(start.select("cell", *[(F.col(f"q{i}") / 1000).alias(f"m{i}") for i in range(d)], *flat), "start")
     for _ in range(STEPS):
-        model = cut(_model(_core(_distances(vectors, model)), factor), "mcd")
+        model = cut(_model(_core(_distances(fitted, model)), factor), "mcd")
     return _distances(vectors, model)
 
 
