@@ -38,6 +38,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Names that ``row_key`` gives.
+KEY = ("_key1", "_key2")
+
+
+def row_key(docs: DataFrame) -> list[F.Column]:
+    """128 bits of hash over all columns, nulls marked: with doc_id it tells rows apart
+    whose doc_id is null or repeated. Only rows that are equal throughout share it."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    parts = [F.to_json(F.map_entries(c)) if kind.startswith("map") else c for c, (_, kind) in zip(cols, docs.dtypes, strict=True)]
+    return [F.xxhash64(F.lit(i), *[c.isNull() for c in cols], *parts).alias(name) for i, name in enumerate(KEY)]
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``docs`` whose ``doc_id`` and ``row_key`` are in ``kept(doc_id, _key1, _key2)``."""
+    rows = docs.select("*", *row_key(docs))
+    kept = kept.select(F.col("doc_id").alias("_kept"), *[F.col(k).alias(f"{k}_kept") for k in KEY])
+    same = rows["doc_id"].cast("long").eqNullSafe(kept["_kept"])
+    for k in KEY:
+        same = same & (rows[k] == kept[f"{k}_kept"])
+    return rows.join(kept, same, "left_semi")
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
     """Long texts travel to Python in batches of few rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundcat.llm.common import cut, table
+from fundcat.llm.common import KEY, cut, keep_rows, row_key, table
 
 SPACES = "\\x20\\x09-\\x0D"
 SYMBOLS = "[#*$%&|<>]"
@@ -60,13 +60,14 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+def statistics(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed)`` of whole texts, one row per input row. Null and
-    empty texts have no words. A window of eight words counts by its 64-bit hash."""
+    n_repeat_words, base_failed)`` of whole texts, one row per input row, and the columns
+    ``carried``. Null and empty texts have no words. A window of eight words counts by
+    its 64-bit hash."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        *carried, F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
         F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "").alias("words"),
@@ -74,7 +75,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
     rows = rows.select(
-        "doc_id", "lang", "source", "n_symbols",
+        *carried, "doc_id", "lang", "source", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -88,7 +89,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     gaps = F.transform("starts", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", k + 1) - p, F.lit(WINDOW))).cast("long"))
     rows = rows.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return rows.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return rows.select(*carried, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
 def _grouped(vectors: DataFrame) -> DataFrame:
@@ -177,22 +178,27 @@ def robust_distances(stats: DataFrame) -> DataFrame:
     return _distances(vectors, model)
 
 
+def _judged(stats: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """``statistics`` -> the same with ``kept``."""
+    stats = cut(stats, "statistics")
+    limit = chi2_quantile(1 - alpha, len(FEATURES))
+    passed = robust_distances(stats).select(*stats.columns, (F.col("d2") <= limit).alias("kept"))
+    return passed.unionByName(stats.where("base_failed").withColumn("kept", F.lit(False)))
+
+
 def judge(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``documents`` -> statistics, ``base_failed`` and ``kept`` of every row.
 
     A null doc_id, language or source is a value of its own; repeated rows keep their
     repeats; an empty table gives an empty result; other columns are ignored."""
-    stats = cut(statistics(docs), "statistics")
-    limit = chi2_quantile(1 - alpha, len(FEATURES))
-    passed = robust_distances(stats).select(*stats.columns, (F.col("d2") <= limit).alias("kept"))
-    both = passed.unionByName(stats.where("base_failed").withColumn("kept", F.lit(False)))
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return _judged(statistics(docs), alpha).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def reject(docs: DataFrame) -> DataFrame:
-    """``documents`` without those that fail. Columns are unchanged."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """``documents`` without the rows that fail, each judged by itself where a doc_id is
+    null or repeated. Columns are unchanged."""
+    kept = _judged(statistics(docs.select("*", *row_key(docs)), KEY)).where("kept").select("doc_id", *KEY).distinct()
+    return keep_rows(docs, kept).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

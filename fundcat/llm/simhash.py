@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundcat.llm.common import cut, small_batches, table
+from fundcat.llm.common import KEY, cut, keep_rows, row_key, small_batches, table
 from fundcat.llm.graph import components
 
 SHINGLE = 4
@@ -60,16 +60,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``(doc_id, fp)`` for every row, fp being the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp)`` for every row, fp being the 64 bits as a signed long, and the
+    columns ``carried``, which are longs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64), **{c: b[c] for c in carried}})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long, fp long", *[f"{c} long" for c in carried]])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInPandas(run, schema)
 
 
 def _signed(x: int) -> int:
@@ -158,14 +160,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``documents`` without all but one document of each component: the one with the
-    smallest doc_id stays. Columns are unchanged. Of rows that repeat a doc_id one
-    stays, too."""
-    found = cut(near_duplicates(docs), "components")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    rows, ids = found.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce("doc_id", F.lit(-1)))).first()
-    return out if rows == ids else out.dropDuplicates(["doc_id"])
+    """``documents`` without all but one row of each component: the one with the
+    smallest doc_id stays, null ones last, then that with the smallest row key. Columns
+    are unchanged. Rows of different components all stay, whatever their doc_id; of rows
+    that are equal throughout one stays."""
+    prints = cut(fingerprints(docs.select("*", *row_key(docs)), carried=KEY), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)).alias("first")
+    texts = cut(prints.groupBy("fp").agg(first), "prints")
+    roots = components(links(texts)).withColumnRenamed("node", "fp")
+    kept = texts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = cut(kept.select("first.doc_id", *[f"first.{k}" for k in KEY]), "survivors")
+    out = keep_rows(docs, kept)
+    repeats = prints.groupBy("doc_id", *KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeats.isEmpty():
+        out = out.dropDuplicates(["doc_id", *KEY])
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
