@@ -1,11 +1,12 @@
-"""Licence scans: passages compared with licence templates by the Dice coefficient
-over word bigrams. With coefficient t a passage of a bigrams can match a template of b
+"""Licence scans: lines, paragraphs and word windows compared with licence templates
+by the Dice coefficient over word bigrams. With coefficient t a passage of a bigrams can match a template of b
 only if t * (a + b) <= 2 * min(a, b), which rules most templates out by size alone.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,6 +55,8 @@ class Scanner:
         self.threshold = threshold
         self.templates = [(name, b) for name, t in templates if (b := bigrams(t))]
         self.all = frozenset().union(*(b for _, b in self.templates))
+        #: Common bigrams that a passage needs at least, and its bigrams at most, by template.
+        self.bounds = [(name, b, len(b) * threshold / (2 - threshold) - 1e-9, len(b) * (2 - threshold) / threshold + 1e-9) for name, b in self.templates]
         sizes = [len(b) for _, b in self.templates] or [0]
         self.least, self.most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
 
@@ -72,10 +75,16 @@ class Scanner:
         return (min(found)[1], -min(found)[0]) if found else None
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """Matches ``(license, dice, start, end)`` of a text's lines, then of its
-        paragraphs of more than one line, by character offsets."""
+        """Matches ``(license, dice, start, end)`` by character offsets: of a text's
+        lines, of its paragraphs of more than one line, and of word windows anywhere in
+        it where no line or paragraph that overlaps them matches as well."""
         out: list[tuple[str, float, int, int]] = []
-        if not text:
+        lower = (text or "").lower()
+        words = _WORD.findall(lower)
+        pairs = list(zip(words, words[1:], strict=False))
+        common = self.all.intersection(pairs)
+        near = [x for x in self.bounds if len(common & x[1]) >= x[2]] if common else []
+        if not near:  # no passage has bigrams that the text has not
             return out
         at = block = 0
         lines = 0
@@ -89,8 +98,49 @@ class Scanner:
                     out.append((*m, block, at - 1))
                 block, lines = at + len(line) + 1, 0
             at += len(line) + 1
+        whole = list(out)
+        for name, dice, start, end in self.windows(pairs, near, [m.span() for m in _WORD.finditer(lower)]):
+            if len(lower) != len(text):
+                at_lower = [i for i, c in enumerate(text) for _ in c.lower()]
+                start, end = at_lower[start], at_lower[end - 1] + 1
+            if not any(d >= dice and a < end and start < z for _, d, a, z in whole):
+                out.append((name, dice, start, end))
         return sorted(out, key=lambda m: (m[2], m[3]))
 
+    def windows(self, pairs: list, near: list, spans: list) -> list[tuple[str, float, int, int]]:
+        """The windows of whole words at or over the threshold, best first, without those
+        that overlap a better one. Only windows whose first and last bigram are the
+        template's and occur once in them are tried: any other gains or is as good
+        without its edge. At most a template's number of starts is open at a word."""
+        found = []
+        for name, b, _, most in near:
+            for i in (i for i, p in enumerate(pairs) if p in b):
+                seen: set = set()
+                k = 0
+                for j in range(i, len(pairs)):
+                    p = pairs[j]
+                    if p in seen:
+                        if p == pairs[i]:
+                            break
+                        continue
+                    seen.add(p)
+                    if len(seen) > most:
+                        break
+                    if p in b:
+                        k += 1
+                        if (dice := 2 * k / (len(seen) + len(b))) >= self.threshold:
+                            found.append((-dice, i, j + 1, name))
+        taken: list[tuple[int, int]] = []
+        out = []
+        for d, i, j, name in sorted(found):
+            at = bisect_left(taken, (i, i))
+            if (at == 0 or taken[at - 1][1] < i) and (at == len(taken) or taken[at][0] > j):
+                insort(taken, (i, j))
+                out.append((name, -d, spans[i][0], spans[j][1]))
+        return out
+
+
+
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` -> ``(doc_id, n_matches, license, dice, licenses)``, one row per
