@@ -65,16 +65,16 @@ VIEWS: dict[str, str] = {
         case c_nationkey % 4 when 0 then 'New York City' end as city from customer""",
     "profile_categories": "select 'w' || cast(c_custkey as string) as workspace_id, c.name as category from customer join (values (0), (5)) as x(o) on true join category_names c on c.n = (c_custkey + x.o) % 14",
     "workspace_members": f"select 'u' || cast(o_custkey % 500 as string) as user_id, 'w' || cast(o_custkey as string) as workspace_id, min(cast(o_orderdate as timestamp)) as created_at from orders group by o_custkey",
-    "saved_opportunities": "select 'w' || cast(o_custkey as string) as workspace_id, 'o' || cast(o_orderkey % 2000 as string) as opportunity_id, min(cast(o_orderdate as timestamp)) as saved_at from orders where o_orderstatus = 'F' group by o_custkey, o_orderkey % 2000",
-    "applications": """select 'a' || cast(o_orderkey as string) as id, 'w' || cast(o_custkey as string) as workspace_id, case when o_orderkey % 3 <> 0 then 'o' || cast(o_orderkey % 2000 as string) end as opportunity_id,
-        'https://src' || cast(o_orderkey % 20 as string) || '.example.org/programs/' || cast(o_orderkey % 2000 as string) as source_url,
+    "saved_opportunities": "select 'w' || cast(o_custkey as string) as workspace_id, 'o' || cast(o_orderkey % n as string) as opportunity_id, min(cast(o_orderdate as timestamp)) as saved_at from orders cross join (select count(*) as n from part) as parts where o_orderstatus = 'F' group by o_custkey, o_orderkey % n",
+    "applications": """select 'a' || cast(o_orderkey as string) as id, 'w' || cast(o_custkey as string) as workspace_id, case when o_orderkey % 3 <> 0 then 'o' || cast(o_orderkey % n as string) end as opportunity_id,
+        'https://src' || cast(o_orderkey % 20 as string) || '.example.org/programs/' || cast(o_orderkey % n as string) as source_url,
         case when o_orderstatus = 'F' then 'awarded' when o_orderstatus = 'P' then 'submitted' when o_orderkey % 2 = 0 then 'preparing' else 'saved' end as stage,
-        o_totalprice as requested, cast(o_orderdate as date) + 30 as target_date, o_orderkey % 19 = 0 as archived, cast(o_orderdate as timestamp) as created_at from orders""",
+        o_totalprice as requested, cast(o_orderdate as date) + 30 as target_date, o_orderkey % 19 = 0 as archived, cast(o_orderdate as timestamp) as created_at from orders cross join (select count(*) as n from part) as parts""",
     "grant_tasks": "select 't' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as id, 'a' || cast(l_orderkey as string) as application_id, cast(l_shipdate as date) as due, l_returnflag = 'R' as completed, l_linenumber = 7 as deleted from lineitem",
     "application_preparation": "select 'a' || cast(l_orderkey as string) as application_id, case l_linenumber % 3 when 0 then 'budget' when 1 then 'answer' else 'other' end as kind, l_extendedprice as cost, l_extendedprice * (1 - l_discount) as requested, l_linestatus = 'F' as archived from lineitem",
-    "facts": """select 'o' || cast(l_partkey as string) as opportunity_id, case (l_linenumber + l_suppkey) % 5 when 0 then 'status' when 1 then 'deadline' when 2 then 'maximum' when 3 then 'rolling' else 'recurrence' end as field,
-        case (l_linenumber + l_suppkey) % 5 when 0 then case when l_quantity < 35 then 'open' else 'closed' end when 1 then case when l_quantity < 30 then '2024-01-10' else '2024-05-01' end when 2 then case when l_quantity < 40 then '10000' else '25000' end when 3 then 'true' else 'annual' end as value,
-        case when l_orderkey % 5 = 0 then null when l_orderkey % 11 = 0 then 'unresolved' else cast(2022 + l_orderkey % 4 as string) end as cycle, l_tax = 0.08 as conflict from lineitem where l_orderkey % 4 = 0""",
+    "facts": """select 'o' || cast(l_partkey as string) as opportunity_id, case (l_linenumber + l_suppkey) % 11 when 0 then 'status' when 1 then 'deadline' when 2 then 'maximum' when 3 then 'rolling' when 4 then 'recurrence' when 5 then 'opens' when 6 then 'minimum' when 7 then 'categories' when 8 then 'eligibility' when 9 then 'applicants' else 'geography' end as field,
+        case (l_linenumber + l_suppkey) % 11 when 0 then case when l_quantity < 35 then 'open' else 'closed' end when 1 then case when l_quantity < 30 then '2024-01-10' else '2024-05-01' end when 2 then case when l_quantity < 40 then '10000' else '25000' end when 3 then 'true' when 4 then 'annual' when 5 then case when l_quantity < 25 then '2024-01-05' else '2024-03-01' end when 6 then case when l_quantity < 40 then '500' else '1000' end when 7 then 'Music' when 8 then case when l_quantity < 45 then 'Residents may apply.' else 'Members may apply.' end when 9 then 'nonprofit' else case when l_quantity < 20 then 'Canada' else 'United States' end end as value,
+        case when l_orderkey % 5 = 0 then null when l_orderkey % 11 = 0 then 'unresolved' else cast(2022 + l_orderkey % 4 as string) end as cycle, l_tax = 0.08 as conflict from lineitem""",
     "crawl_snapshots": f"""select doc_id as id, 'https://src' || cast((doc_id % 300) % 20 as string) || '.example.org/programs/' || cast(doc_id % 300 as string) as url,
         {_NOW} - (doc_id % 100) * interval '1' day as fetched_at, 'h' || cast(n_chars % 50 as string) as content_hash, 'v' || cast(doc_id % 3 as string) as extractor,
         'Program ' || cast(doc_id % 300 as string) as title, case doc_id % 4 when 0 then 'The program is now accepting applications.' when 1 then 'Grants of $' || cast(500 * (1 + doc_id % 40) as string) || ' are made each year.' else 'Apply by May 1, 2024.' end as body from documents""",
@@ -97,7 +97,7 @@ VIEWS: dict[str, str] = {
     "reconcile_events": "select date_trunc('day', cast(ts as timestamp)) as run_id, case event_type when 'purchase' then 'merged' when 'error' then 'hidden' else 'facts-resolved' end as action, case when event_id % 4 = 0 then 'none' else cast(event_id % 6 as string) end as detail from events",
     "contributions": f"""select o_orderkey as id, case o_orderkey % 4 when 0 then 'program' when 1 then 'deadline' when 2 then 'maximum' else 'secret' end as field, case when o_orderkey % 4 = 0 and o_orderkey % 8 <> 0 then '' else case when o_orderkey % 5 = 0 then '' else 'o' || cast(o_custkey as string) end end as opportunity_id,
         case when o_orderkey % 7 = 0 then '  ' else 'Change ' || o_orderpriority end as proposed, case when o_orderkey % 6 = 0 then 'decision' else 'new' end as state, cast(o_orderdate as timestamp) as created_at from orders""",
-    "contribution_submissions": "select l_orderkey as contribution_id, l_linenumber as n, 'value ' || cast(l_suppkey as string) as proposed, l_linestatus as note from lineitem where l_linenumber <= 4",
+    "contribution_submissions": "select l_orderkey as contribution_id, l_linenumber as n, 'value ' || cast(l_suppkey as string) as proposed, l_linestatus as note from lineitem",
     "reviews": """select 'r' || cast(p_partkey as string) as id, case when p_partkey % 9 = 0 then 'ab' else p_name || ' ' || p_type || ' Grant' || case when p_partkey % 3 = 0 then '' else ' ' || cast(p_partkey as string) end end as name,
         'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(p_partkey * 2 as string) as url, case when p_partkey % 8 = 0 then 'short' else 'Funding for ' || p_name || ' projects' end as summary,
         case p_size % 3 when 0 then 'open' when 1 then 'upcoming' else 'closed' end as status, p_retailprice as minimum, case when p_partkey % 10 = 0 then p_retailprice - 1 else p_retailprice + 5 end as maximum,
@@ -115,7 +115,7 @@ VIEWS: dict[str, str] = {
     "feed_state_raw": """select p_partkey as n, '{"PortalID":' || cast(p_partkey as string) || ',"Title":"' || case when p_partkey % 11 = 0 then 'Short' else p_name || ' ' || p_type || ' Program' end || '","Type":"' || case when p_partkey % 5 = 0 then 'Loan' else ' Grant' end || '","Status":"' || case p_partkey % 3 when 0 then 'closed' when 1 then 'active' else 'forecasted' end || '","AgencyDept":"' || p_brand
         || '","ApplicantType":"Nonprofit; ' || case when p_partkey % 2 = 0 then 'Business' else 'Tribe' end || '","Geography":"' || case when p_partkey % 4 = 0 then 'Statewide.' else 'Coast only' end || '","EstAmounts":"' || case p_partkey % 3 when 0 then 'Between $500 and $1,000' when 1 then '$2,500' else 'Between $900 and $100' end || '","ApplicationDeadline":"' || case p_partkey % 4 when 0 then 'Ongoing' when 1 then '01/10/2024' else '2024-06-01' end || '"}' as raw from part""",
     "award_raw": """select p_partkey as n, '{"results":[{"appl_id":' || cast(p_partkey as string) || ',"opportunity_number":"PAR-' || cast(p_partkey % 40 as string) || '","project_title":"' || p_name || '","fiscal_year":2023},{"appl_id":' || cast(p_partkey + 1000000 as string) || ',"opportunity_number":"PAR-' || cast(p_partkey % 7 as string) || '","project_title":"' || p_type || '","fiscal_year":2022}]}' as raw from part""",
-    "search_requests": "select conv_id, turn, substr(text, 1, 60) as q from conversations where role = 'user'",
+    "search_requests": "select conv_id, turn, text as q from conversations where role = 'user'",
     "raw_filters": """select o_orderkey as id, '  ' || o_orderpriority || ' ' || repeat('x', cast(o_orderkey % 3 * 110 as int)) as q, split(c.name || case when o_orderkey % 3 = 0 then ';Other;' else ';Music;' end || c.name, ';') as category, split(case when o_orderkey % 4 = 0 then 'rural' else 'moon' end || ';youth;youth', ';') as focus,
         case o_orderkey % 5 when 0 then 'nonprofit' when 1 then 'robot' when 2 then 'student' end as applicant, case when o_orderkey % 3 = 0 then 'nyc' else 'mars' end as location, case o_orderkey % 4 when 0 then 'open' when 1 then 'between_rounds' when 2 then '' else 'never' end as status, case when o_orderkey % 6 = 0 then 'new' else 'old' end as freshness,
         case o_orderkey % 3 when 0 then 'amount' when 1 then 'name' end as sort, case o_orderkey % 5 when 0 then 'leads' when 1 then 'all' when 2 then 'none' end as result_type, case o_orderkey % 7 when 0 then '-5' when 1 then ' 2500 ' when 2 then '1e12' when 3 then 'NaN' when 4 then '' when 5 then '12.5' end as min_award,
