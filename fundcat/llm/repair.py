@@ -17,9 +17,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,62 +32,79 @@ END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Ids gathered before a shard is closed; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-ROUNDS = 5
-#: Rules that one round may add, and the least occurrences that pay for a rule.
-ROUND_RULES, LEAST = 2048, 32
+#: The least occurrences of a pair that gets a rule, the least that are replaced in the
+#: end (a rule takes 12 bytes, an occurrence saves 2), and the rules that one round adds,
+#: the most frequent pairs first. Rounds go on until no pair is left.
+LEAST, PAYS, ROUND_RULES = 32, 7, 4096
 #: Shards whose starts are sent to all tasks; those of more shards are joined.
 SENT = 200_000
 #: Distinct words whose ids a worker keeps.
-CACHE = 800_000
-_BUCKETS = 1 << 20
+CACHE = 1_200_000
+_SLOT_BITS = 18
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: ASCII marks without the apostrophe, which may start a token with the letters behind it.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---- grammar -----------------------------------------------------------------
 
 
-def compress(symbols: np.ndarray, last: np.ndarray, first_new: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Replace frequent pairs. ``last`` marks the end of each document. Returns the
-    symbols, their end marks and the rules (n, 2), rule k being ``first_new + k``."""
-    seq, rules = symbols.astype(np.int64), []
-    for _ in range(rounds):
-        if len(seq) < 2:
+def _frequent(key: np.ndarray, least: int) -> np.ndarray:
+    """Keys that occur ``least`` times or more, from the rarest to the most frequent, and
+    no more than one round takes."""
+    if not len(key):
+        return key
+    ordered = np.sort(key)
+    ends = np.flatnonzero(ordered[1:] != ordered[:-1])
+    ends = np.append(ends, len(ordered) - 1)
+    n = np.diff(ends, prepend=-1)
+    heavy = np.flatnonzero(n >= least)
+    return ordered[ends[heavy[np.argsort(n[heavy], kind="stable")]]][-ROUND_RULES:]
+
+
+def compress(symbols: np.ndarray, last: np.ndarray, first_new: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replace frequent pairs until none is left. ``last`` marks the end of each
+    document. Returns the symbols, their end marks and the rules (n, 2), rule k being
+    ``first_new + k``."""
+    seq, rules, top = symbols.astype(np.uint32), [], first_new
+    while len(seq) > 1:
+        # Two 16-bit symbols fit a 32-bit key, which sorts twice as fast.
+        wide = np.uint64 if max(top, int(seq.max()) + 1) > 1 << 16 else np.uint32
+        half, high = wide(wide(0).nbytes * 4), wide(wide(0).nbytes * 8 - _SLOT_BITS)
+        mixer = wide(0x9E3779B97F4A7C15 >> (64 - wide(0).nbytes * 8))
+        key = (seq[:-1].astype(wide) << half) | seq[1:]
+        inside = ~last[:-1]
+        chosen = _frequent(key[inside], least)
+        if not len(chosen):
             break
-        key = (seq[:-1] << 32) | seq[1:]
-        slot = ((key * 0x9E3779B1) ^ (key >> 29)) & (_BUCKETS - 1)
-        open_ = ~last[:-1]
-        counts = np.bincount(slot[open_], minlength=_BUCKETS)
-        heavy = np.flatnonzero(counts >= least)
-        if not len(heavy):
-            break
-        if len(heavy) > ROUND_RULES:
-            heavy = heavy[np.argpartition(-counts[heavy], ROUND_RULES)[:ROUND_RULES]]
-        rule = np.full(_BUCKETS, -1, dtype=np.int32)
-        rule[heavy] = np.arange(len(heavy))
-        at = np.flatnonzero((rule[slot] >= 0) & open_)
-        # Of the pairs that meet in a bucket the one seen last speaks for it.
-        chosen = np.zeros(len(heavy), dtype=np.int64)
-        of = rule[slot[at]]
-        chosen[of] = key[at]
-        at = at[chosen[of] == key[at]]
+        # Of chosen pairs that share a slot the most frequent is written last and stays;
+        # the others have their turn in a later round.
+        rule = np.full(1 << _SLOT_BITS, -1, dtype=np.int16)
+        rule[(chosen * mixer) >> high] = np.arange(len(chosen))
+        found = rule[(key * mixer) >> high]
+        at = np.flatnonzero((found >= 0) & inside)
+        of = found[at]
+        same = chosen[of] == key[at]
+        at, of = at[same], of[same]
         # Runs of overlapping matches: every other one, from the left.
         fresh = np.ones(len(at), dtype=bool)
         fresh[1:] = at[1:] != at[:-1] + 1
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - start) % 2 == 0]
-        of = rule[slot[at]]
-        used = np.bincount(of, minlength=len(heavy)) >= 4
+        odd = (np.arange(len(at)) - start) % 2 == 0
+        at, of = at[odd], of[odd]
+        used = np.bincount(of, minlength=len(chosen)) >= PAYS
         at, of = at[used[of]], of[used[of]]
         if not len(at):
             break
-        renumber = np.cumsum(used) - 1
-        seq[at] = first_new + sum(map(len, rules)) + renumber[of]
+        seq[at] = top + (np.cumsum(used) - 1)[of]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         last = last.copy()
         last[at] = last[at + 1]
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], axis=1))
+        taken = chosen[used]
+        rules.append(np.stack([taken >> half, taken & ((wide(1) << half) - wide(1))], axis=1).astype(np.int64))
+        top += int(used.sum())
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
 
 
@@ -184,50 +201,50 @@ class Shard:
 # ---- encoding ----------------------------------------------------------------
 
 
+def _latin(word: bytes) -> bool:
+    """Letters of Latin-1 alone."""
+    text = word.decode()
+    return text.isalpha() and max(text) < "Ā"
+
+
 class WordIds(dict):
     """Ids of white-space separated words as bytes. The tokenizer drops white space
     and never joins across it, so a text's ids are its words' ids in a row; words come
-    again and again, and each goes through the library once while it is kept. New
-    words of a batch go together, with a mark between them that none of them holds."""
-
-    MARK = "|"
+    again and again, and each goes through the library once while it is kept. It splits
+    letters from the marks behind them, so a plain word goes to its merges directly, in
+    the characters that stand for bytes, and the marks are a word of their own."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.mark = self._encode([self.MARK])[0]
-        if len(self.mark) != 1:
-            raise ValueError("the mark is not one token in this vocabulary")
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        mark = self.MARK.encode()
-        alone = [w for w in words if mark in w]
-        for w, ids in zip(alone, self._encode([w.decode("utf-8") for w in alone]), strict=True):
-            self[w] = ids.tobytes()
-        plain = [w for w in words if mark not in w]
-        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for group, ids in zip(groups, self._encode([(b" " + mark + b" ").join(g).decode("utf-8") for g in groups]), strict=True):
-            cuts = np.flatnonzero(ids == self.mark[0])
-            raw, starts, stops = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.update(zip(group, (raw[i:j] for i, j in zip(starts, stops, strict=True)), strict=True))
+        self.merges = self.tokenizer.model.tokenize
+        # Bytes without a printable Latin-1 character stand 256 further on, in order.
+        hidden = [*range(33), *range(127, 161), 173]
+        self.byte_chars = {b: 256 + i for i, b in enumerate(hidden)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if len(stem) < len(word) and (stem.isalpha() or _latin(stem)):
+            out = self[stem] + self[word[len(stem) :]]
+        elif stem.isalpha():
+            out = array("I", [t.id for t in self.merges(stem.decode().lower())]).tobytes()
+        elif _latin(stem):
+            text = stem.decode().lower().encode().decode("latin-1").translate(self.byte_chars)
+            out = array("I", [t.id for t in self.merges(text)]).tobytes()
+        else:
+            out = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = out
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         # The tokenizer lower-cases; doing it to A-Z here makes words meet more often,
         # but special strings are matched in their own case.
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        split = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in raw]
-        used = set(chain.from_iterable(split))
-        if new := [w for w in used if w not in self]:
-            if len(self) + len(new) > CACHE:
-                self.clear()
-                new = list(used)
-            self._learn(new)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [b"".join(map(self.__getitem__, (t if b"<|" in t else t.translate(_LOWER)).split())) for t in raw]
 
 
 @cache
