@@ -10,16 +10,19 @@ model, whose pieces are merge ranks and whose right segmentation is not the best
 whose two halves stand, which is the library's result for a BPE vocabulary.
 
 Units that are frequent in a bounded sample are encoded first and travel to the texts.
-All other units of all texts are then encoded, each once, and joined to the texts that
-hold them: the sample decides which way a unit goes, never what it becomes.
+All other units of all texts are then encoded, each once, and join their texts, which
+cross one shuffle compressed: the sample decides which way a unit goes, never what it
+becomes.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,13 +36,17 @@ from fundcat.llm.common import cut, partitions, small_batches, table
 MODEL = "piece_bpe_32k.model"
 #: Distinct frequent units that are sent to every worker, and the documents (about so
 #: many) that they are counted in.
-FREQUENT, SAMPLE = 400_000, 50_000
-#: Longer units don't go through the lattice; see ``_long_units``.
+FREQUENT, SAMPLE = 400_000, 25_000
+#: The lattice of a unit grows with its length and the fold with the square of it, so
+#: longer units are merged by a heap where their texts are, with the same result.
 LONGEST = 48
+#: Chunks of text whose units a worker keeps.
+CHUNKS = 400_000
 #: Letters that end a unit before anything else: Latin, Greek and Cyrillic.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯͰ-ͳͶͷͻ-ͽΆΈ-ϿЀ-ҁҊ-ԯḀ-ỿ"
 SPACE = "▁"
-_UNIT = rf"{SPACE}*[^{SPACE}\n{LETTERS}]*[{LETTERS}]+|{SPACE}*[^{SPACE}\n{LETTERS}]+|{SPACE}+|\n"
+_UNIT = re.compile(rf"{SPACE}*[^{SPACE}\n{LETTERS}]*[{LETTERS}]+|{SPACE}*[^{SPACE}\n{LETTERS}]+|{SPACE}+|\n")
+_CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 @dataclass(frozen=True)
@@ -71,15 +78,71 @@ class Model:
         return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def normal(text) -> F.Column:
-    """A text as units are cut from it: a leading space, and spaces as marks."""
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
+class Chunks(dict):
+    """Units of a text's chunks, a chunk being a space with what follows it up to the
+    next. No unit reaches across chunks, and chunks come again and again. A chunk whose
+    units are all known has its ids as bytes, another one its units."""
+
+    def __init__(self, known: dict[str, bytes], model: Model | None = None) -> None:
+        self.known, self.model = known, model
+        self.longest = max(map(len, model.pieces)) if model else 0
+
+    @staticmethod
+    def of(text: str | None) -> list[str]:
+        """Chunks without their first mark."""
+        if not text:
+            return []
+        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return [c[1:] for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
+
+    def unit(self, u: str) -> bytes | None:
+        """Ids of a unit that is known or too long for the lattice."""
+        if len(u) <= LONGEST:
+            return self.known.get(u)
+        return np.array(merge_text(u, self.model.pieces, self.model.byte0, self.longest), dtype="<u4").tobytes() if self.model else b""
+
+    def __missing__(self, chunk: str) -> bytes | tuple[str, ...]:
+        found = tuple(_UNIT.findall(SPACE + chunk))
+        ids = [self.unit(u) for u in found]
+        out = found if None in ids else b"".join(ids)
+        if len(self) >= CHUNKS:
+            self.clear()
+        self[chunk] = out
+        return out
+
+    def missing(self, text: str | None) -> list[str]:
+        """Units of a text that are not known, each once, in the order of the text."""
+        open_ = [c for c in map(self.__getitem__, self.of(text)) if type(c) is tuple]
+        return [u for u in dict.fromkeys(chain.from_iterable(open_)) if self.unit(u) is None]
+
+    def ids(self, text: str | None, found: dict[str, bytes]) -> bytes:
+        parts = map(self.__getitem__, self.of(text))
+        return b"".join([p if type(p) is bytes else b"".join([found[u] if u in found else self.unit(u) for u in p]) for p in parts])
 
 
 def units(docs: DataFrame) -> DataFrame:
     """Distinct units of all texts, with their counts: ``(unit, n)``."""
-    found = F.explode(F.regexp_extract_all(normal(F.col("text")), F.lit(_UNIT), F.lit(0)))
-    return docs.select(found.alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            n: Counter[str] = Counter()
+            for chunk, k in chunks.items():
+                for u in _UNIT.findall(SPACE + chunk):
+                    n[u] += k
+            chunks.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["unit", "n"])
+
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                chunks.update(Chunks.of(text))
+            if len(chunks) > CHUNKS:
+                yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
@@ -128,25 +191,27 @@ def viterbi_fold(edges, size, unknown: float) -> F.Column:
 def path_ids(edges, ends, unit, byte0: int) -> F.Column:
     """Ids along a path; a character that is no piece gives its bytes' ids."""
 
-    def one(k):
-        i, j = F.get(ends, k), F.get(ends, k + 1)
-        known = F.filter(edges, lambda e: (e["i"] == i) & (e["j"] == j) & e["id"].isNotNull())
+    def raw(i):
         text = F.hex(F.encode(F.substring(unit, i + 1, F.lit(1)), "UTF-8"))
-        raw = F.transform(F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1), lambda b: F.conv(F.substring(text, 2 * b + 1, F.lit(2)), 16, 10).cast("int") + byte0)
-        return F.when(F.size(known) > 0, F.array(F.get(known, 0)["id"])).otherwise(raw)
+        return F.transform(F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1), lambda b: F.conv(F.substring(text, 2 * b + 1, F.lit(2)), 16, 10).cast("int") + byte0)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends) - 2), one))
+    # An edge is on the path if the end after its start is its own; a start is found by
+    # its place among the ends, 0 for none, and no edge ends at 0.
+    on = F.filter(edges, lambda e: F.get(ends, F.array_position(ends, e["i"]).cast("int")) == e["j"])
+    steps = F.array_sort(F.transform(on, lambda e: F.struct(e["i"].alias("i"), e["id"].alias("id"))))
+    return F.flatten(F.transform(steps, lambda s: F.when(s["id"].isNotNull(), F.array(s["id"])).otherwise(raw(s["i"]))))
 
 
-def merge_text(text: str, pieces: dict[str, tuple[int, float]], byte0: int) -> list[int]:
-    """BPE of one long unit by a heap of merges over a linked list."""
+def merge_text(text: str, pieces: dict[str, tuple[int, float]], byte0: int, longest: int) -> list[int]:
+    """BPE of one long unit by a heap of merges over a linked list. ``longest`` is the
+    length of the longest piece."""
     n = len(text)
     stop, left = [*range(1, n + 1)], list(range(-1, n - 1))
     alive = [True] * n
 
     def pair(i: int) -> tuple[float, int, int, int] | None:
         j = stop[i]
-        return (-pieces[p][1], i, j, stop[j]) if j < n and stop[j] - i <= 64 and (p := text[i : stop[j]]) in pieces else None
+        return (-pieces[p][1], i, j, stop[j]) if j < n and stop[j] - i <= longest and (p := text[i : stop[j]]) in pieces else None
 
     heap = [x for i in range(n) if (x := pair(i))]
     heapify(heap)
@@ -169,24 +234,13 @@ def merge_text(text: str, pieces: dict[str, tuple[int, float]], byte0: int) -> l
     return ids
 
 
-def _long_units(words: DataFrame, model: Model) -> DataFrame:
-    """Units beyond ``LONGEST`` characters: their substrings would repeat them too
-    often, so they are merged where they are."""
-    pieces, byte0 = model.pieces, model.byte0
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"unit": b["unit"], "n": b["n"], "ids": [merge_text(u, pieces, byte0) for u in b["unit"]]})
-
-    return words.mapInPandas(run, "unit string, n long, ids array<int>")
-
-
 def encode_units(words: DataFrame, model: Model) -> DataFrame:
-    """``(unit, n)``, partitioned by unit -> ``(unit, n, ids)``."""
-    graph = lattice(words.where(F.length("unit") <= LONGEST), model)
-    graph = graph.withColumn("ends", merge_fold(F.col("edges"), F.length("unit")))
-    short = graph.select("unit", "n", path_ids(F.col("edges"), F.col("ends"), F.col("unit"), model.byte0).alias("ids"))
-    return short.unionByName(_long_units(words.where(F.length("unit") > LONGEST), model))
+    """``(unit, n)``, partitioned by unit, of at most ``LONGEST`` characters ->
+    ``(unit, n, ids)``, partitioned alike."""
+    # Edges of so many units are gathered in memory before Spark goes over to sorting.
+    words.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
+    graph = lattice(words, model).withColumn("ends", merge_fold(F.col("edges"), F.length("unit")))
+    return graph.select("unit", "n", path_ids(F.col("edges"), F.col("ends"), F.col("unit"), model.byte0).alias("ids"))
 
 
 def _dealt(words: DataFrame) -> DataFrame:
@@ -207,15 +261,23 @@ def _frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(step >= least)
 
 
+def _packed(ids, model: Model) -> F.Column:
+    """Ids as bytes, big-endian, of two bytes each if that is enough."""
+    digits = 4 if len(model.texts) <= 1 << 16 else 8
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), ""))
+
+
+def _unpacked(data: bytes, model: Model) -> bytes:
+    return np.frombuffer(data, dtype=">u2" if len(model.texts) <= 1 << 16 else ">u4").astype("<u4").tobytes()
+
+
 def _known(rows: DataFrame, model: Model, frequent: int, sample: int) -> dict[str, bytes]:
     """Ids of units that are frequent in a sample of rows."""
     total = rows.count()
     some = rows if total <= sample else rows.sample(sample / total, seed=1)
-    chosen = _frequent(cut(units(some), "units"), frequent)
-    # Ids travel as text, which is far smaller on the driver than arrays.
-    found = encode_units(_dealt(chosen), model).select("unit", F.array_join(F.col("ids").cast("array<string>"), " "))
-    found = cut(found.toDF("unit", "ids"), "frequent").toLocalIterator(prefetchPartitions=False)
-    return {u: np.array(i.split(), dtype="<u4").tobytes() for u, i in found}
+    chosen = _frequent(cut(units(some), "units").where(F.length("unit") <= LONGEST), frequent)
+    found = encode_units(_dealt(chosen), model).select("unit", _packed(F.col("ids"), model).alias("ids"))
+    return {u: _unpacked(bytes(i), model) for u, i in cut(found, "frequent").toLocalIterator(prefetchPartitions=False)}
 
 
 def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
@@ -228,53 +290,58 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, s
     small_batches(spark)
     model = Model.load(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = spark.sparkContext.broadcast(_known(rows, model, frequent, sample))
-    # Rows that share a key share the units sent to them, which does no harm.
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    byte_text = list(model.texts)
-
-    def split(text: str | None) -> list[str]:
-        return find((SPACE + text.replace(" ", SPACE))) if text else []
-
-    find = re.compile(_UNIT).findall
+    sent = spark.sparkContext.broadcast((_known(rows, model, frequent, sample), model))
+    # Rows that share a key share the units sent to them, which does no harm; rows
+    # without text have no units, so any key will do.
+    rows = rows.withColumn("key", F.when(F.length("text") > 0, F.xxhash64("doc_id", "text")).otherwise(F.monotonically_increasing_id()))
+    after = (1 << 31) - 1
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = sent.value
+        chunks = Chunks(sent.value[0])
         for b in batches:
-            missing = [[u for u in set(split(t)) if u not in have] for t in b.column("text").to_pylist()]
+            missing = [chunks.missing(t) for t in b.column("text").to_pylist()]
             n = np.array([len(m) for m in missing], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array([u for m in missing for u in m], pa.string())], ["key", "unit"])
+            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(pos, pa.int32()), pa.array([u for m in missing for u in m], pa.string())], ["key", "pos", "unit"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor().compress
         for b in batches:
             packed = pa.array([squeeze(t.encode()) if t else None for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), packed], ["doc_id", "key", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.full(len(packed), after), pa.int32()), packed, b.column("doc_id")], ["key", "pos", "data", "doc_id"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, open_up = sent.value, zstandard.ZstdDecompressor().decompress
+        # A key's units come before its texts.
+        chunks, open_up = Chunks(*sent.value), zstandard.ZstdDecompressor().decompress
+        texts = model.texts
+        now, own = None, {}
         for b in batches:
-            ids, good = [], []
-            for packed, extra in zip(b.column("packed").to_pylist(), b.column("extra").to_pylist(), strict=True):
-                text = open_up(packed).decode() if packed else ""
-                own = {u: np.array(i.split(), dtype="<u4").tobytes() for i, u in (e.split("\t", 1) for e in extra or ())}
-                raw = b"".join([have.get(u) or own[u] for u in split(text)])
-                ids.append(np.frombuffer(raw, dtype="<i4"))
-                good.append(decode_ids(ids[-1].tolist(), byte_text) == text)
+            docs, ids, good = [], [], []
+            for key, pos, data, doc in zip(*(b.column(c).to_pylist() for c in ("key", "pos", "data", "doc_id")), strict=True):
+                if key != now:
+                    now, own = key, {}
+                if pos < after:
+                    own[pos] = data
+                    continue
+                text = open_up(data).decode() if data else ""
+                found = {u: _unpacked(own[k], model) for k, u in enumerate(chunks.missing(text))} if own else {}
+                docs.append(doc)
+                ids.append(np.frombuffer(chunks.ids(text, found), dtype="<i4"))
+                good.append(decode_ids(ids[-1].tolist(), texts) == text)
             n = np.array([len(i) for i in ids], dtype=np.int64)
             at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(at, flat), pa.array(good)], ["doc_id", "n_pieces", "ids", "round_trip"])
-
-    # Written, as both the units themselves and the way back to the texts read it.
-    tail = cut(rows.mapInArrow(rare, "key long, unit string"), "rare")
-    words = _dealt(tail).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    # Ids and unit in one string: far smaller in a shuffle than nested arrays.
-    found = encode_units(words, model).select("unit", F.concat_ws("\t", F.array_join(F.col("ids").cast("array<string>"), " "), "unit").alias("entry"))
-    extra = tail.join(found, "unit").groupBy(F.col("key").alias("k")).agg(F.collect_set("entry").alias("extra"))
-    # Texts cross the shuffle compressed.
-    full = rows.mapInArrow(pack, "doc_id long, key long, packed binary").join(extra, F.col("key") == F.col("k"), "left")
-    return full.select("doc_id", "packed", "extra").mapInArrow(whole, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n), pa.ListArray.from_arrays(at, flat), pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
+
+    # Units cross one shuffle, from which both their distinct ones and the way back to
+    # the texts are read: the filter only keeps the columns of the two reads alike.
+    dealt = _dealt(rows.mapInArrow(rare, "key long, pos int, unit string"))
+    words = dealt.groupBy("unit").agg(F.count("key").alias("n"), F.max("pos").alias("last")).where("n > 0 and last >= 0")
+    found = encode_units(words.select("unit", "n"), model).select("unit", _packed(F.col("ids"), model).alias("data"))
+    extra = dealt.join(found.hint("merge"), "unit").select("key", "pos", "data", F.lit(None).cast("long").alias("doc_id"))
+    packed = rows.mapInArrow(pack, "key long, pos int, data binary, doc_id long")
+    full = packed.unionByName(extra).repartition(partitions(spark), "key").sortWithinPartitions("key", "pos")
+    return full.mapInArrow(whole, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode_ids(ids: list[int], texts) -> str:
