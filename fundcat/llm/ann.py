@@ -1,9 +1,11 @@
 """Nearest neighbours by an inverted file of product-quantised residuals.
 
-Coarse centroids and codebooks are fitted on a bounded sample; every vector is
-assigned to a centroid's list and its residual is coded. A query probes the lists
-nearest to it, scores their vectors from its distance tables, and the best of a block
-are ranked again on the original vectors in double precision.
+Coarse centroids and codebooks are fitted on a bounded sample; every distinct vector is
+assigned to a centroid's list and its residual is coded. A query goes to the blocks that
+hold the lists nearest to it and scores the codes of those lists, and no others, from its
+distance tables; the best of all blocks are ranked again on the original vectors in
+double precision. Copies of a vector are searched once and brought back at the end: of
+equal vectors only the ``k + 1`` smallest ids can be among the ``k`` nearest of any query.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ SAMPLE, MAX_LISTS = 20_000, 4_096
 #: Components of a residual that share a code, and values of a code.
 PART, CODES = 4, 256
 #: Recall of the probed lists that the number of probes is set for, on the sample.
-PROBE_RECALL = 0.97
-#: Vectors and queries that meet in one task; candidates of a block that are ranked
-#: again, with all others that score as high as the last of them.
-VECTORS, QUERIES_AT_ONCE, AGAIN = 16_384, 512, 400
+PROBE_RECALL = 0.985
+#: Codes in a block, queries that meet a block in one task, queries scored at once in it,
+#: and candidates of a query that are ranked again.
+VECTORS, QUERIES_AT_ONCE, CHUNK, AGAIN = 16_384, 4_096, 128, 200
+#: 128 bits of hash: what tells one vector from another.
+PRINT = ("print1", "print2")
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 10) -> np.ndarray:
@@ -60,19 +64,20 @@ class Index:
         return np.stack([_nearest(rest[:, m * PART : (m + 1) * PART], b) for m, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
     def probed(self, q: np.ndarray) -> np.ndarray:
-        """Per query, whether each list is probed: those with the largest inner
-        product of query and centroid."""
-        s = q @ self.centroids.T
-        out = np.zeros(s.shape, dtype=bool)
-        np.put_along_axis(out, np.argsort(-s, axis=1, kind="stable")[:, : self.probes], True, axis=1)
-        return out
-
-    def scores(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries and coded vectors: of query and centroid, plus a
-        table entry for each part of the residual."""
-        out = (q @ self.centroids.T).astype(np.float32)[:, lists]
-        for m, b in enumerate(self.books):
-            out += (q[:, m * PART : (m + 1) * PART] @ b.T).astype(np.float32)[:, codes[:, m]]
+        """Lists that each query probes: those of the centroids with which it has the
+        largest inner products."""
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of each query's parts with the values of the codes."""
+        return np.stack([(q[:, m * PART : (m + 1) * PART] @ b.T).astype(np.float32) for m, b in enumerate(self.books)])
+
+    def scores(self, q: np.ndarray, tables: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
+        """Inner products of queries and the coded vectors of one list: of query and
+        centroid, plus a table entry for each part of the residual."""
+        out = np.repeat((q @ self.centroids[of]).astype(np.float32)[:, None], len(codes), axis=1)
+        for m, table in enumerate(tables):
+            out += table[:, codes[:, m]]
         return out
 
 
@@ -82,7 +87,7 @@ def fit(sample: np.ndarray, n: int, seed: int = 7) -> Index:
     centroids = _kmeans(sample, max(1, min(MAX_LISTS, int(n**0.5))), rng)
     at = _nearest(sample, centroids)
     rest = sample - centroids[at]
-    books = [_kmeans(rest[:, m : m + PART], CODES, rng) for m in range(0, sample.shape[1], PART)]
+    books = [_kmeans(rest[:, m : m + PART], CODES, rng, 6) for m in range(0, sample.shape[1], PART)]
     q = sample[rng.choice(len(sample), min(256, len(sample)), replace=False)]
     s = q @ sample.T
     top = np.argsort(-s, axis=1, kind="stable")[:, 1 : K + 1]
@@ -105,19 +110,38 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (size["d"] if size else 0))
 
 
+def _best(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each group; each task drops the others before the shuffle."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def _distinct(rows: DataFrame, k: int) -> DataFrame:
+    """``(vec_id, embedding, print1, print2)`` -> one row per vector: ``(vid, embedding,
+    copies, print1, print2)`` with the ids of its ``k + 1`` first copies, ``vid`` being the
+    first."""
+    few = _best(rows, [*PRINT], ["vec_id"], k + 1)
+    return few.groupBy(*PRINT).agg(F.min_by("embedding", "vec_id").alias("embedding"), F.sort_array(F.collect_list("vec_id")).alias("copies")).withColumn("vid", F.col("copies")[0])
+
+
 def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """``(vec_id, embedding)`` -> ``(query_id, rank, vec_id, score)``: for each row
     that ``is_query`` holds for, its ``k`` nearest others found (all, if fewer), by
-    inner product, ties to the smaller vec_id. An empty table gives an empty result."""
+    inner product, ties to the smaller vec_id. Vectors that are null, zero or hold null
+    or non-finite components take no part, nor do those of another dimension than most;
+    of rows that repeat a vec_id the smallest vector counts. Other columns are ignored.
+    An empty table gives an empty result."""
     spark = vectors.sparkSession
     small_batches(spark, 4096)
-    out = "query_id long, vec_id long, score double"
     rows = usable(vectors)
     n = rows.count()
     if n < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    few = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, 0.95 * SAMPLE / n)) if n > SAMPLE else F.lit(True))
-    sample = np.stack(few.select("embedding").toPandas()["embedding"].to_numpy()).astype(np.float64)
+    rows = rows.select("*", *[F.xxhash64(F.lit(i), "embedding").alias(p) for i, p in enumerate(PRINT)])
+    distinct = cut(_distinct(rows, k), "distinct")
+    few = distinct.where(F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < int(1e6 * min(1.0, 0.95 * SAMPLE / n)) if n > SAMPLE else F.lit(True))
+    sample = np.stack(few.select("embedding").toPandas()["embedding"].to_numpy()).astype(np.float64) if few.head(1) else None
+    if sample is None:  # a handful of vectors with a great many copies
+        sample = np.stack([np.array(r["embedding"]) for r in distinct.select("embedding").limit(SAMPLE).collect()]).astype(np.float64)
     index = fit(sample, n)
     sent = spark.sparkContext.broadcast(index)
 
@@ -127,52 +151,84 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         lists = sent.value.lists(own)
         return pd.DataFrame({"list": lists.astype(np.int32), "code": [c.tobytes() for c in sent.value.codes(own, lists)]})
 
-    coded = cut(rows.select("vec_id", "embedding", code("embedding").alias("c")).select("vec_id", "embedding", "c.list", "c.code"), "index")
+    coded = cut(distinct.select("vid", code("embedding").alias("c")).select("vid", "c.list", "c.code"), "index")
     # Neighbouring lists share a block up to its size, and a longer list has several.
     # There are at most MAX_LISTS counts.
-    sizes = coded.groupBy("list").count().orderBy("list").collect()
-    plan, block, room = [], 0, 0
-    for r in sizes:
-        parts = -(-r["count"] // VECTORS)
+    blocks_of: dict[int, tuple[int, int]] = {}
+    block, room = -1, 0
+    for r in coded.groupBy("list").count().orderBy("list").collect():
         if r["count"] > room:
             block, room = block + 1, VECTORS
-        plan.append((r["list"], block, parts))
+        parts = -(-r["count"] // VECTORS)
+        blocks_of[r["list"]] = (block, parts)
         room -= r["count"]
         if parts > 1:
             block, room = block + parts - 1, 0
-    blocks = block + 1
-    first = F.broadcast(spark.createDataFrame(plan, "list int, block int, parts int"))
-    queries = rows.where(is_query)
-    n_queries = queries.count()
-    batches = max(1, -(-n_queries // QUERIES_AT_ONCE))
-    data = coded.join(first, "list").select((F.col("block") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), "vec_id", "embedding", "list", "code")
-    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(batches)).cast("int").alias("batch"), "vec_id", "embedding")
-
-    def run(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        ids, scores, of = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
-        if len(found) and len(asked):
-            found = found.sort_values("vec_id")
-            x, name, lists = np.stack(found["embedding"].to_numpy()), found["vec_id"].to_numpy(), found["list"].to_numpy()
-            codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in found["code"]])
-            q, who = np.stack(asked["embedding"].to_numpy()), asked["vec_id"].to_numpy()
-            ix = sent.value
-            for i in range(0, len(q), 64):
-                near = ix.scores(q[i : i + 64], lists, codes)
-                near[~ix.probed(q[i : i + 64])[:, lists]] = -np.inf
-                for row, query, mine in zip(near, q[i : i + 64], who[i : i + 64], strict=True):
-                    row[name == mine] = -np.inf
-                    least = np.partition(row, -AGAIN)[-AGAIN] if len(row) > AGAIN else -np.inf
-                    at = np.flatnonzero((row >= least) & (row > -np.inf))
-                    exact = (x[at] * query).sum(axis=1)
-                    best = np.lexsort((name[at], -exact))[:k]
-                    ids.append(name[at[best]])
-                    scores.append(exact[best])
-                    of.append(np.full(len(best), mine))
-        return pd.DataFrame({"query_id": np.concatenate(of), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
-
-    found = data.groupBy("block", "batch").cogroup(asks.groupBy("block", "batch")).applyInPandas(run, out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    first = F.broadcast(spark.createDataFrame([(a, b, c) for a, (b, c) in blocks_of.items()], "list int, block int, parts int"))
+    own_block = (F.col("block") + F.pmod(F.xxhash64("vid"), F.col("parts"))).cast("int").alias("block")
+    filed = coded.join(first, "list").select(own_block, "vid", "list", "code")
+    asked = rows.where(is_query).select(*PRINT).distinct().join(distinct, [*PRINT]).select("vid", "embedding")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            q = np.stack(b["embedding"].to_numpy()).astype(np.float64)
+            out = []
+            for vid, x, lists in zip(b["vid"], q.astype(np.float32), sent.value.probed(q), strict=True):
+                by_block: dict[int, list[int]] = {}
+                for at in lists.tolist():
+                    start, parts = blocks_of.get(at, (0, 0))
+                    for i in range(start, start + parts):
+                        by_block.setdefault(i, []).append(at)
+                out += [(i, vid, x.tobytes(), np.array(ls, dtype="<i4").tobytes()) for i, ls in by_block.items()]
+            yield pd.DataFrame(out, columns=["block", "vid", "query", "lists"])
+
+    asks = cut(asked.mapInPandas(ask, "block int, vid long, query binary, lists binary"), "asks")
+    # Codes are repeated for the queries that do come to their block, and no others.
+    crowds = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("crowds"))
+    left = filed.join(crowds, "block").select("block", F.explode(F.expr("sequence(0, crowds - 1)")).alias("batch"), "vid", "list", "code")
+    right = asks.join(crowds, "block").select("block", F.pmod(F.xxhash64("vid"), F.col("crowds")).cast("int").alias("batch"), "vid", "query", "lists")
+
+    def run(found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        ids, scores, of = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
+        if len(found) and len(asking):
+            found = found.sort_values(["list", "vid"])
+            name, lists = found["vid"].to_numpy(), found["list"].to_numpy()
+            codes = np.frombuffer(b"".join(found["code"]), dtype=np.uint8).reshape(len(found), -1)
+            who, ix = asking["vid"].to_numpy(), sent.value
+            q = np.frombuffer(b"".join(asking["query"]), dtype="<f4").reshape(len(asking), -1).astype(np.float64)
+            probes = [np.frombuffer(x, dtype="<i4") for x in asking["lists"]]
+            here, starts = np.unique(lists, return_index=True)
+            stops = np.append(starts[1:], len(lists))
+            for i in range(0, len(q), CHUNK):
+                part, tables = q[i : i + CHUNK], ix.tables(q[i : i + CHUNK])
+                probing = np.repeat(np.arange(len(part)), [len(p) for p in probes[i : i + CHUNK]])
+                probed = np.concatenate(probes[i : i + CHUNK])
+                near = np.full((len(part), len(found)), -np.inf, dtype=np.float32)
+                for at, start, stop in zip(here.tolist(), starts.tolist(), stops.tolist(), strict=True):
+                    if len(rows_ := probing[probed == at]):
+                        near[rows_, start:stop] = ix.scores(part[rows_], tables[:, rows_], at, codes[start:stop])
+                for row, mine in zip(near, who[i : i + CHUNK], strict=True):
+                    at = np.argpartition(row, -AGAIN)[-AGAIN:] if len(row) > AGAIN else np.arange(len(row))
+                    at = at[row[at] > -np.inf]
+                    ids.append(name[at])
+                    scores.append(row[at])
+                    of.append(np.full(len(at), mine))
+        return pd.DataFrame({"qid": np.concatenate(of), "vid": np.concatenate(ids), "near": np.concatenate(scores)})
+
+    near = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInPandas(run, "qid long, vid long, near float")
+    again = _best(near, ["qid"], [F.desc("near"), "vid"], AGAIN).select("qid", "vid")
+
+    @F.pandas_udf("double")
+    def exact(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series((np.stack(x.to_numpy()) * np.stack(y.to_numpy())).sum(axis=1))
+
+    whole = again.join(distinct.select("vid", "embedding", "copies"), "vid").join(asked.select(F.col("vid").alias("qid"), F.col("embedding").alias("query")), "qid")
+    whole = whole.select("qid", "vid", "copies", exact("embedding", "query").alias("score"))
+    top = _best(whole, ["qid"], [F.desc("score"), "vid"], k + 1).select("qid", "score", F.explode("copies").alias("vec_id"))
+    top = _best(top, ["qid"], [F.desc("score"), "vec_id"], k + 1).select("qid", "score", "vec_id")
+    members = rows.where(is_query).select(F.col("vec_id").alias("query_id"), *PRINT).join(distinct.select(*PRINT, F.col("vid").alias("qid")), [*PRINT]).select("query_id", "qid")
+    found = members.join(top, "qid").where("query_id <> vec_id")
+    return _best(found, ["query_id"], [F.desc("score"), "vec_id"], k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
