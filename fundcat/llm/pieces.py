@@ -27,6 +27,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,9 +74,27 @@ class Model:
         texts = [b"" if m.is_control(i) or m.is_unknown(i) else bytes([i - names.index("<0x00>")]) if m.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
         return Model(usable, names.index("<0x00>"), tuple(texts))
 
+    @property
+    def code(self) -> str:
+        """How an id is held as bytes."""
+        return ">u2" if len(self.texts) <= 1 << 16 else ">u4"
+
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = pd.DataFrame([(p, i, s) for p, (i, s) in self.pieces.items()], columns=["piece", "id", "score"])
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        """``(key, piece, id, score)`` with Spark's 64-bit hash of the piece."""
+        rows = [(np.uint64(xxhash.xxh64_intdigest(p.encode(), 42)).astype(np.int64).item(), p, i, s) for p, (i, s) in self.pieces.items()]
+        if len({r[0] for r in rows}) < len(rows):
+            raise ValueError("two pieces share a hash")
+        return spark.createDataFrame(pd.DataFrame(rows, columns=["key", "piece", "id", "score"]), "key long, piece string, id int, score double")
+
+
+def _cut(chunk: str) -> tuple[str, ...]:
+    """Units of a chunk; most are letters with at most one mark behind them."""
+    if chunk.isascii():
+        if chunk.isalpha():
+            return (SPACE + chunk,)
+        if chunk[:-1].isalpha():
+            return (SPACE + chunk[:-1], chunk[-1])
+    return tuple(_UNIT.findall(SPACE + chunk))
 
 
 class Chunks(dict):
@@ -100,10 +119,10 @@ class Chunks(dict):
         """Ids of a unit that is known or too long for the lattice."""
         if len(u) <= LONGEST:
             return self.known.get(u)
-        return np.array(merge_text(u, self.model.pieces, self.model.byte0, self.longest), dtype="<u4").tobytes() if self.model else b""
+        return np.array(merge_text(u, self.model.pieces, self.model.byte0, self.longest), dtype=self.model.code).tobytes() if self.model else b""
 
     def __missing__(self, chunk: str) -> bytes | tuple[str, ...]:
-        found = tuple(_UNIT.findall(SPACE + chunk))
+        found = _cut(chunk)
         ids = [self.unit(u) for u in found]
         out = found if None in ids else b"".join(ids)
         if len(self) >= CHUNKS:
@@ -130,7 +149,7 @@ def units(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             n: Counter[str] = Counter()
             for chunk, k in chunks.items():
-                for u in _UNIT.findall(SPACE + chunk):
+                for u in _cut(chunk):
                     n[u] += k
             chunks.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["unit", "n"])
@@ -154,9 +173,12 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     longest = max(map(len, model.pieces))
     spans = words.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("i"))
     spans = spans.select("unit", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("i")))).alias("l"))
-    spans = spans.select("unit", "n", "i", "l", F.substring("unit", F.col("i") + 1, F.col("l")).alias("piece"))
-    pieces = model.table(words.sparkSession).select("piece", "id", (-F.col("score")).alias("down"))
-    edges = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or l = 1")
+    spans = spans.select("unit", "n", "i", "l", F.substring("unit", F.col("i") + 1, F.col("l")).alias("part"))
+    # A 64-bit hash is a far quicker key to look up than a string; strings are compared
+    # where hashes meet, and no two pieces share one.
+    spans = spans.withColumn("key", F.xxhash64("part"))
+    edges = spans.join(F.broadcast(model.table(words.sparkSession)), "key", "left").where("part = piece or l = 1")
+    edges = edges.select("unit", "n", "i", "l", F.when(F.col("part") == F.col("piece"), F.col("id")).alias("id"), F.when(F.col("part") == F.col("piece"), -F.col("score")).alias("down"))
     edge = F.struct("down", "i", (F.col("i") + F.col("l")).alias("j"), "id")
     return edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
@@ -262,22 +284,18 @@ def _frequent(counted: DataFrame, most: int) -> DataFrame:
 
 
 def _packed(ids, model: Model) -> F.Column:
-    """Ids as bytes, big-endian, of two bytes each if that is enough."""
-    digits = 4 if len(model.texts) <= 1 << 16 else 8
+    """Ids as bytes in the model's code."""
+    digits = 2 * np.dtype(model.code).itemsize
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), ""))
 
 
-def _unpacked(data: bytes, model: Model) -> bytes:
-    return np.frombuffer(data, dtype=">u2" if len(model.texts) <= 1 << 16 else ">u4").astype("<u4").tobytes()
-
-
 def _known(rows: DataFrame, model: Model, frequent: int, sample: int) -> dict[str, bytes]:
     """Ids of units that are frequent in a sample of rows."""
     total = rows.count()
     some = rows if total <= sample else rows.sample(sample / total, seed=1)
     chosen = _frequent(cut(units(some), "units").where(F.length("unit") <= LONGEST), frequent)
     found = encode_units(_dealt(chosen), model).select("unit", _packed(F.col("ids"), model).alias("ids"))
-    return {u: _unpacked(bytes(i), model) for u, i in cut(found, "frequent").toLocalIterator(prefetchPartitions=False)}
+    return {u: bytes(i) for u, i in cut(found, "frequent").toLocalIterator(prefetchPartitions=False)}
 
 
 def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
@@ -311,27 +329,34 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, s
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.full(len(packed), after), pa.int32()), packed, b.column("doc_id")], ["key", "pos", "data", "doc_id"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A key's units come before its texts.
+        # Rows come by key, a key's units before its texts; a key may go on in the next batch.
         chunks, open_up = Chunks(*sent.value), zstandard.ZstdDecompressor().decompress
         texts = model.texts
         now, own = None, {}
+
+        def gather(key: int, pos: list[int], data: list[bytes]) -> None:
+            nonlocal now, own
+            if key != now:
+                now, own = key, {}
+            own.update(zip(pos, data, strict=True))
+
         for b in batches:
-            docs, ids, good = [], [], []
-            for key, pos, data, doc in zip(*(b.column(c).to_pylist() for c in ("key", "pos", "data", "doc_id")), strict=True):
-                if key != now:
-                    now, own = key, {}
-                if pos < after:
-                    own[pos] = data
-                    continue
-                text = open_up(data).decode() if data else ""
-                found = {u: _unpacked(own[k], model) for k, u in enumerate(chunks.missing(text))} if own else {}
-                docs.append(doc)
-                ids.append(np.frombuffer(chunks.ids(text, found), dtype="<i4"))
+            keys, pos, data = b.column("key").to_numpy(), b.column("pos").to_numpy(), b.column("data").to_pylist()
+            at = np.flatnonzero(pos == after)
+            ids, good = [], []
+            for i, low in zip(at.tolist(), np.searchsorted(keys, keys[at]).tolist(), strict=True):
+                gather(int(keys[i]), pos[low:i].tolist(), data[low:i])
+                text = open_up(data[i]).decode() if data[i] else ""
+                found = {u: own[k] for k, u in enumerate(chunks.missing(text))} if own else {}
+                ids.append(np.frombuffer(chunks.ids(text, found), dtype=model.code).astype(np.int32))
                 good.append(decode_ids(ids[-1].tolist(), texts) == text)
+            if len(keys) and pos[-1] != after:
+                low = int(np.searchsorted(keys, keys[-1]))
+                gather(int(keys[-1]), pos[low:].tolist(), data[low:])
             n = np.array([len(i) for i in ids], dtype=np.int64)
-            at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n), pa.ListArray.from_arrays(at, flat), pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(n), pa.ListArray.from_arrays(ends, flat), pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
 
     # Units cross one shuffle, from which both their distinct ones and the way back to
     # the texts are read: the filter only keeps the columns of the two reads alike.
