@@ -3,8 +3,10 @@
 Each document has a vector of transformed statistics. For every language and source a
 minimum-covariance-determinant estimate is found by concentration steps: distances
 under the present mean and covariance, the share ``H`` of the rows with the smallest,
-their mean and covariance, and so on. Rows whose robust Mahalanobis distance passes a
-chi-squared limit are rejected. All of it is DataFrame work: the covariances are
+their mean and covariance, and so on, from two starts (the medians, and the mean and
+covariance of all rows) until the determinant falls no more; the start that ends with
+the smaller one counts. Rows whose robust Mahalanobis distance passes a chi-squared
+limit are rejected. All of it is DataFrame work: the covariances are
 sums, the factorisation is column arithmetic on one row per group, and the quantiles
 come from counts of rounded distances, so no group is ever gathered.
 """
@@ -16,19 +18,23 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundcat.llm.common import KEY, cut, keep_rows, row_key, table
+from fundcat.llm.common import cut, table
 
 SPACES = "\\x20\\x09-\\x0D"
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
-#: Share of a group's rows that an estimate rests on, and concentration steps.
-H, STEPS = 0.75, 3
-#: Groups with fewer rows use the estimate of all their language's rows, then that of all rows.
+#: Share of a group's rows that an estimate rests on, and the least fall of the
+#: determinant's logarithm for which another step is made.
+H, FALL = 0.75, 0.01
+#: Groups with fewer rows use the estimate of all their language's rows, then that of all
+#: rows; the column ``estimate`` tells which (2, 1, 0).
 MIN_GROUP = 60
+#: Groups and estimates that are sent to all tasks; more are joined.
+SENT = 100_000
 #: Chance that a clean Gaussian row is rejected.
 ALPHA = 1e-6
-#: Transformed statistics and the least standard deviation that each is given: in most
-#: groups nearly every row has no symbols and no repeats, and its spread would be nil.
+#: Transformed statistics and the standard deviation that is added to that of each: in
+#: most groups nearly every row has no symbols and no repeats, and its spread would be nil.
 FEATURES: tuple[tuple[str, str, float], ...] = (
     ("f_words", "ln(n_words)", 0.5),
     ("f_length", "ln(word_chars / n_words)", 0.05),
@@ -92,22 +98,24 @@ def statistics(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*carried, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def _grouped(vectors: DataFrame) -> DataFrame:
-    """With ``cell``, the estimate that judges a row: that of language and source, or a
-    wider one where there are too few rows; and ``fits``, the estimates it takes part in.
-    A wider estimate rests on every row of its language, or on all rows, those of large
-    groups too; it is made only where a small group uses it."""
+def _groups(vectors: DataFrame) -> DataFrame:
+    """``(lang, source, cell, fits)``: the estimate that judges a group's rows, which is
+    its own, or a wider one where there are too few rows, and the estimates that they take
+    part in. A wider estimate rests on every row of its language, or on all rows, those of
+    large groups too; it is made only where a small group uses it."""
     sizes = vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     wide = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("n_least"))
     least = wide.agg(F.min("n_lang").alias("n_lang_least"))
     own, language = F.concat(F.lit("2"), F.to_json(F.array("lang", "source"))), F.concat(F.lit("1"), F.to_json(F.array("lang")))
     large, large_lang = F.col("n") >= MIN_GROUP, F.col("n_lang") >= MIN_GROUP
     fits = F.array(F.when(large, own), F.when(large_lang & (F.col("n_least") < MIN_GROUP), language), F.when(F.col("n_lang_least") < MIN_GROUP, F.lit("0")))
-    named = sizes.join(wide, "lang").crossJoin(F.broadcast(least)).select(
-        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-        F.when(large, own).when(large_lang, language).otherwise("0").alias("cell"), F.array_compact(fits).alias("fits"),
-    )
-    return vectors.join(named, (vectors["lang"] == named["g_lang"]) & (vectors["source"] == named["g_source"])).drop("g_lang", "g_source")
+    cell = F.when(large, own).when(large_lang, language).otherwise("0")
+    return sizes.join(wide, "lang").crossJoin(F.broadcast(least)).select("lang", "source", cell.alias("cell"), F.array_compact(fits).alias("fits"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """With a hint to send it to all tasks if it has few rows."""
+    return F.broadcast(df) if df.count() <= SENT else df
 
 
 def _quantile(rows: DataFrame, bucket, share: float, name: str) -> DataFrame:
@@ -122,12 +130,10 @@ def _names() -> list[str]:
     return [f for f, _, _ in FEATURES]
 
 
-def _model(core: DataFrame, factor: float) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of each cell's core rows."""
-    names, d = _names(), len(FEATURES)
-    sums = [F.sum(n).alias(f"s{i}") for i, n in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(d) for j in range(i + 1)]
-    m = core.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *sums)
-    m = m.select("cell", "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)], *[f"s{i}_{j}" for i in range(d) for j in range(i + 1)])
+def _cholesky(m: DataFrame, factor: float) -> DataFrame:
+    """Mean, Cholesky factor and log determinant of each cell's covariance from its sums."""
+    d = len(FEATURES)
+    m = m.select("cell", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)], "n", *[f"s{i}_{j}" for i in range(d) for j in range(i + 1)])
     for i in range(d):
         for j in range(i + 1):
             c = factor * (F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
@@ -136,11 +142,21 @@ def _model(core: DataFrame, factor: float) -> DataFrame:
             for k in range(j):
                 c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             m = m.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}_{j}"))
-    return m.select("cell", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)])
+    size = sum((F.ln(f"l{i}_{i}") for i in range(1, d)), F.ln("l0_0"))
+    return m.select("cell", *_PARAMETERS, (2 * size).alias("size"))
+
+
+#: Columns of an estimate: means and the Cholesky factor.
+_PARAMETERS = [f"m{i}" for i in range(len(FEATURES))] + [f"l{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1)]
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    names, d = _names(), len(FEATURES)
+    return rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(f"s{i}") for i, n in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(d) for j in range(i + 1)])
 
 
 def _distances(vectors: DataFrame, model: DataFrame) -> DataFrame:
-    rows = vectors.join(model, "cell")
+    rows = vectors.join(model.select("cell", *_PARAMETERS), "cell")
     for i, n in enumerate(_names()):
         z = F.col(n) - F.col(f"m{i}")
         for k in range(i):
@@ -158,47 +174,83 @@ def _core(rows: DataFrame) -> DataFrame:
     return rows.join(limit, "cell").where(bucket <= F.col("most"))
 
 
-def robust_distances(stats: DataFrame) -> DataFrame:
-    """``statistics`` rows that did not fail -> the same with ``d2``, the squared robust
-    Mahalanobis distance. The start is each feature's median with unit spread given by
-    the feature's least deviation."""
+def _vectors(stats: DataFrame) -> DataFrame:
+    return stats.select("*", *[F.expr(e).cast("double").alias(n) for n, e, _ in FEATURES])
+
+
+def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``statistics`` rows -> the groups ``(lang, source, cell)`` and the estimates
+    ``(cell, m.., l..)`` of those that did not fail, each a row per group."""
     d = len(FEATURES)
     factor = H / chi2_cdf(chi2_quantile(H, d), d + 2)
-    vectors = stats.where("not base_failed").select("*", *[F.expr(e).cast("double").alias(n) for n, e, _ in FEATURES])
-    vectors = cut(_grouped(vectors), "vectors")
-    fitted = vectors.select(F.explode("fits").alias("cell"), *_names())
-    start = None
+    vectors = cut(_vectors(stats.where("not base_failed")).select("lang", "source", *_names()), "vectors")
+    groups = cut(_groups(vectors), "groups")
+    # Each cell is fitted from both starts at once: "a" the medians, "b" mean and covariance.
+    fitted = vectors.join(_small(groups).drop("cell"), ["lang", "source"]).select(F.explode("fits").alias("cell"), *_names())
+    fitted = cut(fitted.select(F.explode(F.array(F.concat(F.lit("a"), "cell"), F.concat(F.lit("b"), "cell"))).alias("cell"), *_names()), "fitted")
+    medians = None
     for i, n in enumerate(_names()):
-        part = _quantile(fitted, F.round(F.col(n) * 1000), 0.5, f"q{i}")
-        start = part if start is None else start.join(part, "cell")
+        part = _quantile(fitted.where("cell like 'a%'"), F.round(F.col(n) * 1000), 0.5, f"q{i}")
+        medians = part if medians is None else medians.join(part, "cell")
     flat = [F.lit(FEATURES[i][2] if i == j else 0.0).alias(f"l{i}_{j}") for i in range(d) for j in range(i + 1)]
-    model = cut(start.select("cell", *[(F.col(f"q{i}") / 1000).alias(f"m{i}") for i in range(d)], *flat), "start")
-    for _ in range(STEPS):
-        model = cut(_model(_core(_distances(fitted, model)), factor), "mcd")
-    return _distances(vectors, model)
+    medians = medians.select("cell", *[(F.col(f"q{i}") / 1000).alias(f"m{i}") for i in range(d)], *flat)
+    whole = _cholesky(_sums(fitted.where("cell like 'b%'")), 1.0).select("cell", *_PARAMETERS)
+    ends = _concentrate(fitted, cut(medians.unionByName(whole), "start"), factor)
+    best = ends.groupBy(F.expr("substring(cell, 2)").alias("cell")).agg(F.min(F.struct("size", *_PARAMETERS)).alias("best")).select("cell", "best.*")
+    return groups.select("lang", "source", "cell"), cut(best, "estimates")
+
+
+def _concentrate(fitted: DataFrame, model: DataFrame, factor: float) -> DataFrame:
+    """Steps until no cell's determinant falls any further; cells that are done sit out.
+    Every step lowers an open cell's log determinant by ``FALL``, and the spread that is
+    added bounds it from below, so the steps end."""
+    model = cut(_cholesky(_sums(_core(_distances(fitted, model))), factor), "mcd")
+    done = None
+    while True:
+        nxt = _cholesky(_sums(_core(_distances(fitted, model))), factor)
+        old = model.select(F.col("cell").alias("old_cell"), F.col("size").alias("old_size"))
+        nxt = cut(nxt.join(old, nxt["cell"] == old["old_cell"]).drop("old_cell"), "mcd")
+        falls = nxt.where(F.col("size") < F.col("old_size") - FALL).drop("old_size")
+        over = model.join(falls.select("cell"), "cell", "left_anti")
+        done = over if done is None else done.unionByName(over)
+        if falls.isEmpty():
+            return done
+        model = falls
+
+
+def score(rows: DataFrame, groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """``statistics`` rows that did not fail, whatever other columns they have, with
+    ``cell`` and ``d2``, the squared robust Mahalanobis distance. Groups and estimates are
+    sent to the rows, which stay where they are, unless there are very many."""
+    return _distances(_vectors(rows.where("not base_failed")).join(_small(groups), ["lang", "source"]), _small(estimates)).drop(*_names())
 
 
-def _judged(stats: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """``statistics`` -> the same with ``kept``."""
-    stats = cut(stats, "statistics")
-    limit = chi2_quantile(1 - alpha, len(FEATURES))
-    passed = robust_distances(stats).select(*stats.columns, (F.col("d2") <= limit).alias("kept"))
-    return passed.unionByName(stats.where("base_failed").withColumn("kept", F.lit(False)))
+def robust_distances(stats: DataFrame) -> DataFrame:
+    """``statistics`` rows that did not fail, with ``d2`` under estimates of the same rows."""
+    return score(stats, *fit(stats))
 
 
 def judge(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """``documents`` -> statistics, ``base_failed`` and ``kept`` of every row.
+    """``documents`` -> statistics, ``base_failed``, ``kept`` and ``estimate`` of every row.
 
     A null doc_id, language or source is a value of its own; repeated rows keep their
     repeats; an empty table gives an empty result; other columns are ignored."""
-    return _judged(statistics(docs), alpha).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-
-
-def reject(docs: DataFrame) -> DataFrame:
-    """``documents`` without the rows that fail, each judged by itself where a doc_id is
-    null or repeated. Columns are unchanged."""
-    kept = _judged(statistics(docs.select("*", *row_key(docs)), KEY)).where("kept").select("doc_id", *KEY).distinct()
-    return keep_rows(docs, kept).select(*[f"`{c}`" for c in docs.columns])
+    stats = cut(statistics(docs), "statistics")
+    limit = chi2_quantile(1 - alpha, len(FEATURES))
+    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    passed = score(stats, *fit(stats)).select(*out, (F.col("d2") <= limit).alias("kept"), F.substring("cell", 1, 1).cast("int").alias("estimate"))
+    return passed.unionByName(stats.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("int").alias("estimate")))
+
+
+def reject(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """``documents`` without the rows that fail, each judged by itself: null or repeated
+    doc_ids, and rows that repeat, make no difference. Null and empty texts fail, an empty
+    table gives an empty result, columns are unchanged, whatever their names. Rows are
+    written once beside their statistics and filtered where they are."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[(F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("doc_id", "text", "lang", "source")])
+    stats = cut(statistics(held, ("row",)), "statistics")
+    limit = chi2_quantile(1 - alpha, len(FEATURES))
+    return score(stats, *fit(stats.drop("row"))).where(F.col("d2") <= limit).select("row.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -366,15 +366,26 @@ def test_covariance_steps_equal_numpy(spark):
     x = np.stack([np.log(w), np.log(c / w), np.log(1 + 100 * stats.n_symbols / c), np.zeros(n), np.zeros(n)], axis=1)
     floor = np.array([f[2] for f in quality.FEATURES])
     bucket = lambda d2: np.floor(np.log(d2 + 1e-9) * 100)
-    median = np.sort(np.round(x * 1000), axis=0)[int(np.ceil(n / 2)) - 1] / 1000
-    d2 = (((x - median) / floor) ** 2).sum(axis=1)
     factor = quality.H / quality.chi2_cdf(quality.chi2_quantile(quality.H, d), d + 2)
-    for _ in range(quality.STEPS):
-        b = bucket(d2)
-        core = x[b <= np.sort(b)[int(np.ceil(quality.H * n)) - 1]]
-        cov = factor * np.cov(core.T, bias=True) + np.diag(floor**2)
-        diff = x - core.mean(axis=0)
-        d2 = (diff @ np.linalg.inv(cov) * diff).sum(axis=1)
+
+    def fit(rows, by):
+        cov = by * np.cov(rows.T, bias=True) + np.diag(floor**2)
+        return rows.mean(axis=0), cov, np.linalg.slogdet(cov)[1]
+
+    def distances(mean, cov):
+        return ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)
+
+    def step(model):
+        b = bucket(distances(*model[:2]))
+        return fit(x[b <= np.sort(b)[int(np.ceil(quality.H * n)) - 1]], factor)
+
+    ends = []
+    for start in ((np.sort(np.round(x * 1000), axis=0)[int(np.ceil(n / 2)) - 1] / 1000, np.diag(floor**2)), fit(x, 1.0)):
+        model = step(start)
+        while (after := step(model))[2] < model[2] - quality.FALL:
+            model = after
+        ends.append(model)
+    d2 = distances(*min(ends, key=lambda m: m[2])[:2])
     assert np.allclose(out.d2, d2)
     limit = quality.chi2_quantile(1 - quality.ALPHA, d)
     assert (out.d2[:40] > limit).all() and (out.d2[40:] < limit).mean() > 0.99
