@@ -3,9 +3,11 @@
 A 64-bit fingerprint is cut into 32 segments of two bits; its embedding is the
 vector of their bit counts. The Manhattan distance of two embeddings never exceeds
 the Hamming distance of the fingerprints, so it is a lower bound. A range join of
-radius r over a grid finds the candidates: the segments form r + 1 bands, and vectors
-within Manhattan distance r agree wholly in one band at least, so they share that
-band's grid cell. Candidates that pass the Manhattan bound are verified exactly.
+radius r over a grid finds the candidates: the segments form r + 2 bands, and vectors
+within Manhattan distance r agree wholly in two bands at least, so they share a grid cell
+of one of the pairs of bands. Candidates that pass the Manhattan bound are verified
+exactly. A cell has a third of the segments, so on random prints it holds some
+1 / 35,000 of them; dense groups of near copies share all their cells.
 
 Counts 0, 1, 2 are written in unary (00, 01, 11), which makes the Manhattan distance
 of two embeddings the number of differing bits, and a band's cell a bit mask.
@@ -15,15 +17,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundcat.llm.common import KEY, cut, keep_rows, row_key, small_batches, table
+from fundcat.llm.common import KEY, cut, keep_rows, partitions, row_key, small_batches, table
 from fundcat.llm.graph import components
 
 SHINGLE = 4
@@ -34,6 +37,8 @@ SEED = 42
 BLOCK = 2048
 #: Links gathered in a task before it goes over to one search per vertex.
 DENSE = 16
+#: Rows of a block that are compared as vectors over many blocks at once.
+SHORT = 64
 
 _ODD = 0x5555555555555555
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -85,9 +90,10 @@ def embedding(fp) -> F.Column:
 
 
 def bands(radius: int) -> list[int]:
-    """radius + 1 masks over the 32 segments."""
-    cuts = [32 * i // (radius + 1) for i in range(radius + 2)]
-    return [_signed(sum(3 << 2 * s for s in range(i, j))) for i, j in zip(cuts, cuts[1:], strict=False)]
+    """Masks over the 32 segments: each pair of radius + 2 bands."""
+    cuts = [32 * i // (radius + 2) for i in range(radius + 3)]
+    one = [sum(3 << 2 * s for s in range(i, j)) for i, j in zip(cuts, cuts[1:], strict=False)]
+    return [_signed(a | b) for a, b in combinations(one, 2)]
 
 
 def _forest(fp: np.ndarray, emb: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
@@ -119,26 +125,71 @@ def _forest(fp: np.ndarray, emb: np.ndarray, radius: int) -> tuple[list[int], li
     return left, right
 
 
+def _pairs(place: np.ndarray, fp: np.ndarray, emb: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links among rows that are sorted by their place in the grid. Short runs are
+    compared all at once, each row with the next, the one after it, and so on."""
+    cuts = np.flatnonzero(place[1:] != place[:-1]) + 1
+    starts, stops = np.append(0, cuts), np.append(cuts, len(place))
+    long_run = stops - starts > SHORT
+    left, right = [], []
+    for i, j in zip(starts[long_run].tolist(), stops[long_run].tolist(), strict=True):
+        a, b = _forest(fp[i:j], emb[i:j], radius)
+        left.append(fp[i:j][a])
+        right.append(fp[i:j][b])
+    short = np.repeat(~long_run, stops - starts)
+    at, end = np.flatnonzero(short), np.repeat(stops, stops - starts)[short]
+    for step in range(1, SHORT):
+        at, end = at[at + step < end], end[at + step < end]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(emb[at] ^ emb[at + step]) <= radius]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= radius]
+        left.append(fp[near])
+        right.append(fp[near + step])
+    return left, right
+
+
+def grid(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``prints(fp)`` -> ``(fp, emb, band, cell)``, a row for each pair of bands."""
+    cells = F.array(*[F.struct(F.lit(k).alias("band"), F.col("emb").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(bands(radius))])
+    return prints.select("fp", embedding(F.col("fp")).alias("emb")).withColumn("at", F.explode(cells)).select("fp", "emb", "at.band", "at.cell")
+
+
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``prints(fp)``, distinct -> ``(a, b)``: pairs within ``radius`` bits that
     connect all that are linked. Within a block only a spanning forest is kept once
     the links outgrow the block, so a dense group never becomes all its pairs."""
-    grid = prints.select("fp", embedding(F.col("fp")).alias("emb")).withColumn(
-        "at", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("emb").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(bands(radius))]))
-    ).select("fp", "emb", "at.band", "at.cell")
-    sizes = grid.groupBy("band", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
-    # At most (radius + 1) * 3 ** 7 cells exist, so this side has a proven bound.
-    grid = grid.join(F.broadcast(sizes), ["band", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    small_batches(prints.sparkSession, 1 << 14)
+    rows = grid(prints, radius)
+    sizes = rows.groupBy("band", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    # Few cells are large; Spark broadcasts them if they are small enough, and joins if not.
+    rows = rows.join(sizes, ["band", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    grid = grid.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    grid = grid.select("band", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "emb")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, emb = pdf["fp"].to_numpy(), pdf["emb"].to_numpy()
-        a, b = _forest(fp.view(np.uint64), emb.view(np.uint64), radius)
-        return pd.DataFrame({"a": fp[a], "b": fp[b]}, dtype="int64")
-
-    return grid.groupBy("band", "cell", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select(F.xxhash64("band", "cell", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "fp", "emb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+
+        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = _pairs(cols[0], cols[1].view(np.uint64), cols[2].view(np.uint64), radius)
+            ends = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
+
+        for batch in batches:
+            cols = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("place", "fp", "emb"), strict=True)]
+            # The last run may go on in the next batch.
+            cut_at = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            held = [c[cut_at:] for c in cols]
+            if cut_at:
+                yield found([c[:cut_at] for c in cols])
+        if len(held[0]):
+            yield found(held)
+
+    # Blocks whose places share a hash are compared with each other too, which adds no
+    # wrong link: each is verified.
+    dealt = rows.repartition(partitions(prints.sparkSession), "place").sortWithinPartitions("place")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
