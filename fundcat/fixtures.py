@@ -40,7 +40,7 @@ VIEWS: dict[str, str] = {
         case when p_partkey % 23 = 0 then 'hidden' else 'published' end as publication_state,
         p_partkey % 97 = 0 as is_demo,
         case when p_partkey % 43 = 0 then 'archived' else 'verified' end as verification_status,
-        case when p_partkey % 31 = 0 and cast(floor(p_partkey / 31) as bigint) % 8 <> 0 then 'o' || cast(p_partkey - 31 as string) end as merged_into,
+        case when p_partkey % 31 = 0 and cast(floor(p_partkey / 31) as bigint) % 40 <> 0 then 'o' || cast(p_partkey - 31 as string) end as merged_into,
         {_NOW} - (p_partkey % 120) * interval '1' day as last_checked_at,
         {_NOW} - (p_partkey % 30) * interval '1' day as created_at,
         {_NOW} - (p_partkey % 12) * interval '1' day as catalog_updated_at
@@ -75,16 +75,23 @@ VIEWS: dict[str, str] = {
     "facts": """select 'o' || cast(l_partkey as string) as opportunity_id, case (l_linenumber + l_suppkey) % 11 when 0 then 'status' when 1 then 'deadline' when 2 then 'maximum' when 3 then 'rolling' when 4 then 'recurrence' when 5 then 'opens' when 6 then 'minimum' when 7 then 'categories' when 8 then 'eligibility' when 9 then 'applicants' else 'geography' end as field,
         case (l_linenumber + l_suppkey) % 11 when 0 then case when l_quantity < 35 then 'open' else 'closed' end when 1 then case when l_quantity < 30 then '2024-01-10' else '2024-05-01' end when 2 then case when l_quantity < 40 then '10000' else '25000' end when 3 then 'true' when 4 then 'annual' when 5 then case when l_quantity < 25 then '2024-01-05' else '2024-03-01' end when 6 then case when l_quantity < 40 then '500' else '1000' end when 7 then 'Music' when 8 then case when l_quantity < 45 then 'Residents may apply.' else 'Members may apply.' end when 9 then 'nonprofit' else case when l_quantity < 20 then 'Canada' else 'United States' end end as value,
         case when l_orderkey % 5 = 0 then null when l_orderkey % 11 = 0 then 'unresolved' else cast(2022 + l_orderkey % 4 as string) end as cycle, l_tax = 0.08 as conflict from lineitem""",
-    "crawl_snapshots": f"""select doc_id as id, 'https://src' || cast((doc_id % 300) % 20 as string) || '.example.org/programs/' || cast(doc_id % 300 as string) as url,
-        {_NOW} - (doc_id % 100) * interval '1' day as fetched_at, 'h' || cast(n_chars % 50 as string) as content_hash, 'v' || cast(doc_id % 3 as string) as extractor,
-        'Program ' || cast(doc_id % 300 as string) as title, case doc_id % 4 when 0 then 'The program is now accepting applications.' when 1 then 'Grants of $' || cast(500 * (1 + doc_id % 40) as string) || ' are made each year.' else 'Apply by May 1, 2024.' end as body from documents""",
+    "slots": "select doc_id, text, source, n_chars, doc_id % greatest(1, cast(floor(n / 3) as bigint)) as r, greatest(1, cast(floor(n / 3) as bigint)) as slots from documents cross join (select count(*) as n from documents) as t",
+    "snapshot_bodies": """select doc_id, r, coalesce(text, '') || ' ' || case doc_id % 12 when 0 then 'Applications are now open.' when 1 then 'Applications are closed.' when 2 then 'Deadline: 2024-05-01.' when 3 then 'The application deadline is May ' || cast(1 + doc_id % 28 as string) || ', 2024.'
+        when 4 then 'Grant amounts range from $' || cast(500 * (1 + doc_id % 7) as string) || ' to $5,000.' when 5 then 'Maximum award: $' || cast(1 + doc_id % 9 as string) || ',500.' when 6 then 'Applications are accepted on a rolling basis.' when 7 then 'The program is offered annually.'
+        when 8 then 'Applicants must reside in ' || case doc_id % 5 when 0 then 'New York' when 1 then 'Canada' when 2 then 'New York City' when 3 then 'Austin, Texas' else 'the river valley' end || '.' when 9 then 'Eligible applicants include nonprofit organizations and students.' when 10 then 'Applications open: March 1, 2024.' else '' end as body from slots""",
+    "crawl_snapshots": f"""select doc_id as id, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string) as url,
+        {_NOW} - (doc_id % 100) * interval '1' day as fetched_at, md5(body) as content_hash, 'v' || cast(doc_id % 3 as string) as extractor,
+        case doc_id % 16 when 0 then 'Rural Arts Fund ' || cast(r as string) when 1 then 'River Fellowship Program' when 2 then 'Grants' when 3 then 'How to write a grant' when 4 then 'FAQ for applicants' when 5 then 'Grant guidelines' when 6 then 'Award recipients 2023' when 7 then 'Funding opportunities'
+         when 8 then 'Apply for the River Grant' when 9 then 'Contact us' when 10 then 'Who can apply?' when 11 then 'Terms and conditions' when 12 then 'Grant recap' when 13 then 'Music Fund ' || cast(r as string) when 14 then '"Community Award 2024"' else 'Top 10 grants for artists' end as title, body from snapshot_bodies
+        union all select -1 - doc_id, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string), {_NOW} - (doc_id % 100) * interval '1' day + interval '6' hour, md5(body), 'v' || cast(doc_id % 3 as string), 'Program ' || cast(r as string), body from snapshot_bodies where doc_id % 4 = 0""",
     "crawl_sources": "select source as id, 'https://' || source || '.example.org/' as url, source || '.example.org' as domain, min(doc_id) % 7 <> 0 as enabled from documents group by source",
     "crawl_visits": "select event_id as id, date_trunc('hour', cast(ts as timestamp)) as run, 'src' || cast(user_id % 20 as string) as source_id, 'o' || cast(user_id as string) as opportunity_id, cast(ts as timestamp) as ts, case event_type when 'error' then 'failed' when 'signup' then 'discontinued' when 'purchase' then 'reopened' else 'read' end as outcome from events",
+    "asof_events": "select event_id, cast(ts as timestamp) as ts, 'https://src' || cast((event_id % slots) % 20 as string) || '.example.org/programs/' || cast(event_id % slots as string) as url from events cross join (select max(slots) as slots from slots) as t",
     "request_attempts": "select event_id as id, user_id as key, cast(ts as timestamp) as ts from events",
-    "crawl_candidates": f"""select doc_id as id, doc_id as snapshot_id, source as source_id, 'https://src' || cast((doc_id % 300) % 20 as string) || '.example.org/' || case doc_id % 6 when 0 then 'news/' when 1 then 'guidelines/' else 'programs/' end || cast(doc_id % 300 as string) as url,
-        'h' || cast(n_chars % 50 as string) as content_hash, case doc_id % 9 when 0 then 'domain' when 1 then 'changed' else 'new' end as kind, case doc_id % 11 when 0 then 'rejected' else 'pending' end as status,
-        case doc_id % 5 when 0 then 'How to write a grant' when 1 then 'Grants' when 2 then 'Rural Arts Fund ' || cast(doc_id % 300 as string) when 3 then 'River Fellowship Program' else 'Contact us' end as title,
-        case when doc_id % 7 = 0 then 'o' || cast(doc_id % 300 as string) end as opportunity_id, {_NOW} - (doc_id % 40) * interval '1' day as created_at from documents""",
+    "crawl_candidates": f"""select d.doc_id as id, d.doc_id as snapshot_id, source as source_id, 'https://src' || cast(d.r % 20 as string) || '.example.org/' || case d.doc_id % 6 when 0 then 'news/' when 1 then 'guidelines/' else 'programs/' end || cast(d.r as string) as url,
+        md5(body) as content_hash, case d.doc_id % 9 when 0 then 'domain' when 1 then 'changed' else 'new' end as kind, case d.doc_id % 11 when 0 then 'rejected' else 'pending' end as status,
+        case d.doc_id % 5 when 0 then 'How to write a grant' when 1 then 'Grants' when 2 then 'Rural Arts Fund ' || cast(d.r as string) when 3 then 'River Fellowship Program' else 'Contact us' end as title,
+        case when d.doc_id % 7 = 0 then 'o' || cast(d.r as string) end as opportunity_id, {_NOW} - (d.doc_id % 40) * interval '1' day as created_at from slots d join snapshot_bodies b on b.doc_id = d.doc_id""",
     "publication_results": "select doc_id as candidate_id, case doc_id % 6 when 0 then 'skipped' when 3 then 'published' else 'updated' end as outcome, case doc_id % 12 when 0 then 'Directory page' else 'Insufficient program facts' end as reason from documents where doc_id % 3 = 0",
     "catalog_field_history": """select (l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey as id, 'o' || cast(l_partkey as string) as opportunity_id, case (l_linenumber + l_suppkey) % 3 when 0 then 'status' when 1 then 'deadline' else 'maximum' end as field,
         case when l_quantity < 10 then null else 'v' || cast(l_orderkey % 3 as string) end as old_value, 'v' || cast(l_suppkey % 3 as string) as new_value, cast(l_shipdate as timestamp) as created_at, case when l_returnflag = 'A' then 'automatic' else 'editor' end as action from lineitem""",
@@ -102,8 +109,8 @@ VIEWS: dict[str, str] = {
         'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(p_partkey * 2 as string) as url, case when p_partkey % 8 = 0 then 'short' else 'Funding for ' || p_name || ' projects' end as summary,
         case p_size % 3 when 0 then 'open' when 1 then 'upcoming' else 'closed' end as status, p_retailprice as minimum, case when p_partkey % 10 = 0 then p_retailprice - 1 else p_retailprice + 5 end as maximum,
         case when p_partkey % 4 <> 0 then date '2024-01-31' + cast(p_partkey % 61 - 30 as int) end as deadline, case when p_partkey % 3 <> 0 then date '2024-01-31' + cast(p_partkey % 41 - 20 as int) end as opens, case when p_partkey % 12 = 0 then 'usd' else 'USD' end as currency from part""",
-    "page_links": """select doc_id as id, 'https://src' || cast((doc_id % 300) % 20 as string) || '.example.org/programs/' || cast(doc_id % 300 as string) as url, x.n, 'https://src' || cast((doc_id % 300) % 20 as string) || '.example.org/programs/' || cast((doc_id + x.n * 20) % 300 as string)
-        || case (doc_id + x.n) % 6 when 0 then '/apply' when 1 then '/guidelines.pdf' when 2 then '/faq' when 3 then '/grant-news' else '' end as link from documents join (values (0), (1), (2), (5)) as x(n) on true""",
+    "page_links": """select doc_id as id, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string) as url, x.n, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast((doc_id + x.n * 20) % slots as string)
+        || case (doc_id + x.n) % 6 when 0 then '/apply' when 1 then '/guidelines.pdf' when 2 then '/faq' when 3 then '/grant-news' else '' end as link from slots join (values (0), (1), (2), (5)) as x(n) on true""",
     "external_results": "select p_partkey as id, case p_partkey % 2 when 0 then 'federal' else 'state' end as provider, cast(p_partkey * 3 as string) as external_id, 'https://src' || cast(p_partkey % 20 as string) || '.example.org/' || case when p_partkey % 3 = 0 then 'programs/' else 'results/' end || cast(p_partkey as string) || case when p_partkey % 2 = 0 then '/' else '' end as source_url from part",
     "provider_records": "select case p_partkey % 2 when 0 then 'federal' else 'state' end as provider, cast(p_partkey as string) as external_id from part where p_partkey % 7 = 0",
     "raw_locations": """select c_custkey as id, case c_custkey % 6 when 0 then ' USA ' when 1 then 'U.S.' when 2 then 'united kingdom' when 3 then 'Global' when 4 then 'Canada' else '' end as country, case c_custkey % 3 when 0 then 'ny' when 1 then 'CALIFORNIA' else 'Ontario' end as state,
@@ -150,7 +157,9 @@ class Catalog:
     def __getitem__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        text = VIEWS[name]
-        for base in set(re.findall(r"[a-z_]+", " ".join([text, *(VIEWS[v] for v in needed(text))]))) & set(BASE):
-            self[base].createOrReplaceTempView(base)
-        return self.spark.sql(with_views(text))
+        text = with_views(VIEWS[name])
+        # Under names of their own, so that no view of the session is replaced.
+        base = re.compile(rf"\b(from|join) ({'|'.join(BASE)})\b")
+        for table in {m[1] for m in base.findall(text)}:
+            self[table].createOrReplaceTempView(f"fundcat_{table}")
+        return self.spark.sql(base.sub(r"\1 fundcat_\2", text))

@@ -119,19 +119,3 @@ def schedule_day(ts) -> Column:
     """The crawl's day in New York, which starts at six."""
     local = F.from_utc_timestamp(ts, "America/New_York")
     return F.to_date(F.when(F.hour(local) < 6, F.date_sub(F.to_date(local), 1)).otherwise(F.to_date(local)))
-
-
-def page_role(title, path, body) -> Column:
-    """What a page is to a program, by its title, path and body; first rule wins."""
-    return (
-        F.when(word(title, "questionnaires?|office hours?|grant review"), "supporting")
-        .when(word(title, "faqs?|frequently asked questions|questions and answers") | word(path, "faqs?"), "faq")
-        .when(title.rlike("[?？]$") | title.rlike("(?i)^(who|what|when|where|why|how|can i|am i|do i)(?![A-Za-z0-9_])"), "supporting")
-        .when(word(title, "guidelines|application guide|instructions|fact sheet|eligibility requirements") | path.rlike("(?i)/(guidelines|instructions)(/|$)"), "guidelines")
-        .when(word(title, "recipients?|awardees?|winners?|announces?|awarded|receives?|finalists?") | path.rlike("(?i)/(news|press|press-releases|blog|stories)(/|$)"), "announcement")
-        .when(word(title, "directory|resources?|toolkits?|grant search|funding overview|funding opportunities|grants overview"), "directory")
-        .when(path.rlike("(?i)/(apply|apply-now|application|application-form)/?$") | title.rlike("(?i)^(apply for|application for)(?![A-Za-z0-9_])"), "application")
-        .when(path.rlike("(?i)\\.(pdf|xml)$"), "supporting")
-        .when(F.length(title).between(8, 250) & word(title, "grants?|fund|funding|fellowships?|awards?|program") & word(body, "apply|applications?|eligib[A-Za-z0-9_]*|proposals?|supports?|provides?|funding|award is made|awards are made"), "program")
-        .otherwise("ambiguous")
-    )

@@ -107,18 +107,33 @@ def paged_total(df: DataFrame, order: list[Column], page: int, size: int) -> Dat
     return df.orderBy(*order).offset((page - 1) * size).limit(size).join(F.broadcast(total))
 
 
+def profile_classes(profiles: DataFrame, interests: DataFrame) -> DataFrame:
+    """``(workspace_id, class_id, applicant_type, country, state, city, wanted)``. What a
+    profile is told depends on its applicant type, place and interests alone, so programs
+    are judged once a class and the verdict holds for all its members."""
+    wanted = interests.groupBy("workspace_id").agg(F.array_sort(F.collect_set("category")).alias("wanted"))
+    rows = profiles.join(wanted, "workspace_id").select("workspace_id", "applicant_type", *PLACE, "wanted")
+    return rows.withColumn("class_id", F.sha2(F.to_json(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("applicant_type", *PLACE)], "wanted")), 256))
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    return members.groupBy("class_id").agg(*[F.first(c).alias(c) for c in ("applicant_type", *PLACE, "wanted")])
+
+
 def suggested_filter(wide: DataFrame, profiles: DataFrame, interests: DataFrame, geos: DataFrame) -> DataFrame:
     """``(workspace_id, id)`` of open or upcoming programs that fit a profile's
-    applicant type, one of its categories and its place. The pairs come from an
-    equi-join on applicant type and category, not from all pairs."""
+    applicant type, one of its categories and its place. Classes of profiles meet programs
+    on applicant type and category, and rules on the places that both name."""
+    members = profile_classes(profiles, interests)
+    classes = _classes(members)
     open_ = wide.where(F.col("status").isin("open", "upcoming")).select("id", F.explode("applicants").alias("applicant_type"), "categories").select("id", "applicant_type", F.explode("categories").alias("category"))
-    asked = profiles.join(interests, "workspace_id").select("workspace_id", "applicant_type", "category", "country", "state", "city")
-    pairs = asked.join(open_, ["applicant_type", "category"]).select("workspace_id", "id", "country", "state", "city").distinct()
-    rules = geos.where("rule = 'eligible'").select(F.col("opportunity_id").alias("gid"), *[F.col(c).alias(f"g_{c}") for c in ("country", "state", "city")])
-    fits = F.col("id") == F.col("gid")
-    for c in ("country", "state", "city"):
-        fits = fits & (F.col(f"g_{c}").isNull() | (F.lower(f"g_{c}") == F.lower(c)))
-    return pairs.join(rules, fits, "left_semi").select("workspace_id", "id")
+    pairs = classes.select("class_id", "applicant_type", F.explode("wanted").alias("category")).join(open_, ["applicant_type", "category"]).select("class_id", "id").distinct()
+    # A rule's mask tells which parts it names; the class must name them all alike.
+    rules = geos.where("rule = 'eligible'").select(F.col("opportunity_id").alias("id"), _mask(PLACE).alias("mask"), *PLACE)
+    rules = rules.select("id", "mask", _shared(F.col("mask")).alias("place")).distinct()
+    places = classes.select("class_id", _mask(PLACE).alias("own"), _masks().alias("mask"), *PLACE).where(F.col("mask").bitwiseAND(F.col("own")) == F.col("mask"))
+    pairs = pairs.join(places.select("class_id", "mask", _shared(F.col("mask")).alias("place")), "class_id").join(rules, ["id", "mask", "place"], "left_semi")
+    return members.select("workspace_id", "class_id").join(pairs.select("class_id", "id").distinct(), "class_id").select("workspace_id", "id")
 
 
 def focus_match(df: DataFrame, *texts: str) -> DataFrame:
@@ -126,54 +141,122 @@ def focus_match(df: DataFrame, *texts: str) -> DataFrame:
     return df.withColumn("focus", X.focus_tags(F.concat_ws(" ", *texts)))
 
 
-def geo_match(geos: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(target_id, opportunity_id, geo)``: eligible, unknown or excluded. Targets are
-    few distinct places; their number must be small, as every rule meets each."""
-    g, t = geos.alias("g"), F.broadcast(targets).alias("t")
-    blank = F.lit("")
-    differs, missing = F.lit(False), F.lit(False)
-    for c in ("country", "state", "city"):
-        rule = F.coalesce(F.col(f"g.{c}"), blank)
-        rule = F.when(F.lower(rule).isin("worldwide", "global", "international"), blank).otherwise(rule) if c == "country" else rule
-        want = F.coalesce(F.col(f"t.{c}"), blank)
-        differs = differs | ((rule != "") & (want != "") & (F.lower(rule) != F.lower(want)))
-        missing = missing | ((rule != "") & (want == ""))
-    relation = F.when(differs, "different").when(missing, "unknown").otherwise("matches")
-    named = F.coalesce("g.country", "g.state", "g.city").isNotNull()
-    rows = g.join(t).select("t.target_id", "g.opportunity_id", "g.rule", named.alias("named"), relation.alias("relation"))
-    is_ = lambda rule, rel=None: (F.col("rule") == rule) & (F.col("relation") == rel if rel else F.lit(True))
+PLACE = ("country", "state", "city")
+
+
+def _masks() -> Column:
+    return F.explode(F.array(*[F.lit(i) for i in range(1 << len(PLACE))]))
+
+
+def _mask(cols) -> Column:
+    """Bits of the parts of a place that are named."""
+    return sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1 << i).otherwise(0) for i, c in enumerate(cols[1:], 1)), F.when(F.coalesce(F.col(cols[0]), F.lit("")) != "", 1).otherwise(0))
+
+
+def _shared(mask) -> Column:
+    """The parts of a place under a mask, as a join key."""
+    return F.to_json(F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lower(c)).otherwise("") for i, c in enumerate(PLACE)]))
+
+
+def geo_match(pairs: DataFrame, geos: DataFrame, targets: DataFrame) -> DataFrame:
+    """``pairs(target_id, opportunity_id)`` with ``geo`` (eligible, unknown or excluded) and
+    ``geo_reason``. A rule and a place agree if they are alike in all parts that both
+    name, so both sides are listed under every mask and meet in an equi-join; only rules
+    that do not differ from a place make rows."""
+    world = F.when(F.lower("country").isin("worldwide", "global", "international"), "").otherwise(F.col("country"))
+    named = F.coalesce(*PLACE).isNotNull()
+    seq = F.col("seq") if "seq" in geos.columns else F.lit(0)
+    fit = (
+        F.when(F.col("city") != "", F.concat(F.lit("Available in "), F.col("city")))
+        .when(F.col("state") != "", F.concat(F.lit("Available in "), F.col("state")))
+        .when(F.coalesce(world, F.lit("")) == "", "Accepts applicants worldwide")
+        .when(F.col("country") == "United States", "Accepts applicants nationwide")
+        .otherwise(F.concat(F.lit("Available in "), F.col("country")))
+    )
+    rules = geos.select("opportunity_id", "rule", named.alias("named"), F.struct(seq.alias("seq"), fit.alias("reason")).alias("fit"), world.alias("country"), "state", "city")
+    default = rules.groupBy("opportunity_id").agg(F.max((F.col("rule") == "eligible") & F.col("named")).alias("some"))
+    left = rules.withColumn("own", _mask(PLACE)).withColumn("other", _masks()).select("opportunity_id", "rule", "named", "fit", "own", "other", _shared(F.col("own").bitwiseAND(F.col("other"))).alias("place"))
+    right = targets.withColumn("other", _mask(PLACE)).withColumn("own", _masks()).select("target_id", "own", "other", _shared(F.col("own").bitwiseAND(F.col("other"))).alias("place"))
+    rows = left.join(right, ["own", "other", "place"]).withColumn("whole", F.col("own").bitwiseAND(F.col("other")) == F.col("own"))
+    out, fits = (F.col("rule") == "excluded"), (F.col("rule") == "eligible") & F.col("named")
     sums = rows.groupBy("target_id", "opportunity_id").agg(
-        F.max(is_("excluded", "matches")).alias("out"), F.max(is_("excluded", "unknown")).alias("maybe_out"),
-        F.max(is_("eligible", "matches") & F.col("named")).alias("fits"), F.max(is_("eligible") & F.col("named")).alias("some"),
-        F.max(is_("eligible") & F.col("named") & (F.col("relation") != "different")).alias("other"),
+        F.max(out & F.col("whole")).alias("out"), F.max(out & ~F.col("whole")).alias("maybe_out"),
+        F.max(fits & F.col("whole")).alias("fits"), F.max(fits).alias("other"), F.min(F.when(fits & F.col("whole"), F.col("fit"))).alias("fit"),
     )
-    state = F.when(F.col("out"), "excluded").when(F.col("fits") & ~F.col("maybe_out"), "eligible").when(F.col("some") & ~F.col("other"), "excluded").otherwise("unknown")
-    return sums.select("target_id", "opportunity_id", state.alias("geo"))
-
-
-def profile_match(wide: DataFrame, profiles: DataFrame, interests: DataFrame, geos: DataFrame) -> DataFrame:
-    """``matches`` and ``conflicts`` of each profile and each program that shares a
-    category with it. Places repeat over profiles, so rules are judged once a place."""
-    place = F.to_json(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("country", "state", "city")]))
-    asked = profiles.withColumn("target_id", place)
-    geo = geo_match(geos, asked.select("target_id", "country", "state", "city").distinct())
-    shared = wide.select("id", F.explode("categories").alias("category")).join(interests, "category").groupBy("workspace_id", "id").agg(F.count(F.lit(1)).alias("interests"))
-    rows = shared.join(wide.select("id", "name", "status", "current_deadline", "maximum_award", "applicants"), "id").join(asked.select("workspace_id", "applicant_type", "target_id"), "workspace_id")
-    rows = rows.join(geo, (geo["target_id"] == rows["target_id"]) & (geo["opportunity_id"] == rows["id"]), "left").drop(geo["target_id"])
-    fits = F.array_contains("applicants", F.col("applicant_type"))
+    found = pairs.join(sums, ["target_id", "opportunity_id"], "left").join(default, "opportunity_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    state = F.when(yes("out"), "excluded").when(yes("fits") & ~yes("maybe_out"), "eligible").when(yes("some") & ~yes("other"), "excluded").otherwise("unknown")
+    reason = F.when(F.col("geo") == "eligible", F.col("fit.reason")).when(F.col("geo") == "excluded", "Not available in this location").otherwise("Location eligibility needs checking")
+    return found.withColumn("geo", state).select(*pairs.columns, "geo", reason.alias("geo_reason"))
+
+
+def judged(df: DataFrame, q: str = "") -> DataFrame:
+    """``matches``, ``conflicts``, ``reasons`` and ``relevance`` of rows that hold a card
+    (``kind, title, summary, categories, source_categories, applicants, has_places, geo,
+    geo_reason``) and a profile's ``applicant_type`` and ``wanted``. Leads never earn
+    credit, nor do categories that are only those of their source."""
+    none = F.array().cast("array<string>")
+    interests = F.array_intersect("categories", "wanted")
+    two, n = F.slice(interests, 1, 2), F.size(interests)
+    lead, source = F.col("kind") == "lead", F.col("source_categories")
     known = F.size("applicants") > 0
+    fits = known & F.array_contains("applicants", F.col("applicant_type"))
     one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
-    return rows.select(
-        "workspace_id", "id", "name", "status", "current_deadline", "maximum_award",
-        (F.col("interests") + one(fits) + one(F.col("geo") == "eligible")).alias("matches"),
-        (one(known & ~fits) + one(F.col("geo") == "excluded")).alias("conflicts"),
+    covers = F.array(F.concat(F.lit("Source covers "), F.array_join(two, " + ")))
+    place = F.when(F.col("geo") == "excluded", "Location may not fit").otherwise(F.col("geo_reason"))
+    reasons = F.concat(
+        F.when(n == 0, none).when(lead | source, covers).otherwise(F.transform(two, lambda c: F.concat(F.lit("Matches "), c))),
+        F.when(lead | ~known, none).when(fits, F.array(F.lit("Matches your applicant type"))).otherwise(F.array(F.lit("Applicant type may not fit"))),
+        F.when(lead, none).otherwise(F.array(place)),
+        F.when(lead | ~known | ~F.col("has_places"), F.array(F.lit("Eligibility needs checking"))).otherwise(none),
     )
-
-
-def rank_results(matched: DataFrame, top: int = 10) -> DataFrame:
-    """The best ``top`` programs of each workspace, in the recommended order."""
-    order = Window.partitionBy("workspace_id").orderBy("conflicts", X.status_rank(), F.desc("matches"), F.asc_nulls_last("current_deadline"), "name", "id")
-    return matched.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    relevance = F.lit(0).cast("long")
+    for term in q.lower().split():
+        relevance = relevance + 3 * one(F.lower("title").contains(term)) + one(F.lower("summary").contains(term))
+    return df.withColumns({
+        "matches": F.when(lead, F.lit(0).cast("long")).otherwise(F.when(source, 0).otherwise(n).cast("long") + one(fits) + one(F.col("geo") == "eligible")),
+        "conflicts": F.when(lead, F.lit(0).cast("long")).otherwise(one(known & ~fits) + one(F.col("geo") == "excluded")),
+        "reasons": reasons,
+        "relevance": relevance,
+    })
+
+
+def class_match(wide: DataFrame, members: DataFrame, geos: DataFrame, q: str = "") -> DataFrame:
+    """Verdicts on each class of profiles (``profile_classes``) and each program that
+    shares a category with it: ``(class_id, id, name, status, current_deadline,
+    maximum_award, matches, conflicts, reasons, relevance)``."""
+    classes = _classes(members).withColumn("target_id", F.to_json(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in PLACE])))
+    pairs = classes.select("class_id", "target_id", F.explode("wanted").alias("category")).join(wide.select(F.col("id").alias("opportunity_id"), F.explode("categories").alias("category")), "category").drop("category").distinct()
+    pairs = geo_match(pairs, geos, classes.select("target_id", *PLACE).distinct())
+    cards = wide.select("id", "name", "summary", "status", "current_deadline", "maximum_award", "categories", "applicants", F.col("name").alias("title"), F.lit("catalog").alias("kind"), F.lit(False).alias("source_categories"))
+    placed = geos.select(F.col("opportunity_id").alias("id"), F.lit(True).alias("has_places")).distinct()
+    cards = cards.join(placed, "id", "left").withColumn("has_places", F.coalesce("has_places", F.lit(False)))
+    rows = pairs.withColumnRenamed("opportunity_id", "id").join(cards, "id").join(classes.select("class_id", "applicant_type", "wanted"), "class_id")
+    return judged(rows, q).select("class_id", "id", "name", "status", "current_deadline", "maximum_award", "matches", "conflicts", "reasons", "relevance")
+
+
+def profile_match(wide: DataFrame, profiles: DataFrame, interests: DataFrame, geos: DataFrame, q: str = "") -> DataFrame:
+    """``matches``, ``conflicts``, ``reasons`` and ``relevance`` of each profile and each
+    program that shares a category with it."""
+    members = profile_classes(profiles, interests)
+    return members.select("workspace_id", "class_id").join(class_match(wide, members, geos, q), "class_id").drop("class_id")
+
+
+def result_order(sort: str = "recommended") -> list[Column]:
+    """The order of cards: by fit, amount or date, then status, deadline, name and id."""
+    first = {
+        "recommended": [F.asc("conflicts"), X.status_rank().asc(), F.desc("matches"), F.desc("relevance")],
+        "amount": [F.coalesce(F.col("maximum_award"), F.lit(-1)).desc()],
+        "recent": [F.desc_nulls_last("fetched")],
+    }.get(sort, [])
+    return [*first, X.status_rank().asc(), F.asc_nulls_last("current_deadline"), F.asc("name"), F.asc("id")]
+
+
+def rank_results(matched: DataFrame, members: DataFrame, top: int = 10, sort: str = "recommended") -> DataFrame:
+    """The best ``top`` programs of each workspace: of its class, in fact."""
+    order = Window.partitionBy("class_id").orderBy(*result_order(sort))
+    best = matched.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return members.select("workspace_id", "class_id").join(best, "class_id").drop("class_id")
 
 
 def current_workspace(members: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -229,12 +312,22 @@ def published_urls(opps: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def merge_closure(opps: DataFrame, most: int = 20) -> DataFrame:
     """``(id, target, hops)`` of merged programs: the end of each chain, by pointer
-    doubling. A chain longer than ``most`` or a cycle has a null target."""
-    links = opps.where("merged_into is not null").select("id", F.col("merged_into").alias("target"), F.lit(1).alias("hops"))
+    doubling. A chain of more than ``most`` links or a cycle has null ``target`` and
+    ``hops``."""
+    merged = opps.where("merged_into is not null")
+    links = merged.select("id", F.col("merged_into").alias("target"), F.lit(1).alias("hops"))
     reach = 1
     while reach < most:
         nxt = links.select(F.col("id").alias("target"), F.col("target").alias("further"), F.col("hops").alias("more"))
         links = links.join(nxt, "target", "left").select("id", F.coalesce("further", "target").alias("target"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
         reach *= 2
-    open_ = opps.where("merged_into is not null").select(F.col("id").alias("target"), F.lit(True).alias("unended"))
-    return links.join(open_, "target", "left").select("id", F.when(F.col("unended").isNull(), F.col("target")).alias("target"), F.when(F.col("unended").isNull(), F.col("hops")).alias("hops"))
+    links = links.join(merged.select(F.col("id").alias("target"), F.lit(True).alias("unended")), "target", "left")
+    ended = F.col("unended").isNull() & (F.col("hops") <= most)
+    return links.select("id", F.when(ended, F.col("target")).alias("target"), F.when(ended, F.col("hops")).alias("hops"))
+
+
+def merge_families(opps: DataFrame, most: int = 20) -> DataFrame:
+    """``(id, family)``: each program with the one that it stands for in the end, itself
+    if it is not merged. Programs on overlong chains and cycles have no family."""
+    ends = merge_closure(opps, most).select("id", F.col("target").alias("family"))
+    return opps.where("merged_into is null").select("id", F.col("id").alias("family")).unionByName(ends.where("family is not null"))

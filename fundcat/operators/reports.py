@@ -193,9 +193,9 @@ def scalars(opps: DataFrame, snaps: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 
 def page_scalars(snaps: DataFrame) -> DataFrame:
-    """Per snapshot: the page's role, amount and words."""
+    """Per snapshot: the page's amount, words and crawl day."""
     body = F.col("body")
-    return snaps.select("id", X.page_role(F.col("title"), X.path_of(F.col("url")), body).alias("role"), X.parse_amount(body).alias("amount"), X.words_in(body).alias("words"), X.schedule_day(F.col("fetched_at")).alias("day"))
+    return snaps.select("id", X.parse_amount(body).alias("amount"), X.words_in(body).alias("words"), X.schedule_day(F.col("fetched_at")).alias("day"))
 
 
 def keyword_scrub(docs: DataFrame) -> DataFrame:

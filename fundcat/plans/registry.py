@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundcat.functions import exprs as X
+from fundcat.functions import roles as P
 from fundcat.functions.urls import canonical_url, is_safe
 from fundcat.operators import catalog as C
 from fundcat.operators import reports as R
@@ -103,18 +104,11 @@ def latest_snapshot(c):
     return C.latest_snapshot(c["crawl_snapshots"]).select("url", "id", "title")
 
 
-def _asof_events(c):
-    e = c["crawl_visits"].withColumnRenamed("id", "event_id")
-    r = F.pmod(F.col("event_id"), F.lit(300))
-    return e.select("event_id", "ts", F.concat(F.lit("https://src"), (r % 20).cast("string"), F.lit(".example.org/programs/"), r.cast("string")).alias("url"))
-
-
 @query(
     "snapshot_asof",
-    """with e as (select id as event_id, ts, 'https://src' || cast((id % 300) % 20 as string) || '.example.org/programs/' || cast(id % 300 as string) as url from crawl_visits)
- select e.event_id, e.url, case when s.fetched_at >= e.ts - interval 24 hour then s.id end as snapshot_id from e left join lateral (select id, fetched_at from crawl_snapshots s where s.url = e.url and s.fetched_at <= e.ts order by fetched_at desc, id desc limit 1) s on true""", texts=('snapshot_id',))
+    """select e.event_id, e.url, case when s.fetched_at >= e.ts - interval 24 hour then s.id end as snapshot_id from asof_events e left join lateral (select id, fetched_at from crawl_snapshots s where s.url = e.url and s.fetched_at <= e.ts order by fetched_at desc, id desc limit 1) s on true""", texts=('snapshot_id',))
 def snapshot_asof(c):
-    return C.snapshot_asof(_asof_events(c), c["crawl_snapshots"])
+    return C.snapshot_asof(c["asof_events"], c["crawl_snapshots"])
 
 
 @query("current_workspace", "select m.user_id, m.workspace_id, p.name, p.applicant_type from (select *, row_number() over (partition by user_id order by created_at, workspace_id) as n from workspace_members) m left join profiles p on p.workspace_id = m.workspace_id where n = 1")
@@ -130,42 +124,57 @@ def application_lookup(c):
 @query(
     "geo_match",
     """with targets as (select distinct coalesce(country, '') || '|' || coalesce(state, '') || '|' || coalesce(city, '') as target_id, country, state, city from profiles),
- r as (select t.target_id, g.opportunity_id, g.rule, coalesce(g.country, g.state, g.city) is not null as named,
+ r as (select t.target_id, g.opportunity_id, g.rule, g.seq, coalesce(g.country, g.state, g.city) is not null as named,
+  case when g.city is not null then 'Available in ' || g.city when g.state is not null then 'Available in ' || g.state when gc = '' then 'Accepts applicants worldwide' when gc = 'United States' then 'Accepts applicants nationwide' else 'Available in ' || gc end as fit,
   case when (gc <> '' and t.country is not null and lower(gc) <> lower(t.country)) or (g.state is not null and t.state is not null and lower(g.state) <> lower(t.state)) or (g.city is not null and t.city is not null and lower(g.city) <> lower(t.city)) then 'different'
    when (gc <> '' and t.country is null) or (g.state is not null and t.state is null) or (g.city is not null and t.city is null) then 'unknown' else 'matches' end as rel
-  from (select *, case when country is null or lower(country) in ('worldwide', 'global', 'international') then '' else country end as gc from opportunity_geographies) g cross join targets t)
- select target_id, opportunity_id, case when bool_or(rule = 'excluded' and rel = 'matches') then 'excluded' when bool_or(rule = 'eligible' and named and rel = 'matches') and not bool_or(rule = 'excluded' and rel = 'unknown') then 'eligible'
- when bool_or(rule = 'eligible' and named) and not bool_or(rule = 'eligible' and named and rel <> 'different') then 'excluded' else 'unknown' end as geo from r group by 1, 2""",
+  from (select *, case when country is null or lower(country) in ('worldwide', 'global', 'international') then '' else country end as gc from opportunity_geographies) g cross join targets t),
+ s as (select target_id, opportunity_id, case when bool_or(rule = 'excluded' and rel = 'matches') then 'excluded' when bool_or(rule = 'eligible' and named and rel = 'matches') and not bool_or(rule = 'excluded' and rel = 'unknown') then 'eligible'
+ when bool_or(rule = 'eligible' and named) and not bool_or(rule = 'eligible' and named and rel <> 'different') then 'excluded' else 'unknown' end as geo, arg_min(fit, seq) filter (where rule = 'eligible' and named and rel = 'matches') as fit from r group by 1, 2)
+ select target_id, opportunity_id, geo, case geo when 'eligible' then fit when 'excluded' then 'Not available in this location' else 'Location eligibility needs checking' end as geo_reason from s""",
 )
 def geo_match(c):
     places = c["profiles"].select(F.concat_ws("|", *[F.coalesce(x, F.lit("")) for x in ("country", "state", "city")]).alias("target_id"), "country", "state", "city").distinct()
-    return C.geo_match(c["opportunity_geographies"], places)
+    geos = c["opportunity_geographies"]
+    pairs = geos.select("opportunity_id").distinct().join(places.select("target_id"))  # every place is asked about every program
+    return C.geo_match(pairs, geos, places)
 
 
 def _matched(c):
-    return C.profile_match(C.catalog_wide(c), c["profiles"], c["profile_categories"], c["opportunity_geographies"])
+    members = C.profile_classes(c["profiles"], c["profile_categories"])
+    return C.class_match(C.catalog_wide(c), members, c["opportunity_geographies"], "music women"), members
 
 
-MATCHED = f"""{WIDE}, rel as (select p.workspace_id, g.opportunity_id, g.rule, coalesce(g.country, g.state, g.city) is not null as named,
+MATCHED = f"""{WIDE}, rel as (select p.workspace_id, g.opportunity_id, g.seq, g.rule, coalesce(g.country, g.state, g.city) is not null as named,
+  case when g.city is not null then 'Available in ' || g.city when g.state is not null then 'Available in ' || g.state when gc = '' then 'Accepts applicants worldwide' when gc = 'United States' then 'Accepts applicants nationwide' else 'Available in ' || gc end as fit,
   case when (gc <> '' and p.country is not null and gc <> p.country) or (g.state is not null and p.state is not null and g.state <> p.state) or (g.city is not null and p.city is not null and g.city <> p.city) then 'different'
    when (gc <> '' and p.country is null) or (g.state is not null and p.state is null) or (g.city is not null and p.city is null) then 'unknown' else 'matches' end as rel
   from (select *, case when country is null or country = 'Worldwide' then '' else country end as gc from opportunity_geographies) g cross join profiles p),
  geo as (select workspace_id, opportunity_id, case when bool_or(rule = 'excluded' and rel = 'matches') then 'excluded' when bool_or(rule = 'eligible' and named and rel = 'matches') and not bool_or(rule = 'excluded' and rel = 'unknown') then 'eligible'
- when bool_or(rule = 'eligible' and named) and not bool_or(rule = 'eligible' and named and rel <> 'different') then 'excluded' else 'unknown' end as geo from rel group by 1, 2),
- matched as (select pc.workspace_id, w.id, any_value(w.name) as name, any_value(w.status) as status, any_value(w.current_deadline) as current_deadline,
-  cast(count(*) + any_value(case when list_contains(w.applicants, p.applicant_type) then 1 else 0 end) + any_value(case when g.geo = 'eligible' then 1 else 0 end) as bigint) as matches,
-  cast(any_value(case when len(w.applicants) > 0 and not list_contains(w.applicants, p.applicant_type) then 1 else 0 end) + any_value(case when g.geo = 'excluded' then 1 else 0 end) as bigint) as conflicts
-  from wide w join profile_categories pc on list_contains(w.categories, pc.category) join profiles p on p.workspace_id = pc.workspace_id left join geo g on g.workspace_id = pc.workspace_id and g.opportunity_id = w.id group by 1, 2)"""
+ when bool_or(rule = 'eligible' and named) and not bool_or(rule = 'eligible' and named and rel <> 'different') then 'excluded' else 'unknown' end as geo, arg_min(fit, seq) filter (where rule = 'eligible' and named and rel = 'matches') as fit from rel group by 1, 2),
+ pairs as (select w.*, p.workspace_id, p.applicant_type, g.geo, g.fit, list_sort(list_intersect(w.categories, i.wanted)) as shared, list_contains(w.applicants, p.applicant_type) as fits
+  from wide w join (select workspace_id, list(category) as wanted from profile_categories group by 1) i on list_has_any(w.categories, i.wanted) join profiles p on p.workspace_id = i.workspace_id left join geo g on g.workspace_id = p.workspace_id and g.opportunity_id = w.id),
+ matched as (select workspace_id, id, name, status, current_deadline, cast(len(shared) + case when fits then 1 else 0 end + case when geo = 'eligible' then 1 else 0 end as bigint) as matches,
+  cast(case when len(applicants) > 0 and not fits then 1 else 0 end + case when geo = 'excluded' then 1 else 0 end as bigint) as conflicts,
+  'Matches ' || shared[1] || case when len(shared) > 1 then '; Matches ' || shared[2] else '' end || case when len(applicants) = 0 then '' when fits then '; Matches your applicant type' else '; Applicant type may not fit' end
+   || case geo when 'eligible' then '; ' || fit when 'excluded' then '; Location may not fit' else '; Location eligibility needs checking' end || case when len(applicants) = 0 then '; Eligibility needs checking' else '' end as reasons,
+  cast(3 * (case when contains(lower(name), 'music') then 1 else 0 end + case when contains(lower(name), 'women') then 1 else 0 end) + case when contains(lower(summary), 'music') then 1 else 0 end + case when contains(lower(summary), 'women') then 1 else 0 end as bigint) as relevance from pairs)"""
 
 
-@query("profile_match", f"with {MATCHED} select conflicts, matches, status, count(*) as n, count(distinct workspace_id) as workspaces, count(distinct id) as programs from matched group by 1, 2, 3")
+@query("profile_match", f"with {MATCHED} select conflicts, matches, relevance, status, reasons, count(*) as n, count(distinct workspace_id) as workspaces, count(distinct id) as programs from matched group by all")
 def profile_match(c):
-    return _matched(c).groupBy("conflicts", "matches", "status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("workspace_id").alias("workspaces"), F.count_distinct("id").alias("programs"))
+    matched, members = _matched(c)
+    by = ["conflicts", "matches", "relevance", "status", "reasons"]
+    sized = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("members"))
+    rows = matched.withColumn("reasons", F.array_join("reasons", "; ")).groupBy(*by, "class_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(sized, "class_id").groupBy(*by).agg(F.sum(F.col("n") * F.col("members")).alias("n"), F.sum("members").alias("workspaces"))
+    programs = matched.withColumn("reasons", F.array_join("reasons", "; ")).groupBy(*by).agg(F.count_distinct("id").alias("programs"))
+    return rows.join(programs, by)
 
 
-@query("rank_results", f"with {MATCHED}, r as (select workspace_id, id, row_number() over (partition by workspace_id order by conflicts, {RANK}, matches desc, current_deadline asc nulls last, name, id) as rank from matched) select workspace_id, id, cast(rank as int) as rank from r where rank <= 10")
+@query("rank_results", f"with {MATCHED}, r as (select workspace_id, id, reasons, row_number() over (partition by workspace_id order by conflicts, {RANK}, matches desc, relevance desc, current_deadline asc nulls last, name, id) as rank from matched) select workspace_id, id, reasons, cast(rank as int) as rank from r where rank <= 10")
 def rank_results(c):
-    return C.rank_results(_matched(c)).select("workspace_id", "id", "rank")
+    return C.rank_results(*_matched(c)).select("workspace_id", "id", F.array_join("reasons", "; ").alias("reasons"), "rank")
 
 
 # ---- aggregations --------------------------------------------------------------
@@ -289,7 +298,7 @@ def published_urls(c):
 
 @query(
     "merge_closure",
-    "select c.id, c.target, cast(c.hops as int) as hops from (with recursive r(id, target, hops) as (select id, merged_into, 1 from opportunities where merged_into is not null union all select r.id, o.merged_into, r.hops + 1 from r join opportunities o on o.id = r.target where o.merged_into is not null and r.hops < 20) select id, target, hops, row_number() over (partition by id order by hops desc) as n from r) c where n = 1", texts=('hops',))
+    "select c.id, c.target, cast(c.hops as int) as hops from (with recursive r(id, target, hops) as (select id, merged_into, 1 from opportunities where merged_into is not null union all select r.id, o.merged_into, r.hops + 1 from r join opportunities o on o.id = r.target where o.merged_into is not null and r.hops < 21) select id, case when hops <= 20 then target end as target, case when hops <= 20 then hops end as hops, row_number() over (partition by id order by r.hops desc) as n from r) c where n = 1", texts=('hops',))
 def merge_closure(c):
     return C.merge_closure(c["opportunities"])
 
@@ -327,19 +336,33 @@ def backoff_next(c):
     return c["catalog_monitoring"].select("opportunity_id", X.backoff_hours(F.col("consecutive_failures")).alias("hours"))
 
 
-@query("parse_amount", "select id, cast(nullif(replace(regexp_extract(body, '\\$\\s*([0-9][0-9,]*)', 1), ',', ''), '') as double) as amount from crawl_snapshots where contains(body, '$')")
+@query("parse_amount", r"""select id, case when v <= 999999999999 then v end as amount from (select id, cast(nullif(replace(regexp_extract(body, '\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', ''), '') as double)
+ * case lower(regexp_extract(body, '(?i)[0-9]\s*(million|thousand|billion|k|m)(?:[^A-Za-z]|$)', 1)) when 'k' then 1e3 when 'thousand' then 1e3 when 'm' then 1e6 when 'million' then 1e6 when 'billion' then 1e9 else 1 end as v from crawl_snapshots where contains(body, '$'))""")
 def parse_amount(c):
     return R.page_scalars(c["crawl_snapshots"].where(F.col("body").contains("$"))).select("id", "amount")
 
 
-@query("word_limit", "select id, cast(len(string_split(body, ' ')) as int) as words, len(string_split(body, ' ')) > 6 as over from crawl_snapshots")
+@query("word_limit", "select id, cast(case when t = '' then 0 else len(string_split_regex(t, '[ \n\r\t]+')) end as int) as words, case when t = '' then false else len(string_split_regex(t, '[ \n\r\t]+')) > 250 end as over from (select id, regexp_replace(body, '^[ \n\r\t]+|[ \n\r\t]+$', '', 'g') as t from crawl_snapshots)")
 def word_limit(c):
-    return R.page_scalars(c["crawl_snapshots"]).select("id", "words", (F.col("words") > 6).alias("over"))
+    return R.page_scalars(c["crawl_snapshots"]).select("id", "words", (F.col("words") > 250).alias("over"))
+
+
+def _candidate_pages(c):
+    """Candidates with the text of their snapshot: every kind of title and path."""
+    return c["crawl_candidates"].select("id", "url", F.col("title").alias("lead"), "snapshot_id").join(c["crawl_snapshots"].select(F.col("id").alias("snapshot_id"), "title", "body"), "snapshot_id")
 
 
-@query("page_role", "select id, case when contains(body, 'program is now') or contains(body, 'are made') then case when regexp_matches(body, '(?i)\\b(apply|applications?|supports?|provides?|funding)\\b') then 'program' else 'ambiguous' end else 'program' end as role from crawl_snapshots")
+PAGES = "pages_ as (select c.id, c.url, c.title as lead, s.title, s.body from crawl_candidates c join crawl_snapshots s on s.id = c.snapshot_id)"
+
+
+@query("page_role", f"with {PAGES} select id, {P.role_sql('title', 'url', 'body')} as role from pages_")
 def page_role(c):
-    return R.page_scalars(c["crawl_snapshots"]).select("id", "role")
+    return _candidate_pages(c).select("id", P.page_role(F.col("title"), F.col("url"), F.col("body")).alias("role"))
+
+
+@query("classify_candidate", f"with {PAGES}, r as (select *, {P.role_sql('title', 'url', 'body')} as role from pages_) select id, {P.classify_sql('title', 'url', 'body', 'role')} as reason from r")
+def classify_candidate(c):
+    return _candidate_pages(c).select("id", P.classify_candidate(F.col("title"), F.col("url"), F.col("body")).alias("reason"))
 
 
 @query("schedule_day", "select id, cast(case when hour(l) < 6 then cast(l as date) - 1 else cast(l as date) end as date) as day from (select id, (ts at time zone 'UTC') at time zone 'America/New_York' as l from crawl_visits)", texts=('day',))

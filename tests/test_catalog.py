@@ -74,8 +74,36 @@ def test_scalars(spark):
     assert one(X.schedule_day(F.to_timestamp(F.lit("2024-03-10 10:00:00")))) == dt.date(2024, 3, 10)
     assert "555" not in one(X.scrub(F.lit("call 212-555-0100 or a@b.org, 10001")))
     assert one(F.array_join(X.focus_tags(F.lit("Rural women farmers")), ",")) == "rural,women"
-    for title, path, body, role in [("Small Grants Program", "/p", "Apply now", "program"), ("What is a grant?", "/p", "", "supporting"), ("Grant FAQ", "/p", "", "faq"), ("Application guidelines", "/p", "", "guidelines"), ("Grant recipients", "/p", "", "announcement"), ("Apply", "/x/apply/", "", "application")]:
-        assert one(X.page_role(F.lit(title), F.lit(path), F.lit(body))) == role
+
+
+def test_page_roles(spark):
+    from pyspark.sql import functions as F
+
+    from fundcat.functions import roles as P
+
+    body = "The program supports artists. Apply by May."
+    cases = [
+        ("Small Grants Program", "/p", "Apply now", "program"), ("What is a grant?", "/p", "", "supporting"), ("Grant FAQ", "/p", "", "faq"), ("Application guidelines", "/p", "", "guidelines"),
+        ("Grant recipients", "/p", "", "announcement"), ("Apply", "/x/apply/", "", "application"), ("Frequently asked questions?", "/p", "", "supporting"), ("Webinar: grants", "/p", body, "supporting"),
+        ("Top 10 grants for artists", "/p", body, "directory"), ("“River Fund 2024”", "/p", body, "program"), ("River Fund", "/p", "Nothing to see", "ambiguous"), ("Managing your grant", "/p", body, "supporting"),
+        ("River Fund", "/docs/form.pdf", body, "supporting"), ("All grants", "/p", body, "directory"), ("River Fund", "/faq/", body, "faq"), (None, "/p", None, "ambiguous"),
+    ]
+    rows = spark.createDataFrame([(i, t, "https://x.org" + p, b, r) for i, (t, p, b, r) in enumerate(cases)], "i int, title string, url string, body string, role string")
+    got = rows.withColumn("got", P.page_role(F.col("title"), F.col("url"), F.col("body"))).collect()
+    assert [(r.title, r.got) for r in got] == [(r.title, r.role) for r in got]
+    own = spark.createDataFrame([("Technical Assistance Awards", "https://www.rd.usda.gov/x", "A list of entities that received USDA funding"), ("Research-Practice Partnerships: more", "https://www.spencer.org/grant_types/research-practice-partnerships", "Research-Practice Partnership (RPP) Grants Program")], "title string, url string, body string")
+    assert [r[0] for r in own.select(P.page_role(F.col("title"), F.col("url"), F.col("body"))).collect()] == ["announcement", "program"]
+
+
+def test_merge_closure_stops_at_overlong_chains_and_cycles(spark):
+    from fundcat.operators import catalog as C
+
+    links = [(f"a{i}", f"a{i + 1}") for i in range(25)] + [("a25", None), ("x", "y"), ("y", "x"), ("z", "z")]
+    rows = spark.createDataFrame(links, "id string, merged_into string")
+    got = {r.id: (r.target, r.hops) for r in C.merge_closure(rows).collect()}
+    assert all(got[f"a{i}"] == (("a25", 25 - i) if i >= 5 else (None, None)) for i in range(25)) and all(got[i] == (None, None) for i in "xyz")
+    family = dict(C.merge_families(rows).collect())
+    assert family["a25"] == "a25" == family["a5"] and "a4" not in family and "x" not in family
 
 
 def test_page():
