@@ -18,6 +18,7 @@ becomes.
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -123,20 +124,25 @@ class Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes | tuple[str, ...]:
         found = _cut(chunk)
-        ids = [self.unit(u) for u in found]
+        ids = [*map(self.known.get, found)]
+        if None in ids:
+            ids = [*map(self.unit, found)]
         out = found if None in ids else b"".join(ids)
         if len(self) >= CHUNKS:
             self.clear()
         self[chunk] = out
         return out
 
-    def missing(self, text: str | None) -> list[str]:
-        """Units of a text that are not known, each once, in the order of the text."""
-        open_ = [c for c in map(self.__getitem__, self.of(text)) if type(c) is tuple]
-        return [u for u in dict.fromkeys(chain.from_iterable(open_)) if self.unit(u) is None]
+    def parts(self, text: str | None) -> tuple[list[bytes | tuple[str, ...]], list[str]]:
+        """What each chunk has, and the units that are not known, each once, in the order
+        of the text."""
+        parts = [*map(self.__getitem__, self.of(text))]
+        open_ = dict.fromkeys(chain.from_iterable([p for p in parts if type(p) is tuple]))
+        return parts, [u for u in open_ if self.unit(u) is None]
 
-    def ids(self, text: str | None, found: dict[str, bytes]) -> bytes:
-        parts = map(self.__getitem__, self.of(text))
+    def join(self, parts: list[bytes | tuple[str, ...]], found: dict[str, bytes]) -> bytes:
+        if not found:
+            return b"".join([p if type(p) is bytes else b"".join(map(self.unit, p)) for p in parts])
         return b"".join([p if type(p) is bytes else b"".join([found[u] if u in found else self.unit(u) for u in p]) for p in parts])
 
 
@@ -284,9 +290,9 @@ def _frequent(counted: DataFrame, most: int) -> DataFrame:
 
 
 def _packed(ids, model: Model) -> F.Column:
-    """Ids as bytes in the model's code."""
+    """Ids as the hex digits of the model's code."""
     digits = 2 * np.dtype(model.code).itemsize
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), ""))
+    return F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), "")
 
 
 def _known(rows: DataFrame, model: Model, frequent: int, sample: int) -> dict[str, bytes]:
@@ -295,7 +301,7 @@ def _known(rows: DataFrame, model: Model, frequent: int, sample: int) -> dict[st
     some = rows if total <= sample else rows.sample(sample / total, seed=1)
     chosen = _frequent(cut(units(some), "units").where(F.length("unit") <= LONGEST), frequent)
     found = encode_units(_dealt(chosen), model).select("unit", _packed(F.col("ids"), model).alias("ids"))
-    return {u: bytes(i) for u, i in cut(found, "frequent").toLocalIterator(prefetchPartitions=False)}
+    return {u: bytes.fromhex(i) for u, i in cut(found, "frequent").toLocalIterator(prefetchPartitions=False)}
 
 
 def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
@@ -312,12 +318,14 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, s
     # Rows that share a key share the units sent to them, which does no harm; rows
     # without text have no units, so any key will do.
     rows = rows.withColumn("key", F.when(F.length("text") > 0, F.xxhash64("doc_id", "text")).otherwise(F.monotonically_increasing_id()))
-    after = (1 << 31) - 1
+    # What crosses the shuffle: a unit's place in the list of those that its text misses,
+    # in four bytes, and its ids; or a mark that sorts behind them, the doc_id and the text.
+    last, head = b"\xff\xff\xff\xff", ">?q"
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks(sent.value[0])
         for b in batches:
-            missing = [chunks.missing(t) for t in b.column("text").to_pylist()]
+            missing = [chunks.parts(t)[1] for t in b.column("text").to_pylist()]
             n = np.array([len(m) for m in missing], dtype=np.int64)
             pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(pos, pa.int32()), pa.array([u for m in missing for u in m], pa.string())], ["key", "pos", "unit"])
@@ -325,57 +333,59 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, s
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor().compress
         for b in batches:
-            packed = pa.array([squeeze(t.encode()) if t else None for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.full(len(packed), after), pa.int32()), packed, b.column("doc_id")], ["key", "pos", "data", "doc_id"])
+            data = [last + struct.pack(head, i is not None, i or 0) + (squeeze(t.encode()) if t else b"") for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(data, pa.binary())], ["key", "data"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come by key, a key's units before its texts; a key may go on in the next batch.
+        # A key's units come before its texts, in order; both may go on in the next batch.
         chunks, open_up = Chunks(*sent.value), zstandard.ZstdDecompressor().decompress
-        texts = model.texts
-        now, own = None, {}
-
-        def gather(key: int, pos: list[int], data: list[bytes]) -> None:
-            nonlocal now, own
-            if key != now:
-                now, own = key, {}
-            own.update(zip(pos, data, strict=True))
-
+        names, body = model.texts.__getitem__, 4 + struct.calcsize(head)
+        now, own = None, []
         for b in batches:
-            keys, pos, data = b.column("key").to_numpy(), b.column("pos").to_numpy(), b.column("data").to_pylist()
-            at = np.flatnonzero(pos == after)
-            ids, good = [], []
-            for i, low in zip(at.tolist(), np.searchsorted(keys, keys[at]).tolist(), strict=True):
-                gather(int(keys[i]), pos[low:i].tolist(), data[low:i])
-                text = open_up(data[i]).decode() if data[i] else ""
-                found = {u: own[k] for k, u in enumerate(chunks.missing(text))} if own else {}
-                ids.append(np.frombuffer(chunks.ids(text, found), dtype=model.code).astype(np.int32))
-                good.append(decode_ids(ids[-1].tolist(), texts) == text)
-            if len(keys) and pos[-1] != after:
-                low = int(np.searchsorted(keys, keys[-1]))
-                gather(int(keys[-1]), pos[low:].tolist(), data[low:])
+            docs, ids, good = [], [], []
+            for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
+                if key != now:
+                    now, own = key, []
+                if data[:4] != last:
+                    own.append(data)
+                    continue
+                there, doc = struct.unpack_from(head, data, 4)
+                text = open_up(data[body:]).decode() if len(data) > body else ""
+                parts, missing = chunks.parts(text)
+                # Equal rows share a key: each of their units comes as often as they do.
+                found = dict(zip(missing, [x[4:] for x in own[:: len(own) // len(missing)]], strict=True)) if missing else {}
+                docs.append(doc if there else None)
+                ids.append(np.frombuffer(chunks.join(parts, found), dtype=model.code).astype(np.int32))
+                good.append(plain(b"".join(map(names, ids[-1].tolist()))) == text)
             n = np.array([len(i) for i in ids], dtype=np.int64)
             ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(n), pa.ListArray.from_arrays(ends, flat), pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n), pa.ListArray.from_arrays(ends, flat), pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
 
     # Units cross one shuffle, from which both their distinct ones and the way back to
     # the texts are read: the filter only keeps the columns of the two reads alike.
     dealt = _dealt(rows.mapInArrow(rare, "key long, pos int, unit string"))
     words = dealt.groupBy("unit").agg(F.count("key").alias("n"), F.max("pos").alias("last")).where("n > 0 and last >= 0")
     found = encode_units(words.select("unit", "n"), model).select("unit", _packed(F.col("ids"), model).alias("data"))
-    extra = dealt.join(found.hint("merge"), "unit").select("key", "pos", "data", F.lit(None).cast("long").alias("doc_id"))
-    packed = rows.mapInArrow(pack, "key long, pos int, data binary, doc_id long")
-    full = packed.unionByName(extra).repartition(partitions(spark), "key").sortWithinPartitions("key", "pos")
+    # Both sides are dealt alike and a task's distinct units are few, so nothing is sorted.
+    at = F.lpad(F.hex("pos"), 8, "0")
+    extra = dealt.join(found.hint("shuffle_hash"), "unit").select("key", F.unhex(F.concat(at, "data")).alias("data"))
+    packed = rows.mapInArrow(pack, "key long, data binary")
+    full = packed.unionByName(extra).repartition(partitions(spark), "key").sortWithinPartitions("key", "data")
     return full.mapInArrow(whole, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
-def decode_ids(ids: list[int], texts) -> str:
-    """The text of ids: pieces with marks as spaces, bytes as bytes, and without the
-    leading space that encoding adds."""
-    out = b"".join([texts[i] for i in ids]).decode("utf-8", "replace")
+def plain(raw: bytes) -> str:
+    """The text of pieces: without the leading space that encoding adds."""
+    out = raw.decode("utf-8", "replace")
     return out[1:] if out.startswith(" ") else out
 
 
+def decode_ids(ids: list[int], texts) -> str:
+    """The text of ids: pieces with marks as spaces, and bytes as bytes."""
+    return plain(b"".join(map(texts.__getitem__, ids)))
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, ids)`` -> ``(doc_id, text)``; null ids give null."""
     texts = list(Model.load(path).texts)
