@@ -76,7 +76,7 @@ VIEWS: dict[str, str] = {
         case (l_linenumber + l_suppkey) % 11 when 0 then case when l_quantity < 35 then 'open' else 'closed' end when 1 then case when l_quantity < 30 then '2024-01-10' else '2024-05-01' end when 2 then case when l_quantity < 40 then '10000' else '25000' end when 3 then 'true' when 4 then 'annual' when 5 then case when l_quantity < 25 then '2024-01-05' else '2024-03-01' end when 6 then case when l_quantity < 40 then '500' else '1000' end when 7 then 'Music' when 8 then case when l_quantity < 45 then 'Residents may apply.' else 'Members may apply.' end when 9 then 'nonprofit' else case when l_quantity < 20 then 'Canada' else 'United States' end end as value,
         case when l_orderkey % 5 = 0 then null when l_orderkey % 11 = 0 then 'unresolved' else cast(2022 + l_orderkey % 4 as string) end as cycle, l_tax = 0.08 as conflict from lineitem""",
     "slots": "select doc_id, text, source, n_chars, doc_id % greatest(1, cast(floor(n / 3) as bigint)) as r, greatest(1, cast(floor(n / 3) as bigint)) as slots from documents cross join (select count(*) as n from documents) as t",
-    "snapshot_bodies": """select doc_id, r, coalesce(text, '') || ' ' || case doc_id % 12 when 0 then 'Applications are now open.' when 1 then 'Applications are closed.' when 2 then 'Deadline: 2024-05-01.' when 3 then 'The application deadline is May ' || cast(1 + doc_id % 28 as string) || ', 2024.'
+    "snapshot_bodies": """select doc_id, r, coalesce(text, '') || ' ' || case doc_id % 12 when 0 then 'Applications are open.' when 1 then 'Applications are closed.' when 2 then 'Deadline: 2024-05-01.' when 3 then 'The application deadline is May ' || cast(1 + doc_id % 28 as string) || ', 2024.'
         when 4 then 'Grant amounts range from $' || cast(500 * (1 + doc_id % 7) as string) || ' to $5,000.' when 5 then 'Maximum award: $' || cast(1 + doc_id % 9 as string) || ',500.' when 6 then 'Applications are accepted on a rolling basis.' when 7 then 'The program is offered annually.'
         when 8 then 'Applicants must reside in ' || case doc_id % 5 when 0 then 'New York' when 1 then 'Canada' when 2 then 'New York City' when 3 then 'Austin, Texas' else 'the river valley' end || '.' when 9 then 'Eligible applicants include nonprofit organizations and students.' when 10 then 'Applications open: March 1, 2024.' else '' end as body from slots""",
     "crawl_snapshots": f"""select doc_id as id, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string) as url,
@@ -128,6 +128,21 @@ VIEWS: dict[str, str] = {
         case o_orderkey % 3 when 0 then 'amount' when 1 then 'name' end as sort, case o_orderkey % 5 when 0 then 'leads' when 1 then 'all' when 2 then 'none' end as result_type, case o_orderkey % 7 when 0 then '-5' when 1 then ' 2500 ' when 2 then '1e12' when 3 then 'NaN' when 4 then '' when 5 then '12.5' end as min_award,
         case o_orderkey % 6 when 0 then '3' when 1 then '99999' when 2 then '0' when 3 then '2.5' when 4 then 'two' end as page, case when o_orderkey % 8 = 0 then '4' else '' end as program_page, case when o_orderkey % 9 = 0 then '5' else '' end as lead_page, case when o_orderkey % 10 = 0 then '6' end as candidate_page, case when o_orderkey % 4 = 1 then '1' else 'yes' end as saved
         from orders join category_names c on c.n = o_orderkey % 14""",
+    "identity_urls": """select p_partkey as id, case p_partkey % 6 when 0 then 'https://www.nyfa.org/x/opportunity-info?a=1&id=' || cast(p_partkey as string) when 1 then 'https://www.grants.gov/search-results-detail/' || cast(p_partkey as string) || '/' when 2 then 'https://www.src' || cast(p_partkey % 20 as string) || '.example.org/'
+        when 3 then 'https://grants.gov/search-results-detail/x' || cast(p_partkey as string) when 4 then 'https://nyfa.org/opportunity-info?b=' || cast(p_partkey as string) else 'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(p_partkey as string) || '/?a=1' end as url from part""",
+    "phrases": "select c_custkey as id, t.phrase from customer join (values (0, 'the United States'), (1, 'ny'), (2, 'New York State'), (3, 'Worldwide'), (4, 'new york city'), (5, 'Georgia'), (6, 'Austin, TX'), (7, 'Austin, Texas, USA'), (8, 'Toronto, Ontario, Canada'), (9, 'Toronto, Canada'), (10, 'Canada and Mexico'), (11, 'Canada'), (12, 'UK'), (13, 'great britain'), (14, 'within Canada, Ontario, Canada'), (15, 'The Moon'), (16, 'a, b, c, Canada'), (17, ' california ')) as t(n, phrase) on t.n = c_custkey % 18",
+    "scopes": """select c_custkey as id, t.scope, case c_nationkey % 5 when 2 then 'Canada' when 3 then '' else 'United States' end as country, case c_nationkey % 5 when 0 then 'New York' when 1 then 'California' when 2 then 'Ontario' else '' end as state, case c_nationkey % 5 when 0 then 'New York City' when 2 then 'Toronto' else '' end as city
+        from customer join (values (0, 'United States'), (1, 'USA / New York'), (2, 'New York'), (3, 'New York City, New York'), (4, 'Worldwide'), (5, 'National'), (6, 'Canada | Ontario | Toronto'), (7, 'Toronto'), (8, 'Canada, France'), (9, 'Provider coverage; eligibility varies'), (10, 'Canada / Ontario'), (11, 'United States, New York City, Texas')) as t(n, scope) on t.n = c_custkey % 12""",
+    "review_lines": r"""select p_partkey as id, case p_partkey % 6 when 0 then 'United States | New York | New York City
+Worldwide' when 1 then ' Canada
+' when 2 then 'Canada|Ontario
+
+Mexico | | Oaxaca' when 3 then '' when 4 then '| Texas' else 'A|B|C|D' end as lines from part""",
+    "lifecycle_pages": """select 'o' || cast(p_partkey as string) as id, p_name || ' ' || p_type || ' Grant' as name, case when p_partkey % 5 = 0 then 'Other page' else 'About the ' || p_name || '-' || p_type || ' grant' end as title,
+        'Welcome to the page. ' || case p_partkey % 9 when 0 then 'This program has been permanently discontinued.' when 1 then 'The program is no longer offered this year.' when 2 then 'This fund may have been discontinued.' when 3 then p_name || ' ' || p_type || ' Grant has reopened!' when 4 then 'This grant is now accepting applications if funds allow.' when 5 then 'We say that this grant is permanently closed.'
+        when 6 then 'The program will no longer be offered after May. The program has resumed.' when 7 then 'This fellowship is open for applications.' else 'Nothing new' end || ' ' || p_brand || ' was here.' as text from part""",
+    "page_urls": f"""select doc_id as id, doc_id as snapshot_id, 'https://' || case when doc_id % 3 = 0 then 'www.' else '' end || 'src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string) || case doc_id % 7 when 1 then '/apply' when 2 then '/docs/guidelines' when 3 then '/faq/' else '' end as url, {_NOW} - (doc_id % 100) * interval '1' day as fetched_at from slots""",
+    "evidence_pages": f"""select 'o' || cast(r as string) as opportunity_id, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string) || case when doc_id % 2 = 0 then '/apply' else '/old' end as url, 'official-program-subpage' as association, doc_id as snapshot_id, {_NOW} - (doc_id % 50) * interval '1' day as fetched_at, doc_id % 3 as n_facts from slots where doc_id % 5 = 0""",
 }
 
 

@@ -23,3 +23,15 @@ FOCUS = {
 
 #: The time at which the registered queries ask.
 AS_OF = "2024-01-31 00:00:00"
+
+#: States by their codes; fixed values.
+STATES = tuple(
+    tuple(pair.split(":"))
+    for pair in (
+        "AL:Alabama|AK:Alaska|AZ:Arizona|AR:Arkansas|CA:California|CO:Colorado|CT:Connecticut|DE:Delaware|DC:District of Columbia|FL:Florida|GA:Georgia|HI:Hawaii|ID:Idaho|IL:Illinois|IN:Indiana|IA:Iowa|KS:Kansas|KY:Kentucky|LA:Louisiana|ME:Maine|MD:Maryland|"
+        "MA:Massachusetts|MI:Michigan|MN:Minnesota|MS:Mississippi|MO:Missouri|MT:Montana|NE:Nebraska|NV:Nevada|NH:New Hampshire|NJ:New Jersey|NM:New Mexico|NY:New York|NC:North Carolina|ND:North Dakota|OH:Ohio|OK:Oklahoma|OR:Oregon|PA:Pennsylvania|RI:Rhode Island|"
+        "SC:South Carolina|SD:South Dakota|TN:Tennessee|TX:Texas|UT:Utah|VT:Vermont|VA:Virginia|WA:Washington|WV:West Virginia|WI:Wisconsin|WY:Wyoming|PR:Puerto Rico"
+    ).split("|")
+)
+#: Countries that are known by name where a caller gives no list of its own.
+COUNTRIES = ("Australia", "Brazil", "Canada", "China", "France", "Georgia", "Germany", "India", "Ireland", "Italy", "Japan", "Kenya", "Mexico", "Netherlands", "New Zealand", "Nigeria", "South Africa", "Spain", "Sweden", "Switzerland", "United Kingdom", "United States")
