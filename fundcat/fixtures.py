@@ -143,6 +143,23 @@ Mexico | | Oaxaca' when 3 then '' when 4 then '| Texas' else 'A|B|C|D' end as li
         when 6 then 'The program will no longer be offered after May. The program has resumed.' when 7 then 'This fellowship is open for applications.' else 'Nothing new' end || ' ' || p_brand || ' was here.' as text from part""",
     "page_urls": f"""select doc_id as id, doc_id as snapshot_id, 'https://' || case when doc_id % 3 = 0 then 'www.' else '' end || 'src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string) || case doc_id % 7 when 1 then '/apply' when 2 then '/docs/guidelines' when 3 then '/faq/' else '' end as url, {_NOW} - (doc_id % 100) * interval '1' day as fetched_at from slots""",
     "evidence_pages": f"""select 'o' || cast(r as string) as opportunity_id, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string) || case when doc_id % 2 = 0 then '/apply' else '/old' end as url, 'official-program-subpage' as association, doc_id as snapshot_id, {_NOW} - (doc_id % 50) * interval '1' day as fetched_at, doc_id % 3 as n_facts from slots where doc_id % 5 = 0""",
+    "found_links": "select 'src' || cast(r % 20 as string) as source_id, case when doc_id % 11 = 0 then 'https://other' || cast(doc_id % 5 as string) || '.example.com/a' || cast(doc_id as string) else 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast((doc_id * 7) % slots as string) end as link, cast(doc_id % 6 as int) as depth from slots",
+    "crawl_frontier": "select 'src' || cast(p_partkey % 20 as string) as source_id, 'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(p_partkey as string) as url, cast(p_partkey % 4 as int) as depth from part",
+    "publication_runs": f"select doc_id as candidate_id, case doc_id % 5 when 0 then 'failed' when 1 then 'skipped' else 'updated' end as outcome, 'v' || cast(12 + doc_id % 3 as string) as parser_version, {_NOW} - (doc_id % 37) * interval '1' day as processed_at, cast(doc_id % 7 as int) as attempts from documents where doc_id % 4 <> 0",
+    "feed_records": """select case p_partkey % 2 when 0 then 'federal' else 'state' end as provider, cast(p_partkey as string) as external_id, 'https://src' || cast(p_partkey % 20 as string) || '.example.org/' || case when p_partkey % 3 = 0 then 'programs/' else 'feed/' end || cast(p_partkey as string) as url,
+        p_name || ' ' || p_type || case when p_partkey % 7 = 0 then ' GRANT' else ' Feed Grant' end as title, case when p_partkey % 11 = 0 then null else 'Supplier#00000000' || cast(1 + p_partkey % 9 as string) end as funder, 'size ' || cast(p_size as string) as content from part""",
+    "feed_known": "select provider, external_id, case when length(external_id) % 2 = 0 then 'o' || external_id end as opportunity_id, case when substr(content, 6, 1) in ('1', '3') then md5(title || '|' || coalesce(funder, '') || '|' || url || '|' || content) else 'old' end as hash from feed_records where provider = 'state'",
+    "suggestions": "select 'https://src' || cast(l_suppkey % 20 as string) || '.example.org/programs/' || cast(l_partkey as string) as url, case when l_linenumber % 2 = 0 then 'o' || cast(l_partkey as string) end as opportunity_id, case when l_linenumber % 2 = 0 then 'deadline' else 'program' end as field, l_orderkey % 40 as user_id, l_comment as proposed from (select *, cast(l_quantity as string) as l_comment from lineitem)",
+    "suggestions_old": "select p_partkey as id, 'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(p_partkey as string) as url, case when p_partkey % 2 = 0 then 'o' || cast(p_partkey as string) end as opportunity_id, case when p_partkey % 2 = 0 then 'deadline' else 'program' end as field, case p_partkey % 4 when 0 then 'checking' when 1 then 'decision' when 2 then 'unconfirmed' else 'applied' end as state from part",
+    "field_evidence": "select 'o' || cast(p_partkey as string) as opportunity_id, 'deadline' as field, case p_partkey % 5 when 0 then 'conflicting' when 1 then 'not_checked' when 2 then 'locked_conflict' else 'found' end as state, 'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(p_partkey - p_partkey % 3 as string) as evidence_url from part",
+    "lead_reports": "select o_orderkey % 700 as run_id, 'w' || cast(o_custkey as string) as workspace_id, 'https://src' || cast(o_orderkey % 20 as string) || '.example.org/programs/' || cast(o_orderkey % 90 as string) as url, 'Lead ' || cast(o_orderkey as string) as title, case when o_orderkey % 700 % 3 = 0 then 1 else 0 end as warnings, cast(o_orderdate as timestamp) as seen_at from orders",
+    "lead_store": "select 'w' || cast(c_custkey as string) as workspace_id, 'https://src' || cast(c_custkey % 20 as string) || '.example.org/programs/' || cast(c_custkey % 90 as string) as url, 'Old lead' as title, timestamp '1998-06-01 00:00:00' as seen_at from customer",
+    "target_jobs": "select c_custkey as job_id, case c_custkey % 4 when 0 then 'grant' when 1 then 'women' else '' end as q, n.name as category, case c_custkey % 3 when 0 then 'nonprofit' when 1 then 'individual' else 'business' end as applicant, cast(case c_custkey % 5 when 0 then 950 else 0 end as double) as min_award, case c_custkey % 7 when 0 then 'new' when 1 then 'updated' else '' end as freshness, case c_nationkey % 3 when 0 then 'United States' when 1 then 'Canada' end as country, case c_nationkey % 3 when 0 then 'New York' end as state from customer join category_names n on n.n = c_custkey % 14 where c_custkey % 10 = 0",
+    "worker_samples": "select event_id as id, cast(ts as timestamp) as started, cast(ts as timestamp) + (event_id % 150) * interval '1' minute as finished from events where event_type = 'signup'",
+    "worker_checks": "select user_id, cast(ts as timestamp) as at, 'https://src' || cast(user_id % 20 as string) || '.example.org/programs/' || cast(user_id as string) as url from events",
+    "search_raw": """select p_partkey % 50 as run_id, p_partkey as n, '{"results":[{"url":"https://a' || cast(p_partkey % 9 as string) || '.example.org/x/","title":" The <b>' || p_name || '</b> fund "},{"url":"http://plain.example.org","title":"no"},{"url":"https://b.example.org/' || cast(p_partkey % 40 as string) || '#top","title":"' || p_type || '"}]}' as raw from part""",
+    "cited_raw": """select p_partkey as id, '{"output":[{"type":"message","content":[{"type":"text","annotations":[{"type":"url_citation","url":"https://a.example.org/' || cast(p_partkey % 7 as string) || '/"},{"type":"url_citation","url":"https://a.example.org/' || cast(p_partkey % 3 as string) || '"},{"type":"file","url":"https://c.example.org/"},{"type":"url_citation","url":"https://d.example.org/?Token=1"},{"type":"url_citation","url":"http://e.example.org/"}]}]},{"type":"reasoning","content":[{"type":"text","annotations":[{"type":"url_citation","url":"https://f.example.org/"}]}]}]}' as raw from part""",
+    "ledger_requests": "select event_id as id, user_id % 7 as ledger, 'topic' || cast(user_id % 50 as string) as topic_key, cast(ts as timestamp) as ts from events",
 }
 
 

@@ -10,7 +10,7 @@ from fundcat.functions import roles as P
 from fundcat.functions.urls import canonical_url, is_safe
 from fundcat.operators import catalog as C
 from fundcat.operators import reports as R
-from fundcat.plans import evidence, leads, requests  # noqa: F401  register their queries
+from fundcat.plans import evidence, leads, publication, requests  # noqa: F401  register their queries
 from fundcat.plans.base import HOST, KEY, NOW, ORACLES, QUERIES, TODAY, VISIBLE, query  # noqa: F401
 from fundcat.schema import CATEGORIES, FOCUS
 from fundcat.sources.pages import page_parse
@@ -468,3 +468,6 @@ def flagship(c):
     """Open programs of a category with an award of 920 or more, by deadline."""
     rows = C.facet_filter(C.catalog_wide(c), (FLAGSHIP_CATEGORY,), status="open", min_award=920)
     return rows.orderBy(F.asc_nulls_last("current_deadline"), "name", "id").select("id", "name", "funder", "status", "current_deadline", "maximum_award")
+
+
+publication.register_targets()
