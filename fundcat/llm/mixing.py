@@ -89,21 +89,21 @@ def _inverse(a: list[list[float]]) -> list[list[float]]:
 
 def fit_rates(members: DataFrame, targets: dict[str, float]) -> list[list[float]]:
     """The steps of the fit, from rate 1, over ``posteriors`` rows. They are scaled by the
-    documents' tokens and by the domains' Gram matrix, so that a rate depends on a
-    document's domains and not on its length. Every step is one sum over the documents."""
+    documents' tokens and by the Gram matrix of the domains over the documents whose rate
+    is above zero, so that a rate depends on a document's domains and not on its length,
+    and few steps are needed. Every step is one sum over the documents."""
     k = len(targets)
     want = [w / sum(targets.values()) for w in targets.values()]
-    gram = [F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
-    first = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), *gram).first()
-    total = float(first["tokens"])
-    if not total:
-        return []
-    inverse = _inverse([[first[f"g{i}_{j}"] / total for j in range(k)] for i in range(k)])
     moves: list[list[float]] = []
     least, since = float("inf"), 0
     while True:
         now = members.select("tokens", *[f"p{i}" for i in range(k)], rate(moves, k).alias("rate"))
-        have = now.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{i}")).alias(f"h{i}") for i in range(k)]).first()
+        sums = [F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{i}")).alias(f"h{i}") for i in range(k)]
+        gram = [F.sum(F.when(F.col("rate") > 0, F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}"))).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
+        have = now.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), *sums, *gram).first()
+        total = float(have["tokens"])
+        if not total:
+            return []
         off = [have[f"h{i}"] / total - want[i] for i in range(k)]
         worst = max(map(abs, off))
         least, since = (worst, 0) if worst < 0.99 * least else (least, since + 1)
@@ -112,6 +112,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float]) -> list[list[float]
         if since == PATIENCE:
             warnings.warn(f"mixing stopped {worst:.2g} of all tokens from its targets", stacklevel=2)
             return moves
+        inverse = _inverse([[(have[f"g{i}_{j}"] or 0.0) / total for j in range(k)] for i in range(k)])
         moves.append([sum(inverse[i][j] * off[j] for j in range(k)) for i in range(k)])
 
 
