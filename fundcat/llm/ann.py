@@ -26,10 +26,10 @@ SAMPLE, MAX_LISTS = 20_000, 4_096
 #: Components of a residual that share a code, and values of a code.
 PART, CODES = 4, 256
 #: Recall of the probed lists that the number of probes is set for, on the sample.
-PROBE_RECALL = 0.985
+PROBE_RECALL = 0.99
 #: Codes in a block, queries that meet a block in one task, queries scored at once in it,
 #: and candidates of a query that are ranked again.
-VECTORS, QUERIES_AT_ONCE, CHUNK, AGAIN = 16_384, 4_096, 128, 200
+VECTORS, QUERIES_AT_ONCE, CHUNK, AGAIN = 16_384, 4_096, 128, 300
 #: 128 bits of hash: what tells one vector from another.
 PRINT = ("print1", "print2")
 
