@@ -29,7 +29,7 @@ VIEWS: dict[str, str] = {
         'Funding for ' || p_name || ' projects' || case p_partkey % 7 when 1 then ' led by women' when 2 then ' in rural areas' when 3 then ' for veterans' when 4 then ' for low-income youth' else '' end as summary,
         case when p_partkey % 8 = 0 then 'Unknown' else 'Applicants in ' || p_brand end as eligibility_notes,
         'f' || cast(p_partkey % 10 as string) as funder_id,
-        'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(case when p_partkey % 50 = 21 then p_partkey - 20 else p_partkey end as string) as source_url,
+        'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(case when p_partkey % 50 = 21 then p_partkey - 20 else p_partkey end as string) || case when p_partkey % 50 = 21 and p_partkey % 100 > 50 then '/apply-now/' else '' end as source_url,
         case p_size % 5 when 0 then 'open' when 1 then 'upcoming' when 2 then 'closed' when 3 then 'unknown' else 'open' end as application_status,
         case when p_partkey % 4 <> 0 then date '2024-01-31' + cast(p_partkey % 121 - 60 as int) end as deadline,
         case when p_partkey % 6 = 0 then date '2024-01-31' + cast(p_partkey % 41 - 20 as int) end as opens,
@@ -83,7 +83,7 @@ VIEWS: dict[str, str] = {
         {_NOW} - (doc_id % 100) * interval '1' day as fetched_at, md5(body) as content_hash, 'v' || cast(doc_id % 3 as string) as extractor,
         case doc_id % 16 when 0 then 'Rural Arts Fund ' || cast(r as string) when 1 then 'River Fellowship Program' when 2 then 'Grants' when 3 then 'How to write a grant' when 4 then 'FAQ for applicants' when 5 then 'Grant guidelines' when 6 then 'Award recipients 2023' when 7 then 'Funding opportunities'
          when 8 then 'Apply for the River Grant' when 9 then 'Contact us' when 10 then 'Who can apply?' when 11 then 'Terms and conditions' when 12 then 'Grant recap' when 13 then 'Music Fund ' || cast(r as string) when 14 then '"Community Award 2024"' else 'Top 10 grants for artists' end as title, body from snapshot_bodies
-        union all select -1 - doc_id, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string), {_NOW} - (doc_id % 100) * interval '1' day + interval '6' hour, md5(body), 'v' || cast(doc_id % 3 as string), 'Program ' || cast(r as string), body from snapshot_bodies where doc_id % 4 = 0""",
+        union all select -1 - doc_id, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string), {_NOW} - (doc_id % 100) * interval '1' day + interval '6' hour, md5(body), 'v' || cast(doc_id % 3 as string), 'Program ' || cast(r as string), body from snapshot_bodies where doc_id % 2 = 1""",
     "crawl_sources": "select source as id, 'https://' || source || '.example.org/' as url, source || '.example.org' as domain, min(doc_id) % 7 <> 0 as enabled from documents group by source",
     "crawl_visits": "select event_id as id, date_trunc('hour', cast(ts as timestamp)) as run, 'src' || cast(user_id % 20 as string) as source_id, 'o' || cast(user_id as string) as opportunity_id, cast(ts as timestamp) as ts, case event_type when 'error' then 'failed' when 'signup' then 'discontinued' when 'purchase' then 'reopened' else 'read' end as outcome from events",
     "asof_events": "select event_id, cast(ts as timestamp) as ts, 'https://src' || cast((event_id % slots) % 20 as string) || '.example.org/programs/' || cast(event_id % slots as string) as url from events cross join (select max(slots) as slots from slots) as t",
@@ -122,7 +122,7 @@ VIEWS: dict[str, str] = {
     "feed_state_raw": """select p_partkey as n, '{"PortalID":' || cast(p_partkey as string) || ',"Title":"' || case when p_partkey % 11 = 0 then 'Short' else p_name || ' ' || p_type || ' Program' end || '","Type":"' || case when p_partkey % 5 = 0 then 'Loan' else ' Grant' end || '","Status":"' || case p_partkey % 3 when 0 then 'closed' when 1 then 'active' else 'forecasted' end || '","AgencyDept":"' || p_brand
         || '","ApplicantType":"Nonprofit; ' || case when p_partkey % 2 = 0 then 'Business' else 'Tribe' end || '","Geography":"' || case when p_partkey % 4 = 0 then 'Statewide.' else 'Coast only' end || '","EstAmounts":"' || case p_partkey % 3 when 0 then 'Between $500 and $1,000' when 1 then '$2,500' else 'Between $900 and $100' end || '","ApplicationDeadline":"' || case p_partkey % 4 when 0 then 'Ongoing' when 1 then '01/10/2024' else '2024-06-01' end || '"}' as raw from part""",
     "award_raw": """select p_partkey as n, '{"results":[{"appl_id":' || cast(p_partkey as string) || ',"opportunity_number":"PAR-' || cast(p_partkey % 40 as string) || '","project_title":"' || p_name || '","fiscal_year":2023},{"appl_id":' || cast(p_partkey + 1000000 as string) || ',"opportunity_number":"PAR-' || cast(p_partkey % 7 as string) || '","project_title":"' || p_type || '","fiscal_year":2022}]}' as raw from part""",
-    "search_requests": "select conv_id, turn, text as q from conversations where role = 'user'",
+    "search_requests": "select conv_id, turn, text as q, c.name as category, case conv_id % 3 when 0 then 'United States' when 1 then 'Canada' end as country, case conv_id % 6 when 0 then 'New York' end as state, case conv_id % 4 when 0 then 'nonprofit' else '' end as applicant, case conv_id % 5 when 0 then 'open' else '' end as status, cast(conv_id % 2 * 500 as double) as min_award from conversations join category_names c on c.n = conv_id % 14 where role = 'user'",
     "raw_filters": """select o_orderkey as id, '  ' || o_orderpriority || ' ' || repeat('x', cast(o_orderkey % 3 * 110 as int)) as q, split(c.name || case when o_orderkey % 3 = 0 then ';Other;' else ';Music;' end || c.name, ';') as category, split(case when o_orderkey % 4 = 0 then 'rural' else 'moon' end || ';youth;youth', ';') as focus,
         case o_orderkey % 5 when 0 then 'nonprofit' when 1 then 'robot' when 2 then 'student' end as applicant, case when o_orderkey % 3 = 0 then 'nyc' else 'mars' end as location, case o_orderkey % 4 when 0 then 'open' when 1 then 'between_rounds' when 2 then '' else 'never' end as status, case when o_orderkey % 6 = 0 then 'new' else 'old' end as freshness,
         case o_orderkey % 3 when 0 then 'amount' when 1 then 'name' end as sort, case o_orderkey % 5 when 0 then 'leads' when 1 then 'all' when 2 then 'none' end as result_type, case o_orderkey % 7 when 0 then '-5' when 1 then ' 2500 ' when 2 then '1e12' when 3 then 'NaN' when 4 then '' when 5 then '12.5' end as min_award,
@@ -147,7 +147,7 @@ Mexico | | Oaxaca' when 3 then '' when 4 then '| Texas' else 'A|B|C|D' end as li
     "crawl_frontier": "select 'src' || cast(p_partkey % 20 as string) as source_id, 'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(p_partkey as string) as url, cast(p_partkey % 4 as int) as depth from part",
     "publication_runs": f"select doc_id as candidate_id, case doc_id % 5 when 0 then 'failed' when 1 then 'skipped' else 'updated' end as outcome, 'v' || cast(12 + doc_id % 3 as string) as parser_version, {_NOW} - (doc_id % 37) * interval '1' day as processed_at, cast(doc_id % 7 as int) as attempts from documents where doc_id % 4 <> 0",
     "feed_records": """select case p_partkey % 2 when 0 then 'federal' else 'state' end as provider, cast(p_partkey as string) as external_id, 'https://src' || cast(p_partkey % 20 as string) || '.example.org/' || case when p_partkey % 3 = 0 then 'programs/' else 'feed/' end || cast(p_partkey as string) as url,
-        p_name || ' ' || p_type || case when p_partkey % 7 = 0 then ' GRANT' else ' Feed Grant' end as title, case when p_partkey % 11 = 0 then null else 'Supplier#00000000' || cast(1 + p_partkey % 9 as string) end as funder, 'size ' || cast(p_size as string) as content from part""",
+        p_name || ' ' || p_type || case when p_partkey % 7 = 0 then ' GRANT' else ' Feed Fund' end as title, case when p_partkey % 11 = 0 then null else 'Supplier#00000000' || cast(1 + p_partkey % 9 as string) end as funder, 'size ' || cast(p_size as string) as content from part""",
     "feed_known": "select provider, external_id, case when length(external_id) % 2 = 0 then 'o' || external_id end as opportunity_id, case when substr(content, 6, 1) in ('1', '3') then md5(title || '|' || coalesce(funder, '') || '|' || url || '|' || content) else 'old' end as hash from feed_records where provider = 'state'",
     "suggestions": "select 'https://src' || cast(l_suppkey % 20 as string) || '.example.org/programs/' || cast(l_partkey as string) as url, case when l_linenumber % 2 = 0 then 'o' || cast(l_partkey as string) end as opportunity_id, case when l_linenumber % 2 = 0 then 'deadline' else 'program' end as field, l_orderkey % 40 as user_id, l_comment as proposed from (select *, cast(l_quantity as string) as l_comment from lineitem)",
     "suggestions_old": "select p_partkey as id, 'https://src' || cast(p_partkey % 20 as string) || '.example.org/programs/' || cast(p_partkey as string) as url, case when p_partkey % 2 = 0 then 'o' || cast(p_partkey as string) end as opportunity_id, case when p_partkey % 2 = 0 then 'deadline' else 'program' end as field, case p_partkey % 4 when 0 then 'checking' when 1 then 'decision' when 2 then 'unconfirmed' else 'applied' end as state from part",
@@ -160,6 +160,8 @@ Mexico | | Oaxaca' when 3 then '' when 4 then '| Texas' else 'A|B|C|D' end as li
     "search_raw": """select p_partkey % 50 as run_id, p_partkey as n, '{"results":[{"url":"https://a' || cast(p_partkey % 9 as string) || '.example.org/x/","title":" The <b>' || p_name || '</b> fund "},{"url":"http://plain.example.org","title":"no"},{"url":"https://b.example.org/' || cast(p_partkey % 40 as string) || '#top","title":"' || p_type || '"}]}' as raw from part""",
     "cited_raw": """select p_partkey as id, '{"output":[{"type":"message","content":[{"type":"text","annotations":[{"type":"url_citation","url":"https://a.example.org/' || cast(p_partkey % 7 as string) || '/"},{"type":"url_citation","url":"https://a.example.org/' || cast(p_partkey % 3 as string) || '"},{"type":"file","url":"https://c.example.org/"},{"type":"url_citation","url":"https://d.example.org/?Token=1"},{"type":"url_citation","url":"http://e.example.org/"}]}]},{"type":"reasoning","content":[{"type":"text","annotations":[{"type":"url_citation","url":"https://f.example.org/"}]}]}]}' as raw from part""",
     "ledger_requests": "select event_id as id, user_id % 7 as ledger, 'topic' || cast(user_id % 50 as string) as topic_key, cast(ts as timestamp) as ts from events",
+    "snapshot_refs": "select snapshot_id from crawl_candidates union all select snapshot_id from evidence_pages union all select -1 - doc_id from documents where doc_id % 16 = 1 union all select -1 - doc_id from documents where doc_id % 24 = 9",
+    "date_texts": "select o_orderkey as id, case o_orderkey % 7 when 0 then cast(cast(o_orderdate as date) as string) when 1 then ' ' || cast(cast(o_orderdate as date) as string) || ' 00:00' when 2 then cast(extract(month from o_orderdate) as string) || '/' || cast(extract(day from o_orderdate) as string) || '/1999' when 3 then '2024-02-30' when 4 then 'Ongoing' when 5 then '13/1/2024' end as raw from orders",
 }
 
 

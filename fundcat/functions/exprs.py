@@ -23,6 +23,12 @@ def word(col, pattern: str) -> Column:
     return F.col(col).rlike(f"(?i){START}(?:{pattern}){STOP}") if isinstance(col, str) else col.rlike(f"(?i){START}(?:{pattern}){STOP}")
 
 
+def once(expr: Column) -> Column:
+    """A long expression as a column that later ones refer to: generated, so that the
+    optimizer does not write it out in each of them."""
+    return F.explode(F.array(expr))
+
+
 def visible() -> Column:
     """Programs that the public sees."""
     return ~F.col("is_demo") & F.col("merged_into").isNull() & (F.col("publication_state") == "published") & (F.col("verification_status") != "archived")
@@ -87,6 +93,13 @@ def backoff_hours(failures) -> Column:
     return F.least(F.lit(168), F.pow(F.lit(2), F.least(failures, F.lit(7)))).cast("int")
 
 
+def backoff_seconds(failures, kind: str) -> Column:
+    """Seconds to the next try: of a page, a search (from five minutes to a day) or a feed
+    (from a quarter of an hour to a day)."""
+    grown = lambda first, most: F.least(F.lit(86400), F.lit(first) * F.pow(F.lit(2), F.least(failures, F.lit(most)))).cast("long")
+    return {"page": backoff_hours(failures).cast("long") * 3600, "search": grown(300, 8), "feed": grown(900, 6)}[kind]
+
+
 def source_date(text) -> Column:
     """A valid ISO or US date, else null."""
     iso = F.regexp_extract(text, "^\\s*(\\d{4}-\\d{2}-\\d{2})", 1)

@@ -298,11 +298,17 @@ def identity_collapse(opps: DataFrame) -> DataFrame:
 
 
 def duplicate_programs(opps: DataFrame) -> DataFrame:
-    """``(id, first_id)``: programs whose key an earlier one has. The key's first is an
-    aggregate that is joined back, so a common key makes no pairs."""
-    keyed = opps.select("id", "k", X.program_key(F.col("name")).alias("key"), F.col("funder_id"))
-    first = keyed.groupBy("key", "funder_id").agg(F.min("k").alias("first_k"))
-    return keyed.join(first, ["key", "funder_id"]).where("k <> first_k").select("id", F.concat(F.lit("o"), F.col("first_k").cast("string")).alias("first_id"))
+    """``(id, first_id)``: programs whose key an earlier one has, and application pages
+    below an earlier program's url. The first of each key is an aggregate that is joined
+    back, so a common key makes no pairs."""
+    url = F.regexp_replace("source_url", "/+$", "")
+    keyed = opps.select("id", "k", X.program_key(F.col("name")).alias("key"), url.alias("url"), F.regexp_replace(url, "/(?:apply-now|application)$", "").alias("parent"))
+    named = keyed.groupBy("key").agg(F.min("k").alias("by_name"))
+    urls = keyed.groupBy(F.col("url").alias("parent")).agg(F.min("k").alias("by_url"))
+    rows = keyed.join(named, "key").join(urls, "parent", "left")
+    above = F.when((F.col("parent") != F.col("url")) & (F.col("by_url") != F.col("k")), F.col("by_url"))
+    first = F.coalesce(F.when(F.col("by_name") != F.col("k"), F.col("by_name")), above)
+    return rows.select("id", first.alias("first_k")).where("first_k is not null").select("id", F.concat(F.lit("o"), F.col("first_k").cast("string")).alias("first_id"))
 
 
 def published_urls(opps: DataFrame, aliases: DataFrame) -> DataFrame:

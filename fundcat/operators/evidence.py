@@ -53,9 +53,11 @@ def _group(text: Column, pattern: str, n: int) -> Column:
     return F.regexp_extract(text, ascii_words(pattern), n)
 
 
-def _facts(body: Column, pattern: str, make: Callable[[Column], list[tuple[Column, str, Column]]], excerpt: str = "") -> Column:
+def _facts(body: Column, pattern: str, make: Callable[[Column], list[tuple[Column, str, Column]]], excerpt: str = "", needs: str = "") -> Column:
     """Facts of every match: ``make`` gives (whether, field, value) for a match. The
-    excerpt is the match, or the part of it that is of a pattern of its own."""
+    excerpt is the match, or the part of it that is of a pattern of its own. Patterns
+    with room before their words are slow; texts without ``needs`` are passed over."""
+    body = F.when(_has(body, needs), body).otherwise("") if needs else body
 
     def of(m: Column) -> Column:
         return F.array_compact(F.array(*[F.when(holds & value.isNotNull(), F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), (_group(m, excerpt, 0) if excerpt else m).alias("excerpt"), F.lit(f"explicit-program-{field}").alias("rule"), F.lit(False).alias("conflict"))) for holds, field, value in make(m)]))
@@ -122,16 +124,16 @@ def text_facts(pages: DataFrame) -> DataFrame:
         _facts(body, ROLLING, lambda m: [(yes, "rolling", F.lit("true")), (_has(m, "accepted"), "status", F.lit("open"))]),
         _facts(body, RESIDENCY, place),
         _facts(body, DEADLINE_ISO, iso),
-        _facts(body, STATUS, status),
+        _facts(body, STATUS, status, needs="applications (are |currently |now |open|closed|being|not being)"),
         _facts(body, DEADLINE_MONTH, dated(DEADLINE_MONTH, "deadline")),
-        _facts(body, before, recurs, RECURRENCE),
+        _facts(body, before, recurs, RECURRENCE, needs=RECURRENCE),
         _facts(body, ONE_TIME, lambda m: [(yes, "recurrence", F.lit("one_time"))]),
         _facts(body, OPENS, dated(OPENS, "opens")),
     ]
     stating = pages.where(~P.page_role(F.col("title"), F.col("url"), body).isin("directory", "announcement", "ambiguous"))
     named, said = _group(F.coalesce("title", F.lit("")), CYCLE_TITLE, 0), _group(body, CYCLE_TEXT, 0)
     page_cycle = F.nullif(F.regexp_replace(F.regexp_extract(F.when(named != "", named).otherwise(said), CYCLE_YEARS, 0), r"\s", ""), F.lit(""))
-    rows = stating.select("id", "url", "fetched_at", "body", page_cycle.alias("page_cycle"), F.concat(*rules).alias("facts"))
+    rows = stating.select("id", "url", "fetched_at", "body", page_cycle.alias("page_cycle"), X.once(F.concat(*rules)).alias("facts"))
     # An opening with a date says nothing on today; a closing day other than the deadline's
     # is a conflict of the timeline.
     opening = F.regexp_extract(body, ascii_words(OPENS.replace("(?:will )?", "")), 0)

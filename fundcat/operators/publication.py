@@ -63,7 +63,7 @@ def publish_decide(candidates: DataFrame, snaps: DataFrame, sources: DataFrame,
     body = snaps.select(F.col("id").alias("snapshot_id"), "body")
     c = candidates.join(body, "snapshot_id", "left").join(sources.select(F.col("id").alias("source_id"), "domain"), "source_id", "left")
     c = c.join(newest, "url", "left").join(by_alias, "url", "left").join(by_url, "url", "left").join(proven, "id", "left")
-    c = c.withColumn("reason", P.classify_candidate(F.col("title"), F.col("url"), F.col("body"))).withColumn("key", X.program_key(F.col("title")))
+    c = c.withColumn("reason", X.once(P.classify_candidate(F.col("title"), F.col("url"), F.col("body")))).withColumn("key", X.program_key(F.col("title")))
     # The body has said what it can.
     c = c.select("id", "url", "title", "status", "kind", "content_hash", "newest_hash", "domain", "reason", "key", F.col("body").isNotNull().alias("read"), "ways", "by_page", F.coalesce("by_alias", "opportunity_id", "by_url", F.when(F.col("ways") == 1, F.col("by_page"))).alias("grant_id"))
     c = c.join(keyed, "key", "left").join(closed, "grant_id", "left")

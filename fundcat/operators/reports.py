@@ -62,11 +62,15 @@ def budget_totals(prep: DataFrame) -> DataFrame:
     return rows.groupBy("application_id").agg(F.sum("cost").alias("cost_cents"), F.sum("requested").alias("requested_cents"), F.sum(F.col("cost") - F.col("requested")).alias("other_cents"))
 
 
-def open_tasks(tasks: DataFrame, apps: DataFrame) -> DataFrame:
-    """Open tasks of active applications, with their place in the workspace's list."""
+def open_tasks(tasks: DataFrame, apps: DataFrame, saved: DataFrame) -> DataFrame:
+    """Open tasks of active applications, and of saved programs in the workspace that
+    saved them, with their place in the workspace's list."""
     active = apps.where("not archived and stage not in ('awarded', 'declined', 'withdrawn')").select(F.col("id").alias("application_id"), "workspace_id")
+    of_apps = tasks.where("not completed and not deleted").join(active, "application_id").select("id", "workspace_id", "due")
+    mine = apps.select(F.col("id").alias("application_id"), "workspace_id", "opportunity_id").join(active.select("application_id"), "application_id", "left_anti")
+    of_saved = tasks.where("not completed and not deleted").join(mine, "application_id").join(saved.select("workspace_id", "opportunity_id").distinct(), ["workspace_id", "opportunity_id"], "left_semi").select("id", "workspace_id", "due")
     order = Window.partitionBy("workspace_id").orderBy(F.asc_nulls_last("due"), "id")
-    return tasks.where("not completed and not deleted").join(active, "application_id").select("id", "workspace_id", "due").withColumn("place", F.row_number().over(order))
+    return of_apps.union(of_saved).withColumn("place", F.row_number().over(order))
 
 
 def source_coverage(sources: DataFrame, snaps: DataFrame) -> DataFrame:
@@ -75,9 +79,12 @@ def source_coverage(sources: DataFrame, snaps: DataFrame) -> DataFrame:
     return sources.join(per, "domain", "left").select("id", "enabled", F.coalesce("urls", F.lit(0)).alias("urls"), F.coalesce("snapshots", F.lit(0)).alias("snapshots"))
 
 
-def crawl_summary(visits: DataFrame) -> DataFrame:
-    """Per run: visits, failures, and sources seen."""
-    return visits.groupBy("run").agg(F.count(F.lit(1)).alias("pages"), n_if(F.col("outcome") == "failed").alias("failed"), F.count_distinct("source_id").alias("sources"))
+def crawl_summary(visits: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per run: visits, failures, and sources seen; and the backlog of pending page
+    candidates, which is the same for all."""
+    per = visits.groupBy("run").agg(F.count(F.lit(1)).alias("pages"), n_if(F.col("outcome") == "failed").alias("failed"), F.count_distinct("source_id").alias("sources"))
+    backlog = candidates.where("status = 'pending' and kind <> 'domain'").agg(F.count(F.lit(1)).alias("backlog"))
+    return per.join(F.broadcast(backlog))  # one row
 
 
 def source_health(sources: DataFrame, visits: DataFrame) -> DataFrame:
@@ -92,11 +99,13 @@ def evidence_fingerprint(snaps: DataFrame) -> DataFrame:
 
 
 def snapshot_changes(snaps: DataFrame) -> DataFrame:
-    """Snapshots whose hash or extractor is not that of the one before."""
+    """Snapshots whose hash or extractor is not that of the one before, with the id of
+    that one. Bodies stay out of the window and are fetched by id."""
     w = Window.partitionBy("url").orderBy("fetched_at", "id")
-    rows = snaps.select("id", "url", "content_hash", "extractor", F.lag("content_hash").over(w).alias("old_hash"), F.lag("extractor").over(w).alias("old_extractor"), F.row_number().over(w).alias("n"))
+    rows = snaps.select("id", "url", "content_hash", "extractor", F.lag("content_hash").over(w).alias("old_hash"), F.lag("extractor").over(w).alias("old_extractor"), F.lag("id").over(w).alias("before"), F.row_number().over(w).alias("n"))
     changed = (F.col("n") == 1) | (F.col("content_hash") != F.col("old_hash")) | (F.col("extractor") != F.col("old_extractor"))
-    return rows.where(changed).select("id", "url", F.when(F.col("n") == 1, "new").otherwise("changed").alias("kind"))
+    excerpts = snaps.select(F.col("id").alias("before"), F.substring("body", 1, 12000).alias("previous_excerpt"))
+    return rows.where(changed).join(excerpts, "before", "left").select("id", "url", F.when(F.col("n") == 1, "new").otherwise("changed").alias("kind"), "before", "previous_excerpt")
 
 
 def enrichment_order(opps: DataFrame, as_of: str = AS_OF) -> DataFrame:
@@ -118,35 +127,58 @@ def frontier_select(opps: DataFrame, monitor: DataFrame, per_source: int = 50, l
     return few.orderBy("turn", "last_checked_at", "id").limit(limit).select("id", "source", "turn")
 
 
-def prune_snapshots(snaps: DataFrame, opps: DataFrame, keep_days: int = 90, most: int = 500, as_of: str = AS_OF) -> DataFrame:
-    """Old snapshots that nothing refers to: the newest of a url is referred to."""
-    newest = snaps.groupBy("url").agg(F.max(F.struct("fetched_at", "id")).alias("t")).select(F.col("t.id").alias("id"))
-    old = snaps.where(F.col("fetched_at") < X.now(as_of) - X.days(keep_days)).join(newest, "id", "left_anti")
-    return old.orderBy("fetched_at", "id").limit(most).select("id", "url", "fetched_at")
-
-
-def activity_feed(visits: DataFrame, saved: DataFrame, apps: DataFrame) -> DataFrame:
-    """Logs as one feed; ``day`` and ``kind`` with counts."""
-    logs = visits.select("ts", F.concat(F.lit("visit:"), "outcome").alias("kind")).unionByName(saved.select(F.col("saved_at").alias("ts"), F.lit("saved").alias("kind"))).unionByName(apps.select(F.col("created_at").alias("ts"), F.concat(F.lit("application:"), "stage").alias("kind")))
-    return logs.groupBy(F.to_date("ts").alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-def attention_queue(opps: DataFrame, monitor: DataFrame) -> DataFrame:
-    """Items that need a decision: duplicates and failing programs."""
+def prune_snapshots(snaps: DataFrame, opps: DataFrame, referrers: DataFrame, keep_days: int = 90, most: int = 500, as_of: str = AS_OF) -> DataFrame:
+    """The oldest snapshots that nothing refers to: no row of ``referrers(snapshot_id)``,
+    the union of the tables that hold snapshots, and no program by its url."""
+    used = referrers.select(F.col("snapshot_id").alias("id")).distinct()
+    urls = opps.select(F.col("source_url").alias("url")).distinct()
+    old = snaps.where(F.col("fetched_at") < X.now(as_of) - X.days(keep_days)).select("id", "url", "fetched_at")
+    return old.join(used, "id", "left_anti").join(urls, "url", "left_anti").orderBy("fetched_at", "id").limit(most).select("id", "url", "fetched_at")
+
+
+def activity_feed(logs: dict[str, tuple[DataFrame, str, str]], most: int = 200) -> DataFrame:
+    """Event logs as one feed, newest first: ``(ts, kind, ref)``. ``logs`` names for each
+    log its rows, the time column and the column that says what happened; a log gives its
+    ``most`` newest rows to the union, so the feed is never sorted whole."""
+    parts = []
+    for name, (rows, ts, what) in logs.items():
+        part = rows.select(F.col(ts).alias("ts"), F.concat_ws(":", F.lit(name), F.col(what).cast("string")).alias("kind"), F.col("ref").cast("string").alias("ref"))
+        parts.append(part.orderBy(F.desc("ts"), "kind", "ref").limit(most))
+    feed = parts[0]
+    for part in parts[1:]:
+        feed = feed.unionByName(part)
+    return feed.orderBy(F.desc("ts"), "kind", "ref").limit(most)
+
+
+def attention_queue(opps: DataFrame, monitor: DataFrame, fields: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Items that need a decision: likely duplicates, locked fields that differ from the
+    evidence, programs whose checks fail, and domains that nobody has approved."""
     from fundcat.operators.catalog import duplicate_programs
 
+    text = lambda c: F.col(c).cast("string")
     twins = duplicate_programs(visible_programs(opps)).select("id", F.lit("duplicate").alias("kind"), F.col("first_id").alias("detail"))
-    failing = monitor.where("consecutive_failures >= 3").select(F.col("opportunity_id").alias("id"), F.lit("unavailable").alias("kind"), F.col("consecutive_failures").cast("string").alias("detail"))
-    return twins.unionByName(failing)
+    failing = monitor.where("consecutive_failures >= 3").select(F.col("opportunity_id").alias("id"), F.lit("unavailable").alias("kind"), text("consecutive_failures").alias("detail"))
+    locked = fields.where("state = 'locked_conflict'").select(F.col("opportunity_id").alias("id"), F.lit("locked").alias("kind"), F.col("field").alias("detail"))
+    domains = candidates.where("status = 'pending' and kind = 'domain'").groupBy(X.host_of(F.col("url")).alias("detail")).agg(F.min("id").cast("string").alias("id")).select("id", F.lit("domain").alias("kind"), "detail")
+    return twins.unionByName(failing).unionByName(locked).unionByName(domains)
+
+
+#: Words that a search does without.
+STOP_WORDS = ("and", "for", "the", "with")
 
 
 def search_intent(requests: DataFrame) -> DataFrame:
-    """Requests by a key that equal searches share: their distinct words of 3 to 30
-    letters, the first twelve, in order."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("q"), F.lit("[a-z0-9]+"), F.lit(0)))
-    tokens = F.array_sort(F.slice(F.filter(words, lambda w: F.length(w).between(3, 30)), 1, 12))
-    text = F.array_join(tokens, " ")
-    return requests.select("conv_id", "turn", text.alias("tokens"), F.sha2(text, 256).alias("intent"))
+    """``requests(conv_id, turn, q, categories, country, state, city, applicant, status,
+    min_award)`` -> the key that equal searches share: the first twelve distinct tokens of
+    3 to 30 letters without stop words, sorted categories, the place in lower case, and
+    the constraints."""
+    said = F.lower(F.concat_ws(" ", "q", F.array_join("categories", " ")))
+    tokens = F.array_distinct(F.regexp_extract_all(said, F.lit("[a-z0-9]{3,30}"), F.lit(0)))
+    terms = F.array_sort(F.slice(F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS)), 1, 12))
+    asked = F.array_sort(F.filter(F.split(F.lower("q"), r"\s+"), lambda t: t != ""))
+    place = F.lower(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("country", "state", "city")]))
+    key = F.concat_ws("\n", F.array_join(terms, " "), F.array_join(F.array_sort("categories"), "|"), place, F.array_join(asked, " "), "applicant", "status", F.col("min_award").cast("long").cast("string"))
+    return requests.select("conv_id", "turn", F.array_join(terms, " ").alias("tokens"), F.sha2(key, 256).alias("intent"))
 
 
 def resolve_facts(facts: DataFrame, as_of: str = AS_OF) -> DataFrame:

@@ -215,9 +215,9 @@ def budget_totals(c):
     return R.budget_totals(c["application_preparation"])
 
 
-@query("open_tasks", "select t.id, a.workspace_id, t.due, cast(row_number() over (partition by a.workspace_id order by t.due asc nulls last, t.id) as int) as place from grant_tasks t join applications a on a.id = t.application_id where not t.completed and not t.deleted and not a.archived and a.stage not in ('awarded', 'declined', 'withdrawn')", texts=('due',))
+@query("open_tasks", "with t as (select t.id, a.workspace_id, t.due from grant_tasks t join applications a on a.id = t.application_id where not t.completed and not t.deleted and ((not a.archived and a.stage not in ('awarded', 'declined', 'withdrawn')) or exists (select 1 from saved_opportunities s where s.workspace_id = a.workspace_id and s.opportunity_id = a.opportunity_id))) select id, workspace_id, due, cast(row_number() over (partition by workspace_id order by due asc nulls last, id) as int) as place from t", texts=('due',))
 def open_tasks(c):
-    return R.open_tasks(c["grant_tasks"], c["applications"])
+    return R.open_tasks(c["grant_tasks"], c["applications"], c["saved_opportunities"])
 
 
 @query("source_coverage", f"select s.id, s.enabled, coalesce(n.urls, 0) as urls, coalesce(n.snapshots, 0) as snapshots from crawl_sources s left join (select {HOST.format('url')} as domain, count(distinct url) as urls, count(*) as snapshots from crawl_snapshots group by 1) n on n.domain = s.domain")
@@ -225,9 +225,9 @@ def source_coverage(c):
     return R.source_coverage(c["crawl_sources"], c["crawl_snapshots"])
 
 
-@query("crawl_summary", "select run, count(*) as pages, count(*) filter (where outcome = 'failed') as failed, count(distinct source_id) as sources from crawl_visits group by 1")
+@query("crawl_summary", "select run, count(*) as pages, count(*) filter (where outcome = 'failed') as failed, count(distinct source_id) as sources, (select count(*) from crawl_candidates where status = 'pending' and kind <> 'domain') as backlog from crawl_visits group by 1")
 def crawl_summary(c):
-    return R.crawl_summary(c["crawl_visits"])
+    return R.crawl_summary(c["crawl_visits"], c["crawl_candidates"])
 
 
 @query("source_health", "select s.id, s.enabled, v.last_success, v.failures, v.visits from crawl_sources s left join (select source_id, max(ts) filter (where outcome <> 'failed') as last_success, count(*) filter (where outcome = 'failed') as failures, count(*) as visits from crawl_visits group by 1) v on v.source_id = s.id")
@@ -243,9 +243,9 @@ def evidence_fingerprint(c):
 # ---- windows, sorts, sets ------------------------------------------------------
 
 
-@query("snapshot_changes", "select id, url, case when n = 1 then 'new' else 'changed' end as kind from (select *, row_number() over w as n, lag(content_hash) over w as h, lag(extractor) over w as e from crawl_snapshots window w as (partition by url order by fetched_at, id)) where n = 1 or content_hash <> h or extractor <> e")
+@query("snapshot_changes", "select id, url, case when n = 1 then 'new' else 'changed' end as kind, cast(before as varchar) as before, md5(substr(b, 1, 12000)) as previous from (select *, row_number() over w as n, lag(content_hash) over w as h, lag(extractor) over w as e, lag(id) over w as before, lag(body) over w as b from crawl_snapshots window w as (partition by url order by fetched_at, id)) where n = 1 or content_hash <> h or extractor <> e")
 def snapshot_changes(c):
-    return R.snapshot_changes(c["crawl_snapshots"])
+    return R.snapshot_changes(c["crawl_snapshots"]).select("id", "url", "kind", F.col("before").cast("string").alias("before"), F.md5("previous_excerpt").alias("previous"))
 
 
 @query(
@@ -286,7 +286,11 @@ def identity_collapse(c):
     return C.identity_collapse(C.visible_programs(c["opportunities"])).select("id", "source_url")
 
 
-@query("duplicate_programs", f"with k as (select id, k, funder_id, {KEY} as key from opportunities), f as (select key, funder_id, min(k) as first_k from k group by 1, 2) select k.id, 'o' || cast(first_k as string) as first_id from k join f using (key, funder_id) where k.k <> first_k")
+TWINS = f"""k as (select id, k, {KEY} as key, regexp_replace(source_url, '/+$', '') as url, regexp_replace(regexp_replace(source_url, '/+$', ''), '/(apply-now|application)$', '') as parent from opportunities o), f as (select key, min(k) as n from k group by 1), u as (select url, min(k) as n from k group by 1),
+ d as (select k.id, coalesce(case when f.n <> k.k then f.n end, case when k.parent <> k.url and u.n <> k.k then u.n end) as first_k from k join f on f.key = k.key left join u on u.url = k.parent)"""
+
+
+@query("duplicate_programs", f"with {TWINS} select id, 'o' || cast(first_k as string) as first_id from d where first_k is not null")
 def duplicate_programs(c):
     return C.duplicate_programs(c["opportunities"])
 
@@ -303,19 +307,26 @@ def merge_closure(c):
     return C.merge_closure(c["opportunities"])
 
 
-@query("prune_snapshots", f"select id, url, fetched_at from (select *, row_number() over (partition by url order by fetched_at desc, id desc) as n from crawl_snapshots) where n > 1 and fetched_at < {NOW} - interval 90 day order by fetched_at, id limit 500")
+@query("prune_snapshots", f"select id, url, fetched_at from crawl_snapshots s where fetched_at < {NOW} - interval 10 day and id not in (select snapshot_id from snapshot_refs) and not exists (select 1 from opportunities o where o.source_url = s.url) order by fetched_at, id limit 500")
 def prune_snapshots(c):
-    return R.prune_snapshots(c["crawl_snapshots"], c["opportunities"])
+    return R.prune_snapshots(c["crawl_snapshots"], c["opportunities"], c["snapshot_refs"], keep_days=10)
+
+
+_LOGS = {
+    "visit": ("crawl_visits", "ts", "outcome", "opportunity_id"), "saved": ("saved_opportunities", "saved_at", "opportunity_id", "workspace_id"), "application": ("applications", "created_at", "stage", "id"), "suggestion": ("contributions", "created_at", "field", "id"),
+    "field": ("catalog_field_history", "created_at", "field", "opportunity_id"), "research": ("research_ledger", "created_at", "status", "topic_key"), "reconcile": ("reconcile_events", "run_id", "action", "detail"), "search": ("search_jobs", "created_at", "status", "id"),
+    "candidate": ("crawl_candidates", "created_at", "kind", "id"), "publication": ("publication_runs", "processed_at", "outcome", "candidate_id"), "evidence": ("evidence_pages", "fetched_at", "association", "opportunity_id"),
+}
 
 
-@query("activity_feed", "select cast(ts as date) as day, kind, count(*) as n from (select ts, 'visit:' || outcome as kind from crawl_visits union all select saved_at, 'saved' from saved_opportunities union all select created_at, 'application:' || stage from applications) group by 1, 2", texts=('day',))
+@query("activity_feed", "select * from (" + " union all ".join(f"select cast({ts} as timestamp) as ts, '{name}:' || cast({what} as varchar) as kind, cast({ref} as varchar) as ref from {view}" for name, (view, ts, what, ref) in _LOGS.items()) + ") order by ts desc, kind, ref limit 200")
 def activity_feed(c):
-    return R.activity_feed(c["crawl_visits"], c["saved_opportunities"], c["applications"])
+    return R.activity_feed({name: (c[view].withColumn("ref", F.col(ref)), ts, what) for name, (view, ts, what, ref) in _LOGS.items()})
 
 
-@query("attention_queue", f"with k as (select id, k, funder_id, {KEY} as key from opportunities o where {VISIBLE}), f as (select key, funder_id, min(k) as first_k from k group by 1, 2) select k.id, 'duplicate' as kind, 'o' || cast(first_k as string) as detail from k join f using (key, funder_id) where k.k <> first_k union all select opportunity_id, 'unavailable', cast(consecutive_failures as string) from catalog_monitoring where consecutive_failures >= 3")
+@query("attention_queue", f"with {TWINS.replace('from opportunities o)', f'from opportunities o where {VISIBLE})')} select id, 'duplicate' as kind, 'o' || cast(first_k as string) as detail from d where first_k is not null union all select opportunity_id, 'unavailable', cast(consecutive_failures as string) from catalog_monitoring where consecutive_failures >= 3 union all select opportunity_id, 'locked', field from catalog_fields where state = 'locked_conflict' union all select cast(min(id) as string), 'domain', {HOST.format('url')} from crawl_candidates where status = 'pending' and kind = 'domain' group by 3")
 def attention_queue(c):
-    return R.attention_queue(c["opportunities"], c["catalog_monitoring"])
+    return R.attention_queue(c["opportunities"], c["catalog_monitoring"], c["catalog_fields"], c["crawl_candidates"])
 
 
 # ---- scalars -------------------------------------------------------------------
@@ -331,9 +342,16 @@ def check_hours(c):
     return R.scalars(c["opportunities"], c["crawl_snapshots"]).select("id", "hours")
 
 
-@query("backoff_next", "select opportunity_id, cast(least(168, pow(2, least(consecutive_failures, 7))) as int) as hours from catalog_monitoring")
+@query("backoff_next", f"select opportunity_id, cast(least(168, pow(2, least(consecutive_failures, 7))) as int) as hours, cast(least(86400, 300 * pow(2, least(consecutive_failures, 8))) as bigint) as search_seconds, {NOW} + cast(least(86400, 900 * pow(2, least(consecutive_failures, 6))) as bigint) * interval 1 second as next_feed from catalog_monitoring")
 def backoff_next(c):
-    return c["catalog_monitoring"].select("opportunity_id", X.backoff_hours(F.col("consecutive_failures")).alias("hours"))
+    n = F.col("consecutive_failures")
+    next_feed = F.timestamp_seconds(F.unix_seconds(X.now()) + X.backoff_seconds(n, "feed"))
+    return c["catalog_monitoring"].select("opportunity_id", X.backoff_hours(n).alias("hours"), X.backoff_seconds(n, "search").alias("search_seconds"), next_feed.alias("next_feed"))
+
+
+@query("source_date", "select id, coalesce(try_cast(regexp_extract(raw, '^\\s*(\\d{4}-\\d{2}-\\d{2})', 1) as date), cast(try_strptime(regexp_extract(raw, '^\\s*(\\d{1,2}/\\d{1,2}/\\d{4})', 1), '%m/%d/%Y') as date)) as day from date_texts", texts=("day",))
+def source_date(c):
+    return c["date_texts"].select("id", X.source_date(F.col("raw")).alias("day"))
 
 
 @query("parse_amount", r"""select id, case when v <= 999999999999 then v end as amount from (select id, cast(nullif(replace(regexp_extract(body, '\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', ''), '') as double)
@@ -370,9 +388,13 @@ def schedule_day(c):
     return c["crawl_visits"].select("id", X.schedule_day(F.col("ts")).alias("day"))
 
 
-@query("search_intent", "select conv_id, turn, tokens, sha256(tokens) as intent from (select conv_id, turn, array_to_string(list_sort(list_filter(w, lambda x: length(x) between 3 and 30)[1:12]), ' ') as tokens from (select *, list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda x, i: list_position(regexp_extract_all(lower(q), '[a-z0-9]+'), x) = i) as w from search_requests))")
+@query(
+    "search_intent",
+    """with t as (select *, list_filter(regexp_extract_all(lower(q || ' ' || category), '[a-z0-9]{3,30}'), lambda x: not list_contains(['and', 'for', 'the', 'with'], x)) as w from search_requests), d as (select *, list_filter(w, lambda x, i: list_position(w, x) = i) as u from t), s as (select *, array_to_string(list_sort(u[1:12]), ' ') as tokens from d)
+ select conv_id, turn, tokens, sha256(tokens || chr(10) || category || chr(10) || lower(coalesce(country, '') || '|' || coalesce(state, '') || '|') || chr(10) || array_to_string(list_sort(list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda x: x <> '')), ' ') || chr(10) || applicant || chr(10) || status || chr(10) || cast(cast(min_award as bigint) as varchar)) as intent from s""",
+)
 def search_intent(c):
-    return R.search_intent(c["search_requests"])
+    return R.search_intent(c["search_requests"].withColumns({"categories": F.array("category"), "city": F.lit(None).cast("string")}))
 
 
 @query("keyword_scrub")
