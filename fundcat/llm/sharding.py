@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundcat.llm.common import crc, partitions, table
+from fundcat.llm.common import crc, cut, partitions, table
 
 SHARDS = 16
 
@@ -46,8 +46,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     doc_id share a shard, and all rows with a null doc_id do (their key is one
     constant). A null text has size 1 and crc 0. ``slot`` is gapless from 0 in each
     shard. To number a shard no task sees the whole of it: rows fall into buckets by a
-    hash, buckets are counted, and a row's slot is the count of the buckets before its
-    own plus its place there. An empty table gives an empty result; other columns are
+    hash (with a number of the row, so that repeated rows spread), buckets are counted, and
+    a row's slot is the count of the buckets before its own plus its place there. Texts are
+    read once: what is known of a row is written before it is counted and numbered. An empty table gives an empty result; other columns are
     ignored."""
     buckets = max(64, partitions(docs.sparkSession))
     rows = docs.select(
@@ -56,7 +57,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         crc(F.col("text")).alias("text_crc32"),
     )
     key = F.xxhash64("doc_id")
-    rows = rows.select("*", shard_of(key, shards).alias("shard"), shard_of(key, shards + 1).alias("grown_shard"), F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).alias("bucket"))
+    rows = rows.select("*", shard_of(key, shards).alias("shard"), shard_of(key, shards + 1).alias("grown_shard"), F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.monotonically_increasing_id()), F.lit(buckets)).alias("bucket"))
+    rows = cut(rows, "sharded")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -67,7 +69,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write whole documents as one folder per shard."""
+    """Write whole documents as one folder per shard, under the law of ``shard``. Null
+    texts and repeated rows are written as they are, an empty table gives an empty folder;
+    a column of the documents named ``shard`` gives way to the shard."""
     placed = docs.withColumn("shard", shard_of(F.xxhash64(F.col("doc_id").cast("long")), shards))
     placed.write.partitionBy("shard").parquet(path)
 
