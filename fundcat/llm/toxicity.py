@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
     n = given.count()
     if n > max_rows:
         given = given.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(950_000 * max_rows / n))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(given, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(given), "doc_id")  # max_rows ids at most, about
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -172,7 +172,8 @@ def held_out(doc_id) -> F.Column:
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """``documents`` -> ``(doc_id, held_out, score, predicted)``, one row per input
     row; null and empty texts get the score of no words, a null doc_id is carried
-    through and not held out."""
+    through and not held out. Repeated rows keep their repeats, other columns are ignored,
+    an empty table gives an empty result; a score of exactly the threshold is predicted."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -189,7 +190,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` without those predicted toxic. Columns are unchanged."""
+    """``documents`` without those predicted toxic. Columns are unchanged, whatever their
+    names; null and empty texts get the score of no words; rows are judged one by one, so
+    null and repeated doc_ids and rows that repeat make no difference; an empty table gives
+    an empty result."""
     model = train(docs, labels)
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
