@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a
-    temporary one of our own only where the session has none (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary
+    one of our own only where the session has none and runs in one process (tests)."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not own:
         own = tempfile.mkdtemp(prefix="fundcat-")
         spark.sparkContext.setCheckpointDir(own)
