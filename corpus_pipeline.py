@@ -1,6 +1,8 @@
 """A training corpus from raw documents, stage by stage.
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept.
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept. All
+of them take null and empty texts, null and repeated doc_ids, rows that repeat, empty tables
+and columns of any other name; what each does with them is in its operator's docstring.
 """
 
 from __future__ import annotations
@@ -14,17 +16,17 @@ from fundcat.llm.common import shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
+    """Documents that fail the quality rules go; null, empty and short texts do."""
     return quality.reject(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; texts without words stay."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that with the smallest doc_id."""
     return simhash.deduplicate(docs)
 
 
