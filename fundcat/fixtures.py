@@ -162,6 +162,9 @@ Mexico | | Oaxaca' when 3 then '' when 4 then '| Texas' else 'A|B|C|D' end as li
     "ledger_requests": "select event_id as id, user_id % 7 as ledger, 'topic' || cast(user_id % 50 as string) as topic_key, cast(ts as timestamp) as ts from events",
     "snapshot_refs": "select snapshot_id from crawl_candidates union all select snapshot_id from evidence_pages union all select -1 - doc_id from documents where doc_id % 16 = 1 union all select -1 - doc_id from documents where doc_id % 24 = 9",
     "date_texts": "select o_orderkey as id, case o_orderkey % 7 when 0 then cast(cast(o_orderdate as date) as string) when 1 then ' ' || cast(cast(o_orderdate as date) as string) || ' 00:00' when 2 then cast(extract(month from o_orderdate) as string) || '/' || cast(extract(day from o_orderdate) as string) || '/1999' when 3 then '2024-02-30' when 4 then 'Ongoing' when 5 then '13/1/2024' end as raw from orders",
+    "feed_progress": "select o_orderkey as session_id, case o_orderkey % 2 when 0 then 'federal' else 'state' end as provider, cast(o_orderkey % 3 as int) as phase, cast(o_orderkey % 90 as int) as cursor, cast(o_orderkey % 4 as int) as staged, cast(o_orderkey % 70 as int) as total from orders",
+    "feed_session_results": "select l_orderkey as session_id, l_partkey as result_id from lineitem where l_returnflag = 'R'",
+    "source_registry": "select id, 'Source ' || id || case s.n % 3 when 0 then ' of music' when 1 then ' for artist and research' else '' end as name, url, a.name as c1, b.name as c2, case s.n % 12 when 0 then 'United States' when 1 then 'USA / New York' when 2 then 'New York' when 3 then 'Worldwide' when 4 then 'National' when 5 then 'Canada / Ontario' when 6 then 'California' when 7 then 'New York City, New York' else 'United States' end as scope from (select *, cast(substr(id, 4) as bigint) as n from crawl_sources) as s join category_names a on a.n = s.n % 14 join category_names b on b.n = (s.n + 5) % 14",
 }
 
 

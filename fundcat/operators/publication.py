@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fundcat.functions import exprs as X
 from fundcat.functions import roles as P
+from fundcat.functions.places import source_scope
 from fundcat.operators.catalog import PLACE
 from fundcat.operators.evidence import publisher_identity
 from fundcat.schema import AS_OF
@@ -313,3 +314,59 @@ def public_export(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     and where a table names its origin that is reset."""
     out = {name: df.where("not is_demo") if "is_demo" in df.columns else df for name, df in tables.items() if name in PUBLIC}
     return {name: df.select(*[c for c in PUBLIC[name] if c in df.columns], *([F.create_map(F.lit("method"), F.lit("export")).alias("provenance")] if name == "opportunities" else [])) for name, df in out.items()}
+
+
+def feed_page_checkpoint(progress: DataFrame, results: DataFrame, phases: dict[str, int]) -> DataFrame:
+    """``progress(session_id, provider, phase, cursor, staged, total)`` -> where each feed
+    goes on: a page that is staged is worked off first; a phase is over when nothing is
+    staged and the cursor has passed its total, and the feed after its last phase, which
+    ``phases`` names by provider (0 if it does not). ``results(session_id)`` are counted."""
+    per = results.groupBy("session_id").agg(_one().alias("retrieved"))
+    last = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in phases.items() for x in kv]), F.col("provider")), F.lit(0))
+    over = (F.col("staged") == 0) & (F.col("cursor") >= F.col("total"))
+    done = over & (F.col("phase") >= last)
+    rows = progress.join(per, "session_id", "left")
+    return rows.select(
+        "session_id", "provider", F.coalesce("retrieved", F.lit(0)).alias("retrieved"), "staged", done.alias("exhausted"), F.when(done, "received").otherwise("more").alias("status"),
+        F.when(over & ~done, F.col("phase") + 1).otherwise(F.col("phase")).alias("next_phase"), F.when(over & ~done, 0).otherwise(F.col("cursor")).alias("next_cursor"),
+    )
+
+
+def admin_catalog(opps: DataFrame, evidence: DataFrame, fields: DataFrame, history: DataFrame, as_of: str = AS_OF, recent: int = 5) -> DataFrame:
+    """Per program, for the editors: its evidence urls, the fields whose state is not
+    known, all field states, its newest changes, and whether its check is overdue. Each is
+    aggregated by itself before it is joined."""
+    pages = evidence.groupBy(F.col("opportunity_id").alias("id")).agg(F.array_sort(F.collect_set("url")).alias("pages"))
+    states = fields.groupBy(F.col("opportunity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("field", "state"))).alias("states"))
+    newest = history.withColumn("place", F.row_number().over(Window.partitionBy("opportunity_id").orderBy(F.desc("created_at"), F.desc("id")))).where(F.col("place") <= recent)
+    changes = newest.groupBy(F.col("opportunity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "field", "new_value"))).alias("changes"))
+    rows = opps.join(pages, "id", "left").join(states, "id", "left").join(changes, "id", "left")
+    overdue = F.col("last_checked_at") < X.now(as_of) - F.make_dt_interval(hours=X.check_hours(as_of))
+    return rows.select("id", "name", "publication_state", "pages", "states", F.map_from_entries(F.filter("states", lambda s: s["state"] != "known")).alias("unresolved"), "changes", overdue.alias("overdue"))
+
+
+#: Words that a search term stands for, too.
+RELATED_TERMS = {"music": ("performing", "artist"), "film": ("cinema", "filmmaker"), "theater": ("theatre", "performing"), "writing": ("literature", "author"), "technology": ("innovation", "research"), "nonprofit": ("community", "charity")}
+
+
+def source_intent_rank(intents: DataFrame, sources: DataFrame, most: int = 8) -> DataFrame:
+    """``intents(intent_id, categories, terms, country, state, city)``, ``sources(id, name,
+    url, categories, scope)`` -> the best ``most`` sources of each intent by closeness and
+    score, and whether none is as close as its state. They meet on a category; sources
+    without any, and those for intents without any, are asked about all."""
+    extra = F.create_map(*[x for k, v in RELATED_TERMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    terms = F.array_distinct(F.concat("terms", F.flatten(F.transform("terms", lambda t: F.coalesce(F.try_element_at(extra, t), F.array().cast("array<string>"))))))
+    asked = intents.withColumn("all_terms", terms)
+    left = asked.select("intent_id", F.explode_outer("categories").alias("category"))
+    right = sources.select("id", F.explode_outer("categories").alias("category"))
+    pairs = left.join(right, "category").select("intent_id", "id").distinct()
+    open_ = left.where("category is null").select("intent_id").join(right.select("id").distinct()).union(left.select("intent_id").distinct().join(right.where("category is null").select("id")))
+    rows = pairs.union(open_).distinct().join(asked, "intent_id").join(sources.select("id", F.col("categories").alias("own"), "scope", F.lower(F.concat_ws(" ", "name", "url")).alias("said")), "id")
+    geo = source_scope(F.col("scope"), F.col("country"), F.col("state"), F.col("city"))
+    score = F.size(F.array_intersect("own", "categories")) * 10 + F.size(F.filter("all_terms", lambda t: F.contains(F.col("said"), t)))
+    placed = F.coalesce("country", F.lit("")) != ""
+    rows = rows.select("intent_id", "id", placed.alias("placed"), X.once(geo).alias("geo"), score.alias("score")).where(~F.col("placed") | (F.col("geo") > 0))
+    order = Window.partitionBy("intent_id").orderBy(F.desc("geo"), F.desc("score"), "id")
+    best = rows.withColumn("place", F.row_number().over(order))
+    gap = F.col("placed") & (F.first("geo").over(order) < 3)
+    return best.withColumn("gap", gap).where(F.col("place") <= most).select("intent_id", "id", "geo", "score", "place", "gap")

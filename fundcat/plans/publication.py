@@ -181,3 +181,64 @@ def search_hits(c):
 )
 def cited_links(c):
     return U.cited_links(c["cited_raw"])
+
+
+@query("feed_page_checkpoint", """select p.session_id, provider, coalesce(n, 0) as retrieved, staged, staged = 0 and cursor >= total and phase >= case provider when 'federal' then 2 else 0 end as exhausted, case when staged = 0 and cursor >= total and phase >= case provider when 'federal' then 2 else 0 end then 'received' else 'more' end as status,
+ case when staged = 0 and cursor >= total and provider = 'federal' and phase < 2 then phase + 1 else phase end as next_phase, case when staged = 0 and cursor >= total and provider = 'federal' and phase < 2 then 0 else cursor end as next_cursor from feed_progress p left join (select session_id, count(*) as n from feed_session_results group by 1) r on r.session_id = p.session_id""")
+def feed_page_checkpoint(c):
+    return U.feed_page_checkpoint(c["feed_progress"], c["feed_session_results"], {"federal": 2, "state": 0})
+
+
+@query(
+    "admin_catalog",
+    f"""with p as (select opportunity_id as id, string_agg(distinct url, ',' order by url) as pages from evidence_pages group by 1), s as (select opportunity_id as id, string_agg(field || '=' || state, ',' order by field, state) as states, count(*) filter (where state <> 'known') as unresolved from catalog_fields group by 1),
+ h as (select opportunity_id as id, string_agg(field || '=' || coalesce(new_value, ''), ',' order by place) as changes from (select *, row_number() over (partition by opportunity_id order by created_at desc, id desc) as place from catalog_field_history) where place <= 5 group by 1)
+ select o.id, pages, states, unresolved, changes, last_checked_at < {NOW} - ({{HOURS}}) * interval 1 hour as overdue from opportunities o left join p on p.id = o.id left join s on s.id = o.id left join h on h.id = o.id""".replace("{HOURS}", "case when opens between date '2024-01-31' and date '2024-01-31' + 30 then 6 when application_status = 'closed' then case when recurrence in ('annual', 'recurring') then 24 else 168 end when deadline between date '2024-01-31' and date '2024-01-31' + 30 then 6 else 24 end"),
+)
+def admin_catalog(c):
+    rows = U.admin_catalog(c["opportunities"], c["evidence_pages"], c["catalog_fields"], c["catalog_field_history"])
+    pairs = lambda col, k, v: F.array_join(F.transform(col, lambda x: F.concat_ws("=", x[k], F.coalesce(x[v], F.lit("")))), ",").alias(col)
+    return rows.select("id", F.array_join("pages", ",").alias("pages"), pairs("states", "field", "state"), F.size("unresolved").cast("long").alias("unresolved"), pairs("changes", "field", "new_value"), "overdue")
+
+
+SEEDS = "seeds as (select 'o' || cast(2 * p_partkey as varchar) as slug, p_name as name, case when p_partkey % 3 = 0 then 'Fund ' || cast(p_partkey % 7 as varchar) else 'Supplier#000000001' end as funder, a.name as c1, b.name as c2 from part join category_names a on a.n = p_partkey % 14 join category_names b on b.n = (p_partkey + 1) % 14), fresh as (select * from seeds where slug not in (select id from opportunities))"
+
+
+@query(
+    "seed_load",
+    f"""with {SEEDS} select 'funder' as tab, funder as k from (select distinct funder from seeds) where funder not in (select name from funders) union all select 'program', slug || ' ' || name from fresh union all select 'category', slug || ' ' || c1 from fresh union all select 'category', slug || ' ' || c2 from fresh
+ union all select 'place', slug || ' ' || country || ' ' || coalesce(state, '') from (select slug, country, state from seeds cross join (values ('United States', null), ('Canada', 'Ontario')) as v(country, state)) s where not exists (select 1 from opportunity_geographies g where g.opportunity_id = s.slug and g.country = s.country and g.state is not distinct from s.state and g.city is null)""",
+)
+def seed_load(c):
+    names = lambda n: c["category_names"].select(F.col("n").alias(f"n{n}"), F.col("name").alias(f"c{n}"))
+    k, place = F.col("p_partkey"), "struct<country:string,state:string,city:string>"
+    at = lambda country, state: F.struct(F.lit(country).alias("country"), F.lit(state).cast("string").alias("state"), F.lit(None).cast("string").alias("city")).cast(place)
+    seed = c["part"].join(names(1), F.col("n1") == k % 14).join(names(2), F.col("n2") == (k + 1) % 14)
+    seed = seed.select(F.concat(F.lit("o"), 2 * k).alias("slug"), F.col("p_name").alias("name"), F.when(k % 3 == 0, F.concat(F.lit("Fund "), k % 7)).otherwise("Supplier#000000001").alias("funder"), F.array("c1", "c2").alias("categories"), F.array(at("United States", None), at("Canada", "Ontario")).alias("places"))
+    out = U.seed_load(seed, c["funders"], c["opportunities"], c["opportunity_geographies"])
+    row = lambda tab, *cols: out[tab + ("ies" if tab == "categor" else "s")].select(F.lit("category" if tab == "categor" else tab).alias("tab"), F.concat_ws(" ", *[F.coalesce(x, F.lit("")) for x in cols]).alias("k"))
+    return row("funder", "name").union(row("program", "slug", "name")).union(row("categor", "slug", "category")).union(row("place", "slug", "country", "state"))
+
+
+@query("public_export", "select id, name, summary, source_url, application_status, deadline, opens, rolling, recurrence, maximum_award, minimum_award, publication_state, merged_into, 'export' as method from opportunities where not is_demo", texts=("deadline", "opens"))
+def public_export(c):
+    out = U.public_export({t: c[t] for t in (*U.PUBLIC, "saved_opportunities")})["opportunities"]
+    return out.withColumn("method", F.col("provenance")["method"]).drop("provenance")
+
+
+_KNOWN = "['australia', 'brazil', 'canada', 'china', 'france', 'georgia', 'germany', 'india', 'ireland', 'italy', 'japan', 'kenya', 'mexico', 'netherlands', 'new zealand', 'nigeria', 'south africa', 'spain', 'sweden', 'switzerland', 'united kingdom', 'united states', 'worldwide']"
+
+
+@query(
+    "source_intent_rank",
+    f"""with j as (select job_id, category, country, state, case when q = 'grant' then ['music', 'performing', 'artist'] else ['technology', 'innovation', 'research'] end as terms from target_jobs), s as (select *, list_transform(regexp_split_to_array(scope, '\\s*[,/|]\\s*'), lambda x: lower(trim(x))) as parts from source_registry),
+ n as (select *, list_transform(parts, lambda x: case x when 'usa' then 'united states' else x end) as nations from s), p as (select job_id, id, coalesce(country, '') as country, lower(coalesce(country, '')) as lc, lower(coalesce(state, '')) as ls, terms, c1, c2, category, lower(name || ' ' || url) as said, scope, parts, nations from j join n on category in (c1, c2)),
+ g as (select *, cast(case when lc = '' then 1 when len(list_filter(nations, lambda x: not list_contains({_KNOWN}, x))) = 0 and (list_contains(nations, lc) or list_contains(nations, 'worldwide')) then 2 when len(parts) = 1 and list_contains(nations, lc) then 2
+  when not (list_contains(nations, lc) or (lc = 'united states' and (len(list_filter(nations, lambda x: list_contains({_KNOWN}, x))) = 0 or (len(parts) = 1 and parts[1] = ls)))) then 0 when ls <> '' and len(list_filter(nations, lambda x: x <> lc)) = 1 and list_contains(parts, ls) then 3 when lc = 'united states' and lower(scope) in ('national', 'nationwide') then 2 else 0 end as int) as geo,
+  cast(10 + len(list_filter(terms, lambda t: contains(said, t))) as int) as score from p), r as (select *, row_number() over (partition by job_id order by geo desc, score desc, id) as place, max(geo) over (partition by job_id) as top from g where lc = '' or geo > 0)
+ select job_id as intent_id, id, geo, score, cast(place as int) as place, lc <> '' and top < 3 as gap from r where place <= 8""",
+)
+def source_intent_rank(c):
+    terms = F.when(F.col("q") == "grant", F.array(F.lit("music"))).otherwise(F.array(F.lit("technology")))
+    intents = c["target_jobs"].select(F.col("job_id").alias("intent_id"), F.array("category").alias("categories"), terms.alias("terms"), "country", "state", F.lit(None).cast("string").alias("city"))
+    return U.source_intent_rank(intents, c["source_registry"].select("id", "name", "url", F.array("c1", "c2").alias("categories"), "scope"))
