@@ -40,6 +40,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns made once: generated, so that neither a filter nor a later
+    expression writes their expressions out again. Nothing is moved or written."""
+    name = "_" + "_".join(df.columns)
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias(name)).select(f"`{name}`.*")
+
+
 #: Names that ``row_key`` gives.
 KEY = ("_key1", "_key2")
 

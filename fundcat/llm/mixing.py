@@ -15,7 +15,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundcat.llm.common import cut, table
+from fundcat.llm.common import cut, settled, table
 
 #: Domains of the labelled table (the quality mark) and their shares of the tokens.
 TARGETS: dict[str, float] = {"high": 0.98, "low": 0.02}
@@ -162,8 +162,9 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | N
     targets = targets or TARGETS
     _, model, moves = _fitted(docs, labelled, targets)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = posteriors(features(docs.select(row, "doc_id", "text"), ("row",)), model)
-    rows = rows.withColumn("rate", rate(moves, len(targets))).withColumn("copies", _copies(F.col("rate"))).where("copies > 0")
+    rows = settled(posteriors(settled(features(docs.select(row, "doc_id", "text"), ("row",))), model))
+    rows = settled(rows.select("row", "luck", rate(moves, len(targets)).alias("rate"))).select("row", _copies(F.col("rate")).alias("copies"))
+    rows = settled(rows).where("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
