@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundcat.llm.common import cut, table
+from fundcat.llm.common import cut, settled, table
 
 SPACES = "\\x20\\x09-\\x0D"
 SYMBOLS = "[#*$%&|<>]"
@@ -250,7 +250,8 @@ def reject(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[(F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("doc_id", "text", "lang", "source")])
     stats = cut(statistics(held, ("row",)), "statistics")
     limit = chi2_quantile(1 - alpha, len(FEATURES))
-    return score(stats, *fit(stats.drop("row"))).where(F.col("d2") <= limit).select("row.*")
+    judged = score(stats, *fit(stats.drop("row"))).select("row", (F.col("d2") <= limit).alias("kept"))
+    return settled(judged).where("kept").select("row.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
