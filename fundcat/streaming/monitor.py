@@ -1,6 +1,8 @@
-"""State machines over events, each as a streaming query and as a batch twin.
+"""State machines over events, as streaming queries and as batch twins.
 
-A twin gives the rows that the stream has given once all events have passed.
+A twin gives the rows that the stream has given once all events have passed;
+``trailing_activity`` has the batch form alone. Streams hold a key's state until its
+window, or a month without events, has passed by event time.
 """
 
 from __future__ import annotations
@@ -81,11 +83,24 @@ def rate_limit(attempts: DataFrame, limit: int = 3, seconds: int = 86400) -> Dat
     return ordered.select("id", "key", (F.col("t0") / 1e6).alias("t")).mapInPandas(run, schema)
 
 
-def rate_limit_stream(attempts: DataFrame, limit: int = 3, seconds: int = 86400) -> DataFrame:
-    """The stream of ``rate_limit``: window start and count are the key's state."""
+#: Days without events after which a stream forgets a key.
+FORGET = 30
+
+
+def _keep(state, until_ms: int) -> None:
+    """Hold the state until that event time, or until the watermark moves on."""
+    state.setTimeoutTimestamp(max(until_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def rate_limit_stream(attempts: DataFrame, limit: int = 3, seconds: int = 86400, late: str = "1 hour") -> DataFrame:
+    """The stream of ``rate_limit``: window start and count are the key's state, which
+    goes when the window has run out."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, used = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "id"])
         out = []
@@ -93,17 +108,49 @@ def rate_limit_stream(attempts: DataFrame, limit: int = 3, seconds: int = 86400)
             start, used, ok = next(_limit(iter([t.timestamp()]), limit, seconds, start, used))
             out.append((i, key[0], used, ok))
         state.update((start, used))
+        _keep(state, int((start + seconds) * 1000))
         yield pd.DataFrame(out, columns=["id", "key", "used", "allowed"])
 
-    return attempts.groupBy("key").applyInPandasWithState(fold, "id long, key long, used int, allowed boolean", "start double, used int", "append", GroupStateTimeout.NoTimeout)
+    rows = attempts.withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(fold, "id long, key long, used int, allowed boolean", "start double, used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def snapshot_stream(snaps: DataFrame) -> DataFrame:
+def monitor_fold_stream(visits: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The stream of ``monitor_fold``, in update mode: a program's row whenever visits of
+    it arrive. Visits of a program come in time order across batches."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        signal, failures, success, checks, run = state.get if state.exists else ("active", 0, None, 0, None)
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        for this, outcome, t in zip(rows["run"], rows["outcome"], rows["ts"], strict=True):
+            if run is not None and this.timestamp() <= run:
+                continue
+            run, checks = this.timestamp(), checks + 1
+            failures = failures + 1 if outcome == "failed" else 0
+            success = success if outcome == "failed" else t.timestamp()
+            signal = {"discontinued": "discontinued", "reopened": "active"}.get(outcome, signal)
+        state.update((signal, failures, success, checks, run))
+        _keep(state, int(rows["ts"].max().timestamp() * 1000) + FORGET * 86_400_000)
+        yield pd.DataFrame({"opportunity_id": [key[0]], "state": [signal], "failures": [failures], "last_success": [success], "checks": [checks]})
+
+    out = "opportunity_id string, state string, failures long, last_success double, checks long"
+    rows = visits.withWatermark("ts", late).groupBy("opportunity_id").applyInPandasWithState(fold, out, "state string, failures int, success double, checks int, run double", "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.withColumn("last_success", F.timestamp_seconds("last_success"))
+
+
+def snapshot_stream(snaps: DataFrame, late: str = "1 hour") -> DataFrame:
     """The stream of changed pages: a snapshot passes when its hash is not the last one
     seen for the url."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["fetched_at", "id"])
         keep = []
@@ -111,6 +158,8 @@ def snapshot_stream(snaps: DataFrame) -> DataFrame:
             keep.append(h != last)
             last = h
         state.update((last,))
+        _keep(state, int(rows["fetched_at"].max().timestamp() * 1000) + FORGET * 86_400_000)
         yield rows.loc[keep, ["id", "url", "content_hash"]]
 
-    return snaps.groupBy("url").applyInPandasWithState(fold, "id long, url string, content_hash string", "hash string", "append", GroupStateTimeout.NoTimeout)
+    rows = snaps.withWatermark("fetched_at", late)
+    return rows.groupBy("url").applyInPandasWithState(fold, "id long, url string, content_hash string", "hash string", "append", GroupStateTimeout.EventTimeTimeout)
