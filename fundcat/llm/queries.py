@@ -1,8 +1,8 @@
 """Queries of this subpackage for ``__spark_entry__.py``."""
 
-from fundcat.llm import ann, licenses, mixing, pieces, quality, repair, sharding, simhash, token_counts, toxicity
+from fundcat.llm import ann, fim, licenses, mixing, packing, pieces, quality, repair, runs, sharding, simhash, token_counts, toxicity
 
-_MODULES = (simhash, sharding, repair, pieces, toxicity, token_counts, licenses, mixing, ann, quality)
+_MODULES = (simhash, sharding, repair, pieces, toxicity, token_counts, licenses, mixing, ann, quality, packing, fim, runs)
 
 
 def queries() -> dict:

@@ -49,9 +49,9 @@ _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # ---- grammar -----------------------------------------------------------------
 
 
-def _frequent(key: np.ndarray, least: int) -> np.ndarray:
+def _frequent(key: np.ndarray, least: int, most: int) -> np.ndarray:
     """Keys that occur ``least`` times or more, from the rarest to the most frequent, and
-    no more than one round takes."""
+    no more than ``most`` of them."""
     if not len(key):
         return key
     ordered = np.sort(key)
@@ -59,13 +59,13 @@ def _frequent(key: np.ndarray, least: int) -> np.ndarray:
     ends = np.append(ends, len(ordered) - 1)
     n = np.diff(ends, prepend=-1)
     heavy = np.flatnonzero(n >= least)
-    return ordered[ends[heavy[np.argsort(n[heavy], kind="stable")]]][-ROUND_RULES:]
+    return ordered[ends[heavy[np.argsort(n[heavy], kind="stable")]]][-most:]
 
 
-def compress(symbols: np.ndarray, last: np.ndarray, first_new: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(symbols: np.ndarray, last: np.ndarray, first_new: int, least: int = LEAST, pays: int = PAYS, most: int = ROUND_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Replace frequent pairs until none is left. ``last`` marks the end of each
     document. Returns the symbols, their end marks and the rules (n, 2), rule k being
-    ``first_new + k``."""
+    ``first_new + k``. A round takes the ``most`` frequent pairs, 32767 at most."""
     seq, rules, top = symbols.astype(np.uint32), [], first_new
     while len(seq) > 1:
         # Two 16-bit symbols fit a 32-bit key, which sorts twice as fast.
@@ -74,7 +74,7 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_new: int, least: int =
         mixer = wide(0x9E3779B97F4A7C15 >> (64 - wide(0).nbytes * 8))
         key = (seq[:-1].astype(wide) << half) | seq[1:]
         inside = ~last[:-1]
-        chosen = _frequent(key[inside], least)
+        chosen = _frequent(key[inside], least, most)
         if not len(chosen):
             break
         # Of chosen pairs that share a slot the most frequent is written last and stays;
@@ -92,7 +92,7 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_new: int, least: int =
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         odd = (np.arange(len(at)) - start) % 2 == 0
         at, of = at[odd], of[odd]
-        used = np.bincount(of, minlength=len(chosen)) >= PAYS
+        used = np.bincount(of, minlength=len(chosen)) >= pays
         at, of = at[used[of]], of[used[of]]
         if not len(at):
             break
@@ -108,16 +108,22 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_new: int, least: int =
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
 
 
-def lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
-    """Expansion length of each rule; a rule uses only earlier ones."""
-    out = np.ones(len(rules), dtype=np.int64)
+def layers(rules: np.ndarray, first_new: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rules that use none of their own stretch, from the first on."""
     done = 0
     while done < len(rules):
         ready = (rules[done:] < first_new + done).all(axis=1)
         stop = done + (int(np.argmin(ready)) if not ready.all() else len(ready))
+        yield done, stop
+        done = stop
+
+
+def lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
+    """Expansion length of each rule; a rule uses only earlier ones."""
+    out = np.ones(len(rules), dtype=np.int64)
+    for done, stop in layers(rules, first_new):
         part = rules[done:stop]
         out[done:stop] = np.where(part >= first_new, out[np.maximum(part - first_new, 0)], 1).sum(axis=1)
-        done = stop
     return out
 
 
