@@ -157,6 +157,35 @@ Mexico | | Oaxaca' when 3 then '' when 4 then '| Texas' else 'A|B|C|D' end as li
     "target_jobs": "select c_custkey as job_id, case c_custkey % 4 when 0 then 'grant' when 1 then 'women' else '' end as q, n.name as category, case c_custkey % 3 when 0 then 'nonprofit' when 1 then 'individual' else 'business' end as applicant, cast(case c_custkey % 5 when 0 then 950 else 0 end as double) as min_award, case c_custkey % 7 when 0 then 'new' when 1 then 'updated' else '' end as freshness, case c_nationkey % 3 when 0 then 'United States' when 1 then 'Canada' end as country, case c_nationkey % 3 when 0 then 'New York' end as state from customer join category_names n on n.n = c_custkey % 14 where c_custkey % 10 = 0",
     "worker_samples": "select event_id as id, cast(ts as timestamp) as started, cast(ts as timestamp) + (event_id % 150) * interval '1' minute as finished from events where event_type = 'signup'",
     "worker_checks": "select user_id, cast(ts as timestamp) as at, 'https://src' || cast(user_id % 20 as string) || '.example.org/programs/' || cast(user_id as string) as url from events",
+    "fact_pages": """select page_id, case page_id % 4 when 0 then 'https://www.spencer.org/grant_types/p' else 'https://pages.example.org/p' end || cast(page_id as string) as url,
+        '<main><h1>Program ' || cast(page_id as string) || '</h1><p>A short note on a grant.</p>' || case page_id % 3 when 0 then '' else '<p>This ' || case page_id % 3 when 1 then 'grant' else 'fellowship' end || ' number ' || cast(page_id as string) || ' supports projects that bring many neighbours together.</p>' end
+        || case page_id % 5 when 0 then '' when 1 then '<h2>Eligibility</h2><p>Nobody.</p>' else '<h2>Eligibility</h2><p>Residents of county ' || cast(page_id as string) || ' aged eighteen or more may apply.</p>' end || case page_id % 10 when 3 then '<h3>Who can apply?</h3><p>Groups of five people or more who live near each other.</p>' else '' end
+        || '<h2>Dates</h2><p>' || case page_id % 7 when 0 then 'Deadline: 2024-05-' || cast(10 + page_id % 25 as string) || '.' when 1 then 'Applications due: 6/' || cast(1 + page_id % 28 as string) || '/2024.' when 2 then 'Deadline: 2024-05-01. Deadline: 2024-06-01.' when 3 then 'Deadline: March 3, 2024.' when 4 then 'Application Deadline: June 31, 2024.' else '' end
+        || case page_id % 6 when 0 then ' Budgets up to $' || cast(1 + page_id % 90 as string) || ',000.' when 1 then ' Budgets up to $5,000 and budgets up to $6,000.' else '' end || case page_id % 8 when 0 then ' Applications are open.' when 4 then ' Applications are closed.' else '' end || '</p></main>' || coalesce(html, '') as html from pages""",
+    "claimed_facts": """select doc_id as id, case doc_id % 2 when 0 then 'https://www.spencer.org/grant_types/p' else 'https://pages.example.org/p' end || cast(doc_id as string) as url,
+        coalesce(text, '') || ' This  grant supports' || chr(10) || ' community research.   Teachers at any school' || chr(9) || 'may apply. ' || case when doc_id % 6 = 0 then '' else 'Budgets up to $50,000. ' end || 'Deadline: 2024-05-01. Applications are open.' as body,
+        case when doc_id % 5 = 0 then 'An invented summary that no page holds.' else 'This grant supports community research.' end as summary, case when doc_id % 7 = 0 then null else 'Teachers at any school may apply.' end as eligibility,
+        case doc_id % 4 when 3 then 'paused' else 'open' end as status, 'Applications are open.' as status_evidence, case when doc_id % 10 = 8 then '500000000' else '50000' end as maximum, 'USD' as currency, 'Budgets up to $50,000' as amount_evidence,
+        case when doc_id % 12 = 4 then '2024-05-32' else '2024-05-01' end as deadline, 'Deadline: 2024-05-01' as deadline_evidence, case doc_id % 2 when 0 then 'spencer-program-v1' end as official_adapter from documents""",
+    "example_pages": """select page_id, 'https://pages.example.org/harbor/' || cast(page_id as string) as url, '<main><h1>Harbor ' || cast(page_id as string) || ' Arts Grant</h1><article><h3>Tidal Songs ' || cast(page_id as string) || '</h3><a href="/projects/' || cast(page_id as string) || '">Tidal Songs</a><p>'
+        || case page_id % 4 when 0 then 'This was not funded by the Harbor ' else 'A recipient of the Harbor ' end || cast(page_id + page_id % 3 as string) || ' Arts Grant in ' || case page_id % 5 when 0 then 'spring' else cast(2010 + page_id % 14 as string) end || ' that sang on all of the seven bridges of the town until the last of the boats had come home that night.</p></article>'
+        || '<article><h3>A form</h3><a href="/forms/' || cast(page_id as string) || '">' || case page_id % 3 when 0 then 'Blank template' when 1 then 'View all recipients' else 'Narrative' end || '</a><p>A sample application for the Harbor ' || cast(page_id as string) || ' Arts Grant.</p></article></main>' || coalesce(html, '') as html from pages""",
+    "example_programs": "select 'p' || cast(page_id as string) as id, 'Harbor ' || cast(page_id as string) || ' Arts Grant' as name, 'https://pages.example.org/harbor/' || cast(page_id as string) as source_url from pages",
+    "example_primary": "select page_id, 'p' || cast(page_id as string) as id from pages where page_id % 2 = 0",
+    "draft_sources": "select 'https://pages.example.org/d' || cast(doc_id as string) as url, coalesce(text, '') || ' Submit the  form by May 3rd, 2024 or by 06/14/2024. Attach a budget.' as text from documents",
+    "draft_tasks": """select doc_id as draft_id, x.n, 'Task ' || cast(x.n as string) as title, '' as notes, case (doc_id + x.n) % 4 when 0 then '2024-05-03' when 1 then '2024-06-14' when 2 then '2024-05-04' end as due_date,
+        'https://pages.example.org/d' || cast(case when doc_id % 17 = 0 then -1 else doc_id end as string) as source_url, case when doc_id % 5 = 0 and x.n = 1 then 'An invented requirement' when x.n = 2 then 'Attach a  budget.' else 'Submit the form' || chr(10) || 'by May' end as source_excerpt,
+        case when x.n = 2 then 'Which budget?' else '' end as uncertainty, case when doc_id % 3 = 0 then '' when x.n = 1 then 'by 06/14/2024' else 'by May 3rd, 2024' end as date_excerpt from documents cross join (values (0), (1), (2)) as x(n) where doc_id % 11 <> 0 or x.n = 0""",
+    "catalog_reviews": f"""select 'v' || cast(p_partkey as string) as review_id, case when p_partkey % 11 = 0 then '' when p_partkey % 13 = 0 then 'nobody' when p_partkey % 5 = 0 then 'o' || cast(p_partkey - 1 as string) else 'o' || cast(p_partkey as string) end as id,
+        case when p_partkey % 7 = 0 then timestamp '2020-01-01 00:00:00' when p_partkey % 3 = 0 then null else {_NOW} - (case when p_partkey % 5 = 0 and p_partkey % 11 <> 0 then p_partkey - 1 else p_partkey end % 12) * interval '1' day end as base_version,
+        case when p_partkey % 23 = 0 then 'ab' when p_partkey % 17 = 0 then 'Reviewed program ' || cast(p_partkey - 17 as string) else 'Reviewed program ' || cast(p_partkey as string) end as name, case p_partkey % 4 when 0 then 'supplier#000000001' when 1 then 'New Funder ' || cast(p_partkey % 9 as string) else 'NEW funder ' || cast(p_partkey % 9 as string) end as funder,
+        'https://reviewed.example.org/' || cast(p_partkey as string) as url, 'A reviewed summary of ' || p_name || ' projects.' as summary, 'Applicants in ' || p_brand || ' may apply.' as eligibility, 'Checked on the official page.' as notes, 'The official page states every value that is given here.' as evidence,
+        case p_size % 3 when 0 then 'open' when 1 then 'closed' else 'unknown' end as status, p_retailprice as minimum, p_retailprice + 5 as maximum, case when p_partkey % 4 <> 0 then date '2024-01-31' + cast(p_partkey % 61 - 10 as int) end as deadline, cast(null as date) as opens, p_partkey % 6 = 0 as rolling, cast(null as double) as fee, 'USD' as currency,
+        c.name as category, a.name as applicant, case p_partkey % 3 when 0 then 'Worldwide' when 1 then 'United States | New York' || chr(10) || 'Canada' else 'Canada | Ontario | Toronto' end as locations, p_partkey % 9 = 0 as archive, {_NOW} - (p_partkey % 50) * interval '1' minute as reviewed_at
+        from part join category_names c on c.n = p_partkey % 14 join applicant_names a on a.n = p_partkey % 9""",
+    "reconcile_pages": f"""select 'p' || cast(p_partkey as string) as item_id, p_partkey as ord, 'o' || cast(p_partkey as string) as opportunity_id, cast(null as bigint) as candidate_id, o.source_url as item_url, case when p_partkey % 37 = 0 then 'https://moved.example.org/x' else o.source_url || case when p_partkey % 12 = 5 then '/faq' else '' end end as page_url,
+        case p_partkey % 6 when 0 then 'Grants' when 1 then 'Grant guidelines' else o.name end as title, 'Apply for funding. This grant supports projects and provides awards to applicants.' as body from part join opportunities o on o.k = p_partkey where not o.is_demo and o.publication_state = 'published' and o.merged_into is null
+        union all select 'c' || cast(id as string), 1000000000 + id, opportunity_id, id, url, url, case when id % 5 = 2 then 'Rural Arts Fund' else title end, 'Apply for funding. This grant supports projects and provides awards to applicants.' from crawl_candidates where status = 'pending' and kind <> 'domain'""",
     "search_raw": """select p_partkey % 50 as run_id, p_partkey as n, '{"results":[{"url":"https://a' || cast(p_partkey % 9 as string) || '.example.org/x/","title":" The <b>' || p_name || '</b> fund "},{"url":"http://plain.example.org","title":"no"},{"url":"https://b.example.org/' || cast(p_partkey % 40 as string) || '#top","title":"' || p_type || '"}]}' as raw from part""",
     "cited_raw": """select p_partkey as id, '{"output":[{"type":"message","content":[{"type":"text","annotations":[{"type":"url_citation","url":"https://a.example.org/' || cast(p_partkey % 7 as string) || '/"},{"type":"url_citation","url":"https://a.example.org/' || cast(p_partkey % 3 as string) || '"},{"type":"file","url":"https://c.example.org/"},{"type":"url_citation","url":"https://d.example.org/?Token=1"},{"type":"url_citation","url":"http://e.example.org/"}]}]},{"type":"reasoning","content":[{"type":"text","annotations":[{"type":"url_citation","url":"https://f.example.org/"}]}]}]}' as raw from part""",
     "ledger_requests": "select event_id as id, user_id % 7 as ledger, 'topic' || cast(user_id % 50 as string) as topic_key, cast(ts as timestamp) as ts from events",
