@@ -178,8 +178,8 @@ Mexico | | Oaxaca' when 3 then '' when 4 then '| Texas' else 'A|B|C|D' end as li
         case when x.n = 2 then 'Which budget?' else '' end as uncertainty, case when doc_id % 3 = 0 then '' when x.n = 1 then 'by 06/14/2024' else 'by May 3rd, 2024' end as date_excerpt from documents cross join (values (0), (1), (2)) as x(n) where doc_id % 11 <> 0 or x.n = 0""",
     "catalog_reviews": f"""select 'v' || cast(p_partkey as string) as review_id, case when p_partkey % 11 = 0 then '' when p_partkey % 13 = 0 then 'nobody' when p_partkey % 5 = 0 then 'o' || cast(p_partkey - 1 as string) else 'o' || cast(p_partkey as string) end as id,
         case when p_partkey % 7 = 0 then timestamp '2020-01-01 00:00:00' when p_partkey % 3 = 0 then null else {_NOW} - (case when p_partkey % 5 = 0 and p_partkey % 11 <> 0 then p_partkey - 1 else p_partkey end % 12) * interval '1' day end as base_version,
-        case when p_partkey % 23 = 0 then 'ab' when p_partkey % 17 = 0 then 'Reviewed program ' || cast(p_partkey - 17 as string) else 'Reviewed program ' || cast(p_partkey as string) end as name, case p_partkey % 4 when 0 then 'supplier#000000001' when 1 then 'New Funder ' || cast(p_partkey % 9 as string) else 'NEW funder ' || cast(p_partkey % 9 as string) end as funder,
-        'https://reviewed.example.org/' || cast(p_partkey as string) as url, 'A reviewed summary of ' || p_name || ' projects.' as summary, 'Applicants in ' || p_brand || ' may apply.' as eligibility, 'Checked on the official page.' as notes, 'The official page states every value that is given here.' as evidence,
+        case when p_partkey % 23 = 0 then 'ab' when p_partkey % 17 = 0 then 'Reviewed program ' || cast(p_partkey - 1 as string) else 'Reviewed program ' || cast(p_partkey as string) end as name, case p_partkey % 4 when 0 then 'supplier#000000001' when 1 then 'New Funder ' || cast(p_partkey % 9 as string) else 'NEW funder ' || cast(p_partkey % 9 as string) end as funder,
+        case when p_partkey % 19 = 0 then 'https://src' || cast((p_partkey + 1) % 20 as string) || '.example.org/programs/' || cast(p_partkey + 1 as string) else 'https://reviewed.example.org/' || cast(p_partkey as string) end as url, 'A reviewed summary of ' || p_name || ' projects.' as summary, 'Applicants in ' || p_brand || ' may apply.' as eligibility, 'Checked on the official page.' as notes, 'The official page states every value that is given here.' as evidence,
         case p_size % 3 when 0 then 'open' when 1 then 'closed' else 'unknown' end as status, p_retailprice as minimum, p_retailprice + 5 as maximum, case when p_partkey % 4 <> 0 then date '2024-01-31' + cast(p_partkey % 61 - 10 as int) end as deadline, cast(null as date) as opens, p_partkey % 6 = 0 as rolling, cast(null as double) as fee, 'USD' as currency,
         c.name as category, a.name as applicant, case p_partkey % 3 when 0 then 'Worldwide' when 1 then 'United States | New York' || chr(10) || 'Canada' else 'Canada | Ontario | Toronto' end as locations, p_partkey % 9 = 0 as archive, {_NOW} - (p_partkey % 50) * interval '1' minute as reviewed_at
         from part join category_names c on c.n = p_partkey % 14 join applicant_names a on a.n = p_partkey % 9""",

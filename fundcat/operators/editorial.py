@@ -113,7 +113,7 @@ def review_outcomes(reviews: DataFrame, opps: DataFrame, applied: DataFrame, as_
     rows = rows.join(taken, "review_id", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
     first = (
-        F.when(flag(F.col("before")), "repeated").when(F.size("violations") > 0, "rejected").when(~F.col("is_new") & ~flag(F.col("there")), "not found").when(flag(F.col("taken")), "duplicate")
+        F.when(flag(F.col("before")), "repeated").when(F.size("violations") > 0, "rejected").when(~F.col("is_new") & ~flag(F.col("there")), "not found").when(flag(F.col("taken")) | (F.col("is_new") & flag(F.col("there"))), "duplicate")
         .when(~F.col("is_new") & F.col("base_version").isNotNull() & (F.col("base_version") != F.col("version")), "stale")
     )
     rows = rows.withColumn("outcome", first)

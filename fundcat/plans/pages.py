@@ -89,7 +89,7 @@ def draft_validate(c):
 
 _BARE = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 _REVIEWED = f"""r0 as (select *, id = '' as is_new, case when id = '' then 'review-' || md5(url) else id end as program, {_BARE.format('name')} as bare, name = 'ab' or (status = 'open' and coalesce(deadline < {TODAY}, false)) as broken from catalog_reviews),
- r1 as (select r0.*, o.id is not null as there, o.catalog_updated_at as version from r0 left join opportunities o on o.id = r0.program), r2 as (select *, case when broken then 'rejected' when not is_new and not there then 'not found' when exists (select 1 from opportunities o where o.id <> program and ({_BARE.format('o.name')} = bare or o.source_url = r1.url)) then 'duplicate' when not is_new and base_version is not null and base_version <> version then 'stale' end as o1 from r1),
+ r1 as (select r0.*, o.id is not null as there, o.catalog_updated_at as version from r0 left join opportunities o on o.id = r0.program), r2 as (select *, case when broken then 'rejected' when not is_new and not there then 'not found' when is_new and there or exists (select 1 from opportunities o where o.id <> program and ({_BARE.format('o.name')} = bare or o.source_url = r1.url)) then 'duplicate' when not is_new and base_version is not null and base_version <> version then 'stale' end as o1 from r1),
  r3 as (select *, row_number() over (partition by program, o1 is null order by reviewed_at, review_id) as turn from r2), lead as (select *, rank() over (partition by bare order by reviewed_at, review_id) as named from r3 where o1 is null and turn = 1),
  rv as (select r3.*, coalesce(r3.o1, case when r3.turn > 1 then case when r3.is_new then 'duplicate' else 'stale' end when lead.named > 1 then 'duplicate' else 'applied' end) as outcome from r3 left join lead on lead.review_id = r3.review_id),
  yes as (select rv.*, coalesce((select min(f.id) from funders f where lower(f.name) = lower(rv.funder)), 'f-' || md5(lower(rv.funder))) as funder_id from rv where outcome = 'applied')"""
