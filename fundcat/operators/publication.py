@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from fundcat.functions import exprs as X
 from fundcat.functions import roles as P
 from fundcat.functions.places import source_scope
-from fundcat.operators.catalog import PLACE
+from fundcat.operators.catalog import PLACE, geo_match
 from fundcat.operators.evidence import publisher_identity
 from fundcat.schema import AS_OF
+from fundcat.tables import kept
 
 _one = lambda: F.count(F.lit(1))
 
@@ -193,34 +194,108 @@ def run_status(reports: DataFrame) -> DataFrame:
     return per.select("run_id", "leads", F.when(F.col("warnings") == 0, "complete").when(F.col("leads") > 0, "partial").otherwise("failed").alias("status"))
 
 
-def target_match(jobs: DataFrame, wide: DataFrame, geo: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """``jobs(job_id, q, categories, applicant, min_award, freshness, target_id)`` -> ``
-    (job_id, id, status, strict)``: programs that support a job's filters. Strict ones were
-    checked within a day and are known to fit; the others may. Jobs meet programs on their
-    categories (programs without any are asked about all) and ``geo(target_id,
-    opportunity_id, geo)`` on the place."""
+def _postings(cards: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, id)``: the programs whose text holds a term. A term has no white space, so
+    it lies in one word: words are looked through once each, on a term's first letters, and
+    their programs are listed after that."""
+    words = cards.select("id", F.explode(F.array_distinct(F.split("said", r"\s+"))).alias("word")).where("word <> ''")
+    size = 3
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substr("word", i, n))))
+    vocabulary = words.select("word").distinct().select("word", F.explode(F.array_distinct(starts)).alias("start"))
+    held = vocabulary.join(terms.select("term", F.substring("term", 1, size).alias("start")), "start").where(F.contains("word", "term")).select("term", "word")
+    return words.join(held, "word").select("term", "id").distinct()
+
+
+def search_classes(jobs: DataFrame) -> DataFrame:
+    """Jobs with ``search``, one value for all that ask the same, and their terms; those
+    that name no applicant or no country support nothing and are left out."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    none = F.array().cast("array<string>")
+    terms = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(blank("q")), r"\s+"), lambda t: t != "")))
+    rows = jobs.where((blank("applicant") != "") & (blank("country") != "")).select("job_id", terms.alias("terms"), *[F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, none)))).alias(c) for c in ("categories", "focus")], "applicant", F.coalesce("min_award", F.lit(0.0)).alias("min_award"), blank("freshness").alias("freshness"), *["country", "state", "city"])
+    return rows.withColumn("search", F.xxhash64(F.to_json(F.struct(*rows.columns[1:]), {"ignoreNullFields": "false"})))
+
+
+def target_match(jobs: DataFrame, cards: DataFrame, geos: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """``jobs(job_id, q, categories, focus, applicant, min_award, freshness, country, state,
+    city)`` and ``cards`` of programs ``(id, said, status, categories, known_categories,
+    applicants, maximum_award, checked, created_at, catalog_updated_at)`` that pass as
+    programs -> ``(job_id, id, status, strict)``: programs that support a job's filters.
+    Strict ones were checked within a day and are known to fit; the others may fit, as far
+    as is known. Programs without known categories may fit any, and jobs without ask none.
+
+    Equal searches are judged once. Each is indexed by its rarest condition (one term, its
+    categories, its applicant or its freshness), by which programs find it; the other
+    conditions are then checked on what was found, the place last."""
     now = X.now(as_of)
-    w = wide.withColumn("said", F.lower(F.concat_ws(" ", "name", "funder", "summary", "eligibility_notes", F.array_join("categories", " "))))
-    cards = w.select("id", "said", "status", "applicants", "maximum_award", "last_checked_at", "created_at", "catalog_updated_at", F.explode("categories").alias("category"))
-    asked = jobs.withColumn("category", F.explode("categories"))
-    rows = asked.join(cards, "category").dropDuplicates(["job_id", "id"])
-    rows = rows.join(geo.select("target_id", F.col("opportunity_id").alias("id"), "geo"), ["target_id", "id"], "left")
-    terms = F.filter(F.split(F.lower(F.trim("q")), r"\s+"), lambda t: t != "")
-    award = F.col("min_award")
-    named = F.forall(terms, lambda t: F.contains(F.col("said"), t)) & F.when(F.col("freshness") == "new", F.col("created_at") >= now - X.days(7)).when(F.col("freshness") == "updated", F.coalesce(F.col("catalog_updated_at") >= now - X.days(7), F.lit(False))).otherwise(True)
-    fits = F.array_contains("applicants", F.col("applicant"))
-    lenient = named & (fits | (F.size("applicants") == 0)) & (F.coalesce("geo", F.lit("unknown")) != "excluded") & ((award == 0) | F.col("maximum_award").isNull() | (F.col("maximum_award") >= award))
-    strict = named & fits & (F.col("geo") == "eligible") & ((award == 0) | (F.col("maximum_award") >= award)) & (F.col("last_checked_at") >= now - X.days(1))
-    return rows.where(lenient).select("job_id", "id", "status", F.coalesce(strict, F.lit(False)).alias("strict"))
-
-
-def target_counts(matches: DataFrame, wide: DataFrame, most: int = 10) -> DataFrame:
-    """Per job: programs with another identity that match strictly and are open, those on
-    the watchlist, and the first ``most`` to research: that may match, or match and have
-    an unknown status."""
+    searches = search_classes(jobs)
+    asked = searches.dropDuplicates(["search"]).drop("job_id")
+    cards = kept(cards, "target-cards").withColumns({"focus_tags": X.focus_tags(F.col("said")), "is_new": F.col("created_at") >= now - X.days(7), "is_updated": F.coalesce(F.col("catalog_updated_at") >= now - X.days(7), F.lit(False))})
+    asked = kept(asked, "target-searches")
+    found = kept(_postings(cards.select("id", "said"), asked.select(F.explode("terms").alias("term")).distinct()), "target-postings")
+    facts = cards.drop("said")
+
+    # What a program can be found by, and how many are found so.
+    tag = lambda kind, c: F.concat(F.lit(kind + " "), c)
+    some = lambda c, kind: F.when(F.size(c) > 0, F.transform(c, lambda v: tag(kind, v))).otherwise(F.array(F.lit(kind)))
+    keys = F.concat(
+        F.when(F.col("known_categories"), some("categories", "category")).otherwise(F.array(F.lit("category"))), some("applicants", "applicant"),
+        F.array_compact(F.array(F.when(F.col("is_new"), F.lit("new")), F.when(F.col("is_updated"), F.lit("updated")))),
+    )
+    index = facts.select("id", F.explode(F.array_distinct(keys)).alias("key")).unionByName(found.select("id", tag("term", F.col("term")).alias("key")))
+    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ways = F.concat(
+        F.transform("terms", lambda t: F.array(tag("term", t))), F.array(F.array(F.lit("applicant"), tag("applicant", F.col("applicant")))),
+        F.when(F.size("categories") > 0, F.array(F.concat(F.array(F.lit("category")), F.transform("categories", lambda c: tag("category", c))))).otherwise(F.array().cast("array<array<string>>")),
+        F.when(F.col("freshness").isin("new", "updated"), F.array(F.array("freshness"))).otherwise(F.array().cast("array<array<string>>")),
+    )
+    each = asked.select("search", F.explode(ways).alias("way")).select("search", "way", F.explode("way").alias("key")).join(sizes, "key", "left")
+    costs = each.groupBy("search", "way").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"))
+    rarest = costs.groupBy("search").agg(F.min_by("way", F.struct("cost", "way")).alias("way")).select("search", F.explode("way").alias("key"))
+    pairs = rarest.join(index, "key").select("search", "id").distinct()
+
+    rows = pairs.join(asked, "search").join(facts.withColumnsRenamed({"categories": "own", "applicants": "own_applicants"}), "id")
+    fits = F.array_contains("own_applicants", F.col("applicant"))
+    shared = F.col("known_categories") & F.arrays_overlap("own", "categories")
+    asks_any = F.size("categories") == 0
+    enough = F.coalesce(F.col("maximum_award") >= F.col("min_award"), F.lit(False))
+    lenient = (
+        (fits | (F.size("own_applicants") == 0)) & (asks_any | shared | ~F.col("known_categories")) & ((F.size("focus") == 0) | F.arrays_overlap("focus", "focus_tags"))
+        & ((F.col("min_award") == 0) | F.col("maximum_award").isNull() | enough) & F.when(F.col("freshness") == "new", F.col("is_new")).when(F.col("freshness") == "updated", F.col("is_updated")).otherwise(True)
+    )
+    sure = fits & (asks_any | shared) & ((F.col("min_award") == 0) | enough) & F.coalesce(F.col("checked") >= now - X.days(1), F.lit(False))
+    rows = kept(rows.where(lenient).select("search", "id", "status", "terms", sure.alias("sure"), F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("country", "state", "city")]).alias("target_id")), "target-pairs")
+    said = rows.where(F.size("terms") > 0).select("search", "id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(found, ["term", "id"]).groupBy("search", "id", "n").agg(F.count(F.lit(1)).alias("held")).where("held = n")
+    rows = rows.where(F.size("terms") == 0).unionByName(rows.join(said.select("search", "id"), ["search", "id"], "left_semi")).drop("terms")
+    targets = asked.select(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("country", "state", "city")]).alias("target_id"), "country", "state", "city").dropDuplicates(["target_id"])
+    placed = geo_match(rows.select("target_id", F.col("id").alias("opportunity_id")).distinct(), geos, targets).where("geo <> 'excluded'").select("target_id", F.col("opportunity_id").alias("id"), "geo")
+    rows = rows.join(placed, ["target_id", "id"]).select("search", "id", "status", (F.col("sure") & (F.col("geo") == "eligible")).alias("strict"))
+    return searches.select("job_id", "search").join(rows, "search").select("job_id", "id", "status", "strict")
+
+
+def target_cards(wide: DataFrame, origins: DataFrame, monitoring: DataFrame, snaps: DataFrame) -> DataFrame:
+    """``cards`` of ``target_match`` from the wide rows, ``origins(id, publication_origin,
+    category_origin, source_fetched_at, last_verified_at)``, ``monitoring`` and the newest
+    snapshots: programs by their page's role or, failing that, by their name. Categories
+    that a crawler took from the source are not known to be the program's."""
+    bodies = snaps.select(F.col("url").alias("source_url"), "body")
+    seen = monitoring.select(F.col("opportunity_id").alias("id"), "last_success_at", F.col("state").alias("monitored"))
+    rows = wide.join(origins, "id", "left").join(seen, "id", "left").where("coalesce(monitored, 'active') <> 'discontinued'").join(bodies, "source_url", "left")
+    body = F.coalesce("body", "summary")
+    is_program = (P.page_role(F.col("name"), F.col("source_url"), body) == "program") | P.program_name(F.col("name"), F.col("source_url"), body)
+    known = (F.size("categories") > 0) & ~((F.coalesce("publication_origin", F.lit("")) == "crawler") & ~F.coalesce(F.col("category_origin").isin("editor", "official"), F.lit(False)))
+    said = F.lower(F.concat_ws(" ", "name", "funder", "summary", "eligibility_notes", F.array_join("categories", " ")))
+    return rows.where(is_program).select("id", said.alias("said"), "status", "categories", known.alias("known_categories"), "applicants", "maximum_award", F.greatest("last_success_at", "source_fetched_at", "last_checked_at", "last_verified_at").alias("checked"), "created_at", "catalog_updated_at")
+
+
+def target_counts(matches: DataFrame, wide: DataFrame, jobs: DataFrame, most: int = 10) -> DataFrame:
+    """Per job: programs with another identity that match strictly and have the status that
+    ``jobs(job_id, status)`` asks for, open unless said, those on the watchlist, and the
+    first ``most`` to research: that may match, or match and have an unknown status."""
     named = matches.join(wide.select("id", "created_at", publisher_identity(F.col("source_url")).alias("identity")), "id")
     first = named.where("strict").groupBy("job_id", "identity").agg(F.min_by("status", F.struct("created_at", "id")).alias("status"))
-    counts = first.groupBy("job_id").agg(F.count_if(F.col("status") == "open").alias("matched"), F.count_if(F.col("status").isin("upcoming", "between_rounds")).alias("watchlist"))
+    wanted = jobs.select("job_id", F.coalesce(F.nullif("status", F.lit("")), F.lit("open")).alias("wanted"))
+    counts = first.join(wanted, "job_id").groupBy("job_id").agg(F.count_if(F.col("status") == F.col("wanted")).alias("matched"), F.count_if(F.col("status").isin("upcoming", "between_rounds")).alias("watchlist"))
     order = Window.partitionBy("job_id").orderBy("created_at", "id")
     todo = named.where("not strict or status = 'unknown'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     todo = todo.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]), ",").alias("research"))

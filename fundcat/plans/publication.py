@@ -112,12 +112,10 @@ def run_status(c):
 
 
 def _jobs(c):
-    """Jobs with the geography verdicts on the programs of their categories."""
-    jobs = c["target_jobs"].withColumns({"categories": F.array("category"), "city": F.lit(None).cast("string"), "target_id": F.concat_ws("|", F.coalesce("country", F.lit("")), F.coalesce("state", F.lit("")))})
+    jobs = c["target_jobs"].withColumns({"categories": F.array("category"), "focus": F.array("focus_tag"), "city": F.lit(None).cast("string")})
     wide = C.catalog_wide(c)
-    pairs = jobs.select("target_id", "category").distinct().join(wide.select(F.col("id").alias("opportunity_id"), F.explode("categories").alias("category")), "category").select("target_id", "opportunity_id").distinct()
-    geo = C.geo_match(pairs, c["opportunity_geographies"], jobs.select("target_id", *C.PLACE).distinct())
-    return U.target_match(jobs.drop("category", *C.PLACE), wide, geo), wide
+    cards = U.target_cards(wide, c["program_origins"], c["catalog_monitoring"], C.latest_snapshot(c["crawl_snapshots"]))
+    return U.target_match(jobs, cards, c["opportunity_geographies"]), wide, jobs
 
 
 def _wide() -> str:
@@ -127,13 +125,18 @@ def _wide() -> str:
 
 
 def matched_sql() -> str:
-    return f"""{_wide()}, rl as (select j.job_id, g.opportunity_id, g.rule, coalesce(g.country, g.state, g.city) is not null as named, case when (gc <> '' and j.country is not null and gc <> j.country) or (g.state is not null and j.state is not null and g.state <> j.state) then 'different' when (gc <> '' and j.country is null) or (g.state is not null and j.state is null) or g.city is not null then 'unknown' else 'matches' end as rel
-  from (select *, case when country is null or country = 'Worldwide' then '' else country end as gc from opportunity_geographies) g cross join target_jobs j),
- ge as (select job_id, opportunity_id, case when bool_or(rule = 'excluded' and rel = 'matches') then 'excluded' when bool_or(rule = 'eligible' and named and rel = 'matches') and not bool_or(rule = 'excluded' and rel = 'unknown') then 'eligible' when bool_or(rule = 'eligible' and named) and not bool_or(rule = 'eligible' and named and rel <> 'different') then 'excluded' else 'unknown' end as geo from rl group by 1, 2),
- tm as (select j.job_id, w.id, w.status, w.created_at, w.source_url, list_contains(w.applicants, j.applicant) as fits, geo, (j.min_award = 0 or coalesce(w.maximum_award >= j.min_award, false)) as enough, w.last_checked_at >= {NOW} - interval 1 day as recent
-  from target_jobs j join wide w on list_contains(w.categories, j.category) join ge on ge.job_id = j.job_id and ge.opportunity_id = w.id where (j.q = '' or contains(lower(w.name || ' ' || coalesce(w.funder, '') || ' ' || w.summary || ' ' || w.eligibility_notes || ' ' || array_to_string(w.categories, ' ')), j.q)) and (j.freshness = '' or (j.freshness = 'new' and w.created_at >= {NOW} - interval 7 day) or (j.freshness = 'updated' and w.catalog_updated_at >= {NOW} - interval 7 day))
-   and (list_contains(w.applicants, j.applicant) or len(w.applicants) = 0) and geo <> 'excluded' and (j.min_award = 0 or w.maximum_award is null or w.maximum_award >= j.min_award)),
- ts as (select *, fits and geo = 'eligible' and enough and recent as strict from tm)"""
+    body, home = "coalesce(sn.body, w.summary)", "regexp_extract(w.source_url, '^https?://[^/?#]+') || '/program'"
+    return f"""{_wide()}, sn as (select url, arg_max(body, (fetched_at, id)) as body from crawl_snapshots where fetched_at <= {NOW} group by 1),
+ cd as (select w.*, lower(w.name || ' ' || coalesce(w.funder, '') || ' ' || w.summary || ' ' || w.eligibility_notes || ' ' || array_to_string(w.categories, ' ')) as said, len(w.categories) > 0 and not (publication_origin = 'crawler' and coalesce(category_origin, '') not in ('editor', 'official')) as known, greatest(m.last_success_at, g.source_fetched_at, w.last_checked_at, g.last_verified_at) as checked
+  from wide w left join program_origins g on g.id = w.id left join catalog_monitoring m on m.opportunity_id = w.id left join sn on sn.url = w.source_url where coalesce(m.state, 'active') <> 'discontinued' and ({P.role_sql('w.name', 'w.source_url', body)} = 'program' or {P.role_sql('w.name', home, body)} = 'program')),
+ rl as (select j.country, j.state, g.opportunity_id, g.rule, coalesce(g.country, g.state, g.city) is not null as named, case when (gc <> '' and gc <> j.country) or (g.state is not null and j.state is not null and g.state <> j.state) then 'different' when (g.state is not null and j.state is null) or g.city is not null then 'unknown' else 'matches' end as rel
+  from (select *, case when country is null or country = 'Worldwide' then '' else country end as gc from opportunity_geographies) g cross join (select distinct country, state from target_jobs where country is not null) j),
+ ge as (select country, state, opportunity_id, case when bool_or(rule = 'excluded' and rel = 'matches') then 'excluded' when bool_or(rule = 'eligible' and named and rel = 'matches') and not bool_or(rule = 'excluded' and rel = 'unknown') then 'eligible' when bool_or(rule = 'eligible' and named) and not bool_or(rule = 'eligible' and named and rel <> 'different') then 'excluded' else 'unknown' end as geo from rl group by 1, 2, 3),
+ tm as (select j.job_id, j.status as wanted, w.id, w.status, w.created_at, w.source_url, list_contains(w.applicants, j.applicant) as fits, geo, (j.min_award = 0 or coalesce(w.maximum_award >= j.min_award, false)) as enough, coalesce(w.checked >= {NOW} - interval 1 day, false) as recent, j.category is null or (known and list_contains(w.categories, j.category)) as sure
+  from target_jobs j join cd w on (j.category is null or not known or list_contains(w.categories, j.category)) and len(list_filter(string_split(j.q, ' '), lambda t: not contains(w.said, t))) = 0 join ge on ge.country = j.country and ge.state is not distinct from j.state and ge.opportunity_id = w.id
+  where j.applicant is not null and (j.freshness = '' or (j.freshness = 'new' and w.created_at >= {NOW} - interval 7 day) or (j.freshness = 'updated' and w.catalog_updated_at >= {NOW} - interval 7 day)) and (list_contains(w.applicants, j.applicant) or len(w.applicants) = 0) and geo <> 'excluded' and (j.min_award = 0 or w.maximum_award is null or w.maximum_award >= j.min_award)
+   and (j.focus_tag is null or case j.focus_tag when 'women' then regexp_matches(w.said, '\\b(?:women|woman|female|womxn)\\b') else regexp_matches(w.said, '\\b(?:rural|remote communities|small[- ]towns?)\\b') end)),
+ ts as (select *, fits and geo = 'eligible' and enough and recent and sure as strict from tm)"""
 
 
 def register_targets() -> None:
@@ -145,7 +148,7 @@ def register_targets() -> None:
 
     @query(
         "target_counts",
-        f"""with {matched_sql()}, fi as (select job_id, regexp_replace(source_url, '/+$', '') as i, arg_min(status, (created_at, id)) as status from ts where strict group by 1, 2), co as (select job_id, count(*) filter (where status = 'open') as matched, count(*) filter (where status in ('upcoming', 'between_rounds')) as watchlist from fi group by 1),
+        f"""with {matched_sql()}, fi as (select job_id, regexp_replace(source_url, '/+$', '') as i, arg_min(status, (created_at, id)) as status, any_value(coalesce(wanted, 'open')) as wanted from ts where strict group by 1, 2), co as (select job_id, count(*) filter (where status = wanted) as matched, count(*) filter (where status in ('upcoming', 'between_rounds')) as watchlist from fi group by 1),
  td as (select job_id, string_agg(id, ',' order by place) as research from (select job_id, id, row_number() over (partition by job_id order by created_at, id) as place from ts where not strict or status = 'unknown') where place <= 10 group by 1)
  select coalesce(co.job_id, td.job_id) as job_id, coalesce(matched, 0) as matched, coalesce(watchlist, 0) as watchlist, research from co full join td on td.job_id = co.job_id""",
     )
