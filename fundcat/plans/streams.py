@@ -26,8 +26,9 @@ _UNTIL = "(select max(cast(ts as timestamp)) - interval 2 hour from events)"
 @query(
     "trailing_activity_stream",
     f"""with h as (select 'o' || cast(user_id as varchar) as key, date_trunc('hour', cast(ts as timestamp)) as hour, count(*) as n from events group by 1, 2),
- m as (select key, hour + interval 1 hour + to_days(d) as at, case when d = 0 then n when d = 1 then -n else 0 end as a, case when d = 0 then n when d = 7 then -n else 0 end as b, case when d = 0 then n when d = 30 then -n else 0 end as c from h cross join (values (0), (1), (7), (30)) as x(d)), s as (select key, at, sum(a) as a, sum(b) as b, sum(c) as c from m group by 1, 2)
- select * from (select key, cast(at as varchar) as at, cast(sum(a) over w as bigint) as last_1d, cast(sum(b) over w as bigint) as last_7d, cast(sum(c) over w as bigint) as last_30d from s window w as (partition by key order by s.at)) where cast(at as timestamp) < {_UNTIL}""",
+ m as (select key, hour + interval 1 hour + to_days(d) as due, case when d = 0 then n when d = 1 then -n else 0 end as a, case when d = 0 then n when d = 7 then -n else 0 end as b, case when d = 0 then n when d = 30 then -n else 0 end as c from h cross join (values (0), (1), (7), (30)) as x(d)), s as (select key, due, sum(a) as a, sum(b) as b, sum(c) as c from m group by 1, 2),
+ w as (select key, due, sum(a) over (partition by key order by due) as a, sum(b) over (partition by key order by due) as b, sum(c) over (partition by key order by due) as c from s)
+ select key, strftime(due, '%Y-%m-%d %H:%M:%S') as "at", cast(a as bigint) as last_1d, cast(b as bigint) as last_7d, cast(c as bigint) as last_30d from w where due < {_UNTIL}""",
 )
 def trailing_activity_stream(c):
     events = c["events"]
