@@ -51,21 +51,31 @@ def settled(df: DataFrame) -> DataFrame:
 KEY = ("_key1", "_key2")
 
 
-def row_key(docs: DataFrame) -> list[F.Column]:
+def key_names(docs: DataFrame) -> tuple[str, str]:
+    """Names for ``row_key`` that no column has, whatever their case."""
+    taken, names = {c.lower() for c in docs.columns}, KEY
+    while taken & set(names):
+        names = tuple(f"_{n}" for n in names)
+    return names
+
+
+def row_key(docs: DataFrame, names: tuple[str, str] = KEY) -> list[F.Column]:
     """128 bits of hash over all columns, nulls marked: with doc_id it tells rows apart
     whose doc_id is null or repeated. Only rows that are equal throughout share it."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
     parts = [F.to_json(F.map_entries(c)) if kind.startswith("map") else c for c, (_, kind) in zip(cols, docs.dtypes, strict=True)]
-    return [F.xxhash64(F.lit(i), *[c.isNull() for c in cols], *parts).alias(name) for i, name in enumerate(KEY)]
+    return [F.xxhash64(F.lit(i), *[c.isNull() for c in cols], *parts).alias(name) for i, name in enumerate(names)]
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """``docs`` whose ``doc_id`` and ``row_key`` are in ``kept(doc_id, _key1, _key2)``."""
-    rows = docs.select("*", *row_key(docs))
+    """``docs`` whose ``doc_id`` and ``row_key`` are in ``kept(doc_id, _key1, _key2)``, with
+    the row key under ``key_names``."""
+    names = key_names(docs)
+    rows = docs.select("*", *row_key(docs, names))
     kept = kept.select(F.col("doc_id").alias("_kept"), *[F.col(k).alias(f"{k}_kept") for k in KEY])
     same = rows["doc_id"].cast("long").eqNullSafe(kept["_kept"])
-    for k in KEY:
-        same = same & (rows[k] == kept[f"{k}_kept"])
+    for name, k in zip(names, KEY, strict=True):
+        same = same & (rows[name] == kept[f"{k}_kept"])
     return rows.join(kept, same, "left_semi")
 
 

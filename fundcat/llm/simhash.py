@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundcat.llm.common import KEY, cut, keep_rows, partitions, row_key, small_batches, table
+from fundcat.llm.common import KEY, cut, keep_rows, key_names, partitions, row_key, small_batches, table
 from fundcat.llm.graph import components
 
 SHINGLE = 4
@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``documents`` without all but one row of each component: the one with the
     smallest doc_id stays, null ones last, then that with the smallest row key. Columns
-    are unchanged. Rows of different components all stay, whatever their doc_id; of rows
+    are unchanged, whatever their names. Rows of different components all stay, whatever their doc_id; of rows
     that are equal throughout one stays."""
-    prints = cut(fingerprints(docs.select("*", *row_key(docs)), carried=KEY), "fingerprints")
+    prints = cut(fingerprints(docs.select("doc_id", "text", *row_key(docs)), carried=KEY), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)).alias("first")
     texts = cut(prints.groupBy("fp").agg(first), "prints")
     roots = components(links(texts)).withColumnRenamed("node", "fp")
@@ -224,7 +224,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     out = keep_rows(docs, kept)
     repeats = prints.groupBy("doc_id", *KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeats.isEmpty():
-        out = out.dropDuplicates(["doc_id", *KEY])
+        out = out.dropDuplicates(["doc_id", *key_names(docs)])
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -116,7 +116,9 @@ def fit(features: list[list[int]], labels: np.ndarray, counterparts: list[tuple[
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, families=IDENTITY, swap: float = SWAP) -> Classifier:
     """Fit on labelled rows outside the held-out third. Beyond ``max_rows`` a share of
-    them is taken by a hash of the id. Words are chosen by the log-likelihood
+    them is taken by a hash of the id. An id whose labels conflict counts as toxic; of an id
+    that several documents have, one text is learnt from, so what is collected is bounded
+    by ids and rows alike. Words are chosen by the log-likelihood
     ratio of word and label; counting them is a Spark job, and what reaches the driver is bounded by
     ``max_rows`` and ``max_words``."""
     spark = docs.sparkSession
@@ -127,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
     if n > max_rows:
         given = given.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(950_000 * max_rows / n))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(given), "doc_id")  # max_rows ids at most, about
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r")).select("doc_id", "r.text", "r.toxic")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
