@@ -92,6 +92,11 @@ VIEWS: dict[str, str] = {
         md5(body) as content_hash, case d.doc_id % 9 when 0 then 'domain' when 1 then 'changed' else 'new' end as kind, case d.doc_id % 11 when 0 then 'rejected' else 'pending' end as status,
         case d.doc_id % 5 when 0 then 'How to write a grant' when 1 then 'Grants' when 2 then 'Rural Arts Fund ' || cast(d.r as string) when 3 then 'River Fellowship Program' else 'Contact us' end as title,
         case when d.doc_id % 7 = 0 then 'o' || cast(d.r as string) end as opportunity_id, {_NOW} - (d.doc_id % 40) * interval '1' day as created_at from slots d join snapshot_bodies b on b.doc_id = d.doc_id""",
+    "publish_candidates": f"""select d.doc_id as id, d.doc_id as snapshot_id, 'src' || cast(d.r % 20 as string) as source_id, 'https://src' || cast((d.r + case when d.doc_id % 19 = 0 then 1 else 0 end) % 20 as string) || '.example.org/programs/' || case d.doc_id % 10 when 0 then cast(d.r as string) when 1 then cast(d.r as string) || '/application' when 2 then cast(d.r as string) || '/faq' else 'new/' || cast(d.doc_id as string) end as url,
+        case when d.doc_id % 13 = 0 then md5('old') else md5(body) end as content_hash, case d.doc_id % 17 when 0 then 'domain' else 'new' end as kind, case d.doc_id % 11 when 0 then 'rejected' else 'pending' end as status,
+        case d.doc_id % 8 when 0 then 'Rural Arts Fund ' || cast(d.doc_id as string) when 1 then 'Rural Arts Fund' when 2 then coalesce(o.name, 'Fund of nothing') when 3 then 'Grants' when 4 then 'FAQ for applicants' when 5 then 'How to write a grant' when 6 then 'River Fellowship Program' else 'Music Fund ' || cast(d.doc_id as string) end as title,
+        case when d.doc_id % 7 = 0 then 'o' || cast(d.r as string) end as opportunity_id, {_NOW} - (d.doc_id % 40) * interval '1' day as created_at from slots d join snapshot_bodies b on b.doc_id = d.doc_id left join opportunities o on o.k = d.r""",
+    "publish_snapshots": f"""select c.id, c.url, {_NOW} - (c.id % 100) * interval '1' day as fetched_at, md5(b.body) as content_hash, b.body || case when c.id % 9 = 5 then '' else ' Apply for funding. This grant supports projects and provides awards to applicants.' end as body from publish_candidates c join snapshot_bodies b on b.doc_id = c.id""",
     "publication_results": "select doc_id as candidate_id, case doc_id % 6 when 0 then 'skipped' when 3 then 'published' else 'updated' end as outcome, case doc_id % 12 when 0 then 'Directory page' else 'Insufficient program facts' end as reason from documents where doc_id % 3 = 0",
     "catalog_field_history": """select (l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey as id, 'o' || cast(l_partkey as string) as opportunity_id, case (l_linenumber + l_suppkey) % 3 when 0 then 'status' when 1 then 'deadline' else 'maximum' end as field,
         case when l_quantity < 10 then null else 'v' || cast(l_orderkey % 3 as string) end as old_value, 'v' || cast(l_suppkey % 3 as string) as new_value, cast(l_shipdate as timestamp) as created_at, case when l_returnflag = 'A' then 'automatic' else 'editor' end as action from lineitem""",
@@ -138,9 +143,9 @@ Worldwide' when 1 then ' Canada
 ' when 2 then 'Canada|Ontario
 
 Mexico | | Oaxaca' when 3 then '' when 4 then '| Texas' else 'A|B|C|D' end as lines from part""",
-    "lifecycle_pages": """select 'o' || cast(p_partkey as string) as id, p_name || ' ' || p_type || ' Grant' as name, case when p_partkey % 5 = 0 then 'Other page' else 'About the ' || p_name || '-' || p_type || ' grant' end as title,
-        'Welcome to the page. ' || case p_partkey % 9 when 0 then 'This program has been permanently discontinued.' when 1 then 'The program is no longer offered this year.' when 2 then 'This fund may have been discontinued.' when 3 then p_name || ' ' || p_type || ' Grant has reopened!' when 4 then 'This grant is now accepting applications if funds allow.' when 5 then 'We say that this grant is permanently closed.'
-        when 6 then 'The program will no longer be offered after May. The program has resumed.' when 7 then 'This fellowship is open for applications.' else 'Nothing new' end || ' ' || p_brand || ' was here.' as text from part""",
+    "lifecycle_pages": """select 'o' || cast(p_partkey as string) as id, dots || p_name || ' ' || p_type || ' Grant' as name, case when p_partkey % 5 = 0 then 'Other page' else 'About the ' || dots || p_name || '-' || p_type || ' grant' end as title,
+        'Welcome to the page. ' || case p_partkey % 9 when 0 then 'This program has been permanently discontinued.' when 1 then 'The program is no longer offered this year.' when 2 then 'This fund may have been discontinued.' when 3 then dots || p_name || ' ' || p_type || ' Grant has reopened!' when 4 then 'This grant is now accepting applications if funds allow.' when 5 then 'We say that this grant is permanently closed.'
+        when 6 then 'The program will no longer be offered after May. The program has resumed.' when 7 then dots || p_name || ' ' || p_type || ' grant has been discontinued' else 'Nothing new' end || ' ' || p_brand || ' was here.' as text from (select *, case when p_partkey % 4 = 0 then 'U.S. ' when p_partkey % 4 = 1 then 'St. ' else '' end as dots from part) as t""",
     "page_urls": f"""select doc_id as id, doc_id as snapshot_id, 'https://' || case when doc_id % 3 = 0 then 'www.' else '' end || 'src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string) || case doc_id % 7 when 1 then '/apply' when 2 then '/docs/guidelines' when 3 then '/faq/' else '' end as url, {_NOW} - (doc_id % 100) * interval '1' day as fetched_at from slots""",
     "evidence_pages": f"""select 'o' || cast(r as string) as opportunity_id, 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast(r as string) || case when doc_id % 2 = 0 then '/apply' else '/old' end as url, 'official-program-subpage' as association, doc_id as snapshot_id, {_NOW} - (doc_id % 50) * interval '1' day as fetched_at, doc_id % 3 as n_facts from slots where doc_id % 5 = 0""",
     "found_links": "select 'src' || cast(r % 20 as string) as source_id, case when doc_id % 11 = 0 then 'https://other' || cast(doc_id % 5 as string) || '.example.com/a' || cast(doc_id as string) else 'https://src' || cast(r % 20 as string) || '.example.org/programs/' || cast((doc_id * 7) % slots as string) end as link, cast(doc_id % 6 as int) as depth from slots",

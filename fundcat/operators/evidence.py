@@ -153,28 +153,26 @@ def text_facts(pages: DataFrame) -> DataFrame:
 
 
 #: How a page says that a program has ended or is back, and doubts.
-SUBJECTS = ("this grant", "this program", "this fund", "this fellowship", "the program")
-RETIRED = r"(has been (?:permanently )?discontinued|is (?:permanently discontinued|no longer offered|permanently closed)|will no longer be offered)\b"
-RETURNED = r"(is (?:now |once again )?(?:accepting applications|open for applications)|has (?:reopened|resumed))\b"
+SUBJECTS = r"this (?:grant|program|fund|fellowship)|the program"
+RETIRED = r"(?:has been (?:permanently )?discontinued|is (?:permanently discontinued|no longer offered|permanently closed)|will no longer be offered)\b"
+RETURNED = r"(?:is (?:now |once again )?(?:accepting applications|open for applications)|has (?:reopened|resumed))\b"
 DOUBT = r"\b(if|unless|might|may|could)\b"
 TEMPORARY = r"\b(until|this (?:year|cycle|round|season)|temporarily)\b"
 
 
 def lifecycle_signal(pages: DataFrame) -> DataFrame:
     """``pages(id, name, title, text)`` -> ``(id, state, evidence)``: the sentence in which
-    a page that has the program in its title says that it has ended or is open again.
-    Sentences that doubt or limit it say nothing; rows without a signal are left out."""
+    a page that has the program in its title says that it has ended or is open again. The
+    sentence begins with the program, whose name may hold full stops, at the text's start or
+    behind the end of another; the first such sentence counts. Sentences that doubt or limit
+    it say nothing; rows without a signal are left out."""
     bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
     about = pages.where((F.length(bare("name")) >= 8) & F.contains(bare("title"), bare("name")))
-    sentences = F.transform(F.regexp_extract_all("text", F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.trim(s))
+    name = F.regexp_replace("name", r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
     def first(verb: str) -> Column:
-        def says(s: Column) -> Column:
-            low, name = F.lower(s), F.lower(F.col("name"))
-            heads = [F.lit(x) for x in SUBJECTS] + [name]
-            return F.reduce(F.array(*heads), F.lit(False), lambda got, h: got | (F.startswith(low, F.concat(h, F.lit(" "))) & _has(F.substring(low, F.length(h) + 2, F.length(low)), "^" + verb)))
-
-        return F.get(F.filter(sentences, says), F.lit(0))
+        pattern = F.concat(F.lit(rf"(?i)(?:^|[.!?]\s+)(?:{SUBJECTS}|"), name, F.lit(ascii_words(rf") {verb}[^.!?]*[.!?]?").removeprefix("(?i)")))
+        return F.regexp_replace(F.regexp_substr("text", pattern), r"^[.!?]\s+", "")
 
     rows = about.select("id", first(RETIRED).alias("ended"), first(RETURNED).alias("back"))
     ended = F.col("ended").isNotNull() & ~_has(F.col("ended"), DOUBT) & ~_has(F.col("ended"), TEMPORARY)

@@ -49,37 +49,52 @@ def publish_queue(candidates: DataFrame, results: DataFrame, parser: str, tries:
     return rows.where(due).select("id", "created_at", F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
-def publish_decide(candidates: DataFrame, snaps: DataFrame, sources: DataFrame, opps: DataFrame, aliases: DataFrame, associations: DataFrame) -> DataFrame:
-    """``(id, outcome, reason, opportunity_id)`` of each candidate: published, updated or
-    skipped, by the first rule that holds. ``associations(page_id, opportunity_id)`` are
-    those of ``related_pages`` for the candidates' pages. Candidates of one batch with the
-    same program key are decided as if in the order of their ids: the first is published
-    and the others are its likely duplicates."""
+#: Pages below a program that are its application, and what rejected pages
+#: are dismissed for.
+APPLICATION = "/(?:apply-now|application)/?$"
+DISMISSED = ("directory", "announcement", "faq", "guidelines", "application", "supporting")
+
+
+def publish_decide(candidates: DataFrame, snaps: DataFrame, sources: DataFrame, opps: DataFrame, aliases: DataFrame, associations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(id, outcome, reason, opportunity_id, dismissed)`` of each candidate: published,
+    updated or skipped, by the first rule that holds; ``dismissed`` if its page is no program
+    of its own. ``associations(page_id, opportunity_id, association)`` are those of
+    ``related_pages``; links prove nothing here. ``evidence(opportunity_id, url)`` are pages
+    that are a program's already. Candidates of one batch with the same program key are
+    decided as if in the order of their ids: the first is published and the others are its
+    likely duplicates."""
     newest = snaps.groupBy("url").agg(F.max_by("content_hash", F.struct("fetched_at", "id")).alias("newest_hash"))
     by_alias = aliases.groupBy("url").agg(F.min("opportunity_id").alias("by_alias"))
     live = opps.where("not is_demo")
     by_url = live.groupBy(F.col("source_url").alias("url")).agg(F.min("id").alias("by_url"))
     keyed = live.groupBy(X.program_key(F.col("name")).alias("key")).agg(_one().alias("same"), F.min("id").alias("same_id"))
-    proven = associations.join(live.where("merged_into is null").select(F.col("id").alias("opportunity_id")), "opportunity_id", "left_semi").groupBy(F.col("page_id").alias("id")).agg(F.count_distinct("opportunity_id").alias("ways"), F.min("opportunity_id").alias("by_page"))
+    plain = lambda url: F.concat_ws("|", F.regexp_extract(url, "^https?://([^/?#]+)", 1), F.regexp_replace(X.path_of(url), "/$", ""))
+    placed = live.groupBy(plain("source_url").alias("parent")).agg(_one().alias("above"), F.min("id").alias("above_id"))
+    related = associations.where("association <> 'official-program-link'")
+    proven = related.join(live.where("merged_into is null").select(F.col("id").alias("opportunity_id")), "opportunity_id", "left_semi").groupBy(F.col("page_id").alias("id")).agg(F.count_distinct("opportunity_id").alias("ways"), F.min("opportunity_id").alias("by_page"))
     closed = opps.select(F.col("id").alias("grant_id"), ((F.col("publication_state") == "hidden") | (F.col("verification_status") == "archived") | F.col("merged_into").isNotNull()).alias("closed"), F.col("source_url").alias("grant_url"))
     body = snaps.select(F.col("id").alias("snapshot_id"), "body")
     c = candidates.join(body, "snapshot_id", "left").join(sources.select(F.col("id").alias("source_id"), "domain"), "source_id", "left")
     c = c.join(newest, "url", "left").join(by_alias, "url", "left").join(by_url, "url", "left").join(proven, "id", "left")
     c = c.withColumn("reason", X.once(P.classify_candidate(F.col("title"), F.col("url"), F.col("body")))).withColumn("key", X.program_key(F.col("title")))
     # The body has said what it can.
-    c = c.select("id", "url", "title", "status", "kind", "content_hash", "newest_hash", "domain", "reason", "key", F.col("body").isNotNull().alias("read"), "ways", "by_page", F.coalesce("by_alias", "opportunity_id", "by_url", F.when(F.col("ways") == 1, F.col("by_page"))).alias("grant_id"))
-    c = c.join(keyed, "key", "left").join(closed, "grant_id", "left")
+    parent = F.when(X.path_of("url").rlike(APPLICATION), F.regexp_replace(plain("url"), APPLICATION, ""))
+    c = c.select("id", "url", "title", "status", "kind", "content_hash", "newest_hash", "domain", "reason", "key", parent.alias("parent"), F.col("body").isNotNull().alias("read"), F.coalesce("by_alias", "opportunity_id", "by_url", F.when(F.col("ways") == 1, F.col("by_page"))).alias("grant_id"))
+    tie = related.select(F.col("page_id").alias("id"), F.col("opportunity_id").alias("grant_id"), F.lit(True).alias("tie")).distinct()
+    held = evidence.select(F.col("opportunity_id").alias("grant_id"), "url", F.lit(True).alias("held")).distinct()
+    c = c.join(keyed, "key", "left").join(placed, "parent", "left").join(closed, "grant_id", "left").join(tie, ["id", "grant_id"], "left").join(held, ["grant_id", "url"], "left")
     pending = (F.col("status") == "pending") & (F.col("kind") != "domain")
-    approved = F.col("read") & (X.host_of(F.col("url")) == F.col("domain"))
+    approved = F.coalesce(F.col("read") & (X.host_of(F.col("url")) == F.col("domain")), F.lit(False))
     fresh = F.coalesce(F.col("newest_hash") == F.col("content_hash"), F.lit(False))
     known = F.col("closed").isNotNull()
     same_place = publisher_identity(F.col("url")) == publisher_identity(F.col("grant_url"))
-    tied = F.coalesce(F.col("ways") > 0, F.lit(False)) | (same_place & F.col("reason").isNull())
-    fresh_program = pending & approved & fresh & ~known & F.col("reason").isNull() & F.col("same").isNull()
-    first = F.row_number().over(Window.partitionBy("key", fresh_program).orderBy("id")) == 1
-    c = c.withColumn("first", fresh_program & first)
+    tied = F.col("tie").isNotNull() | F.col("held").isNotNull() | (same_place & F.col("reason").isNull())
+    alike = F.col("same").isNotNull() | F.col("above").isNotNull()
+    new = pending & approved & fresh & ~known & F.col("reason").isNull() & ~alike
+    firsts = c.where(new).groupBy("key").agg(F.min("id").alias("first_id"))
+    c = c.join(firsts, "key", "left")
     verdict = lambda outcome, reason: F.struct(F.lit(outcome).alias("outcome"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
-    rules = (
+    rules = (  # fixed values: what an editor reads
         F.when(~pending, verdict("skipped", "Not a pending grant candidate"))
         .when(~approved, verdict("skipped", "Source evidence or approved domain is missing"))
         .when(~fresh, verdict("skipped", "A newer source snapshot requires review"))
@@ -87,12 +102,14 @@ def publish_decide(candidates: DataFrame, snaps: DataFrame, sources: DataFrame,
         .when(known & F.col("closed"), verdict("skipped", "Editor-hidden or merged listing stays unpublished"))
         .when(known & ~tied, verdict("skipped", "Program association unresolved; enrichment scheduled"))
         .when(known, verdict("updated", "Official evidence processed with field history and locks"))
-        .when(~F.col("first"), verdict("skipped", "Likely duplicate program — merge or review the existing listing"))
+        .when(alike | (F.col("id") != F.col("first_id")), verdict("skipped", "Likely duplicate program — merge or review the existing listing"))
         .otherwise(verdict("published", "Published unverified grant lead"))
     )
-    twin = F.when(~known & F.col("reason").isNull() & (F.col("same") == 1), F.col("same_id"))
+    one = F.when(F.col("above").isNull(), F.when(F.col("same") == 1, F.col("same_id"))).when(F.col("above") == 1, F.when(F.col("same").isNull() | ((F.col("same") == 1) & (F.col("same_id") == F.col("above_id"))), F.col("above_id")))
+    twin = F.when(~known & F.col("reason").isNull(), one)
     answered = pending & approved & fresh
-    return c.select("id", rules.alias("v"), F.when(answered, F.coalesce(F.when(known, F.col("grant_id")), twin)).alias("opportunity_id")).select("id", "v.outcome", "v.reason", "opportunity_id")
+    dismissed = answered & ~known & F.coalesce(F.col("reason").isin(*[f"Non-program or unresolved page: {role}" for role in DISMISSED]), F.lit(False))
+    return c.select("id", rules.alias("v"), F.when(answered, F.coalesce(F.when(known, F.col("grant_id")), twin)).alias("opportunity_id"), dismissed.alias("dismissed")).select("id", "v.outcome", "v.reason", "opportunity_id", "dismissed")
 
 
 def feed_import(records: DataFrame, known: DataFrame, opps: DataFrame, aliases: DataFrame, funders: DataFrame) -> DataFrame:

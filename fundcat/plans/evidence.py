@@ -65,12 +65,14 @@ def publisher_identity(c):
     return c["identity_urls"].select("id", E.publisher_identity(F.col("url")).alias("identity"))
 
 
+def _says(verb: str) -> str:
+    return f"nullif(regexp_extract(text, '(?i)(?:^|[.!?]\\s+)((?:this (?:grant|program|fund|fellowship)|the program|' || regexp_escape(name) || ') {verb}\\b[^.!?]*[.!?]?)', 1), '')"
+
+
 @query(
     "lifecycle_signal",
-    """with a as (select *, lower(name) as low from lifecycle_pages where contains(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) and length(regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) >= 8),
- s as (select id, trim(unnest(regexp_extract_all(text, '[^.!?]+[.!?]*'))) as s, low, generate_subscripts(regexp_extract_all(text, '[^.!?]+[.!?]*'), 1) as n from a),
- v as (select *, regexp_matches(s, '(?i)^(this (grant|program|fund|fellowship)|the program|' || low || ') (has been (permanently )?discontinued|is (permanently discontinued|no longer offered|permanently closed)|will no longer be offered)\\b') as r, regexp_matches(s, '(?i)^(this (grant|program|fund|fellowship)|the program|' || low || ') (is (now |once again )?(accepting applications|open for applications)|has (reopened|resumed))\\b') as b from s),
- f as (select id, arg_min(s, n) filter (where r) as ended, arg_min(s, n) filter (where b) as back from v group by id),
+    f"""with a as (select * from lifecycle_pages where contains(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) and length(regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) >= 8),
+ f as (select id, {_says('(?:has been (?:permanently )?discontinued|is (?:permanently discontinued|no longer offered|permanently closed)|will no longer be offered)')} as ended, {_says('(?:is (?:now |once again )?(?:accepting applications|open for applications)|has (?:reopened|resumed))')} as back from a),
  g as (select *, ended is not null and not regexp_matches(ended, '(?i)\\b(if|unless|might|may|could|until|this (year|cycle|round|season)|temporarily)\\b') as e, back is not null and not regexp_matches(back, '(?i)\\b(if|unless|might|may|could)\\b') as k from f)
  select id, case when e then 'discontinued' else 'active' end as state, case when e then ended else back end as evidence from g where e or k""",
 )

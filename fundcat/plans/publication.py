@@ -29,14 +29,16 @@ def publish_queue(c):
     return U.publish_queue(c["crawl_candidates"], c["publication_runs"], "v14")
 
 
-DECIDED = f"""nw as (select url, arg_max(content_hash, (fetched_at, id)) as newest from crawl_snapshots group by 1), al as (select url, min(opportunity_id) as a from opportunity_source_urls group by 1), live as (select *, {KEY} as key from opportunities where not is_demo),
- bu as (select source_url as url, min(id) as b from live group by 1), kk as (select key, count(*) as same, min(id) as same_id from live group by 1),
- c0 as (select c.id, c.url, c.title, c.status, c.kind, c.content_hash, c.opportunity_id, s.body, src.domain, nw.newest, a, b, {P.role_sql('c.title', 'c.url', 's.body')} as role from crawl_candidates c left join crawl_snapshots s on s.id = c.snapshot_id left join crawl_sources src on src.id = c.source_id left join nw on nw.url = c.url left join al on al.url = c.url left join bu on bu.url = c.url),
- pv as (select c.id, count(distinct o.id) as ways, min(o.id) as by_page from c0 c join live o on o.merged_into is null and regexp_replace(o.source_url, '/+$', '') = regexp_replace(c.url, '/+$', '') group by 1),
- c1 as (select c0.*, {P.classify_sql('title', 'url', 'body', 'role')} as reason, {KEY.replace('name', 'title')} as key from c0),
- c2 as (select c1.*, pv.ways, coalesce(a, c1.opportunity_id, b, case when ways = 1 then by_page end) as grant_id from c1 left join pv on pv.id = c1.id),
- c3 as (select c2.*, same, same_id, o.id is not null as known, {CLOSED.replace('publication_state', 'o.publication_state').replace('verification_status', 'o.verification_status').replace('merged_into', 'o.merged_into')} as closed, o.source_url as grant_url, c2.status = 'pending' and c2.kind <> 'domain' as pending, body is not null and {HOST.format('c2.url')} = c2.domain as approved, coalesce(newest = content_hash, false) as fresh from c2 left join kk on kk.key = c2.key left join opportunities o on o.id = c2.grant_id),
- c4 as (select *, pending and approved and fresh and not known and reason is null and same is null as open_, ways > 0 or (regexp_replace(url, '/+$', '') = regexp_replace(grant_url, '/+$', '') and reason is null) as tied from c3), c5 as (select *, open_ and row_number() over (partition by key, open_ order by id) = 1 as first from c4)"""
+_HP = "regexp_extract({0}, '^https?://([^/?#]+)', 1) || '|' || regexp_replace(regexp_extract({0}, '^https?://[^/?#]+([^?#]*)', 1), '/$', '')"
+DECIDED = f"""nw as (select url, arg_max(content_hash, (fetched_at, id)) as newest from publish_snapshots group by 1), al as (select url, min(opportunity_id) as a from opportunity_source_urls group by 1), live as (select *, {KEY} as key, {_HP.format('source_url')} as hp from opportunities where not is_demo),
+ bu as (select source_url as url, min(id) as b from live group by 1), kk as (select key, count(*) as same, min(id) as same_id from live group by 1), pp as (select hp, count(*) as above, min(id) as above_id from live group by 1),
+ c0 as (select c.id, c.url, c.title, c.status, c.kind, c.content_hash, c.opportunity_id, s.body, src.domain, nw.newest, a, b, {P.role_sql('c.title', 'c.url', 's.body')} as role from publish_candidates c left join publish_snapshots s on s.id = c.snapshot_id left join crawl_sources src on src.id = c.source_id left join nw on nw.url = c.url left join al on al.url = c.url left join bu on bu.url = c.url),
+ tie as (select c.id, o.id as program, o.merged_into is null as own from c0 c join live o on regexp_replace(o.source_url, '/+$', '') = regexp_replace(c.url, '/+$', '') or (c.role in ('application', 'guidelines', 'faq', 'supporting') and starts_with({_HP.format('c.url')}, regexp_replace(o.hp, '/+$', '') || '/'))), pv as (select id, count(distinct program) as ways, min(program) as by_page from tie where own group by 1),
+ c1 as (select c0.*, {P.classify_sql('title', 'url', 'body', 'role')} as reason, {KEY.replace('name', 'title')} as key, case when regexp_matches(url, '/(apply-now|application)/?$') then regexp_replace({_HP.format('url')}, '/(apply-now|application)/?$', '') end as hp from c0),
+ c2 as (select c1.*, coalesce(a, c1.opportunity_id, b, case when ways = 1 then by_page end) as grant_id from c1 left join pv on pv.id = c1.id),
+ c3 as (select c2.*, same, same_id, above, above_id, o.id is not null as known, {CLOSED.replace('publication_state', 'o.publication_state').replace('verification_status', 'o.verification_status').replace('merged_into', 'o.merged_into')} as closed, o.source_url as grant_url, c2.status = 'pending' and c2.kind <> 'domain' as pending, coalesce(body is not null and {HOST.format('c2.url')} = c2.domain, false) as approved, coalesce(newest = content_hash, false) as fresh,
+  exists (select 1 from tie t where t.id = c2.id and t.program = c2.grant_id) or exists (select 1 from evidence_pages e where e.opportunity_id = c2.grant_id and e.url = c2.url) as held from c2 left join kk on kk.key = c2.key left join pp on pp.hp = c2.hp left join opportunities o on o.id = c2.grant_id),
+ c4 as (select *, pending and approved and fresh and not known and reason is null and same is null and above is null as open_, held or (regexp_replace(url, '/+$', '') = regexp_replace(grant_url, '/+$', '') and reason is null) as tied from c3), c5 as (select *, open_ and row_number() over (partition by key, open_ order by id) = 1 as first from c4)"""
 
 
 @query(
@@ -44,12 +46,13 @@ DECIDED = f"""nw as (select url, arg_max(content_hash, (fetched_at, id)) as newe
     f"""with {DECIDED} select id, case when pending and approved and fresh and known and not closed and coalesce(tied, false) then 'updated' when pending and approved and fresh and not known and reason is null and first then 'published' else 'skipped' end as outcome,
  case when not pending then 'Not a pending grant candidate' when not coalesce(approved, false) then 'Source evidence or approved domain is missing' when not fresh then 'A newer source snapshot requires review' when not known and reason is not null then reason when known and closed then 'Editor-hidden or merged listing stays unpublished'
   when known and not coalesce(tied, false) then 'Program association unresolved; enrichment scheduled' when known then 'Official evidence processed with field history and locks' when not first then 'Likely duplicate program — merge or review the existing listing' else 'Published unverified grant lead' end as reason,
- case when pending and approved and fresh then case when known then grant_id when reason is null and same = 1 then same_id end end as opportunity_id from c5""",
+ case when pending and approved and fresh then case when known then grant_id when reason is null and coalesce(same, 0) + coalesce(above, 0) = 1 then coalesce(same_id, above_id) when reason is null and same = 1 and above = 1 and same_id = above_id then same_id end end as opportunity_id,
+ pending and approved and fresh and not known and reason is not null and role not in ('program', 'ambiguous') as dismissed from c5""",
 )
 def publish_decide(c):
-    pages = c["crawl_candidates"].select("id", "url", "title", "snapshot_id").join(c["crawl_snapshots"].select(F.col("id").alias("snapshot_id"), "body"), "snapshot_id")
+    pages = c["publish_candidates"].select("id", "url", "title", "snapshot_id").join(c["publish_snapshots"].select(F.col("id").alias("snapshot_id"), "body"), "snapshot_id")
     tied = E.related_pages(pages, c["opportunities"].where("not is_demo"), c["page_links"])
-    return U.publish_decide(c["crawl_candidates"], c["crawl_snapshots"], c["crawl_sources"], c["opportunities"], c["opportunity_source_urls"], tied)
+    return U.publish_decide(c["publish_candidates"], c["publish_snapshots"], c["crawl_sources"], c["opportunities"], c["opportunity_source_urls"], tied, c["evidence_pages"])
 
 
 @query(

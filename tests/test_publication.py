@@ -76,3 +76,30 @@ def test_facts_of_many_wordings(spark):
         assert all(r.excerpt in body for r in got if r.id == i)
     assert {r.cycle for r in got if r.id == 1} == {"2024"}
     assert E.text_facts(pages.where("false")).count() == 0 and E.text_facts(pages.withColumn("body", F.lit(None).cast("string"))).count() == 0
+
+
+def test_lifecycle_of_names_with_full_stops(spark):
+    rows = [
+        ("a", "U.S. Arts Grant", "U.S. Arts Grant – home", "News. U.S. Arts Grant has been discontinued. More."),
+        ("b", "U.S. Arts Grant", "U.S. Arts Grant", "The U.S. Arts Grant has been discontinued."),
+        ("c", "Rural (Arts) Fund+", "Rural (Arts) Fund+", "Rural (Arts) Fund+ is now accepting applications! Apply."),
+        ("d", "Rural Arts Fund", "Rural Arts Fund", "This fund is no longer offered this year. This fund has been discontinued."),
+        ("e", "Rural Arts Fund", "Rural Arts Fund", "This fund may resume. The program has reopened"),
+        ("f", "Fund", "Fund", "This fund has been discontinued."),
+        ("g", "Rural Arts Fund", "Another page", "This fund has been discontinued."),
+        ("h", "Rural Arts Fund", None, None),
+    ]
+    got = {r.id: (r.state, r.evidence) for r in E.lifecycle_signal(spark.createDataFrame(rows, "id string, name string, title string, text string")).collect()}
+    assert got == {"a": ("discontinued", "U.S. Arts Grant has been discontinued."), "c": ("active", "Rural (Arts) Fund+ is now accepting applications!"), "e": ("active", "The program has reopened")}
+
+
+def test_publication_reaches_every_rule(spark):
+    from fundcat.plans import registry
+
+    rows = registry.QUERIES["publish_decide"](spark, "/root/testdata/sf0.01").collect()
+    reasons = {r.reason.split(":")[0] for r in rows}
+    assert len(rows) == 1000 and {r.outcome for r in rows} == {"published", "updated", "skipped"} and any(r.dismissed for r in rows)
+    assert reasons >= {
+        "Not a pending grant candidate", "Source evidence or approved domain is missing", "A newer source snapshot requires review", "Non-program or unresolved page", "Editor-hidden or merged listing stays unpublished",
+        "Program association unresolved; enrichment scheduled", "Official evidence processed with field history and locks", "Likely duplicate program — merge or review the existing listing", "Published unverified grant lead",
+    }
