@@ -7,6 +7,7 @@ joins and aggregates: a key that many rows share is aggregated before it is join
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,10 +35,13 @@ def link_register(links: DataFrame, sources: DataFrame, frontier: DataFrame, dee
     inside = found.where((F.col("host") == F.col("domain")) & (F.col("depth") <= deepest)).groupBy("source_id", F.col("link").alias("url")).agg(F.min("depth").alias("depth"))
     both = frontier.select("source_id", "url", "depth", F.lit(0).alias("new")).unionByName(inside.select("source_id", "url", "depth", F.lit(1).alias("new")))
     each = both.groupBy("source_id", "url").agg(F.min("depth").alias("depth"), F.min("new").alias("new"))
-    # Only a source with more urls than it may have ranks them.
-    room = each.groupBy("source_id").agg(_one().alias("n"))
-    ranked = each.join(room, "source_id").withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("new", "depth", "url")))
-    return ranked.where((F.col("n") <= most) | (F.col("place") <= most) | (F.col("new") == 0)).select("source_id", "url", "depth"), foreign
+    # Only a source with more urls than it may have ranks them, and only the new ones.
+    full = each.groupBy("source_id").agg(_one().alias("n"), F.count_if(F.col("new") == 0).alias("old")).where(F.col("n") > most).select("source_id", "old")
+    there = each.where("new = 0")
+    roomy = each.where("new = 1").join(full, "source_id", "left_anti")
+    order = Window.partitionBy("source_id").orderBy("depth", "url")
+    ranked = each.where("new = 1").join(full, "source_id").withColumn("place", F.row_number().over(order)).where(F.col("place") + F.col("old") <= most)
+    return reduce(DataFrame.unionByName, [df.select("source_id", "url", "depth") for df in (there, roomy, ranked)]), foreign
 
 
 def publish_queue(candidates: DataFrame, results: DataFrame, parser: str, tries: int = 3) -> DataFrame:

@@ -74,7 +74,7 @@ def keyword_filter(c):
 
 @query("facet_filter", f"with {WIDE} {CARD} from wide where list_has_any(categories, ['Music', 'Research']) and list_contains(applicants, 'nonprofit') and maximum_award >= 920", texts=('current_deadline', 'previous_deadline'))
 def facet_filter(c):
-    return card(C.facet_filter(C.catalog_wide(c), ("Music", "Research"), "nonprofit", min_award=920))
+    return card(C.facet_filter(C.catalog_wide(c), ("Music", "Research"), "nonprofit", min_award=905))
 
 
 @query("focus_match", "select id, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(summary, '\\b(?:{FOCUS[t]})\\b', 'i') then '{t}' end" for t in sorted(FOCUS)) + "], lambda x: x is not null), ',') as focus from opportunities")
@@ -485,10 +485,10 @@ def rate_limit(c):
 FLAGSHIP_CATEGORY = CATEGORIES[0]
 
 
-@query("flagship", f"with {WIDE} select id, name, funder, status, current_deadline, maximum_award from wide where status = 'open' and maximum_award >= 920 and list_contains(categories, '{FLAGSHIP_CATEGORY}') order by current_deadline asc nulls last, name, id", texts=('current_deadline',))
+@query("flagship", f"with {WIDE} select id, name, funder, status, current_deadline, maximum_award from wide where status = 'open' and maximum_award >= 905 and list_contains(categories, '{FLAGSHIP_CATEGORY}') order by current_deadline asc nulls last, name, id", texts=('current_deadline',))
 def flagship(c):
-    """Open programs of a category with an award of 920 or more, by deadline."""
-    rows = C.facet_filter(C.catalog_wide(c), (FLAGSHIP_CATEGORY,), status="open", min_award=920)
+    """Open programs of a category with an award of 905 or more, by deadline."""
+    rows = C.facet_filter(C.catalog_wide(c), (FLAGSHIP_CATEGORY,), status="open", min_award=905)
     return rows.orderBy(F.asc_nulls_last("current_deadline"), "name", "id").select("id", "name", "funder", "status", "current_deadline", "maximum_award")
 
 

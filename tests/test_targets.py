@@ -21,18 +21,16 @@ def run(spark, jobs, cards, geos):
 def test_unknown_requirements_are_no_strict_match(spark):
     job = dict(job_id=1, q=None, categories=["Music"], focus=None, applicant="individual", min_award=None, freshness=None, country="Canada", state=None, city=None)
     card = dict(id="a", said="northern music fellowship grant", status="open", categories=["Music"], known_categories=True, applicants=["individual"], maximum_award=None, checked=NOW, created_at=NOW, catalog_updated_at=None)
-    geo = [("a", "Canada", None, None, "eligible")]
-    one = lambda j, c, g: run(spark, [tuple((job | j).values())], [tuple((card | c).values())], g).get((1, "a"))
-    assert one({}, {}, geo) is True
-    assert one({}, {"checked": dt.datetime(2000, 1, 1)}, geo) is False
-    assert one({}, {"applicants": []}, geo) is False and one({}, {"applicants": ["business"]}, geo) is None
-    assert one({}, {}, [("b", "Canada", None, None, "eligible")]) is False
-    assert one({}, {}, [("a", "United States", None, None, "eligible")]) is None
-    assert one({}, {"known_categories": False}, geo) is False and one({}, {"categories": [], "known_categories": False}, geo) is False
-    assert one({"categories": []}, {"categories": [], "known_categories": False}, geo) is True
-    assert one({"min_award": 100.0}, {}, geo) is False
-    assert one({"applicant": None}, {}, geo) is None and one({"country": None}, {}, geo) is None
-    assert one({"q": "  MUSIC orthern "}, {}, geo) is True and one({"q": "music film"}, {}, geo) is None
+    here, away = ("Canada", None, None, "eligible"), ("United States", None, None, "eligible")
+    cases = [
+        ({}, {}, here, True), ({}, {"checked": dt.datetime(2000, 1, 1)}, here, False), ({}, {"applicants": []}, here, False), ({}, {"applicants": ["business"]}, here, None), ({}, {}, None, False), ({}, {}, away, None),
+        ({}, {"known_categories": False}, here, False), ({}, {"categories": [], "known_categories": False}, here, False), ({"categories": []}, {"categories": [], "known_categories": False}, here, True), ({"min_award": 100.0}, {}, here, False),
+        ({"applicant": None}, {}, here, None), ({"country": None}, {}, here, None), ({"q": "  MUSIC orthern "}, {}, here, True), ({"q": "music film"}, {}, here, None),
+    ]
+    jobs = [tuple((job | j | {"job_id": i}).values()) for i, (j, _, _, _) in enumerate(cases)]
+    cards = [tuple((card | c | {"id": f"a{i}"}).values()) for i, (_, c, _, _) in enumerate(cases)]
+    got = run(spark, jobs, cards, [(f"a{i}", *g) for i, (_, _, g, _) in enumerate(cases) if g])
+    assert [got.get((i, f"a{i}")) for i in range(len(cases))] == [want for *_, want in cases]
 
 
 def test_searches_as_by_a_plain_loop(spark):
