@@ -162,6 +162,7 @@ Mexico | | Oaxaca' when 3 then '' when 4 then '| Texas' else 'A|B|C|D' end as li
     "target_jobs": """select c_custkey as job_id, case c_custkey % 4 when 0 then 'grant' when 1 then 'women projects' when 2 then 'und for' else '' end as q, case when c_custkey % 11 <> 0 then n.name end as category, case c_custkey % 9 when 0 then 'women' when 4 then 'rural' end as focus_tag,
         case c_custkey % 3 when 0 then 'nonprofit' when 1 then 'individual' else case when c_custkey % 5 <> 1 then 'business' end end as applicant, cast(case c_custkey % 5 when 0 then 950 else 0 end as double) as min_award, case c_custkey % 7 when 0 then 'new' when 1 then 'updated' else '' end as freshness, case c_custkey % 8 when 3 then 'upcoming' end as status,
         case c_nationkey % 3 when 0 then 'United States' when 1 then 'Canada' end as country, case c_nationkey % 3 when 0 then 'New York' end as state from customer join category_names n on n.n = c_custkey % 14""",
+    "search_intents": "select c_custkey as job_id, case c_custkey % 4 when 0 then 'grant' when 1 then 'women' else '' end as q, n.name as category, case c_nationkey % 3 when 0 then 'United States' when 1 then 'Canada' end as country, case c_nationkey % 3 when 0 then 'New York' end as state from customer join category_names n on n.n = c_custkey % 14",
     "program_origins": f"""select 'o' || cast(p_partkey as string) as id, case p_partkey % 3 when 0 then 'editor' else 'crawler' end as publication_origin, case p_partkey % 5 when 0 then 'editor' when 1 then 'official' when 2 then 'source' end as category_origin,
         case when p_partkey % 4 = 0 then {_NOW} - (p_partkey % 5) * interval '6' hour end as source_fetched_at, case when p_partkey % 6 = 1 then {_NOW} - (p_partkey % 7) * interval '5' hour end as last_verified_at from part""",
     "worker_samples": "select event_id as id, cast(ts as timestamp) as started, cast(ts as timestamp) + (event_id % 150) * interval '1' minute as finished from events where event_type = 'signup'",

@@ -237,7 +237,7 @@ _KNOWN = "['australia', 'brazil', 'canada', 'china', 'france', 'georgia', 'germa
 
 @query(
     "source_intent_rank",
-    f"""with j as (select job_id, category, country, state, case when q = 'grant' then ['music', 'performing', 'artist'] else ['technology', 'innovation', 'research'] end as terms from target_jobs), s as (select *, list_transform(regexp_split_to_array(scope, '\\s*[,/|]\\s*'), lambda x: lower(trim(x))) as parts from source_registry),
+    f"""with j as (select job_id, category, country, state, case when q = 'grant' then ['music', 'performing', 'artist'] else ['technology', 'innovation', 'research'] end as terms from search_intents), s as (select *, list_transform(regexp_split_to_array(scope, '\\s*[,/|]\\s*'), lambda x: lower(trim(x))) as parts from source_registry),
  n as (select *, list_transform(parts, lambda x: case x when 'usa' then 'united states' else x end) as nations from s), p as (select job_id, id, coalesce(country, '') as country, lower(coalesce(country, '')) as lc, lower(coalesce(state, '')) as ls, terms, c1, c2, category, lower(name || ' ' || url) as said, scope, parts, nations from j join n on category in (c1, c2)),
  g as (select *, cast(case when lc = '' then 1 when len(list_filter(nations, lambda x: not list_contains({_KNOWN}, x))) = 0 and (list_contains(nations, lc) or list_contains(nations, 'worldwide')) then 2 when len(parts) = 1 and list_contains(nations, lc) then 2
   when not (list_contains(nations, lc) or (lc = 'united states' and (len(list_filter(nations, lambda x: list_contains({_KNOWN}, x))) = 0 or (len(parts) = 1 and parts[1] = ls)))) then 0 when ls <> '' and len(list_filter(nations, lambda x: x <> lc)) = 1 and list_contains(parts, ls) then 3 when lc = 'united states' and lower(scope) in ('national', 'nationwide') then 2 else 0 end as int) as geo,
@@ -246,5 +246,5 @@ _KNOWN = "['australia', 'brazil', 'canada', 'china', 'france', 'georgia', 'germa
 )
 def source_intent_rank(c):
     terms = F.when(F.col("q") == "grant", F.array(F.lit("music"))).otherwise(F.array(F.lit("technology")))
-    intents = c["target_jobs"].select(F.col("job_id").alias("intent_id"), F.array("category").alias("categories"), terms.alias("terms"), "country", "state", F.lit(None).cast("string").alias("city"))
+    intents = c["search_intents"].select(F.col("job_id").alias("intent_id"), F.array("category").alias("categories"), terms.alias("terms"), "country", "state", F.lit(None).cast("string").alias("city"))
     return U.source_intent_rank(intents, c["source_registry"].select("id", "name", "url", F.array("c1", "c2").alias("categories"), "scope"))
