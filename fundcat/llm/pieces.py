@@ -22,6 +22,7 @@ import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -40,8 +41,13 @@ MODEL = "piece_bpe_32k.model"
 #: many) that they are counted in.
 FREQUENT, SAMPLE = 400_000, 25_000
 #: The lattice of a unit grows with its length and the fold with the square of it, so
-#: longer units are merged by a heap where their texts are, with the same result.
+#: longer units are merged by a heap where their texts are, with the same result. Units
+#: are cut first wherever no piece has the two characters that meet, so that runs of
+#: digits, marks or mixed scripts are never long; only runs of one script's letters are.
 LONGEST = 48
+#: Substrings of more characters than this are looked for only where some piece begins
+#: with their first ``HEAD`` characters, and no longer than the longest that does.
+HEAD = 3
 #: Chunks of text whose units a worker keeps.
 CHUNKS = 400_000
 #: Letters that end a unit before anything else: Latin, Greek and Cyrillic.
@@ -51,6 +57,11 @@ _UNIT = re.compile(rf"{SPACE}*[^{SPACE}\n{LETTERS}]*[{LETTERS}]+|{SPACE}*[^{SPAC
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
+def _hash(s: str) -> int:
+    """Spark's ``xxhash64`` of a string."""
+    return np.uint64(xxhash.xxh64_intdigest(s.encode(), 42)).astype(np.int64).item()
+
+
 @dataclass(frozen=True)
 class Model:
     """What is needed of a model file: scores and ids of the pieces that may be used,
@@ -75,27 +86,44 @@ class Model:
         texts = [b"" if m.is_control(i) or m.is_unknown(i) else bytes([i - names.index("<0x00>")]) if m.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
         return Model(usable, names.index("<0x00>"), tuple(texts))
 
+    @cached_property
+    def pairs(self) -> frozenset[str]:
+        """Neighbouring characters inside a piece: no merge crosses any others."""
+        return frozenset(p[i : i + 2] for p in self.pieces for i in range(len(p) - 1))
+
     @property
     def code(self) -> str:
         """How an id is held as bytes."""
         return ">u2" if len(self.texts) <= 1 << 16 else ">u4"
 
+    def heads(self, spark: SparkSession) -> DataFrame:
+        """``(head, most)``: Spark's hash of the first ``HEAD`` characters of pieces, and
+        the length of the longest piece that begins so. Heads that share a hash only make
+        ``most`` larger than need be."""
+        most: dict[int, int] = {}
+        for p in self.pieces:
+            if len(p) >= HEAD:
+                h = _hash(p[:HEAD])
+                most[h] = max(most.get(h, 0), len(p))
+        return spark.createDataFrame(pd.DataFrame(list(most.items()), columns=["head", "most"]), "head long, most int")
+
     def table(self, spark: SparkSession) -> DataFrame:
         """``(key, piece, id, score)`` with Spark's 64-bit hash of the piece."""
-        rows = [(np.uint64(xxhash.xxh64_intdigest(p.encode(), 42)).astype(np.int64).item(), p, i, s) for p, (i, s) in self.pieces.items()]
+        rows = [(_hash(p), p, i, s) for p, (i, s) in self.pieces.items()]
         if len({r[0] for r in rows}) < len(rows):
             raise ValueError("two pieces share a hash")
         return spark.createDataFrame(pd.DataFrame(rows, columns=["key", "piece", "id", "score"]), "key long, piece string, id int, score double")
 
 
-def _cut(chunk: str) -> tuple[str, ...]:
-    """Units of a chunk; most are letters with at most one mark behind them."""
-    if chunk.isascii():
-        if chunk.isalpha():
-            return (SPACE + chunk,)
-        if chunk[:-1].isalpha():
-            return (SPACE + chunk[:-1], chunk[-1])
-    return tuple(_UNIT.findall(SPACE + chunk))
+def _split(unit: str, pairs: frozenset[str]) -> list[str]:
+    """A unit cut wherever the two characters that meet are in no piece."""
+    at = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
+    return [unit[i:j] for i, j in zip([0, *at], [*at, len(unit)], strict=True)] if at else [unit]
+
+
+def _cut(chunk: str, pairs: frozenset[str]) -> tuple[str, ...]:
+    """Units of a chunk, none of which any merge leaves."""
+    return tuple(chain.from_iterable([_split(u, pairs) for u in _UNIT.findall(SPACE + chunk)]))
 
 
 class Chunks(dict):
@@ -103,9 +131,9 @@ class Chunks(dict):
     next. No unit reaches across chunks, and chunks come again and again. A chunk whose
     units are all known has its ids as bytes, another one its units."""
 
-    def __init__(self, known: dict[str, bytes], model: Model | None = None) -> None:
-        self.known, self.model = known, model
-        self.longest = max(map(len, model.pieces)) if model else 0
+    def __init__(self, known: dict[str, bytes], model: Model, merge: bool = True) -> None:
+        self.known, self.model, self.merge = known, model, merge
+        self.longest, self.pairs = max(map(len, model.pieces)), model.pairs
 
     @staticmethod
     def of(text: str | None) -> list[str]:
@@ -120,14 +148,19 @@ class Chunks(dict):
         """Ids of a unit that is known or too long for the lattice."""
         if len(u) <= LONGEST:
             return self.known.get(u)
-        return np.array(merge_text(u, self.model.pieces, self.model.byte0, self.longest), dtype=self.model.code).tobytes() if self.model else b""
+        return np.array(merge_text(u, self.model.pieces, self.model.byte0, self.longest), dtype=self.model.code).tobytes() if self.merge else b""
 
     def __missing__(self, chunk: str) -> bytes | tuple[str, ...]:
-        found = _cut(chunk)
-        ids = [*map(self.known.get, found)]
-        if None in ids:
+        # Most new chunks are one known unit, or one and a mark: only others are cut. A
+        # known unit is cut by itself into itself, so it may be looked up before.
+        known = self.known.get
+        out = known(SPACE + chunk)
+        if out is None and chunk[:-1].isalpha() and not chunk[-1].isalpha() and (a := known(SPACE + chunk[:-1])) and (b := known(chunk[-1])):
+            out = a + b
+        if out is None:
+            found = _cut(chunk, self.pairs)
             ids = [*map(self.unit, found)]
-        out = found if None in ids else b"".join(ids)
+            out = found if None in ids else b"".join(ids)
         if len(self) >= CHUNKS:
             self.clear()
         self[chunk] = out
@@ -146,8 +179,9 @@ class Chunks(dict):
         return b"".join([p if type(p) is bytes else b"".join([found[u] if u in found else self.unit(u) for u in p]) for p in parts])
 
 
-def units(docs: DataFrame) -> DataFrame:
+def units(docs: DataFrame, model: Model) -> DataFrame:
     """Distinct units of all texts, with their counts: ``(unit, n)``."""
+    pairs = model.pairs
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: Counter[str] = Counter()
@@ -155,7 +189,7 @@ def units(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             n: Counter[str] = Counter()
             for chunk, k in chunks.items():
-                for u in _cut(chunk):
+                for u in _cut(chunk, pairs):
                     n[u] += k
             chunks.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["unit", "n"])
@@ -176,9 +210,10 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     an id for each character that is no piece. ``words`` stays partitioned by unit, so
     neither the join (the piece table is a vocabulary, of bounded size) nor the
     grouping moves it."""
-    longest = max(map(len, model.pieces))
-    spans = words.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("i"))
-    spans = spans.select("unit", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("i")))).alias("l"))
+    starts = words.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("i"))
+    starts = starts.withColumn("head", F.xxhash64(F.substring("unit", F.col("i") + 1, F.lit(HEAD)))).join(F.broadcast(model.heads(words.sparkSession)), "head", "left")
+    reach = F.least(F.coalesce("most", F.lit(HEAD - 1)), F.length("unit") - F.col("i"))
+    spans = starts.select("unit", "n", "i", F.explode(F.sequence(F.lit(1), reach)).alias("l"))
     spans = spans.select("unit", "n", "i", "l", F.substring("unit", F.col("i") + 1, F.col("l")).alias("part"))
     # A 64-bit hash is a far quicker key to look up than a string; strings are compared
     # where hashes meet, and no two pieces share one.
@@ -299,7 +334,7 @@ def _known(rows: DataFrame, model: Model, frequent: int, sample: int) -> dict[st
     """Ids of units that are frequent in a sample of rows."""
     total = rows.count()
     some = rows if total <= sample else rows.sample(sample / total, seed=1)
-    chosen = _frequent(cut(units(some), "units").where(F.length("unit") <= LONGEST), frequent)
+    chosen = _frequent(cut(units(some, model), "units").where(F.length("unit") <= LONGEST), frequent)
     found = encode_units(_dealt(chosen), model).select("unit", _packed(F.col("ids"), model).alias("ids"))
     return {u: bytes.fromhex(i) for u, i in cut(found, "frequent").toLocalIterator(prefetchPartitions=False)}
 
@@ -323,7 +358,7 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, s
     last, head = b"\xff\xff\xff\xff", ">?q"
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(sent.value[0])
+        chunks = Chunks(*sent.value, merge=False)
         for b in batches:
             missing = [chunks.parts(t)[1] for t in b.column("text").to_pylist()]
             n = np.array([len(m) for m in missing], dtype=np.int64)
