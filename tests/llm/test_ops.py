@@ -322,6 +322,20 @@ def test_neighbour_edges(spark):
     assert ann.search(e.where("false"), F.lit(True)).count() == 0
 
 
+def test_neighbours_in_dense_groups(spark):
+    """Groups of more vectors than are ranked again in any case, whose codes hardly differ."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6, 64))[rng.integers(0, 6, 6000)] + 0.02 * rng.normal(size=(6000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    e = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    hit = 0
+    for q, part in ann.search(e, F.col("vec_id") % 60 == 0).toPandas().groupby("query_id"):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        hit += len(set(part.vec_id) & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hit / 2000 >= 0.97
+
+
 def test_many_equal_vectors_are_ranked_by_id(spark):
     e = spark.createDataFrame([(i, [1.0, 2.0, 0.5, 0.1]) for i in range(1500)], "vec_id long, embedding array<float>")
     got = ann.search(e, F.col("vec_id") == 700).orderBy("rank").collect()
