@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,40 +33,46 @@ def trailing_hours(events: DataFrame, until: str | None = None) -> DataFrame:
     return rows.where(F.col("at") < F.to_timestamp(F.lit(until))) if until else rows
 
 
-def trailing_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The stream of ``trailing_hours``: a ring of hourly counts as state, at most those of
-    thirty days, and a timer at each time that a row is due. Rows come once the watermark
-    has passed their time, also when no event does; a key without counts has no state."""
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Ring(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.hours = handle.getMapState("hours", "hour long", "n long")
+def due_rows(hours: np.ndarray, counts: np.ndarray, after: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times after ``after`` and up to ``upto``, in seconds, at which one of the sorted
+    ``hours`` enters or leaves a count, and the counts then, a column for each of ``DAYS``."""
+    at = np.unique((hours[:, None] + HOUR + 86400 * np.array((0, *DAYS))).ravel())
+    at = at[(at > after) & (at <= upto)]
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    before = lambda t: sums[np.searchsorted(hours, t)]
+    return at, np.stack([before(at) - before(at - 86400 * d) for d in DAYS], axis=1)
 
-        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            for b in rows:
-                for second, n in (b["ts"].astype("datetime64[s]").astype("int64") // HOUR * HOUR).value_counts().items():
-                    hour = (int(second),)
-                    old = self.hours.getValue(hour) if self.hours.containsKey(hour) else None
-                    self.hours.updateValue(hour, ((old[0] if old else 0) + int(n),))
-                    if old is None:
-                        for d in (0, *DAYS):
-                            self.handle.registerTimer((hour[0] + HOUR + 86400 * d) * 1000)
-            yield from ()
 
-        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            at = expiredTimerInfo.getExpiryTimeInMs() // 1000
-            counts = dict.fromkeys(DAYS, 0)
-            for hour, n in list(self.hours.iterator()):
-                for d in DAYS:
-                    counts[d] += n[0] if at - 86400 * d <= hour[0] < at else 0
-                if hour[0] < at - 86400 * max(DAYS):
-                    self.hours.removeKey(hour)
-            yield pd.DataFrame({"key": [key[0]], "at": [pd.Timestamp(at, unit="s")], **{f"last_{d}d": [counts[d]] for d in DAYS}})
+def trailing_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The stream of ``trailing_hours``: a key's hourly counts as state, at most those of
+    thirty days, and one timeout, at the next time that a row is due; it gives all rows that
+    are due by then. Rows come once the watermark has passed their time, also when no event
+    does; a key without counts has no state."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-        def close(self) -> None:
-            pass
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        hours, counts, done = state.get if state.exists else ([], [], -1)
+        hours, counts = np.array(hours, dtype=np.int64), np.array(counts, dtype=np.int64)
+        if not state.hasTimedOut:
+            for b in batches:
+                if len(b):
+                    hours = np.concatenate([hours, b["hour"].to_numpy()])
+                    counts = np.concatenate([counts, np.ones(len(b), dtype=np.int64)])
+            hours, where = np.unique(hours, return_inverse=True)
+            counts = np.bincount(where, weights=counts, minlength=len(hours)).astype(np.int64)
+        now = state.getCurrentWatermarkMs() // 1000
+        at, sums = due_rows(hours, counts, done, now)
+        if len(at):
+            done = int(at[-1])
+            left = hours + HOUR + 86400 * max(DAYS) > done
+            hours, counts = hours[left], counts[left]
+            yield pd.DataFrame({"key": key[0], "at": pd.to_datetime(at, unit="s"), **{f"last_{d}d": sums[:, i] for i, d in enumerate(DAYS)}})
+        if len(hours):
+            state.update((hours.tolist(), counts.tolist(), done))
+            due = (hours[:, None] + HOUR + 86400 * np.array((0, *DAYS))).ravel()
+            state.setTimeoutTimestamp(max(int(due[due > done].min()) * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
 
-    rows = events.select(F.col("key").cast("string").alias("key"), "ts").withWatermark("ts", late)
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Ring(), outputStructType=SCHEMA, outputMode="Append", timeMode="EventTime")
+    rows = events.withWatermark("ts", late).select(F.col("key").cast("string").alias("key"), "ts", (F.floor(F.unix_seconds("ts") / HOUR) * HOUR).alias("hour"))
+    return rows.groupBy("key").applyInPandasWithState(fold, SCHEMA, "hours array<long>, counts array<long>, done long", "append", GroupStateTimeout.EventTimeTimeout)

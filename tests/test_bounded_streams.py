@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fundcat.operators import reports
@@ -53,3 +54,11 @@ def test_snapshots_after_a_restart(spark, tmp_path):
         last[url] = h
     assert sorted(r.id for r in got.collect()) == want == sorted(r.id for r in again.collect())
     assert hasattr(reports, "snapshot_changes")
+
+
+def test_rows_due_at_once_are_those_of_each_hour():
+    hours = np.array([0, 7200])
+    at, sums = T.due_rows(hours, np.array([2, 3]), -1, 7 * 86400 + 3600)
+    assert at.tolist() == [3600, 10800, 3600 + 86400, 10800 + 86400, 3600 + 7 * 86400]
+    assert sums.tolist() == [[2, 2, 2], [5, 5, 5], [3, 5, 5], [0, 5, 5], [0, 3, 5]]
+    assert T.due_rows(hours, np.array([2, 3]), 3600, 10800)[0].tolist() == [10800]
