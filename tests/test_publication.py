@@ -1,6 +1,7 @@
 """Jobs without SQL, and branches that the tables do not reach."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,14 @@ def test_publication_reaches_every_rule(spark):
         "Not a pending grant candidate", "Source evidence or approved domain is missing", "A newer source snapshot requires review", "Non-program or unresolved page", "Editor-hidden or merged listing stays unpublished",
         "Program association unresolved; enrichment scheduled", "Official evidence processed with field history and locks", "Likely duplicate program — merge or review the existing listing", "Published unverified grant lead",
     }
+
+
+def test_worker_throughput_counts_each_url_once_and_meets_few_rows(spark):
+    """Against a plain loop: ties with both ends, repeated checks and windows, empty ones."""
+    rng = random.Random(5)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    checks = [(f"u{rng.randrange(12)}", at(rng.randrange(600))) for _ in range(400)]
+    samples = [(i, at(a), at(a + rng.randrange(-5, 150))) for i in range(120) for a in [rng.randrange(600)]]
+    out = U.worker_throughput(spark.createDataFrame(samples, "id long, started timestamp, finished timestamp"), spark.createDataFrame(checks, "url string, at timestamp"))
+    want = {i: [u for u, t in checks if a <= t <= b] for i, a, b in samples}
+    assert {r.id: (r.checked, r.pages) for r in out.collect()} == {i: (len(set(w)), len(w)) for i, w in want.items()}
