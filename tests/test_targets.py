@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from fundcat.fixtures import Catalog
 from fundcat.operators import publication as U
 
 NOW = dt.datetime(2024, 1, 31)
@@ -62,3 +63,19 @@ def test_counts_follow_the_status_asked_for(spark):
     got = {r.job_id: (r.matched, r.watchlist, r.research) for r in U.target_counts(matches, wide, jobs).collect()}
     assert got == {1: (1, 1, "d,e"), 2: (1, 1, None)}
     assert U.target_counts(matches.where(F.lit(False)), wide, jobs).count() == 0
+
+
+def test_jobs_that_ask_the_same_share_an_asker(spark):
+    jobs = [(i, "b A" if i % 2 else "a b", ["x"], None, "nonprofit" if i < 8 else None, None, "", "United States", None, None, ["", "open", "upcoming"][i % 3]) for i in range(10)]
+    df = spark.createDataFrame(jobs, JOBS + ", status string")
+    members, askers = U.same_searches(df)
+    assert {(r.job_id, r.asker) for r in members.collect()} == {(i, 2 if i % 3 == 2 else 0) for i in range(8)}
+    assert sorted(r.job_id for r in askers.collect()) == [0, 2]
+
+
+def test_a_table_of_like_rows_counts_by_its_rows(spark, tmp_path):
+    spark.range(300_000).selectExpr("id as p_partkey", "repeat('ab', 200) as p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = Catalog(spark, str(tmp_path))["part"]
+    plan = spark.range(10).withColumnRenamed("id", "p_partkey").join(rows, "p_partkey", "left")._jdf.queryExecution().sparkPlan().toString()
+    assert sum(f.stat().st_size for f in (tmp_path / "part.parquet").glob("*.parquet")) < 10_000_000
+    assert "BroadcastHashJoin" not in plan
