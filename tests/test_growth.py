@@ -18,3 +18,24 @@ def test_text_facts_searches_pages_where_they_are_dealt_to(spark):
         ("recurrence", "recurring", "the program runs monthly"),
         ("status", "open", "APPLICATIONS are open now."),
     ]
+
+
+def test_programs_alike_are_judged_once(spark):
+    from fundcat.operators import catalog as C
+
+    rows = [(f"o{i}", f"Fund {i:02}", "Music for all", "open", None, 5.0 + i, ["Music"], ["nonprofit"] if i < 30 else []) for i in range(40)]
+    wide = spark.createDataFrame(rows, "id string, name string, summary string, status string, current_deadline date, maximum_award double, categories array<string>, applicants array<string>")
+    geos = spark.createDataFrame([(f"o{i}", 0, "Canada", None, None, "eligible") for i in range(20)], "opportunity_id string, seq int, country string, state string, city string, rule string")
+    profiles = spark.createDataFrame([(f"w{i}", "nonprofit", "Canada", None, None) for i in range(5)] + [("x", "student", None, None, None)], "workspace_id string, applicant_type string, country string, state string, city string")
+    members = C.profile_classes(profiles, spark.createDataFrame([(f"w{i}", "Music") for i in range(5)] + [("x", "Music")], "workspace_id string, category string"))
+    kinds = C.program_kinds(wide, geos, "fund 07")
+    verdicts = C.kind_match(kinds, members, geos)
+    assert verdicts.count() == 6  # two classes, three kinds
+    each = C.class_match(wide, members, geos, "fund 07")
+    assert each.count() == 80
+    # A ranking needs the first rows of each kind alone, and the totals need no rows.
+    ranked = lambda m: sorted(map(tuple, C.rank_results(m, members, 4).select("workspace_id", "rank", "id", "matches", "conflicts", "relevance").collect()))
+    few = C.class_match(wide, members, geos, "fund 07", top=4)
+    assert few.count() == 24 and ranked(few) == ranked(each) and ranked(few)[0] == ("w0", 1, "o7", 3, 0, 6)
+    totals = C.profile_totals(kinds, verdicts, members).agg({"n": "sum"}).first()[0]
+    assert totals == 240 == C.profile_match(wide, profiles, members.selectExpr("workspace_id", "explode(wanted) as category"), geos).count()
