@@ -142,24 +142,36 @@ def monitor_fold_stream(visits: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.withColumn("last_success", F.timestamp_seconds("last_success"))
 
 
+#: Groups of urls whose state is held together. Every group costs a call, whatever it
+#: holds, so their number is fixed and they grow with the urls.
+GROUPS = 1 << 14
+
+
 def snapshot_stream(snaps: DataFrame, late: str = "1 hour") -> DataFrame:
     """The stream of changed pages: a snapshot passes when its hash is not the last one
-    seen for the url."""
+    seen for the url. Each url is forgotten for itself, in the batch in which its own time
+    has passed, unless that batch has it; its group's timer is that of the next url due."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        urls, hashes, until = state.get if state.exists else ((), (), ())
+        last = dict(zip(urls, zip(hashes, until, strict=True), strict=True))
+        now, out, met = state.getCurrentWatermarkMs(), [], {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["fetched_at", "id"])
+            times = rows["fetched_at"].astype("datetime64[ms]").astype("int64")
+            for i, url, h, t in zip(rows["id"], rows["url"], rows["content_hash"], times, strict=True):
+                if url not in last or last[url][0] != h:
+                    out.append((i, url, h))
+                last[url] = met[url] = (h, max(t + FORGET * 86_400_000, now + 1))
+        last = {url: s for url, s in last.items() if url in met or s[1] >= now}
+        if last:
+            state.update((list(last), [h for h, _ in last.values()], [u for _, u in last.values()]))
+            _keep(state, min(u for _, u in last.values()))
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["fetched_at", "id"])
-        keep = []
-        for h in rows["content_hash"]:
-            keep.append(h != last)
-            last = h
-        state.update((last,))
-        _keep(state, int(rows["fetched_at"].max().timestamp() * 1000) + FORGET * 86_400_000)
-        yield rows.loc[keep, ["id", "url", "content_hash"]]
-
-    rows = snaps.withWatermark("fetched_at", late)
-    return rows.groupBy("url").applyInPandasWithState(fold, "id long, url string, content_hash string", "hash string", "append", GroupStateTimeout.EventTimeTimeout)
+        if out:
+            yield pd.DataFrame(out, columns=["id", "url", "content_hash"])
+
+    rows = snaps.withWatermark("fetched_at", late).withColumn("group", F.pmod(F.xxhash64("url"), F.lit(GROUPS)))
+    return rows.groupBy("group").applyInPandasWithState(fold, "id long, url string, content_hash string", "urls array<string>, hashes array<string>, until array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -62,3 +62,24 @@ def test_rows_due_at_once_are_those_of_each_hour():
     assert at.tolist() == [3600, 10800, 3600 + 86400, 10800 + 86400, 3600 + 7 * 86400]
     assert sums.tolist() == [[2, 2, 2], [5, 5, 5], [3, 5, 5], [0, 5, 5], [0, 3, 5]]
     assert T.due_rows(hours, np.array([2, 3]), 3600, 10800)[0].tolist() == [10800]
+
+
+def test_snapshot_state_is_held_by_group_and_forgotten_by_url(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "GROUPS", 2)
+    schema = "id long, url string, fetched_at timestamp, content_hash string"
+    day = lambda n: AT + dt.timedelta(days=n)
+    parts = [[(i, f"u{i}", day(0), "h") for i in range(40)], [(50, "u0", day(20), "h")], [(60, "u1", day(45), "h"), (61, "u2", day(45), None)], [(70, "u0", day(46), "h"), (71, "u3", day(46), "h"), (72, "u2", day(46), None)]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = run_available(spark, str(tmp_path / "in"), schema, M.snapshot_stream, str(tmp_path / "s"))
+    # u1 was there with the time that made the others old; u3 had gone by then, u0 was seen since.
+    assert sorted(r.id for r in got.collect()) == [*range(40), 61, 71]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in _progress(spark, tmp_path)]
+    assert held and max(held) <= 2
+
+
+def _progress(spark, tmp_path):
+    source = spark.readStream.schema("id long, url string, fetched_at timestamp, content_hash string").parquet(str(tmp_path / "in"))
+    run = M.snapshot_stream(source).writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return run.recentProgress
