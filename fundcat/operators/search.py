@@ -13,6 +13,7 @@ from fundcat.operators import catalog as C
 from fundcat.operators import leads as L
 from fundcat.operators.evidence import publisher_identity
 from fundcat.schema import AS_OF
+from fundcat.tables import kept
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ def catalog_cards(cat, who: Applicant, q: str = "", as_of: str = AS_OF, wish: Wi
     spark = wide.sparkSession
     place = spark.createDataFrame([("asked", who.country or None, who.state or None, who.city or None)], "target_id string, country string, state string, city string")
     geos = cat["opportunity_geographies"]
-    geo = C.geo_match(rows.select(F.lit("asked").alias("target_id"), F.col("id").alias("opportunity_id")), geos, place).select(F.col("opportunity_id").alias("id"), "geo", "geo_reason")
+    geo = C.geo_match(wide.select(F.lit("asked").alias("target_id"), F.col("id").alias("opportunity_id")), geos, place).select(F.col("opportunity_id").alias("id"), "geo", "geo_reason")
     placed = geos.select(F.col("opportunity_id").alias("id"), F.lit(True).alias("has_places")).distinct()
     research = (F.col("role") == "ambiguous") & (F.col("verification_status") != "verified") & ~F.col("name").rlike("(?i)" + P.PROGRAM_TITLE)
     rows = rows.join(geo, "id").join(placed, "id", "left")
@@ -120,6 +121,8 @@ def unified_search(cat, results: DataFrame, who: Applicant, q: str = "", record_
     out. Programs earn credit for the categories of the wish; leads and results name the
     applicant's own. A page past the end is the last one."""
     cards = catalog_cards(cat, who, q, as_of, wish).select(*_CARD).unionByName(lead_cards(cat, q, wish).select(*_CARD)).unionByName(external_cards(results, cat["opportunities"], cat["opportunity_source_urls"], cat["provider_records"], q, wish).select(*_CARD))
+    # Cards are asked for aliases, totals and the page: they are written, or each would read all texts.
+    cards = kept(cards, "search-cards")
     one = collapse(cards, cat["opportunity_source_urls"])
     asked = one.withColumns({"applicant_type": F.lit(who.applicant_type), "wanted": F.when(F.col("kind") == "catalog", F.array(*map(F.lit, wish.categories)).cast("array<string>")).otherwise(F.array(*map(F.lit, who.wanted)).cast("array<string>"))})
     rows = C.judged(asked, q).withColumnsRenamed({"title": "name", "since": "fetched"})
