@@ -97,10 +97,21 @@ def reconcile_decide(items: DataFrame, programs: DataFrame, aliases: DataFrame,
         )
         live = live.join(gone, "id", "left_anti").join(hid, "id", "left")
         live = live.select("id", "rank", "place", "keys", "fresh", (F.col("published") & F.col("_hid").isNull()).alias("published"), (F.col("hidden") | F.col("_hid").isNotNull()).alias("hidden"))
-        live, todo = kept(live.unionByName(new), "reconcile-programs"), kept(todo.join(decided.select("item_id"), "item_id", "left_anti"), "reconcile-pages")
+        todo = kept(todo.join(decided.select("item_id"), "item_id", "left_anti"), "reconcile-pages")
+        live = kept(_within_reach(live.unionByName(new), todo), "reconcile-programs")
     return reduce(DataFrame.unionByName, done)
 
 
+def _within_reach(live: DataFrame, todo: DataFrame) -> DataFrame:
+    """Programs that an undecided page may still ask about: its own, those under its keys and
+    those of its places. Others meet no page again, so rounds shrink with the pages left."""
+    signs = lambda sign, words: F.transform(words, lambda w: F.concat(F.lit(sign), w))
+    own = lambda c: F.array_compact(F.array(F.concat(F.lit("own "), F.col(c))))
+    asked = todo.select(F.explode(F.concat(own("own"), signs("key ", F.col("keys")), signs("at ", F.col("places")))).alias("sign")).distinct()
+    signed = live.select("id", F.explode(F.concat(own("id"), signs("key ", F.col("keys")), signs("at ", F.array_compact(F.array("place"))))).alias("sign"))
+    return live.join(signed.join(asked, "sign", "left_semi").select("id"), "id", "left_semi")
+
+
 def _round(todo: DataFrame, live: DataFrame, as_of: str) -> DataFrame:
     """Decisions on the items that no earlier one can touch."""
     shown = live.where("published")

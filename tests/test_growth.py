@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from conftest import SMALL
+from pyspark.sql import functions as F
+
 from fundcat.operators import evidence as E
 
 
@@ -39,3 +42,52 @@ def test_programs_alike_are_judged_once(spark):
     assert few.count() == 24 and ranked(few) == ranked(each) and ranked(few)[0] == ("w0", 1, "o7", 3, 0, 6)
     totals = C.profile_totals(kinds, verdicts, members).agg({"n": "sum"}).first()[0]
     assert totals == 240 == C.profile_match(wide, profiles, members.selectExpr("workspace_id", "explode(wanted) as category"), geos).count()
+
+
+def test_status_is_looked_for_near_its_words(spark):
+    long = "so they said " * 400
+    texts = ["Applications are open", f"{long}APPLICATIONS are now{long}applications are currently not being accepted {long}", f"{'x' * 64} applications closed{'y ' * 90}", "İ" * 90 + " applications open for all!", f"applications went {long}, applications are closed {'z' * 99}{long}."]
+    got = spark.createDataFrame([(t,) for t in texts], "body string").select("body", E._near_applications(F.col("body")).alias("near"))
+    find = lambda c: F.regexp_extract_all(c, F.lit(E.ascii_words(E.STATUS)), F.lit(0))
+    rows = got.select("near", find(F.col("body")).alias("a"), find(F.col("near")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and sum(len(r.a) for r in rows) == 4
+    assert len(rows[4].near) < len(texts[4]) - 5000
+
+
+def test_related_pages_decides_a_role_once(spark):
+    pages = spark.createDataFrame([(1, "https://a.example.org/p/faq", "FAQ", "River Music Fund"), (2, "https://a.example.org/p", "Fund", None), (3, "https://a.example.org/q", "Guidelines", "The river music fund"), (4, None, "FAQ", "River Music Fund")], "id int, url string, title string, body string")
+    programs = spark.createDataFrame([("o1", "River Music Fund", "https://www.a.example.org/p/")], "id string, name string, source_url string")
+    links = spark.createDataFrame([("https://www.a.example.org/p/", "https://a.example.org/q"), ("https://www.a.example.org/p/", "https://a.example.org/p/faq")], "url string, link string")
+    related = E.related_pages(pages, programs, links)
+    assert related._jdf.queryExecution().optimizedPlan().toString().count("manage-a-grant") == 1
+    assert sorted(map(tuple, related.collect())) == [(1, "o1", "official-program-subpage"), (2, "o1", "explicit-program-identifier"), (3, "o1", "official-program-link")]
+
+
+def test_rounds_keep_programs_in_reach(spark):
+    from fundcat.operators import reconcile as R
+
+    live = spark.createDataFrame([("o1", "a", ["is x"]), ("o2", "b", ["is y"]), ("o3", "c", ["below z"]), ("o4", "d", ["is w"]), ("o5", None, [])], "id string, place string, keys array<string>")
+    todo = spark.createDataFrame([("o1", ["is n", "below z"], ["b"]), (None, ["is x"], ["e"])], "own string, keys array<string>, places array<string>")
+    assert sorted(r.id for r in R._within_reach(live, todo).collect()) == ["o1", "o2", "o3"]
+
+
+def test_search_reads_texts_once(spark):
+    from fundcat.fixtures import Catalog
+    from fundcat.operators import search as S
+    from fundcat.plans.search import WHO, _results
+
+    c = Catalog(spark, SMALL)
+    page = S.unified_search(c, _results(c), WHO, "fund")
+    assert not [f for f in page.inputFiles() if "/documents.parquet" in f]
+    assert page.count() == 12
+
+
+def test_rules_are_listed_under_the_masks_that_places_have(spark):
+    from fundcat.operators import catalog as C
+
+    geos = spark.createDataFrame([("o1", 0, "Canada", None, None, "eligible"), ("o2", 0, "France", None, None, "eligible"), ("o3", 0, "CANADA", "Ontario", None, "eligible")], "opportunity_id string, seq int, country string, state string, city string, rule string")
+    targets = spark.createDataFrame([("t", "Canada", None, None)], "target_id string, country string, state string, city string")
+    pairs = spark.createDataFrame([("t", f"o{i}") for i in (1, 2, 3)], "target_id string, opportunity_id string")
+    got = C.geo_match(pairs, geos, targets)
+    assert "to_json" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(map(tuple, got.select("opportunity_id", "geo").collect())) == [("o1", "eligible"), ("o2", "excluded"), ("o3", "unknown")]
