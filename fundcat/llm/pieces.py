@@ -10,21 +10,22 @@ model, whose pieces are merge ranks and whose right segmentation is not the best
 whose two halves stand, which is the library's result for a BPE vocabulary.
 
 Units that are frequent in a bounded sample are encoded first and travel to the texts.
-All other units of all texts are then encoded, each once, and join their texts, which
-cross one shuffle compressed: the sample decides which way a unit goes, never what it
+A text is read once: it becomes the ids of these units, with marks where other units
+stand, and crosses one shuffle so. All other units of all texts are then encoded, each
+once, and come to the marks: the sample decides which way a unit goes, never what it
 becomes.
 """
 
 from __future__ import annotations
 
 import re
-import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from hashlib import blake2b
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -48,13 +49,12 @@ LONGEST = 48
 #: Substrings of more characters than this are looked for only where some piece begins
 #: with their first ``HEAD`` characters, and no longer than the longest that does.
 HEAD = 3
-#: Chunks of text whose units a worker keeps.
-CHUNKS = 400_000
+#: Units that a worker keeps besides those that are sent to it.
+UNITS = 400_000
 #: Letters that end a unit before anything else: Latin, Greek and Cyrillic.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯͰ-ͳͶͷͻ-ͽΆΈ-ϿЀ-ҁҊ-ԯḀ-ỿ"
 SPACE = "▁"
 _UNIT = re.compile(rf"{SPACE}*[^{SPACE}\n{LETTERS}]*[{LETTERS}]+|{SPACE}*[^{SPACE}\n{LETTERS}]+|{SPACE}+|\n")
-_CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 def _hash(s: str) -> int:
@@ -91,10 +91,15 @@ class Model:
         """Neighbouring characters inside a piece: no merge crosses any others."""
         return frozenset(p[i : i + 2] for p in self.pieces for i in range(len(p) - 1))
 
+    @property
+    def mark(self) -> int:
+        """What stands for a unit whose ids are not known yet: the number after the ids."""
+        return len(self.texts)
+
     @property
     def code(self) -> str:
-        """How an id is held as bytes."""
-        return ">u2" if len(self.texts) <= 1 << 16 else ">u4"
+        """How an id or a mark is held as bytes."""
+        return ">u2" if self.mark < 1 << 16 else ">u4"
 
     def heads(self, spark: SparkSession) -> DataFrame:
         """``(head, most)``: Spark's hash of the first ``HEAD`` characters of pieces, and
@@ -117,66 +122,86 @@ class Model:
 
 def _split(unit: str, pairs: frozenset[str]) -> list[str]:
     """A unit cut wherever the two characters that meet are in no piece."""
+    if pairs.issuperset(map(add, unit, unit[1:])):
+        return [unit]
     at = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
-    return [unit[i:j] for i, j in zip([0, *at], [*at, len(unit)], strict=True)] if at else [unit]
+    return [unit[i:j] for i, j in zip([0, *at], [*at, len(unit)], strict=True)]
 
 
-def _cut(chunk: str, pairs: frozenset[str]) -> tuple[str, ...]:
-    """Units of a chunk, none of which any merge leaves."""
-    return tuple(chain.from_iterable([_split(u, pairs) for u in _UNIT.findall(SPACE + chunk)]))
+def _found(text: str | None) -> list[str]:
+    """The units of a text before they are split."""
+    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-class Chunks(dict):
-    """Units of a text's chunks, a chunk being a space with what follows it up to the
-    next. No unit reaches across chunks, and chunks come again and again. A chunk whose
-    units are all known has its ids as bytes, another one its units."""
+class Units(dict):
+    """What a unit becomes: its ids as bytes, or, where not all of its parts are known,
+    the parts' ids and the parts that are not known."""
 
-    def __init__(self, known: dict[str, bytes], model: Model, merge: bool = True) -> None:
-        self.known, self.model, self.merge = known, model, merge
+    def __init__(self, known: dict[str, bytes], model: Model) -> None:
+        super().__init__(known)
+        self.known, self.model, self.most = known, model, len(known) + UNITS
         self.longest, self.pairs = max(map(len, model.pieces)), model.pairs
+        self.mark = np.array(model.mark, dtype=model.code).tobytes()
 
-    @staticmethod
-    def of(text: str | None) -> list[str]:
-        """Chunks without their first mark."""
-        if not text:
-            return []
-        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
-            return [c[1:] for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
-        return text.split(" ")
-
-    def unit(self, u: str) -> bytes | None:
-        """Ids of a unit that is known or too long for the lattice."""
+    def part(self, u: str) -> bytes | str:
+        """Ids of a part that is known or too long for the lattice, or else the part."""
         if len(u) <= LONGEST:
-            return self.known.get(u)
-        return np.array(merge_text(u, self.model.pieces, self.model.byte0, self.longest), dtype=self.model.code).tobytes() if self.merge else b""
-
-    def __missing__(self, chunk: str) -> bytes | tuple[str, ...]:
-        # Most new chunks are one known unit, or one and a mark: only others are cut. A
-        # known unit is cut by itself into itself, so it may be looked up before.
-        known = self.known.get
-        out = known(SPACE + chunk)
-        if out is None and chunk[:-1].isalpha() and not chunk[-1].isalpha() and (a := known(SPACE + chunk[:-1])) and (b := known(chunk[-1])):
-            out = a + b
-        if out is None:
-            found = _cut(chunk, self.pairs)
-            ids = [*map(self.unit, found)]
-            out = found if None in ids else b"".join(ids)
-        if len(self) >= CHUNKS:
+            return self.known.get(u, u)
+        return np.array(merge_text(u, self.model.pieces, self.model.byte0, self.longest), dtype=self.model.code).tobytes()
+
+    def __missing__(self, unit: str) -> bytes | tuple[bytes | str, ...]:
+        parts = tuple(map(self.part, _split(unit, self.pairs)))
+        out = parts if str in map(type, parts) else b"".join(parts)
+        if len(self) >= self.most:
             self.clear()
-        self[chunk] = out
+            self.update(self.known)
+        self[unit] = out
         return out
 
-    def parts(self, text: str | None) -> tuple[list[bytes | tuple[str, ...]], list[str]]:
-        """What each chunk has, and the units that are not known, each once, in the order
-        of the text."""
-        parts = [*map(self.__getitem__, self.of(text))]
-        open_ = dict.fromkeys(chain.from_iterable([p for p in parts if type(p) is tuple]))
-        return parts, [u for u in open_ if self.unit(u) is None]
-
-    def join(self, parts: list[bytes | tuple[str, ...]], found: dict[str, bytes]) -> bytes:
-        if not found:
-            return b"".join([p if type(p) is bytes else b"".join(map(self.unit, p)) for p in parts])
-        return b"".join([p if type(p) is bytes else b"".join([found[u] if u in found else self.unit(u) for u in p]) for p in parts])
+    def read(self, text: str | None) -> tuple[bytes, list[int], list[str]]:
+        """Ids of a text with marks, the units that are not known, each once, and the
+        place among them of each mark's unit."""
+        parts = [*map(self.__getitem__, _found(text))]
+        places: dict[str, int] = {}
+        marks: list[int] = []
+        for at in [i for i, p in enumerate(parts) if type(p) is tuple]:
+            marks += [places.setdefault(x, len(places)) for x in parts[at] if type(x) is str]
+            parts[at] = b"".join([self.mark if type(x) is str else x for x in parts[at]])
+        return b"".join(parts), marks, list(places)
+
+
+class Codes:
+    """Ids with marks, compressed. They are held by how frequent they are, so that most
+    of their high bytes are zero, and the bytes of one place stand together."""
+
+    def __init__(self, model: Model, order: np.ndarray) -> None:
+        self.code, self.size = model.code, np.dtype(model.code).itemsize
+        self.mark, self.order = model.mark, order
+        self.rank = np.empty(len(order), dtype=model.code)
+        self.rank[order] = np.arange(len(order))
+        self.squeeze, self.open_up = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
+
+    def pack(self, raw: bytes, marks: list[int]) -> bytes:
+        if not raw:
+            return b""
+        # Units mostly come in the order of their marks, so differences are ones.
+        steps = np.diff(np.array(marks, dtype="<i4"), prepend=-1).astype("<i4").tobytes()
+        return self.squeeze(steps + self.rank[np.frombuffer(raw, dtype=self.code)].view(np.uint8).reshape(-1, self.size).T.tobytes())
+
+    def ids(self, data: bytes, marks: int, found: list[bytes]) -> np.ndarray:
+        """The ids, with ``found`` in the place of the marks."""
+        if not data:
+            return np.zeros(0, dtype=self.code)
+        data = self.open_up(data)
+        ranks = np.frombuffer(data, dtype=np.uint8, offset=4 * marks).reshape(self.size, -1).T.copy().view(self.code)[:, 0]
+        ids = self.order[ranks].astype(self.code)
+        if not marks:
+            return ids
+        raw, out, last = ids.tobytes(), [], 0
+        for at, k in zip((np.flatnonzero(ids == self.mark) * self.size).tolist(), (np.cumsum(np.frombuffer(data, dtype="<i4", count=marks)) - 1).tolist(), strict=True):
+            out += raw[last:at], found[k]
+            last = at + self.size
+        return np.frombuffer(b"".join([*out, raw[last:]]), dtype=self.code)
 
 
 def units(docs: DataFrame, model: Model) -> DataFrame:
@@ -184,20 +209,20 @@ def units(docs: DataFrame, model: Model) -> DataFrame:
     pairs = model.pairs
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter[str] = Counter()
+        found: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
             n: Counter[str] = Counter()
-            for chunk, k in chunks.items():
-                for u in _cut(chunk, pairs):
+            for unit, k in found.items():
+                for u in _split(unit, pairs):
                     n[u] += k
-            chunks.clear()
+            found.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["unit", "n"])
 
         for b in batches:
             for text in b.column("text").to_pylist():
-                chunks.update(Chunks.of(text))
-            if len(chunks) > CHUNKS:
+                found.update(_found(text))
+            if len(found) > UNITS:
                 yield flush()
         yield flush()
 
@@ -330,86 +355,89 @@ def _packed(ids, model: Model) -> F.Column:
     return F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), "")
 
 
-def _known(rows: DataFrame, model: Model, frequent: int, sample: int) -> dict[str, bytes]:
-    """Ids of units that are frequent in a sample of rows."""
+def _known(rows: DataFrame, model: Model, frequent: int, sample: int) -> tuple[dict[str, bytes], np.ndarray]:
+    """Ids of units that are frequent in a sample of rows; all ids, the most frequent
+    there first, after the mark."""
     total = rows.count()
     some = rows if total <= sample else rows.sample(sample / total, seed=1)
     chosen = _frequent(cut(units(some, model), "units").where(F.length("unit") <= LONGEST), frequent)
-    found = encode_units(_dealt(chosen), model).select("unit", _packed(F.col("ids"), model).alias("ids"))
-    return {u: bytes.fromhex(i) for u, i in cut(found, "frequent").toLocalIterator(prefetchPartitions=False)}
+    found = encode_units(_dealt(chosen), model).select("unit", "n", _packed(F.col("ids"), model).alias("ids"))
+    known, times = {}, np.zeros(model.mark + 1, dtype=np.int64)
+    for u, n, i in cut(found, "frequent").toLocalIterator(prefetchPartitions=False):
+        known[u] = bytes.fromhex(i)
+        np.add.at(times, np.frombuffer(known[u], dtype=model.code), n)
+    times[model.mark] = np.iinfo(np.int64).max
+    return known, np.argsort(-times, kind="stable")
 
 
 def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
     """``documents`` -> ``(doc_id, n_pieces, ids, round_trip)``, one row per input row.
 
     Null and empty texts have no pieces. ``round_trip`` tells that decoding the ids
-    gives the text back. Repeated rows keep their repeats; other columns are ignored;
-    an empty table gives an empty result."""
+    gives the text back (its 128-bit digest). Repeated rows keep their repeats; other
+    columns are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
     small_batches(spark)
     model = Model.load(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = spark.sparkContext.broadcast((_known(rows, model, frequent, sample), model))
+    known, order = _known(rows, model, frequent, sample)
+    sent = spark.sparkContext.broadcast((known, model, order))
     # Rows that share a key share the units sent to them, which does no harm; rows
     # without text have no units, so any key will do.
     rows = rows.withColumn("key", F.when(F.length("text") > 0, F.xxhash64("doc_id", "text")).otherwise(F.monotonically_increasing_id()))
-    # What crosses the shuffle: a unit's place in the list of those that its text misses,
-    # in four bytes, and its ids; or a mark that sorts behind them, the doc_id and the text.
-    last, head = b"\xff\xff\xff\xff", ">?q"
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(*sent.value, merge=False)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, model, order = sent.value
+        read, pack = Units(known, model).read, Codes(model, order).pack
         for b in batches:
-            missing = [chunks.parts(t)[1] for t in b.column("text").to_pylist()]
-            n = np.array([len(m) for m in missing], dtype=np.int64)
-            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(pos, pa.int32()), pa.array([u for m in missing for u in m], pa.string())], ["key", "pos", "unit"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor().compress
-        for b in batches:
-            data = [last + struct.pack(head, i is not None, i or 0) + (squeeze(t.encode()) if t else b"") for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(data, pa.binary())], ["key", "data"])
+            texts = b.column("text").to_pylist()
+            data, marks, open_ = [], [], []
+            for raw, m, u in map(read, texts):
+                data.append(pack(raw, m))
+                marks.append(len(m))
+                open_.append(u)
+            digests = [_digest((t or "").encode()) for t in texts]
+            arrays = [b.column("key"), b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(data, pa.binary()), pa.array(marks, pa.int32()), pa.array(open_, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "digest", "data", "marks", "units"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A key's units come before its texts, in order; both may go on in the next batch.
-        chunks, open_up = Chunks(*sent.value), zstandard.ZstdDecompressor().decompress
-        names, body = model.texts.__getitem__, 4 + struct.calcsize(head)
-        now, own = None, []
+        _, model, order = sent.value
+        fill, names = Codes(model, order).ids, model.texts.__getitem__
         for b in batches:
-            docs, ids, good = [], [], []
-            for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
-                if key != now:
-                    now, own = key, []
-                if data[:4] != last:
-                    own.append(data)
-                    continue
-                there, doc = struct.unpack_from(head, data, 4)
-                text = open_up(data[body:]).decode() if len(data) > body else ""
-                parts, missing = chunks.parts(text)
+            ids, good = [], []
+            for digest, data, marks, n, own in zip(*[b.column(c).to_pylist() for c in ("digest", "data", "marks", "n", "own")], strict=True):
                 # Equal rows share a key: each of their units comes as often as they do.
-                found = dict(zip(missing, [x[4:] for x in own[:: len(own) // len(missing)]], strict=True)) if missing else {}
-                docs.append(doc if there else None)
-                ids.append(np.frombuffer(chunks.join(parts, found), dtype=model.code).astype(np.int32))
-                good.append(plain(b"".join(map(names, ids[-1].tolist()))) == text)
+                found = [x[4:] for x in own[:: len(own) // n]] if n else []
+                ids.append(fill(data, marks, found).astype(np.int32))
+                raw = b"".join(map(names, ids[-1].tolist()))
+                good.append(_digest(raw[1:] if raw.startswith(b" ") else raw) == digest)
             n = np.array([len(i) for i in ids], dtype=np.int64)
             ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n), pa.ListArray.from_arrays(ends, flat), pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
-
-    # Units cross one shuffle, from which both their distinct ones and the way back to
-    # the texts are read: the filter only keeps the columns of the two reads alike.
-    dealt = _dealt(rows.mapInArrow(rare, "key long, pos int, unit string"))
-    words = dealt.groupBy("unit").agg(F.count("key").alias("n"), F.max("pos").alias("last")).where("n > 0 and last >= 0")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(ends, flat), pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
+
+    # Texts cross one shuffle, from which both their unknown units and they themselves
+    # are read: what is generated keeps the columns of the two reads alike.
+    read = rows.mapInArrow(first, "key long not null, doc_id long, digest binary, data binary, marks int, units array<string>").repartition(partitions(spark), "key")
+    read = read.select("key", F.explode(F.array(F.struct("doc_id", "digest", "data", "marks", "units"))).alias("row"))
+    # Units cross another, from which both their distinct ones and the way back to the
+    # texts are read: the filter does the same there.
+    dealt = _dealt(read.where("row.marks > 0").select("key", F.posexplode("row.units").alias("pos", "unit")))
+    words = dealt.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("key"), F.max("pos").alias("last")).where("key is not null and last >= 0")
     found = encode_units(words.select("unit", "n"), model).select("unit", _packed(F.col("ids"), model).alias("data"))
-    # Both sides are dealt alike and a task's distinct units are few, so nothing is sorted.
+    # Both sides are dealt alike and a task's distinct units are few, so nothing is sorted
+    # but a text's own units, by their places in the list of those that it misses.
     at = F.lpad(F.hex("pos"), 8, "0")
     extra = dealt.join(found.hint("shuffle_hash"), "unit").select("key", F.unhex(F.concat(at, "data")).alias("data"))
-    packed = rows.mapInArrow(pack, "key long, data binary")
-    full = packed.unionByName(extra).repartition(partitions(spark), "key").sortWithinPartitions("key", "data")
+    own = extra.repartition(partitions(spark), "key").groupBy("key").agg(F.sort_array(F.collect_list("data")).alias("own"))
+    full = read.join(own.hint("shuffle_hash"), "key", "left").select("row.doc_id", "row.digest", "row.data", "row.marks", F.size("row.units").alias("n"), "own")
     return full.mapInArrow(whole, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
+def _digest(text: bytes) -> bytes:
+    return blake2b(text, digest_size=16).digest()
+
+
 def plain(raw: bytes) -> str:
     """The text of pieces: without the leading space that encoding adds."""
     out = raw.decode("utf-8", "replace")

@@ -179,6 +179,33 @@ def test_pieces_equal_the_library(docs, small):
     assert pieces.encode(docs).count() == docs.count()
 
 
+def test_pieces_of_odd_texts(spark):
+    m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    odd = ["zqxj " * 50, "  two  spaces \n\n ends ", "a▁b ▁", "zqxjk zqxjk vvwq zqxjk.", "x" * 200 + " " + "qé" * 90, "\n", " ", "日本 語\0\t#*", "", None]
+    odd += ["".join(rng.choice(list("abqxzé .\n▁#日0"), 60)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(3, odd[3]), (3, odd[3]), (None, odd[3]), (None, None), (0, "zqxj")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(((-1 if i is None else i), m.encode(t or ""), "▁" not in (t or "")) for i, t in rows)
+    for sample in (pieces.SAMPLE, 2):
+        got = pieces.encode(df, frequent=40, sample=sample).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids, r.round_trip) for r in got) == want
+
+
+def test_pieces_read_a_text_once(docs, monkeypatch):
+    seen = docs.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    known = pieces._known
+    monkeypatch.setattr(pieces, "_known", lambda rows, *rest: known(docs.select("doc_id", "text"), *rest))
+    out = pieces.encode(docs.select("doc_id", "text").mapInArrow(count, "doc_id long, text string"), frequent=3).collect()
+    assert len(out) == seen.value == docs.count()
+
+
 def test_decode(docs):
     out = pieces.decode(pieces.encode(docs)).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).distinct(), "doc_id")
     assert out.where("text <> t").count() == 0
