@@ -91,3 +91,46 @@ def test_rules_are_listed_under_the_masks_that_places_have(spark):
     got = C.geo_match(pairs, geos, targets)
     assert "to_json" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted(map(tuple, got.select("opportunity_id", "geo").collect())) == [("o1", "eligible"), ("o2", "excluded"), ("o3", "unknown")]
+
+
+def _made_last(df):
+    """Rows are made of blocks above all joins, and nothing above them is shuffled."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join Inner")]
+    return "Generate" in top and not any(x in top for x in ("Aggregate", "Repartition", "Sort", "Window"))
+
+
+def test_suggested_programs_are_not_shuffled_for_each_profile(spark):
+    from fundcat.operators import catalog as C
+
+    wide = spark.range(2000).selectExpr("concat('o', id) as id", "'open' as status", "array('Dance', 'Music') as categories", "array('nonprofit') as applicants")
+    geos = wide.selectExpr("id as opportunity_id", "'Canada' as country", "cast(null as string) as state", "cast(null as string) as city", "'eligible' as rule")
+    profiles = spark.range(100).selectExpr("concat('w', id) as workspace_id", "'nonprofit' as applicant_type", "'canada' as country", "'Ontario' as state", "concat('c', id) as city")
+    interests = profiles.selectExpr("workspace_id", "explode(array('Dance', 'Music')) as category")
+    got = C.suggested_filter(wide, profiles, interests, geos)
+    assert _made_last(got) and got.count() == 200_000 == got.distinct().count()
+
+
+def test_suggested_programs_as_by_a_plain_loop(spark, monkeypatch):
+    import random
+
+    from fundcat.operators import catalog as C
+
+    monkeypatch.setattr(C, "LARGE", 20)  # groups are numbered in parts
+    rng = random.Random(5)
+    place = lambda: (rng.choice([None, "Canada", "CANADA", "France"]), rng.choice([None, None, "Ontario"]), rng.choice([None, None, "Oslo"]))
+    some = lambda *of: sorted(rng.sample(of, rng.randrange(len(of))))
+    wide = [(f"o{i}", rng.choice(["open", "upcoming", "closed"]), some("a", "b", "c"), some("x", "y", "z")) for i in range(300)]
+    geos = [(f"o{rng.randrange(300)}", *place(), rng.choice(["eligible", "eligible", "excluded"])) for _ in range(400)]
+    profiles = [(f"w{i}", rng.choice(["x", "y", None]), *place()) for i in range(300)]
+    wants = [(f"w{i}", c) for i in range(290) for c in some("a", "b", "d")]
+    alike = lambda rule, own: all(r is None or (o is not None and r.lower() == o.lower()) for r, o in zip(rule, own, strict=True))
+    want = set()
+    for w, kind, *own in profiles:
+        for i, status, cats, kinds in wide:
+            if status != "closed" and kind in kinds and any((w, c) in wants for c in cats) and any(g[0] == i and g[4] == "eligible" and alike(g[1:4], own) for g in geos):
+                want.add((w, i))
+    spots = "country string, state string, city string"
+    got = C.suggested_filter(spark.createDataFrame(wide, "id string, status string, categories array<string>, applicants array<string>"), spark.createDataFrame(profiles, f"workspace_id string, applicant_type string, {spots}"), spark.createDataFrame(wants, "workspace_id string, category string"), spark.createDataFrame(geos, f"opportunity_id string, {spots}, rule string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) > 500 and set(rows) == want
