@@ -134,3 +134,35 @@ def test_suggested_programs_as_by_a_plain_loop(spark, monkeypatch):
     got = C.suggested_filter(spark.createDataFrame(wide, "id string, status string, categories array<string>, applicants array<string>"), spark.createDataFrame(profiles, f"workspace_id string, applicant_type string, {spots}"), spark.createDataFrame(wants, "workspace_id string, category string"), spark.createDataFrame(geos, f"opportunity_id string, {spots}, rule string"))
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) > 500 and set(rows) == want
+
+
+def test_target_matches_are_made_last(spark):
+    from fundcat.operators import publication as U
+
+    cards = spark.range(400).selectExpr("concat('o', id) as id", "concat('music grant ', id) as said", "if(id % 2 = 0, 'open', 'unknown') as status", "array('Dance', 'Music') as categories", "id % 3 > 0 as known_categories", "array('nonprofit') as applicants", "cast(id as double) as maximum_award", "timestamp '2024-01-31' as checked", "timestamp '2024-01-31' as created_at", "cast(null as timestamp) as catalog_updated_at")
+    geos = cards.selectExpr("id as opportunity_id", "'Canada' as country", "cast(null as string) as state", "cast(null as string) as city", "'eligible' as rule")
+    jobs = spark.range(900).selectExpr("id as job_id", "'Grant usic' as q", "array('Music', 'Dance') as categories", "cast(array() as array<string>) as focus", "'nonprofit' as applicant", "if(id < 600, 0D, 200D) as min_award", "'' as freshness", "'CANADA' as country", "'Ontario' as state", "if(id % 2 = 0, 'Toronto', null) as city")
+    got = U.target_match(jobs, cards, geos, "2024-01-31")
+    assert _made_last(got)
+    rows = got.selectExpr("count(*)", "count(distinct job_id, id)", "count_if(strict)").first()
+    assert tuple(rows) == (300_000, 300_000, sum(i % 3 > 0 for i in range(400)) * 600 + sum(i % 3 > 0 for i in range(200, 400)) * 300)
+
+
+def test_place_verdicts_as_by_geo_match(spark):
+    import random
+
+    from fundcat.operators import catalog as C
+
+    rng = random.Random(3)
+    place = lambda: (rng.choice([None, "", "Canada", "CANADA", "France", "Worldwide"]), rng.choice([None, "", "Ontario", "ontario", "Texas"]), rng.choice([None, None, "Oslo", "Austin"]))
+    spots = "country string, state string, city string"
+    geos = spark.createDataFrame([(f"o{rng.randrange(200)}", *place(), rng.choice(["eligible", "eligible", "excluded", None])) for _ in range(400)], f"opportunity_id string, {spots}, rule string")
+    targets = spark.createDataFrame([(f"t{i}", *place()) for i in range(40)], f"target_id string, {spots}")
+    pairs = spark.range(210).selectExpr("concat('o', id) as opportunity_id").join(targets.select("target_id"))
+    want = {(r.target_id, r.opportunity_id): r.geo for r in C.geo_match(pairs, geos, targets).collect()}
+    rules = C.place_rules(geos)
+    rows = pairs.join(targets, "target_id").join(rules.withColumnRenamed("id", "opportunity_id"), "opportunity_id", "left")
+    own = F.struct(*[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in C.PLACE])
+    none = F.array().cast(rules.schema["rules"].dataType)
+    got = {(r.target_id, r.opportunity_id): r.geo for r in rows.withColumn("own", own).withColumn("geo", C.place_verdict(F.coalesce("rules", none), F.col("own"))).collect()}
+    assert got == want and set(want.values()) == {"eligible", "excluded", "unknown"}
